@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, quality, sharding, simhash, toxicity, urlfilter
+from . import decontaminate, embeddedup, linededup, packing, quality, sharding, simhash, suffixdedup, toxicity, urlfilter
 from .common import table
 
 SHARDS = 24
@@ -24,6 +24,16 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), overlap=0.8)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(
         table(spark, sf_dir, "documents"), sharding.regular_tree(SHARDS), sharding.regular_tree(SHARDS + 1)
@@ -33,6 +43,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024, end_id=2)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
@@ -57,6 +72,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), width=400)
+    return out.select(
+        "doc_id", "n_bytes", "n_removed", suffixdedup.span_count("spans").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
@@ -70,7 +96,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op2_sharding, op4_toxicity, op5_url_filter, op6_line_dedup, op7_simhash, op10_quality)
+        for f in (
+            op1_decontamination,
+            op2_sharding,
+            op3_packing,
+            op4_toxicity,
+            op5_url_filter,
+            op6_line_dedup,
+            op7_simhash,
+            op8_suffix_dedup,
+            op9_embedding_dedup,
+            op10_quality,
+        )
     }
 
 
@@ -100,5 +137,42 @@ FROM m GROUP BY doc_id
 """
 
 
+SQL_SUFFIX_DEDUP = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, unnest(range(0, n - 399)) AS s, b FROM d WHERE n >= 400),
+h AS (SELECT doc_id, s, md5(array_slice(b, s + 1, s + 400)) AS h FROM p),
+r AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+m AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM h SEMI JOIN r USING (h)),
+g AS (SELECT doc_id, s, count(*) FILTER (gap IS NULL OR gap > 400) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM m),
+c AS (SELECT doc_id, span, min(s) AS a, max(s) + 400 AS e FROM g GROUP BY ALL),
+k AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM c
+      UNION ALL SELECT doc_id, max(e), max(n) FROM c JOIN d USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, coalesce(string_agg(hex(array_slice(b, f + 1, t)), '' ORDER BY f) FILTER (t > f), '') AS x
+         FROM k JOIN d USING (doc_id) GROUP BY doc_id),
+tot AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(coalesce(unhex(x), b)) AS kept_sha256
+FROM d LEFT JOIN tot USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+SQL_EMBEDDING_DEDUP = r"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(n, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.n, l.b FROM r JOIN l ON l.a = r.m),
+c AS (SELECT n, min(m) AS component_id FROM r GROUP BY n),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON n = vec_id LEFT JOIN k ON a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": SQL_URL_FILTER, "op6_line_dedup": SQL_LINE_DEDUP}
+    return {
+        "op8_suffix_dedup": SQL_SUFFIX_DEDUP,
+        "op9_embedding_dedup": SQL_EMBEDDING_DEDUP,
+        "op5_url_filter": SQL_URL_FILTER,
+        "op6_line_dedup": SQL_LINE_DEDUP,
+    }
