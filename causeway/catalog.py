@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import governance_queries, ledger_queries
+
+MODULES = (ledger_queries, governance_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
