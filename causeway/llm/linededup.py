@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut
 
 #: What is cut from the ends of a line.
 BLANK = "\t\n\x0b\x0c\r "
@@ -45,7 +45,8 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """doc_id, text_hash, dropped (map of word number to 64 bits) of the documents that lose lines."""
-    held = (
+    # written once: the counts and the join below both read it
+    held = cut(
         line_keys(docs, min_chars)
         .repartitionByRange("h1", "h2", "doc_id")
         .sortWithinPartitions("h1", "h2", "doc_id", "pos")

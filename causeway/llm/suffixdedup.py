@@ -31,14 +31,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut
+from .common import Scratch, shuffles_released
 
 GRAM = 8
 #: Bytes of a text that are looked at in one step.
 STEP = 1 << 20
 #: Bits of the sieve that says which texts need another look; its size is fixed, so it can be sent to all tasks.
 SIEVE_BITS = 1 << 24
+#: An anchor's run is compared over so many phrases at most: enough to leave few that do not repeat, and texts of short
+#: periods, whose phrases are many and alike, cost no more than others. A power of two.
+PHRASES = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,6 +102,7 @@ def _anchor_rows(width: int):
                 last = np.minimum(np.append(first[1:] - 1, len(text) - width), len(text) - width)
                 r = np.searchsorted(place, place + reach) - np.arange(m + 1)
                 r[(np.arange(m + 1) + r > m) | (first > last)] = 0
+                r = np.minimum(r, PHRASES)
                 r, f, n = r[:m], first[:m], np.maximum(last - first, -1)[:m] + 1
                 name = [digest(view[a : b + GRAM]) for a, b in zip(p, p[1:], strict=False)]
                 serves = (r > 0).tolist()
@@ -140,21 +145,35 @@ def repeated(rows: DataFrame, *key: str) -> DataFrame:
     return rows.join(found, list(key))
 
 
-def doubled(rows: DataFrame) -> DataFrame:
-    """The anchor rows that repeat over the r phrases they need."""
-    alive = cut(repeated(rows, "name").dropDuplicates(["ch", "idx"]))
-    done, run = None, 1
-    while True:
-        ranks = alive.select(F.col("ch").alias("_ch"), F.col("idx").alias("_idx"), F.col("name").alias("_name"))
-        due = alive.where((F.col("r") >= run) & (F.col("r") < 2 * run))
-        ended = due.join(ranks, (F.col("ch") == F.col("_ch")) & (F.col("idx") + F.col("r") - run == F.col("_idx")))
-        ended = ended.withColumn("name", F.xxhash64("r", "name", "_name")).drop("_ch", "_idx", "_name")
+def doubled(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The anchor rows that repeat over the r phrases they need; r is at most PHRASES.
+
+    A run of r phrases, run < r <= 2 * run, is two runs of ``run``: the one that starts at the anchor and the one that
+    ends with its last phrase. One sort of each text's ranks by position brings both together.
+    """
+    alive = scratch.put("alive", repeated(rows, "name").dropDuplicates(["ch", "idx"]))
+    level, done, run = alive.select("ch", "idx", "r", "name"), None, 1
+    while run < PHRASES:
+        by_place = Window.partitionBy("ch").orderBy("idx")
+
+        def ahead(k: int, by_place=by_place):
+            return F.col("name") if k == 0 else F.max("name").over(by_place.rangeBetween(k, k))
+
+        partner = F.coalesce(*[F.when(F.col("r") - run == k, ahead(k)) for k in range(run + 1)], ahead(0))
+        wanted = F.max("r").over(by_place.rangeBetween(-2 * run, 0)) > 2 * run
+        paired = scratch.put(f"paired{run}", level.select("ch", "idx", "r", "name", partner.alias("own"), ahead(run).alias("next"), wanted.alias("wanted")))
+        ended = paired.where((F.col("r") > (run if run > 1 else 0)) & (F.col("r") <= 2 * run) & F.col("own").isNotNull())
+        ended = ended.select("ch", "idx", F.xxhash64("r", "name", "own").alias("name"))
         done = ended if done is None else done.union(ended)
-        if (alive.agg(F.max("r")).first()[0] or 0) < 2 * run:
-            return cut(repeated(done, "name").drop("name", "r"))
-        pairs = alive.join(ranks, (F.col("ch") == F.col("_ch")) & (F.col("idx") + run == F.col("_idx")))
-        pairs = pairs.withColumn("name", F.xxhash64("name", "_name")).drop("_ch", "_idx", "_name")
-        alive, run = cut(repeated(pairs, "name")), 2 * run
+        pairs = paired.where(F.col("wanted") & F.col("next").isNotNull())
+        pairs = pairs.select("ch", "idx", "r", F.xxhash64("name", "next").alias("name"))
+        run *= 2
+        if run < PHRASES:
+            level = scratch.put(f"level{run}", repeated(pairs, "name"))
+    kept = repeated(done, "name").select("ch", "idx")
+    out = scratch.put("repeats", alive.select("ch", "idx", "first", "n", "core", "span").join(kept, ["ch", "idx"]))
+    scratch.drop("alive", *(f"{k}{2**i}" for i in range(PHRASES.bit_length()) for k in ("paired", "level")))
+    return out
 
 
 class Sieve:
@@ -190,41 +209,39 @@ class Sieve:
 
 
 def _string_rows(width: int):
-    """Each start of the wanted spans: digests of its string."""
+    """For each wanted span the digests of the strings that start in it, in order."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            out = {k: [] for k in ("h", "ch", "start", "span")}
-
-            def flush(out=out) -> pa.RecordBatch:
-                h = np.frombuffer(b"".join(out["h"]), "<i8").reshape(-1, 2)
-                made = pa.RecordBatch.from_arrays(
-                    [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), *(pa.array(out[k], pa.int64()) for k in ("ch", "start", "span"))],
-                    ["h1", "h2", "ch", "start", "span"],
-                )
-                for v in out.values():
-                    v.clear()
-                return made
-
-            for ch, text, wanted in zip(
-                *(batch.column(k).to_pylist() for k in ("ch", "text", "wanted")), strict=True
-            ):
+            out: list[tuple] = []
+            for ch, text, wanted in zip(*(batch.column(k).to_pylist() for k in ("ch", "text", "wanted")), strict=True):
                 view = memoryview(text)
                 for w in wanted:
                     starts = range(w["first"], w["first"] + w["n"])
-                    out["h"] += [digest(view[s : s + width]) for s in starts]
-                    out["start"] += starts
-                    out["ch"] += [ch] * len(starts)
-                    out["span"] += [w["span"]] * len(starts)
-                    if len(out["h"]) > 100_000:
-                        yield flush()
-            if out["h"]:
-                yield flush()
+                    found = np.array([digest(view[s : s + width]) for s in starts], np.uint64).view(np.int64)
+                    out.append((w["core"], w["span"], w["whole"], ch, w["first"], found))
+                    if len(out) > 5_000:
+                        yield _strings(out)
+                        out = []
+            if out:
+                yield _strings(out)
 
     return rows
 
 
+STRINGS = "core long, span long, whole boolean, ch long, first long, strings array<long>"
+
+
+def _strings(out: list[tuple]) -> pa.RecordBatch:
+    core, span, whole, ch, first, found = zip(*out, strict=True)
+    long = [pa.array(x, pa.int64()) for x in (core, span, ch, first)]
+    return pa.RecordBatch.from_arrays(
+        [long[0], long[1], pa.array(whole), long[2], long[3], pa.array(found, pa.list_(pa.int64()))],
+        [x.split()[0] for x in STRINGS.split(", ")],
+    )
+
+
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge each text's intervals and take them out."""
     for batch in batches:
@@ -259,42 +276,53 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 OUT_SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<a:long,b:long>>, kept binary"
 
 
-def covers(texts: DataFrame, width: int) -> DataFrame:
+def covers(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """(ch, cover): intervals of bytes to remove from each class of equal texts that loses any."""
     classes = texts.groupBy("ch", F.octet_length("text").cast("long").alias("size")).agg(
         F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one")
     )
-    left = doubled(texts.select("ch", "text").mapInArrow(_anchor_rows(width), ANCHOR_SCHEMA))
-    left = cut(repeated(left, "core"))
-    place = F.struct("ch", "idx")
-    spans = cut(
+    classes = scratch.put("classes", classes)
+    repeats = doubled(texts.select("ch", "text").mapInArrow(_anchor_rows(width), ANCHOR_SCHEMA), scratch)
+    left = scratch.put("left", repeated(repeats, "core"))
+    scratch.drop("repeats")
+    place = F.xxhash64("ch", "idx")
+    spans = scratch.put(
+        "spans",
         left.groupBy("core", "span")
         .agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min(F.struct("ch", "first", "n")).alias("at"))
-        .select("core", "span", (F.col("lo") != F.col("hi")).alias("whole"), "at")
+        .select("core", "span", (F.col("lo") != F.col("hi")).alias("whole"), "at"),
     )
-    # spans to compare start by start: those of cores with a span of its own, and more than one span
+    # spans to compare start by start: those of cores with a span found once, and more than one span
     unsure = spans.groupBy("core").agg(F.min("whole").alias("sure"), F.count(F.lit(1)).alias("k")).where("k > 1 and not sure")
-    wanted = cut(
-        spans.join(unsure.select("core"), "core")
-        .select(F.col("at.ch").alias("ch"), F.struct("at.first", "at.n", "span").alias("w"), "whole")
+    wanted = scratch.put(
+        "wanted",
+        spans.join(unsure.select("core"), "core").select(
+            F.col("at.ch").alias("ch"), F.struct("at.first", "at.n", "core", "span", "whole").alias("w")
+        ),
     )
-    per_text = wanted.groupBy("ch").agg(F.collect_list("w").alias("wanted"))
-    maybe, _ = Sieve(wanted.select("ch")).split(texts.select("ch", "doc_id", "text"))
     # one text of each class is enough, and so no repeated work for copies
-    one = per_text.join(classes.select("ch", "one"), "ch").hint("shuffle_hash")
-    chosen = maybe.join(one, "ch").where(F.col("doc_id").eqNullSafe(F.col("one"))).select("ch", "text", "wanted")
-    strings = cut(chosen.mapInArrow(_string_rows(width), "h1 long, h2 long, ch long, start long, span long").dropDuplicates(["ch", "start", "h1", "h2"]))
-    both = strings.groupBy("h1", "h2").agg(F.min("span").alias("lo"), F.max("span").alias("hi")).where("lo <> hi")
-    single = strings.join(both.select("h1", "h2"), ["h1", "h2"]).select(
-        "ch", F.col("start").alias("a"), (F.col("start") + width).alias("b")
-    )
+    one = wanted.groupBy("ch").agg(F.collect_list("w").alias("wanted")).join(classes.select("ch", "one"), "ch")
+    maybe, _ = Sieve(wanted.select("ch")).split(texts.select("ch", "doc_id", "text"))
+    chosen = maybe.join(one.hint("shuffle_hash"), "ch").where(F.col("doc_id").eqNullSafe(F.col("one"))).select("ch", "text", "wanted")
+    strings = scratch.put("strings", chosen.mapInArrow(_string_rows(width), STRINGS))
+    scratch.drop("wanted")
+    # a string is found once in a span, so one of two spans is elsewhere
+    each = strings.select("core", "span", F.explode("strings").alias("string"))
+    twice = each.groupBy("core", "string").agg(F.min("span").alias("lo"), F.max("span").alias("hi")).where("lo <> hi")
+    alone = strings.where("not whole").select("core", "ch", "first", F.posexplode("strings").alias("k", "string"))
+    start = (F.col("first") + F.col("k")).alias("a")
+    single = alone.join(twice.select("core", "string"), ["core", "string"]).select("ch", start, (start + width).alias("b"))
     whole = left.join(spans.where("whole").select("core", "span"), ["core", "span"]).select(
         "ch", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + width).alias("b")
     )
     copies = classes.where((F.col("copies") > 1) & (F.col("size") >= width)).select(
         "ch", F.lit(0).cast("long").alias("a"), F.col("size").alias("b")
     )
-    return whole.union(single).union(copies).groupBy("ch").agg(F.collect_set(F.struct("a", "b")).alias("cover"))
+    out = scratch.put(
+        "cover", whole.union(single).union(copies).groupBy("ch").agg(F.collect_set(F.struct("a", "b")).alias("cover"))
+    )
+    scratch.drop("classes", "left", "spans", "strings")
+    return out
 
 
 def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
@@ -303,7 +331,9 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
     ).withColumn("ch", F.xxhash64("text"))
-    cover = cut(covers(texts, width))
+    scratch = Scratch(docs.sparkSession)
+    with shuffles_released(docs.sparkSession):
+        cover = covers(texts, width, scratch)
     maybe, plain = Sieve(cover.select("ch")).split(texts)
     none = F.expr("cast(array() as array<struct<a:long,b:long>>)")
     cutting = maybe.join(cover.hint("shuffle_hash"), "ch", "left").select("doc_id", "text", "cover")

@@ -87,6 +87,22 @@ def _sampled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
+def _known_terms(term):
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ids in batch.column("terms"):
+                ids = ids.values.to_numpy(zero_copy_only=False)
+                at = np.searchsorted(term.value, ids)
+                at[at == len(term.value)] = 0
+                out.append(at[term.value[at] == ids].astype(np.int32) if len(term.value) else ids[:0])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("y"), pa.array(out, pa.list_(pa.int32()))], batch.schema.names
+            )
+
+    return known
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable=None, params: Params | None = None) -> Machine:
     """Fit on at most about params.sample labelled documents; usable: which doc_ids' labels may be learnt."""
     p = params or Params()
@@ -109,15 +125,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, params: Params | None =
     )
     best = counts.select("term", z.alias("z")).where(F.col("z") >= p.min_z).orderBy(F.desc("z"), "term").limit(p.terms)
     term = np.array(sorted(r["term"] for r in best.collect()), np.int64)
-    got = rows.toArrow()
-    order = np.argsort(np.asarray(got.column("doc_id").to_numpy()), kind="stable")
-    y = (np.asarray(got.column("y").to_numpy())[order] == 1).astype(float)
-    column = got.column("terms").to_pylist()
-    docs_terms = []
-    for i in order:
-        ids = np.asarray(column[i], np.int64)
-        at = np.searchsorted(term, ids)
-        docs_terms.append(at[(at < len(term)) & (term[np.minimum(at, len(term) - 1)] == ids)] if len(term) else ids[:0])
+    # only the terms that have weights leave the executors, as rows of the table
+    got = rows.mapInArrow(_known_terms(sample.sparkSession.sparkContext.broadcast(term)), rows.schema).toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    y = (got.column("y").to_numpy()[order] == 1).astype(float)
+    lists = got.column("terms").combine_chunks()
+    flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    docs_terms = [flat[ends[i] : ends[i + 1]] for i in order]
     return _fit_machine(term, docs_terms, y, p)
 
 
