@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, numbered
 
-CACHE = 250_000
-#: Characters of texts whose tokens are held at a time.
-CHUNK = 4_000_000
+#: Pieces in a batch that leaves a task.
+CHUNK = 5_000
 #: Rounds of multiplicative weights; each costs one dynamic program over the capacity.
 ROUNDS = 1_200
 
@@ -35,100 +34,65 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 LENGTH_BUCKETS, FULL_BUCKETS = 32, 4096
 
 
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit bytes; remembers a bounded number of words.
+    """Ids of texts under a byte-level BPE file of the tokenizers library, as little-endian unsigned 32-bit bytes.
 
-    A space before a non-space always starts a new word of the byte-level splitter, so texts without neighbouring spaces
-    are encoded word by word, and each word once. Others are encoded whole.
+    The file's merges rank as its ids do, so the ranks are read from its vocabulary and texts are encoded by the faster
+    of the two libraries that implement this BPE; the tests hold the ids against the tokenizers library's own. Special
+    tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
-        import regex
+        import json
+
+        import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(PATTERN).findall
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words not seen yet, from the ids of the parts the splitter makes of them."""
-        split = {w: self.split(w) for w in words}
-        parts = self.parts
-        if len(parts) > CACHE:
-            parts.clear()
-        new = [p for p in {p for ps in split.values() for p in ps} if p not in parts]
-        fresh = dict(zip(new, self.whole(new), strict=True))
-        out = {w: b"".join([parts[p] if p in parts else fresh[p] for p in ps]) for w, ps in split.items()}
-        parts.update((p, ids) for p, ids in fresh.items() if len(p) <= 40)
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = {i for i, t in enumerate(texts) if "  " in t}
-        whole = dict(zip(sorted(odd), self.whole([texts[i] for i in sorted(odd)]), strict=True))
-        cut_up = [[] if i in odd else t.split(" ") for i, t in enumerate(texts)]
-        words = self.words
-        if len(words) > CACHE:
-            words.clear()
-        missing = set()
-        for ws in cut_up:
-            missing.update(w for w in ws[1:] if w not in words)
-        learnt = self._learn({" " + w for w in missing} | {ws[0] for ws in cut_up if ws})
-        here = {w: learnt[" " + w] for w in missing}
-        words.update((w, ids) for w, ids in here.items() if len(w) <= 40)
-        get = words.get
-        out = []
-        for i, ws in enumerate(cut_up):
-            if i in odd:
-                out.append(whole[i])
-            else:
-                out.append(learnt[ws[0]] + b"".join([get(w) or here.get(w, b"") for w in ws[1:]]))
-        return out
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte_of, special = _byte_of(), {t["content"] for t in spec.get("added_tokens") or ()}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        return self.bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def _piece_rows(path: str, capacity: int, end_id: int, with_ids: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size < CHUNK):
-                    size += len(texts[to] or "")
-                    to += 1
-                out: list[tuple] = []
-                for doc_id, packed in zip(ids[at:to], encoder.encode([t or "" for t in texts[at:to]]), strict=True):
-                    packed += end
-                    n = len(packed) // 4
-                    first = n if n <= capacity else n % capacity or capacity
-                    starts = [0, *range(first, n, capacity)]
-                    for k, a in enumerate(starts):
-                        b = starts[k + 1] if k + 1 < len(starts) else n
-                        piece = packed[4 * a : 4 * b]
-                        out.append((doc_id, k, a, b - a, zlib.crc32(piece), piece))
-                columns = list(zip(*out, strict=True))
-                arrays = [
-                    pa.array(columns[0], pa.int64()),
-                    pa.array(columns[1], pa.int32()),
-                    *(pa.array(columns[i], pa.int64()) for i in (2, 3, 4)),
-                ]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    arrays.append(pa.array(columns[5], pa.binary()))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names)
-                at = to
+            out: list[tuple] = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                packed = encoder.encode(text or "") + end
+                n = len(packed) // 4
+                first = n if n <= capacity else n % capacity or capacity
+                starts = [0, *range(first, n, capacity), n]
+                for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
+                    piece = packed[4 * a : 4 * b]
+                    out.append((doc_id, k, a, b - a, zlib.crc32(piece), *([piece] if with_ids else [])))
+                if len(out) > CHUNK:
+                    yield _pieces(out, with_ids)
+                    out = []
+            if out:
+                yield _pieces(out, with_ids)
 
     return rows
 
 
+def _pieces(out: list[tuple], with_ids: bool) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)], names)
+
+
 def knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> dict[int, int]:
     """Copies of each length, by index, that fit the capacity at the highest total price."""
     best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
