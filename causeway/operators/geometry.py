@@ -27,12 +27,10 @@ def edges(surface: DataFrame, units_total: int = 10) -> DataFrame:
     if not moves:
         moved = a.withColumn("units_b", F.col("units_a")).where(F.lit(False))
     else:
-        shifted = F.array(
-            *[
-                F.transform("units_a", lambda u, at, i=i, j=j: u + F.when(at == i, 1).when(at == j, -1).otherwise(0))
-                for i, j in moves
-            ]
-        )
+        def move(i: int, j: int) -> Column:
+            return F.transform("units_a", lambda u, at: u + F.when(at == i, 1).when(at == j, -1).otherwise(0))
+
+        shifted = F.array(*[move(i, j) for i, j in moves])
         moved = a.withColumn("units_b", F.explode(shifted))
     b = surface.select(
         F.col("obs").alias("_o"), F.col("subject").alias("_s"), F.col("cell").alias("cell_b"), F.col("units").alias("_u"),
@@ -139,12 +137,12 @@ def steps(surface: DataFrame) -> DataFrame:
     """Each cell at one observation and the next: full outer, as supported or not."""
     cols = ["cell", "supported", "sign_class", "delta"]
     a = surface.select("obs", "subject", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = surface.select((F.col("obs") - 1).alias("obs"), "subject", *[F.col(c).alias(f"b_{c}") for c in cols])
+    b = surface.select((F.col("obs") - 1).alias("b_obs"), F.col("subject").alias("b_subject"), *[F.col(c).alias(f"b_{c}") for c in cols])
     last = surface.agg(F.max("obs").alias("last"))
-    joined = a.join(b, (a.obs == b.obs) & (a.subject == b.subject) & (F.col("a_cell") == F.col("b_cell")), "full_outer")
-    out = joined.select(
-        F.coalesce(a.obs, b.obs).alias("step"),
-        F.coalesce(a.subject, b.subject).alias("subject"),
+    same = (F.col("obs") == F.col("b_obs")) & (F.col("subject") == F.col("b_subject")) & (F.col("a_cell") == F.col("b_cell"))
+    out = a.join(b, same, "full_outer").select(
+        F.coalesce("obs", "b_obs").alias("step"),
+        F.coalesce("subject", "b_subject").alias("subject"),
         F.coalesce("a_cell", "b_cell").alias("cell"),
         F.coalesce("a_supported", F.lit(False)).alias("was"),
         F.coalesce("b_supported", F.lit(False)).alias("now"),
@@ -228,9 +226,9 @@ def support_trajectory(surface: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("obs", "n"))), lambda x: x["n"].cast("string")), ",").alias("counts"),
         F.min("n").alias("least"),
         F.max("n").alias("most"),
-        F.count_if("change > 0").alias("expansions"),
-        F.count_if("change < 0").alias("contractions"),
-        F.count_if("change = 0").alias("flat_steps"),
+        F.count_if(F.expr("change > 0")).alias("expansions"),
+        F.count_if(F.expr("change < 0")).alias("contractions"),
+        F.count_if(F.expr("change = 0")).alias("flat_steps"),
         _reversals(F.transform(seq, lambda x: sign_of(x))).alias("reversals"),
     )
 
