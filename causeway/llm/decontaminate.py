@@ -7,7 +7,7 @@ no word outside the lost shingles can be missing, so no item that passes can sco
 their item's threshold, and every item with a score of 1 or more is retrieved; none is cut off by rank.
 
 Posting lists are in item order and keep a maximum for each block of items. A passage whose list maxima do not reach 1
-has no candidates; else lists advance to the pivot as in WAND, and blocks whose maxima do not reach 1 are skipped.
+has no candidates; else blocks whose maxima do not reach 1 are skipped, and items are scored in the others.
 
 Retrieved items are verified: the five-word shingles of the item's question and of its answer must each lie in the
 passage to ``overlap`` or more. A question is the text up to its last "?", or else its first line if five words or
@@ -22,17 +22,16 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-BLOCK = 16  #: items in a block of the posting lists
+BLOCK = 4  #: items in a block of the posting lists
 K1, B = 1.2, 0.75
 #: Bytes of benchmark texts in one index.
 INDEX_BYTES = 16 << 20
@@ -62,12 +61,10 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return (words[:half], words[half:]) if len(words) >= 2 * SHINGLE else (words, [])
 
 
-@dataclass
-class Posting:
-    items: list[int]
-    weights: list[float]
-    block_max: dict[int, float]
-    top: float
+def _ranges(starts: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """Places of all entries of the lists."""
+    first, size = starts[lists], starts[lists + 1] - starts[lists]
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 class Index:
@@ -81,7 +78,7 @@ class Index:
         lengths = [len(w) for w in words]
         mean = max(1.0, sum(lengths) / max(1, len(lengths)))
         df = Counter(t for w in words for t in set(w))
-        self.postings: dict[str, Posting] = {}
+        postings: dict[str, list[tuple[int, float]]] = {}
         for item, ws in enumerate(words):
             weight = {
                 t: math.log(1 + (len(words) - df[t] + 0.5) / (df[t] + 0.5))
@@ -97,58 +94,43 @@ class Index:
             total = sum(weight.values())
             floor = max(total - lost, 1e-3 * total) * (1 - 1e-9)
             for t, w in weight.items():
-                p = self.postings.setdefault(t, Posting([], [], {}, 0.0))
-                p.items.append(item)
-                p.weights.append(w / floor)
-                p.block_max[item // BLOCK] = max(p.block_max.get(item // BLOCK, 0.0), w / floor)
-                p.top = max(p.top, w / floor)
-        self.terms = frozenset(self.postings)
-        self.top = {t: p.top for t, p in self.postings.items()}
+                postings.setdefault(t, []).append((item, w / floor))
+        # posting lists one after the other: items with weights, and blocks with their largest weight
+        self.term = {t: i for i, t in enumerate(postings)}
+        self.terms = frozenset(postings)
+        self.top = {t: max(w for _, w in p) for t, p in postings.items()}
+        self.item_at = np.cumsum([0, *map(len, postings.values())])
+        self.item = np.array([i for p in postings.values() for i, _ in p], np.int64)
+        self.weight = np.array([w for p in postings.values() for _, w in p])
+        blocks = []
+        for p in postings.values():
+            best: dict[int, float] = {}
+            for i, w in p:
+                best[i // BLOCK] = max(w, best.get(i // BLOCK, 0.0))
+            blocks.append(best)
+        self.block_at = np.cumsum([0, *map(len, blocks)])
+        self.block = np.array([i for x in blocks for i in x], np.int64)
+        self.block_top = np.array([w for x in blocks for w in x.values()])
         #: longest item, and so how far passages overlap
         self.stride = max(64, 2 * max(lengths, default=0))
 
     def search(self, terms: set[str]) -> list[tuple[int, float]]:
-        """(item, score) of every item that scores 1 or more."""
-        lists = [self.postings[t] for t in terms]
-        if sum(p.top for p in lists) < 1.0:
+        """(item, score) of every item that scores 1 or more.
+
+        As in block-max WAND an item is looked at only where upper bounds allow it: first those of whole lists, then
+        those of the blocks, for all blocks at once; items are scored in the blocks that may reach 1 alone.
+        """
+        if sum(map(self.top.__getitem__, terms)) < 1.0:
+            return []
+        lists = np.fromiter(map(self.term.__getitem__, terms), np.int64, len(terms))
+        at = _ranges(self.block_at, lists)
+        may = np.bincount(self.block[at], self.block_top[at]) >= 1.0
+        if not may.any():
             return []
-        at, out = [0] * len(lists), []
-        live = list(range(len(lists)))
-        while live:
-            live.sort(key=lambda i: lists[i].items[at[i]])
-            total, pivot = 0.0, -1
-            for k, i in enumerate(live):
-                total += lists[i].top
-                if total >= 1.0:
-                    pivot = k
-                    break
-            if pivot < 0:
-                break
-            item = lists[live[pivot]].items[at[live[pivot]]]
-            while pivot + 1 < len(live) and lists[live[pivot + 1]].items[at[live[pivot + 1]]] == item:
-                pivot += 1
-            block = item // BLOCK
-            front = live[: pivot + 1]
-            if sum(lists[i].block_max.get(block, 0.0) for i in front) < 1.0:
-                # nothing of these lists up to the end of the block, or to the next list, can reach 1
-                to = (block + 1) * BLOCK
-                if pivot + 1 < len(live):
-                    nxt = live[pivot + 1]
-                    to = min(to, lists[nxt].items[at[nxt]])
-                to = max(to, item + 1)
-            else:
-                score = 0.0
-                for i in front:
-                    j = at[i] = bisect_left(lists[i].items, item, at[i])
-                    if j < len(lists[i].items) and lists[i].items[j] == item:
-                        score += lists[i].weights[j]
-                if score >= 1.0:
-                    out.append((item, score))
-                to = item + 1
-            for i in front:
-                at[i] = bisect_left(lists[i].items, to, at[i])
-            live = [i for i in live if at[i] < len(lists[i].items)]
-        return out
+        at = _ranges(self.item_at, lists)
+        at = at[may[self.item[at] // BLOCK]]
+        score = np.bincount(self.item[at], self.weight[at])
+        return [(int(i), float(score[i])) for i in np.flatnonzero(score >= 1.0)]
 
     def leaks(self, text: str | None) -> dict[int, tuple[float, float, float]]:
         """item: (score, overlap of question, of answer) of the items that a text holds; the best passage of each."""
