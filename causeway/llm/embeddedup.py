@@ -46,8 +46,8 @@ def principal(sample: np.ndarray, leading: int) -> np.ndarray:
 def _placer(axes: np.ndarray, eps: float):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("embedding").to_pylist()
-            x = unit(np.array(rows, np.float64)) @ axes if rows else np.zeros((0, axes.shape[1]))
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            x = unit(flat.reshape(-1, len(axes))) @ axes if len(flat) else np.zeros((0, axes.shape[1]))
             cells = [pa.array(np.floor(x[:, k] / eps).astype(np.int32)) for k in range(x.shape[1])]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(batch.num_columns)), *cells],
@@ -92,15 +92,13 @@ def _joined(axes: np.ndarray, least: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {n: batch.column(n)[k].as_py() for n in ("a", "b")}
-                same = row["a"] == row["b"]
+                same = batch.column("a")[k].as_py() == batch.column("b")[k].as_py()
                 sides = {}
                 for s in "ab":
-                    members = batch.column(f"{s}_members")[k].as_py()
-                    ids = np.array([m["cls"] for m in members], np.int64)
-                    n = np.array([m["n"] for m in members], np.int64)
-                    v = unit(np.array([m["embedding"] for m in members], np.float64))
-                    sides[s] = ids, n, v, v @ axes
+                    # columns of the interval's members, without a Python object for each number
+                    ids, n, vectors = batch.column(f"{s}_members")[k].values.flatten()
+                    v = unit(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1))
+                    sides[s] = ids.to_numpy(), n.to_numpy(), v, v @ axes
                 (ia, na, va, xa), (ib, nb, vb, xb) = sides["a"], sides["b"]
                 links = {"a": np.zeros(len(ia), np.int64), "b": np.zeros(len(ib), np.int64)}
                 parent = {int(c): int(c) for c in (*ia, *ib)}
