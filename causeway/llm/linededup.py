@@ -69,25 +69,28 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with text joined from the lines that stay, n_lines (before) and n_dropped."""
-    dealt = docs.withColumn("_h", F.xxhash64("text"))
-    marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_t"), "dropped").hint("shuffle_hash")
-    joined = dealt.join(marks, (F.col("doc_id") == F.col("_id")) & (F.col("_h") == F.col("_t")), "left")
-    lines = lines_of(F.col("text"))
-    n_dropped = F.aggregate(
-        F.map_values("dropped"), F.lit(0), lambda total, bits: total + F.bit_count(bits).cast("int")
-    )
+    """docs with text joined from the lines that stay, n_lines (before) and n_dropped; own columns of those names go."""
+    docs = docs.drop("n_lines", "n_dropped")
+    marks = bitmaps.select(
+        F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash"), F.col("dropped").alias("__dropped")
+    ).hint("shuffle_hash")
+    dealt = docs.withColumn("__hash", F.xxhash64("text"))
+    joined = dealt.join(marks, (F.col("doc_id") == F.col("__doc_id")) & (F.col("__hash") == F.col("__text_hash")), "left")
+    lines, dropped = lines_of(F.col("text")), F.col("__dropped")
+    n_dropped = F.aggregate(F.map_values(dropped), F.lit(0), lambda total, bits: total + F.bit_count(bits).cast("int"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     stays = F.filter(
         lines,
-        lambda _, i: F.coalesce(F.element_at("dropped", F.floor(i / 64).cast("int")), F.lit(0).cast("long"))
-        .bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64))
+        lambda _, i: F.coalesce(F.element_at(dropped, F.floor(i / 64).cast("int")), zero).bitwiseAND(
+            F.call_function("shiftleft", one, i % 64)
+        )
         == 0,
     )
+    text = F.when(dropped.isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stays, "\n"))
     return joined.select(
-        *[F.col(c) for c in docs.columns if c != "text"],
-        F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stays, "\n")).alias("text"),
+        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("dropped").isNotNull(), n_dropped), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.when(dropped.isNotNull(), n_dropped), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
