@@ -38,6 +38,8 @@ from .common import Scratch, shuffles_released
 GRAM = 8
 #: Bytes of a text that are looked at in one step.
 STEP = 1 << 20
+#: Rows that a task holds before it passes them on.
+HELD = 50_000
 #: Bits of the sieve that says which texts need another look; its size is fixed, so it can be sent to all tasks.
 SIEVE_BITS = 1 << 24
 #: An anchor's run is compared over so many phrases at most: enough to leave few that do not repeat, and texts of short
@@ -80,10 +82,12 @@ def anchors(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(firsts)
 
 
+#: For the first count names are enough.
+NAME_SCHEMA = "ch long, idx long, name long"
 ANCHOR_SCHEMA = "ch long, idx long, r long, first long, n long, name long, core long, span long"
 
 
-def _anchor_rows(width: int):
+def _anchor_rows(width: int, names_only: bool = False):
     window = window_of(width)
     reach, core = width - GRAM - 2 * window + 1, width - window + 1
 
@@ -99,12 +103,19 @@ def _anchor_rows(width: int):
                 if m < 1:
                     continue
                 view, p = memoryview(text), place.tolist()
+                name = np.array([digest(view[a : b + GRAM]) for a, b in zip(p, p[1:], strict=False)], np.uint64).view(np.int64)
+                held += m
+                if names_only:
+                    out.append([np.full(m, ch), np.arange(m), name])
+                    if held > HELD:
+                        yield _batch(out, NAME_SCHEMA)
+                        out, held = [], 0
+                    continue
                 last = np.minimum(np.append(first[1:] - 1, len(text) - width), len(text) - width)
                 r = np.searchsorted(place, place + reach) - np.arange(m + 1)
                 r[(np.arange(m + 1) + r > m) | (first > last)] = 0
                 r = np.minimum(r, PHRASES)
                 r, f, n = r[:m], first[:m], np.maximum(last - first, -1)[:m] + 1
-                name = [digest(view[a : b + GRAM]) for a, b in zip(p, p[1:], strict=False)]
                 serves = (r > 0).tolist()
                 cores = [digest(view[a : a + core], 1) if s else 0 for a, s in zip(p, serves, strict=False)]
                 spans = [
@@ -118,40 +129,46 @@ def _anchor_rows(width: int):
                         r,
                         f,
                         n,
-                        *(np.array(x, np.uint64).view(np.int64) for x in (name, cores, spans)),
+                        name,
+                        *(np.array(x, np.uint64).view(np.int64) for x in (cores, spans)),
                     ]
                 )
-                held += m
-                if held > 200_000:
-                    yield _batch(out)
+                if held > HELD:
+                    yield _batch(out, ANCHOR_SCHEMA)
                     out, held = [], 0
             if out:
-                yield _batch(out)
+                yield _batch(out, NAME_SCHEMA if names_only else ANCHOR_SCHEMA)
 
     return rows
 
 
-def _batch(out: list) -> pa.RecordBatch:
-    names = [x.split()[0] for x in ANCHOR_SCHEMA.split(", ")]
+def _batch(out: list, schema: str) -> pa.RecordBatch:
+    names = [x.split()[0] for x in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names)
 
 
-def repeated(rows: DataFrame, *key: str) -> DataFrame:
-    """Rows whose key is found at two places or more. Counted by partial sums; the join of rows to keys can be split."""
+def repeated_keys(rows: DataFrame, *key: str) -> DataFrame:
+    """Keys found at two places or more, counted by partial sums."""
     place = F.xxhash64("ch", "idx")
-    found = (
-        rows.groupBy(*key).agg(F.min(place).alias("_lo"), F.max(place).alias("_hi")).where("_lo <> _hi").select(*key)
-    )
-    return rows.join(found, list(key))
+    found = rows.groupBy(*key).agg(F.min(place).alias("_lo"), F.max(place).alias("_hi"))
+    return found.where("_lo <> _hi").select(*key)
+
+
+def repeated(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows whose key is repeated. The join of rows to keys can be split where a key is very common."""
+    return rows.join(repeated_keys(rows, *key), list(key))
 
 
-def doubled(rows: DataFrame, scratch: Scratch) -> DataFrame:
+def doubled(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """The anchor rows that repeat over the r phrases they need; r is at most PHRASES.
 
     A run of r phrases, run < r <= 2 * run, is two runs of ``run``: the one that starts at the anchor and the one that
     ends with its last phrase. One sort of each text's ranks by position brings both together.
     """
-    alive = scratch.put("alive", repeated(rows, "name").dropDuplicates(["ch", "idx"]))
+    texts = texts.select("ch", "text")
+    names = repeated_keys(texts.mapInArrow(_anchor_rows(width, names_only=True), NAME_SCHEMA), "name")
+    rows = texts.mapInArrow(_anchor_rows(width), ANCHOR_SCHEMA)
+    alive = scratch.put("alive", rows.join(names, "name").dropDuplicates(["ch", "idx"]))
     level, done, run = alive.select("ch", "idx", "r", "name"), None, 1
     while run < PHRASES:
         by_place = Window.partitionBy("ch").orderBy("idx")
@@ -282,7 +299,7 @@ def covers(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
         F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one")
     )
     classes = scratch.put("classes", classes)
-    repeats = doubled(texts.select("ch", "text").mapInArrow(_anchor_rows(width), ANCHOR_SCHEMA), scratch)
+    repeats = doubled(texts, width, scratch)
     left = scratch.put("left", repeated(repeats, "core"))
     scratch.drop("repeats")
     place = F.xxhash64("ch", "idx")
