@@ -70,13 +70,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def numbered(df: DataFrame, key: str, by: str, out: str, buckets: int | Column = BUCKETS) -> DataFrame:
+def numbered(df: DataFrame, key: str, by: str, out: str, buckets: int | Column = BUCKETS, bucket: Column | None = None) -> DataFrame:
     """Number the rows of each key gaplessly from 0 without one task ever holding a whole key.
 
-    Rows go to hash buckets of ``by``; each (key, bucket) is numbered in a task of its own and starts where the
+    Rows go to hash buckets of ``by``, or to the ``bucket`` given; each (key, bucket) is numbered in a task of its own and starts where the
     buckets before it end. The only per-key work is a running sum over at most ``buckets`` counts.
     """
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(by), buckets if isinstance(buckets, Column) else F.lit(buckets)).cast("int"))
+    if bucket is None:
+        bucket = F.pmod(F.xxhash64(by), buckets if isinstance(buckets, Column) else F.lit(buckets)).cast("int")
+    dealt = df.withColumn("_bucket", bucket)
     counts = dealt.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(key, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -111,6 +111,26 @@ def queries() -> dict:
     }
 
 
+def _u(level: str, child: str) -> str:
+    return f"ln((CAST('0x' || md5('{level}' || {child} || ':' || doc_id)[1:13] AS BIGINT) + CAST(0.5 AS DOUBLE)) / pow(2, 52))"
+
+
+#: CRC-32 by its table; the draws of the tree of 24 shards, and of 25, whose last region has one rack and one shard.
+SQL_SHARDING = rf"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, tab),
+r AS (SELECT doc_id, arg_max(region, {_u('region', 'region')} / 8) AS region, max({_u('region', 'region')} / 8) AS best FROM documents, range(3) x(region) GROUP BY doc_id),
+k AS (SELECT doc_id, arg_max(rack, {_u('rack', 'rack')} / 4) AS rack FROM r, range(6) x(rack) WHERE rack // 2 = region GROUP BY doc_id),
+s AS (SELECT doc_id, arg_max(shard, {_u('shard', 'shard')}) AS shard FROM k, range(24) x(shard) WHERE shard // 4 = rack GROUP BY doc_id)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
+    row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || md5('slot:' || doc_id)[1:3] AS INT) % 1024, doc_id) - 1 AS slot,
+    CAST(CASE WHEN {_u('region', '3')} > best THEN 24 ELSE shard END AS INT) AS grown_shard
+FROM c JOIN r USING (doc_id) JOIN s USING (doc_id)
+"""
+
 SQL_URL_FILTER = r"""
 WITH rules(verdict, host, path) AS (VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'),
                                            ('allow','com','/fr/'), ('block','com','/de/')),
@@ -171,6 +191,7 @@ FROM embeddings JOIN c ON n = vec_id LEFT JOIN k ON a = vec_id
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_sharding": SQL_SHARDING,
         "op8_suffix_dedup": SQL_SUFFIX_DEDUP,
         "op9_embedding_dedup": SQL_EMBEDDING_DEDUP,
         "op5_url_filter": SQL_URL_FILTER,

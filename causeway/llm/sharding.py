@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_only, numbered
+from .common import BUCKETS, keep_only, numbered
 
 
 @dataclass(frozen=True)
@@ -88,4 +88,7 @@ def shard(docs: DataFrame, tree: Sequence[Leaf], grown: Sequence[Leaf] | None =
         descend(F.col("doc_id"), tree).alias("shard"),
         (descend(F.col("doc_id"), grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
     )
-    return numbered(rows, "shard", "doc_id", "slot")
+    # numbered in buckets of the id's digest, so that no task holds a whole shard
+    digest = F.md5(F.concat(F.lit("slot:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    bucket = F.conv(F.substring(digest, 1, 3), 16, 10).cast("int") % BUCKETS
+    return numbered(rows, "shard", "doc_id", "slot", bucket=bucket)
