@@ -301,3 +301,54 @@ def boundary_lineages(matches: DataFrame, crossed: DataFrame) -> DataFrame:
     return nodes.union(tied).groupBy("subject", "field").applyInPandas(
         chain, "subject string, field string, lineage string, n_nodes long, first_obs long, last_obs long"
     )
+
+
+def frontier_motion(surface: DataFrame) -> DataFrame:
+    """Edges of the support boundary that stay, come and go from each observation to the next."""
+    e = support_boundary(surface).select("obs", "subject", "cell_a", "cell_b")
+    here = e.withColumn("_a", F.lit(1))
+    nxt = e.select((F.col("obs") - 1).alias("obs"), "subject", "cell_a", "cell_b", F.lit(1).alias("_b"))
+    last = surface.agg((F.max("obs") - 1).alias("_last"))
+    both = here.join(nxt, ["obs", "subject", "cell_a", "cell_b"], "full_outer").join(F.broadcast(last)).where("obs between 0 and _last")
+    a, b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
+    return both.groupBy(F.col("obs").alias("step"), "subject").agg(
+        F.count_if(a & b).alias("persistent"), F.count_if(~a & b).alias("gained"), F.count_if(a & ~b).alias("lost")
+    )
+
+
+def component_lineages(surface: DataFrame) -> DataFrame:
+    """Components tied over the observations by shared cells: lineage (its first node), nodes, span, splits and merges."""
+    def node(obs: Column, component: Column) -> Column:
+        return F.concat_ws("@", F.lpad(obs.cast("string"), 4, "0"), F.lpad(component.cast("string"), 4, "0"))
+
+    c = components(surface).select("obs", "subject", node(F.col("obs"), F.col("component")).alias("cell")).distinct()
+    motion = component_motion(surface)
+    ties = motion.select(
+        "subject", node(F.col("step"), F.col("component")).alias("cell"), node(F.col("step") + 1, F.col("next_component")).alias("other"), "splits", "merges"
+    )
+    nodes = c.select("subject", "cell", F.lit(None).cast("string").alias("other"), F.lit(False).alias("splits"), F.lit(False).alias("merges"))
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _components(pdf)
+        rows = pd.DataFrame({"lineage": list(found.values()), "obs": [int(x.split("@")[0]) for x in found]})
+        out = rows.groupby("lineage")["obs"].agg(["count", "min", "max"]).reset_index()
+        out.columns = ["lineage", "n_nodes", "first_obs", "last_obs"]
+        tied = pdf[pdf["other"].notna()].assign(lineage=lambda x: x["cell"].map(found))
+        for name, side in (("splits", "cell"), ("merges", "other")):
+            n = tied[tied[name]].groupby("lineage")[side].nunique()
+            out[f"n_{name}"] = out["lineage"].map(n).fillna(0).astype("int64")
+        out.insert(0, "subject", pdf["subject"].iloc[0])
+        return out
+
+    return nodes.union(ties).groupBy("subject").applyInPandas(
+        chain, "subject string, lineage string, n_nodes long, first_obs long, last_obs long, n_splits long, n_merges long"
+    )
+
+
+def boundary_motion(matches: DataFrame, days_per_step: float) -> DataFrame:
+    """Velocity of each matched crossing, and its acceleration where the match goes on in the next step."""
+    v = matches.withColumn("velocity", F.col("distance") / days_per_step)
+    nxt = v.select((F.col("step") - 1).alias("step"), "subject", "field", F.col("a_key").alias("b_key"), F.col("velocity").alias("next_velocity"))
+    return v.join(nxt, ["step", "subject", "field", "b_key"], "left").select(
+        "step", "subject", "field", "a_key", "b_key", "velocity", ((F.col("next_velocity") - F.col("velocity")) / days_per_step).alias("acceleration")
+    )

@@ -147,6 +147,26 @@ def surface(s, d, replicates=REPLICATES):
     return rounded(made)
 
 
+def _reason_counts(s, d):
+    """How often each status stands against a replicate's cell."""
+    each = _deltas(s, d).where("rep >= 0 and reasons <> ''").select("obs", "subject", F.explode(F.split("reasons", ";")).alias("reason"))
+    return each.groupBy("obs", "subject", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _axes(s, d):
+    """Which moves the change more: the choice of mixture or sampling."""
+    span = _sensitivity(s, d).select("obs", "subject", "span")
+    width = _bands(s, d).select("obs", "subject", (F.col("upper") - F.col("lower")).alias("width"))
+    larger = (
+        F.when(F.col("span").isNull() | F.col("width").isNull(), "unavailable")
+        .when(F.abs(F.col("span") - F.col("width")) <= 1e-9, "equal")
+        .when(F.col("span") > F.col("width"), "mixture_choice")
+        .otherwise("sampling")
+    )
+    joined = width.join(span, ["obs", "subject"], "left")
+    return rounded(joined.select("obs", "subject", "span", "width", F.when(F.col("width") != 0, F.col("span") / F.col("width")).alias("ratio"), larger.alias("larger_axis")))
+
+
 def _geometry(f):
     def query(s, d):
         # a surface has as many rows as its grid and is read several times
@@ -189,6 +209,11 @@ QUERIES = {
     "support_trajectory": _geometry(geo.support_trajectory),
     "sign_persistence": _geometry(geo.sign_persistence),
     "gradient_trajectory": _geometry(lambda x: rounded(geo.gradient_trajectory(x))),
+    "reason_counts": _reason_counts,
+    "axis_comparison": _axes,
+    "frontier_motion": _geometry(geo.frontier_motion),
+    "component_lineage": _geometry(geo.component_lineages),
+    "boundary_motion": _geometry(lambda x: rounded(geo.boundary_motion(geo.greedy_matches(geo.crossings(x)), 30.0))),
     "boundary_lineage": _geometry(lambda x: geo.boundary_lineages(geo.greedy_matches(geo.crossings(x)), geo.crossings(x))),
 }
 
@@ -351,4 +376,20 @@ FROM g LEFT JOIN m USING (subject, cell) GROUP BY subject, cell""",
     "gradient_trajectory": f"""WITH {_SURFACE}, d AS (SELECT *, CASE WHEN lag(obs) OVER w = obs - 1 THEN delta_slope - lag(delta_slope) OVER w END AS change FROM grad_v WINDOW w AS (PARTITION BY subject, cell_a, cell_b ORDER BY obs)),
 z AS (SELECT subject, cell_a, cell_b, obs, CASE WHEN change > 0 THEN 1 ELSE -1 END AS s FROM d WHERE abs(change) > 1e-12), f AS (SELECT subject, cell_a, cell_b, count(*) FILTER (s <> p) AS reversals FROM (SELECT *, lag(s) OVER (PARTITION BY subject, cell_a, cell_b ORDER BY obs) AS p FROM z) GROUP BY ALL)
 SELECT subject, cell_a, cell_b, count(*) AS n_present, count(*) = {len(TARGETS)} AS persistent, {_r('max(abs(change))')} AS max_abs_change, coalesce(any_value(reversals), 0) AS reversals FROM d LEFT JOIN f USING (subject, cell_a, cell_b) GROUP BY ALL""",
+    "reason_counts": f"""WITH {SQL_TRIALS}, {_ALL}, {_GRIDW}, {_MIX}, e AS (SELECT obs, subject, unnest(string_split(reasons, ';')) AS reason FROM delta_v WHERE rep >= 0 AND reasons <> '')
+SELECT obs, subject, reason, count(*) AS n FROM e GROUP BY ALL""",
+    "frontier_motion": f"""WITH {_SURFACE}, e AS (SELECT obs, subject, cell_a, cell_b FROM edge_v WHERE sa <> sb), x AS (SELECT *, 1 AS p FROM e WHERE obs < {len(TARGETS) - 1}),
+y AS (SELECT obs - 1 AS obs, subject, cell_a, cell_b, 1 AS q FROM e WHERE obs > 0)
+SELECT obs AS step, subject, count(*) FILTER (p = 1 AND q = 1) AS persistent, count(*) FILTER (p IS NULL) AS gained, count(*) FILTER (q IS NULL) AS lost FROM x FULL JOIN y USING (obs, subject, cell_a, cell_b) GROUP BY ALL""",
+    "component_lineage": f"""WITH RECURSIVE {_SURFACE}, {_comp(False)}, k AS (SELECT DISTINCT subject, obs, component, lpad(CAST(obs AS VARCHAR), 4, '0') || '@' || lpad(CAST(component AS VARCHAR), 4, '0') AS node FROM comp_v),
+l AS (SELECT DISTINCT x.subject, a.node AS a, b.node AS b FROM comp_v x JOIN comp_v y ON y.obs = x.obs + 1 AND y.subject = x.subject AND y.cell = x.cell
+  JOIN k a ON a.subject = x.subject AND a.obs = x.obs AND a.component = x.component JOIN k b ON b.subject = y.subject AND b.obs = y.obs AND b.component = y.component),
+r AS (SELECT subject, node AS a, node AS b FROM k UNION SELECT r.subject, r.a, t.b FROM r JOIN (SELECT subject, a, b FROM l UNION ALL SELECT subject, b, a FROM l) t ON t.subject = r.subject AND t.a = r.b),
+g AS (SELECT subject, a AS node, min(b) AS lineage FROM r GROUP BY ALL),
+o AS (SELECT subject, a AS node, count(*) > 1 AS f FROM l GROUP BY ALL), i AS (SELECT subject, b AS node, count(*) > 1 AS f FROM l GROUP BY ALL)
+SELECT g.subject, lineage, count(*) AS n_nodes, min(CAST(g.node[1:4] AS BIGINT)) AS first_obs, max(CAST(g.node[1:4] AS BIGINT)) AS last_obs, count(*) FILTER (o.f) AS n_splits, count(*) FILTER (i.f) AS n_merges
+FROM g LEFT JOIN o ON o.subject = g.subject AND o.node = g.node LEFT JOIN i ON i.subject = g.subject AND i.node = g.node GROUP BY ALL""",
 }
+ORACLE["axis_comparison"] = f"""WITH b AS ({ORACLE['bootstrap_bands']}), s AS ({ORACLE['sensitivity_range']}), j AS (SELECT b.obs, b.subject, span, upper - lower AS width FROM b LEFT JOIN s ON s.obs = b.obs AND s.subject = b.subject)
+SELECT obs, subject, {_r('span')} AS span, {_r('width')} AS width, {_r('CASE WHEN width <> 0 THEN span / width END')} AS ratio, CASE WHEN span IS NULL OR width IS NULL THEN 'unavailable' WHEN abs(span - width) <= 1e-9 THEN 'equal'
+  WHEN span > width THEN 'mixture_choice' ELSE 'sampling' END AS larger_axis FROM j"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import integrity, interop, ledger, topology
+from ..operators import integrity, interop, ledger, topology, validation, witness
 from .derive import SQL_EVENTS, SQL_RECORDS, chat_records, ledger_events
 
 PREFIX, SCHEMA_URI = "org.example.ledger", "https://example.org/schemas/event.json"
@@ -40,7 +40,42 @@ def _tampered(spark, sf_dir):
     return records, side, anchor
 
 
+def _checks(spark, sf_dir):
+    """Structural rules on events with planted faults: malformed ids and types, missing actors, negative run times."""
+    n = F.regexp_extract("event_id", r"(\d+)", 1).cast("long")
+    e = ledger_events(spark, sf_dir).select(
+        n.alias("n"),
+        F.when(n % 31 == 0, F.concat(F.lit("bad "), "event_id")).otherwise(F.col("event_id")).alias("event_id"),
+        F.when(n % 37 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("event_type"),
+        F.when(n % 41 != 0, F.col("actor_type")).alias("actor_type"),
+        F.when(n % 43 == 0, F.lit(-1.0)).otherwise(F.col("machine_runtime_ms")).alias("machine_runtime_ms"),
+    )
+    rules = [
+        validation.pattern("event_id", validation.EVENT_ID),
+        validation.pattern("event_type", validation.EVENT_TYPE),
+        validation.required("actor_type"),
+        validation.one_of("actor_type", ["agent", "tool", "external_system", "human"]),
+        validation.at_least("machine_runtime_ms", 0),
+    ]
+    return validation.check(e, "n", rules)
+
+
+def _witnessed(spark, sf_dir):
+    """Anchors against witness records of which some are absent, unsigned or of another digest."""
+    anchors = integrity.anchors(integrity.seal(chat_records(spark, sf_dir)))
+    n = F.regexp_extract("run_id", r"(\d+)", 1).cast("long")
+    seen = anchors.where(n % 4 != 3).select(
+        "run_id",
+        F.concat(F.lit("instant:"), "run_id").alias("instant_id"),
+        F.when(n % 4 == 1, F.lit("other")).otherwise(F.col("final_chain_digest")).alias("digest"),
+        F.when(n % 4 != 2, F.lit("signature")).alias("signature"),
+    )
+    return witness.match(anchors, seen)
+
+
 QUERIES = {
+    "event_checks": _checks,
+    "witness_match": _witnessed,
     "ledger_validate": lambda s, d: topology.violations(faulty_events(s, d)),
     "ledger_edges": lambda s, d: topology.edges(ledger_events(s, d)),
     "topology_nodes": lambda s, d: topology.nodes(ledger_events(s, d)),
@@ -80,6 +115,11 @@ _OP = "CASE WHEN event_type LIKE 'plan.%' THEN 'plan' WHEN event_type LIKE 'tool
 _EFF = "event_type IN ('action.completed', 'validation.completed', 'commit.confirmed', 'human.checkpoint.resolved')"
 
 ORACLE = {
+    "event_checks": f"""WITH {SQL_EVENTS}, x AS (SELECT CAST(regexp_extract(event_id, '(\\d+)', 1) AS BIGINT) AS n, actor_type, machine_runtime_ms AS ms FROM events_v)
+SELECT n, 'event_id_malformed' AS rule FROM x WHERE n % 31 = 0 UNION ALL SELECT n, 'event_type_malformed' FROM x WHERE n % 37 = 0 UNION ALL SELECT n, 'actor_type_missing' FROM x WHERE n % 41 = 0
+UNION ALL SELECT n, 'actor_type_unknown' FROM x WHERE n % 41 <> 0 AND actor_type = 'validator' UNION ALL SELECT n, 'machine_runtime_ms_too_small' FROM x WHERE n % 43 = 0 OR ms < 0""",
+    "witness_match": f"""WITH {SQL_RECORDS}, r AS (SELECT DISTINCT run_id, CAST(regexp_extract(run_id, '(\\d+)', 1) AS BIGINT) % 4 AS m FROM records_v)
+SELECT run_id, CASE m WHEN 3 THEN 'missing_instant_id' WHEN 1 THEN 'digest_mismatch' WHEN 2 THEN 'unsigned' END AS code FROM r""",
     "ledger_validate": f"""WITH {SQL_EVENTS},
 f AS (SELECT *, CAST(regexp_extract(event_id, '(\\d+)', 1) AS BIGINT) AS n FROM events_v),
 x AS (SELECT run_id, ledger_seq, CASE WHEN n % 83 = 0 AND ledger_seq > 1 THEN 'evt_twice_' || run_id ELSE event_id END AS event_id, n FROM f),
