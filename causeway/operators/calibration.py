@@ -102,15 +102,16 @@ def observed_weights(pts: DataFrame, *keys: str) -> DataFrame:
     return mass.withColumn("weight", F.col("mass").cast("double") / total.cast("double"))
 
 
-_INTERPOLATED = """
-transform(filter(array_sort(array_distinct(flatten(transform(fams, f -> transform(f.pts, x -> x.depth))))), d -> d between low and high),
-  d -> struct(d as depth, aggregate(fams, 0D, (acc, f) -> acc + weights[f.family_id] * (
-    with_ends(f.pts, d)))  as p))
-"""
+#: A family's fitted rate at depth d, on the line between the points around it.
 _AT_DEPTH = """
 transform(array(struct(element_at(filter(f.pts, x -> x.depth <= d), -1) as l, element_at(filter(f.pts, x -> x.depth >= d), 1) as h)),
   e -> case when e.l.depth = e.h.depth then e.l.fit else e.l.fit + (d - e.l.depth) / (e.h.depth - e.l.depth) * (e.h.fit - e.l.fit) end)[0]
 """
+#: The weighted rate at every depth that all families reach.
+_MIXED = f"""
+transform(filter(array_sort(array_distinct(flatten(transform(fams, f -> transform(f.pts, x -> x.depth))))), d -> d between low and high),
+  d -> struct(d as depth, aggregate(fams, 0D, (acc, f) -> acc + weights[f.family_id] * ({_AT_DEPTH})) as p))
+"""
 
 
 def mixtures(found: DataFrame, weights: DataFrame, targets: DataFrame, *keys: str) -> DataFrame:
@@ -134,8 +135,7 @@ def mixtures(found: DataFrame, weights: DataFrame, targets: DataFrame, *keys: st
             "high": F.expr("array_min(transform(fams, f -> element_at(f.pts, -1).depth))"),
         }
     )
-    curve = F.expr(_INTERPOLATED.replace("with_ends(f.pts, d)", _AT_DEPTH))
-    mixed = mixed.withColumn("curve", F.when((F.col("refused") == "") & (F.col("low") < F.col("high")), curve))
+    mixed = mixed.withColumn("curve", F.when((F.col("refused") == "") & (F.col("low") < F.col("high")), F.expr(_MIXED)))
     status, horizon = _crossing("curve", "p")
     return mixed.select(
         *keys,

@@ -11,6 +11,7 @@ from hashlib import sha256
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Ends in NUL so that no tag is the beginning of another. Pass another for chains that were sealed under it.
 DOMAIN = b"causeway/chain/v1\0"
@@ -55,24 +56,15 @@ def anchors(sidecar: DataFrame) -> DataFrame:
     )
 
 
-#: The order in which a position's failures are looked for.
-POSITION_CODES = (
-    "ledger_seq_mismatch",
-    "integrity_identity_mismatch",
-    "record_digest_mismatch",
-    "previous_chain_digest_mismatch",
-    "chain_digest_mismatch",
-)
-
-
 def verify(records: DataFrame, sidecar: DataFrame, anchor: DataFrame, domain: bytes = DOMAIN) -> DataFrame:
     """run_id, valid, code and position of each run's first failure; the anchor is looked at last."""
     n_side = sidecar.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_side"))
     n_rec = records.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_records"))
-    place = F.row_number().over(_by_run("ledger_seq"))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("ledger_seq"))
     fresh = seal(records, domain).withColumn("place", place).select(*_prefixed("f"))
     kept = sidecar.withColumn("place", place).select(*_prefixed("s"))
     both = fresh.join(kept, ["run_id", "place"])
+    # in the order in which a position's failures are looked for
     checks = [
         (F.col("f_ledger_seq") != F.col("place"), "ledger_seq_mismatch"),
         ((F.col("s_ledger_seq") != F.col("f_ledger_seq")) | (F.col("s_event_id") != F.col("f_event_id")), "integrity_identity_mismatch"),
@@ -111,12 +103,6 @@ def verify(records: DataFrame, sidecar: DataFrame, anchor: DataFrame, domain: by
     )
 
 
-def _by_run(order: str):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("run_id").orderBy(order)
-
-
 def _prefixed(side: str) -> list:
     names = [x.split()[0] for x in SIDECAR.split(", ")]
     return [F.col("run_id"), F.col("place"), *[F.col(n).alias(f"{side}_{n}") for n in names if n != "run_id"]]
