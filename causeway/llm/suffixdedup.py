@@ -194,35 +194,22 @@ def doubled(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
 
 
 class Sieve:
-    """A fixed-size bitmap of text hashes: texts outside it are surely not wanted."""
+    """A bitmap of text hashes: texts outside it are surely not wanted. Its size is fixed, 512 rows of 4 KB at most,
+    whatever the number of texts, so every task gets it and texts are sifted where they are read."""
 
     def __init__(self, wanted: DataFrame) -> None:
-        bit = F.pmod("ch", F.lit(SIEVE_BITS))
-        parts = (
-            wanted.groupBy(F.expr(f"pmod(ch, {SIEVE_BITS}) div 32768").alias("part"))
-            .agg(F.bitmap_construct_agg(bit % 32768).alias("bits"))
-            .collect()
+        bit = F.expr(f"pmod(ch, {SIEVE_BITS})")
+        self.parts = wanted.groupBy(F.expr(f"pmod(ch, {SIEVE_BITS}) div 32768").alias("_part")).agg(
+            F.bitmap_construct_agg(bit % 32768).alias("_bits")
         )
-        bits = bytearray(SIEVE_BITS // 8)
-        for row in parts:
-            bits[row["part"] * 4096 : (row["part"] + 1) * 4096] = row["bits"]
-        self.shared = wanted.sparkSession.sparkContext.broadcast(bytes(bits))
 
-    def split(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(maybe wanted, surely not)"""
-        shared = self.shared
-
-        def passed(inside: bool):
-            def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                bits = np.frombuffer(shared.value, np.uint8)
-                for batch in batches:
-                    bit = np.mod(batch.column("ch").to_numpy(), SIEVE_BITS)
-                    held = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-                    yield batch.filter(pa.array((held == 1) == inside))
-
-            return keep
-
-        return texts.mapInArrow(passed(True), texts.schema), texts.mapInArrow(passed(False), texts.schema)
+    def marked(self, texts: DataFrame) -> DataFrame:
+        """texts with the column ``maybe``."""
+        part = texts.withColumn("_part", F.expr(f"pmod(ch, {SIEVE_BITS}) div 32768"))
+        byte = F.expr("conv(hex(substring(_bits, cast(pmod(ch, 32768) div 8 as int) + 1, 1)), 16, 10)").cast("int")
+        held = byte.bitwiseAND(F.expr("shiftleft(1, cast(pmod(ch, 8) as int))")) != 0
+        joined = part.join(F.broadcast(self.parts), "_part", "left")
+        return joined.withColumn("maybe", F.coalesce(held, F.lit(False))).drop("_part", "_bits")
 
 
 def _string_rows(width: int):
@@ -319,7 +306,7 @@ def covers(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     )
     # one text of each class is enough, and so no repeated work for copies
     one = wanted.groupBy("ch").agg(F.collect_list("w").alias("wanted")).join(classes.select("ch", "one"), "ch")
-    maybe, _ = Sieve(wanted.select("ch")).split(texts.select("ch", "doc_id", "text"))
+    maybe = Sieve(wanted.select("ch")).marked(texts.select("ch", "doc_id", "text")).where("maybe")
     chosen = maybe.join(one.hint("shuffle_hash"), "ch").where(F.col("doc_id").eqNullSafe(F.col("one"))).select("ch", "text", "wanted")
     strings = scratch.put("strings", chosen.mapInArrow(_string_rows(width), STRINGS))
     scratch.drop("wanted")
@@ -351,7 +338,8 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     with shuffles_released(docs.sparkSession):
         cover = covers(texts, width, scratch)
-    maybe, plain = Sieve(cover.select("ch")).split(texts)
+    sifted = Sieve(cover.select("ch")).marked(texts)
+    maybe, plain = sifted.where("maybe"), sifted.where("not maybe")
     none = F.expr("cast(array() as array<struct<a:long,b:long>>)")
     cutting = maybe.join(cover.hint("shuffle_hash"), "ch", "left").select("doc_id", "text", "cover")
     untouched = plain.select(
