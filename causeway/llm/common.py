@@ -33,6 +33,12 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         ensure_checkpoint_dir(spark)
         self.spark, self.top = spark, f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+        self.made: list[str] = []
+
+    def fresh(self, stem: str) -> str:
+        """A name not given before."""
+        self.made.append(f"{stem}{len(self.made)}")
+        return self.made[-1]
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{self.top}/{name}")

@@ -154,9 +154,14 @@ def repeated_keys(rows: DataFrame, *key: str) -> DataFrame:
     return found.where("_lo <> _hi").select(*key)
 
 
-def repeated(rows: DataFrame, *key: str) -> DataFrame:
-    """Rows whose key is repeated. The join of rows to keys can be split where a key is very common."""
-    return rows.join(repeated_keys(rows, *key), list(key))
+def repeated(rows: DataFrame, scratch: Scratch, *key: str, names: DataFrame | None = None) -> DataFrame:
+    """Rows whose key is repeated; names: the same rows with less to carry, to count in.
+
+    The keys are written first. Counted in the same job, they would stay where their hash put them and hold the rows of
+    a very common key to one task; written, both sides of the join are shuffled for it and Spark can split that key.
+    """
+    keys = scratch.put(scratch.fresh("keys"), repeated_keys(rows if names is None else names, *key))
+    return rows.join(keys, list(key))
 
 
 def doubled(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
@@ -166,9 +171,9 @@ def doubled(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     ends with its last phrase. One sort of each text's ranks by position brings both together.
     """
     texts = texts.select("ch", "text")
-    names = repeated_keys(texts.mapInArrow(_anchor_rows(width, names_only=True), NAME_SCHEMA), "name")
-    rows = texts.mapInArrow(_anchor_rows(width), ANCHOR_SCHEMA)
-    alive = scratch.put("alive", rows.join(names, "name").dropDuplicates(["ch", "idx"]))
+    names = texts.mapInArrow(_anchor_rows(width, names_only=True), NAME_SCHEMA)
+    rows = repeated(texts.mapInArrow(_anchor_rows(width), ANCHOR_SCHEMA), scratch, "name", names=names)
+    alive = scratch.put("alive", rows.dropDuplicates(["ch", "idx"]))
     level, done, run = alive.select("ch", "idx", "r", "name"), None, 1
     while run < PHRASES:
         by_place = Window.partitionBy("ch").orderBy("idx")
@@ -186,8 +191,8 @@ def doubled(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
         pairs = pairs.select("ch", "idx", "r", F.xxhash64("name", "next").alias("name"))
         run *= 2
         if run < PHRASES:
-            level = scratch.put(f"level{run}", repeated(pairs, "name"))
-    kept = repeated(done, "name").select("ch", "idx")
+            level = scratch.put(f"level{run}", repeated(pairs, scratch, "name"))
+    kept = repeated(done, scratch, "name").select("ch", "idx")
     out = scratch.put("repeats", alive.select("ch", "idx", "first", "n", "core", "span").join(kept, ["ch", "idx"]))
     scratch.drop("alive", *(f"{k}{2**i}" for i in range(PHRASES.bit_length()) for k in ("paired", "level")))
     return out
@@ -287,7 +292,7 @@ def covers(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     )
     classes = scratch.put("classes", classes)
     repeats = doubled(texts, width, scratch)
-    left = scratch.put("left", repeated(repeats, "core"))
+    left = scratch.put("left", repeated(repeats, scratch, "core"))
     scratch.drop("repeats")
     place = F.xxhash64("ch", "idx")
     spans = scratch.put(
@@ -325,7 +330,7 @@ def covers(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     out = scratch.put(
         "cover", whole.union(single).union(copies).groupBy("ch").agg(F.collect_set(F.struct("a", "b")).alias("cover"))
     )
-    scratch.drop("classes", "left", "spans", "strings")
+    scratch.drop("classes", "left", "spans", "strings", *scratch.made)
     return out
 
 
