@@ -53,7 +53,8 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
         .groupBy("h1", "h2", "doc_id")
         .agg(F.collect_set(F.struct("text_hash", "pos")).alias("places"))
     )
-    hot = (
+    # written too: counted in the same job, it would hold the rows of a very common key to one task of the join
+    hot = cut(
         held.groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
