@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
-from causeway.llm import common, decontaminate, embeddedup, linededup, packing, quality, queries, sharding, simhash, suffixdedup, toxicity, urlfilter
+from causeway.llm import common, decontaminate, embeddedup, linededup, nearcopies, packing, quality, queries, sharding, simhash, suffixdedup, toxicity, urlfilter
 from conftest import same_rows
 from pyspark.sql import functions as F
 
@@ -456,6 +456,39 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
     spark.catalog.clearCache()
 
 
+def test_near_dedup_stage_equals_brute_force_jaccard(spark, sf_dir):
+    """Word changes that leave five-word similarity at 0.8 or more link, fewer shared shingles do not, whatever the fingerprints say."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(3)
+    texts = [t for _, t in documents(sf_dir)][:60]
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 4000, 120)]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            changed = list(words)
+            for at in rng.integers(0, 120, rng.integers(1, 5)):
+                changed[at : at + 1] = [[], ["other"], [changed[at], f"more{k}"]][rng.integers(0, 3)]
+            texts.append(" ".join(changed))
+    texts += ["", None, " ", "a b c", "A  b c", "a b d"]
+    docs = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    held = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        held.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    group = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 5 * len(held[a] & held[b]) >= 4 * len(held[a] | held[b]):
+                x, y = sorted((group[a], group[b]))
+                group = [x if g == y else g for g in group]
+    prints = [simhash.fingerprint(t) for t in texts]
+    assert any(group[i] != i and all((prints[i] ^ prints[j]).bit_count() > 3 for j in range(len(texts)) if j != i) for i in range(len(texts)))
+    given = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in p.drop_near_duplicates(spark, given, sf_dir).collect())
+    assert got == sorted(set(group))
+
+
 def test_stages_take_odd_and_empty_tables(spark, sf_dir):
     import corpus_pipeline as p
 
