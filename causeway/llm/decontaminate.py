@@ -10,7 +10,9 @@ Posting lists are in item order and keep a maximum for each block of items. A pa
 has no candidates; else blocks whose maxima do not reach 1 are skipped, and items are scored in the others.
 
 Retrieved items are verified: the five-word shingles of the item's question and of its answer must each lie in the
-passage to ``overlap`` or more. A question is the text up to its last "?", or else its first line if five words or
+passage to ``overlap`` or more, or those of the whole item must. In an item of 5 to 28 words a single changed word can
+void more of the shingles than that; there it is also enough that ``overlap`` of its words stand in their order in a
+run of the passage that is no longer than the item's words divided by ``overlap``. A question is the text up to its last "?", or else its first line if five words or
 more stand on both sides; or else the first half of the words. Fewer than five words make one shingle.
 
 The items are read in blocks of bounded size, one scan of the documents for each block, so the broadcast index is
@@ -38,6 +40,8 @@ INDEX_BYTES = 16 << 20
 _words = re.compile(r"\w+").findall
 #: Characters of a text whose words are held at a time.
 CHUNK = 1 << 20
+#: Items of fewer words can lose over a fifth of their shingles to one word.
+SHORT = 29
 
 
 def words_of(text: str | None) -> list[str]:
@@ -75,6 +79,8 @@ class Index:
         self.ids = [i for i, _ in items]
         self.parts = [tuple(shingles(p) for p in question_and_answer(t or "")) for _, t in items]
         words = [words_of(t) for _, t in items]
+        self.whole = [shingles(w) for w in words]
+        self.short = [w if SHINGLE <= len(w) < SHORT else None for w in words]
         lengths = [len(w) for w in words]
         mean = max(1.0, sum(lengths) / max(1, len(lengths)))
         df = Counter(t for w in words for t in set(w))
@@ -90,6 +96,12 @@ class Index:
             may_lose = sum(int((1 - overlap) * len(p) + 1e-9) for p in parts)
             if may_lose and sum(map(len, parts)) < len(ws) - sum((SHINGLE - 1) * bool(p) for p in parts):
                 may_lose += 2 * (SHINGLE - 1)
+            # of the whole: a missing word's first shingle begins with it, but for the last four words
+            whole = self.whole[item]
+            repeats = len(whole) < len(ws) - (SHINGLE - 1)
+            may_lose = max(may_lose, int((1 - overlap) * len(whole) + 1e-9) + repeats * (SHINGLE - 1))
+            if self.short[item]:
+                may_lose = max(may_lose, int((1 - overlap) * len(ws) + 1e-9))
             lost = sum(sorted(weight.values(), reverse=True)[:may_lose])
             total = sum(weight.values())
             floor = max(total - lost, 1e-3 * total) * (1 - 1e-9)
@@ -154,12 +166,37 @@ class Index:
                     q, a = (len(p & held) / len(p) if p else 1.0 for p in parts)
                     if len(parts[0]) == 1 and len(next(iter(parts[0]))) < SHINGLE:
                         q = float(_contains(passage, next(iter(parts[0]))))
-                    if q >= self.overlap and a >= self.overlap and (score, q, a) > found.get(item, (0.0, 0.0, 0.0)):
+                    if not (q >= self.overlap and a >= self.overlap):
+                        whole, short = self.whole[item], self.short[item]
+                        if len(whole & held) < self.overlap * len(whole) - 1e-9 or len(whole) < 2:
+                            if not short or not _in_order(short, passage, self.overlap):
+                                continue
+                    if (score, q, a) > found.get(item, (0.0, 0.0, 0.0)):
                         found[item] = score, q, a
             left = words[-stride:]
         return found
 
 
+def _in_order(item: list[str], words: list[str], overlap: float) -> bool:
+    """Whether a run of at most len(item) / overlap words holds ``overlap`` of the item's words in their order."""
+    need, size = math.ceil(overlap * len(item) - 1e-9), int(len(item) / overlap + 1e-9)
+    known = set(item)
+    at = [i for i, w in enumerate(words) if w in known]
+    for k in range(len(at) - need + 1):
+        if at[k + need - 1] - at[k] >= size:
+            continue
+        best = [0] * (len(item) + 1)
+        for w in words[at[k] : at[k] + size]:
+            before = 0
+            for j, x in enumerate(item, 1):
+                here = best[j]
+                best[j] = before + 1 if w == x else max(here, best[j - 1])
+                before = here
+        if best[-1] >= need:
+            return True
+    return False
+
+
 def _contains(words: list[str], run: tuple[str, ...]) -> bool:
     return any(tuple(words[i : i + len(run)]) == run for i in range(len(words) - len(run) + 1))
 

@@ -96,6 +96,22 @@ def test_no_item_that_passes_scores_below_its_threshold():
             assert 0 in index.leaks(" ".join(changed))
 
 
+def test_leaks_of_items_with_one_word_changed_inserted_or_deleted():
+    rng = np.random.default_rng(9)
+    items = [(n, " ".join(f"i{n}w{x}" for x in rng.integers(0, 60, n))) for n in (5, 6, 9, 10, 14, 20, 28, 29, 30, 40, 90)]
+    items.append((200, "What is asked here of the reader who knows? The answer has six words"))
+    index = decontaminate.Index(items, 0.8)
+    filler = " ".join(f"f{i}" for i in range(700))
+    for at, (_, text) in enumerate(items):
+        words = text.split()
+        for k in range(len(words)):
+            for changed in ([*words[:k], "zz", *words[k + 1 :]], [*words[:k], "zz", *words[k:]], [*words[:k], *words[k + 1 :]]):
+                assert at in index.leaks(f"{filler} {' '.join(changed)} {filler}")
+        if len(words) >= 10:
+            assert at not in index.leaks(f"{filler} {' '.join(words[: len(words) // 2])} {filler}")
+            assert at not in index.leaks(f"{filler} {' '.join(words[::-1])} {filler}")
+
+
 # 2 -- sharding
 
 
