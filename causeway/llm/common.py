@@ -67,8 +67,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep_only(df: DataFrame, **types: str) -> DataFrame:
-    """The named columns, cast; columns of the same name in other case or extra columns are left out."""
-    return df.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
+    """The named columns, cast; extra columns are left out, those whose names differ in case alone too.
+
+    Columns are renamed by position first: a name that stands twice but for its case is ambiguous to Spark. Of two
+    columns of the very same name the first counts.
+    """
+    placed = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return placed.select(*[F.col(f"_{df.columns.index(c)}").cast(t).alias(c) for c, t in types.items()])
 
 
 def ascii_lower(c: Column) -> Column:

@@ -1,25 +1,31 @@
 """Removal of repeated passages: sparse suffixes by distributed prefix doubling, then an exact test.
 
-Every byte covered by a ``width``-byte string that also starts elsewhere goes. Sorting all suffixes of a corpus costs
-many times its size, so positions are thinned first, by content alone: of each window of WINDOW 8-byte grams the one
-with the least hash is an anchor, and a start belongs to the anchor of its first window. Two equal strings have the same
-anchors at the same offsets, and between the first and the last of them the same phrases, so nothing is lost.
-
-Doubling: an anchor's first rank is its phrase, the text up to the next anchor. The ranks of 2^j phrases at positions
-i and i + 2^j make pairs; equal pairs get one rank of 2^(j+1) phrases, and positions whose rank is unique leave. An
-anchor is past the threshold with the r phrases that surely lie in any string it serves: r phrases are two overlapping
-runs of 2^j. What is left repeats at least that far.
-
-Exact test: each anchor left has a core, the bytes in all strings it may serve, and a span, the bytes of all the strings
-it does serve. Anchors whose span repeats are covered as a whole; those whose core is unique are not. For the few in
-between, and the distinct spans they could match, the strings are compared one start at a time.
-
-Ranks are 64-bit hashes: equal pairs meet by hash, counts are partial sums (a passage of a third of all documents is
-one row for each map task), and the joins that follow can be split. Copies of a text are one class: their rows fall
-together before anything is compared, and a class of two or more texts goes whole.
-
-Null texts are empty. Texts under ``width`` bytes lose nothing, unless nothing else is said. Repeated doc_ids and
-equal rows are documents of their own: equal texts remove each other. Null ids stay. Empty tables give empty results.
+Every byte covered by a ``width``-byte string that also starts elsewhere goes. Ranking the suffix at every byte costs many
+times the corpus, so positions are thinned first, by content alone: of each window of 8-byte grams the one with the least
+hash is an anchor, and a start belongs to the anchor of its first window. Two equal strings have the same anchors at the
+same offsets, and between the first and the last of them the same phrases, so nothing is lost.
+
+Doubling: an anchor's first rank is its phrase, the text up to the next anchor. The ranks of 2^j phrases at positions i
+and i + 2^j make a pair; Spark brings equal pairs together, each gets one rank of 2^(j+1) phrases, and positions whose
+rank is unique leave. An anchor is past the threshold with the largest power of two of phrases that surely lie in every
+string it serves; its rank at that length, with a digest of the bytes from there to the end of what all its strings share,
+is the anchor's core. The result is decided on cores, and so on the ranks.
+
+Exact test: an anchor whose core is unique serves no repeated string. The others have a span, the bytes of all strings
+they serve: anchors whose span repeats are covered as a whole, and for the few in between, and the distinct spans they
+could match, the strings are compared one start at a time.
+
+Several widths share one pass: the width is part of every key. ``report`` is a second, smaller width whose repeats are
+not removed but told: maximal runs of over ``words`` words that also stand elsewhere.
+
+Ranks are 64-bit hashes and only ever meet under a second 64-bit digest of other bytes; texts are told apart by 128 bits.
+Counts are partial sums (a passage of a third of all documents is one row for each map task), and the joins that follow
+can be split. Copies of a text are one class: their rows fall together before anything is compared, and a class of two or
+more texts goes whole.
+
+Null texts are empty. Texts under ``width`` bytes lose nothing. Repeated doc_ids and equal rows are documents of their
+own: equal texts remove each other. Null ids stay. Empty tables give empty results; columns other than doc_id and text
+are not read, names that differ from these in case alone included.
 """
 
 from __future__ import annotations
@@ -33,324 +39,419 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, shuffles_released
+from .common import Scratch, keep_only, shuffles_released
 
 GRAM = 8
 #: Bytes of a text that are looked at in one step.
 STEP = 1 << 20
-#: Rows that a task holds before it passes them on.
-HELD = 50_000
-#: Bits of the sieve that says which texts need another look; its size is fixed, so it can be sent to all tasks.
-SIEVE_BITS = 1 << 24
-#: An anchor's run is compared over so many phrases at most: enough to leave few that do not repeat, and texts of short
-#: periods, whose phrases are many and alike, cost no more than others. A power of two.
-PHRASES = 4
+#: Bits of a sieve for each key in it, and at most. A sieve lets a few others pass, so it only spares work.
+BITS_PER_KEY, MOST_BITS = 16, 1 << 28
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+TEXT = ["ch", "cx"]
 
 
 def window_of(width: int) -> int:
     """Grams in a window: a wide one thins more, a narrow one leaves more of a string between its outer anchors."""
-    return max(4, (width - GRAM) * 128 // 392)
+    return max(4, (width - GRAM) * 3 // 8)
 
 
-def anchors(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions of anchors, first start each serves), both rising; starts are served up to the next one's first."""
+def _slid(x: np.ndarray, window: int, least) -> np.ndarray:
+    """least (np.minimum or np.maximum) of each ``window`` neighbours, by doubling."""
+    run = 1
+    while 2 * run <= window:
+        x = least(x[:-run], x[run:])
+        run *= 2
+    return least(x[: len(x) - (window - run)], x[window - run :]) if run < window else x
+
+
+def anchors(text: bytes, window: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of anchors, first start each serves), both rising; starts are served up to the next one's first.
+
+    A gram is an anchor if it has the least hash of some window; of equal hashes the leftmost serves. ``ends``: where the
+    texts end that ``text`` is made of; no window crosses them.
+    """
+    ends = np.array([len(text)]) if ends is None else ends
     grams = len(text) - GRAM + 1
-    places, firsts = [], []
+    edges = (ends[:-1, None] - np.arange(1, GRAM)).ravel()
+    places, keys = [], []
     for at in range(0, max(0, grams - window + 1), STEP):
-        size = min(STEP + window - 1, grams - at)
-        part = np.ndarray((size,), "<u8", text, at, (1,))
-        mixed = part * _MIX
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        key = (mixed & ~np.uint64((1 << 21) - 1)) | np.arange(size, dtype=np.uint64)
-        full = -(-size // window) * window
-        padded = np.full(full, np.iinfo(np.uint64).max)
-        padded[:size] = key
-        rows = padded.reshape(-1, window)
-        left = np.minimum.accumulate(rows, axis=1).ravel()
-        right = np.ascontiguousarray(np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1]).ravel()
-        n = size - window + 1
-        place = (np.minimum(right[:n], left[window - 1 : window - 1 + n]) & np.uint64((1 << 21) - 1)).astype(np.int64)
-        new = np.flatnonzero(np.diff(place, prepend=-1))
-        place = place[new] + at
-        skip = 1 if places and len(place) and places[-1][-1] == place[0] else 0
-        places.append(place[skip:])
-        firsts.append(new[skip:] + at)
+        # windows that start in this step; those of the step before hold the same grams at its edge
+        low = max(0, at - window)
+        size = min(at + STEP + window, grams) - low
+        key = (np.ndarray((size,), "<u8", text, low, (1,)) * _MIX >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        key[edges[(edges >= low) & (edges < low + size)] - low] = 0
+        least = _slid(key, window, np.minimum)
+        # the greatest of the minima of all windows that hold a gram; windows across an end have 0
+        edge = np.zeros(window - 1, np.uint32)
+        best = _slid(np.concatenate([edge, least, edge]), window, np.maximum)
+        found = np.flatnonzero((best == key) & (key > 0))
+        last = at + STEP >= grams - window + 1
+        keep = (found + low >= at) & (last | (found + low < at + STEP))
+        places.append(found[keep] + low)
+        keys.append(key[found[keep]])
     if not places:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(places), np.concatenate(firsts)
+    place, key = np.concatenate(places), np.concatenate(keys)
+    own = np.searchsorted(ends, place, side="right")
+    begin, limit = np.concatenate([np.zeros(1, np.int64), ends[:-1]])[own], (ends - GRAM - window + 1)[own]
+    before, after = _nearest(key, place, window, -1, np.less_equal), _nearest(key, place, window, 1, np.less)
+    # an anchor serves from where it enters or an earlier one no worse leaves, until it leaves or a better one enters
+    first = np.maximum(place - window + 1, begin)
+    first = np.where(before >= 0, np.maximum(first, place[before] + 1), first)
+    last = np.minimum(place, limit)
+    last = np.where(after >= 0, np.minimum(last, place[after] - window), last)
+    return place[first <= last], first[first <= last]
+
+
+def _nearest(key: np.ndarray, place: np.ndarray, window: int, step: int, better) -> np.ndarray:
+    """The index of the nearest anchor on one side, less than ``window`` away, whose key is better; -1 where there is none."""
+    n = len(key)
+    at = np.arange(n) + step
+    at[(at < 0) | (at >= n)] = -1
+    todo = np.flatnonzero(at >= 0)
+    while len(todo):
+        x = at[todo]
+        far = np.abs(place[x] - place[todo]) >= window
+        at[todo[far]] = -1
+        worse = ~far & ~better(key[x], key[todo])
+        # what is no better than a worse one is worse too, so its own next is the next to look at
+        todo = todo[worse]
+        at[todo] = at[x[worse]]
+        todo = todo[at[todo] >= 0]
+    return at
+
+
+def _digests(text: bytes, a: list[int], b: list[int], seed: int = 0) -> np.ndarray:
+    """64-bit digests of text[a:b] for each pair."""
+    view, digest = memoryview(text), xxhash.xxh3_64_digest
+    return np.frombuffer(b"".join([digest(view[x:y], seed) for x, y in zip(a, b, strict=True)]), ">i8").astype(np.int64)
+
+
+NAMES = "ch long, cx long, idx long, name long"
+ANCHORS = "ch long, cx long, idx long, width long, r long, first long, n long, name long, tail long, span long"
+
 
+def _batch(out: list, schema: str) -> pa.RecordBatch:
+    names = [x.split()[0] for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names)
+
+
+def _chunks(batch: pa.RecordBatch, least: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """The texts of at least ``least`` bytes, some together: (bytes, where each ends, ch, cx)."""
+    ch, cx = (batch.column(k).to_numpy() for k in TEXT)
+    held, at, size = [], [], 0
+    for i, text in enumerate(batch.column("text")):
+        raw = text.as_buffer()
+        if raw is None or raw.size < least:
+            continue
+        held.append(raw)
+        at.append(i)
+        size += raw.size
+        if size >= STEP:
+            yield b"".join(held), np.cumsum([len(x) for x in held]), ch[at], cx[at]
+            held, at, size = [], [], 0
+    if held:
+        yield b"".join(held), np.cumsum([len(x) for x in held]), ch[at], cx[at]
+
+
+def _phrases(text: bytes, ends: np.ndarray, window: int):
+    """place, first and text of each anchor but the last of its text, the index of that last one, and phrase names."""
+    place, first = anchors(text, window, ends)
+    own = np.searchsorted(ends, place, side="right")
+    final = np.searchsorted(own, own, side="right") - 1
+    inner = np.flatnonzero(np.arange(len(place)) < final)
+    return place, first, own, final, inner, _digests(text, place[inner].tolist(), (place[inner + 1] + GRAM).tolist())
+
+
+def _name_rows(least: int, window: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, ends, ch, cx in _chunks(batch, least):
+                _, _, own, _, inner, name = _phrases(text, ends, window)
+                yield _batch([[ch[own[inner]], cx[own[inner]], inner - np.searchsorted(own, own[inner]), name]], NAMES)
 
-#: For the first count names are enough.
-NAME_SCHEMA = "ch long, idx long, name long"
-ANCHOR_SCHEMA = "ch long, idx long, r long, first long, n long, name long, core long, span long"
+    return rows
 
 
-def _anchor_rows(width: int, names_only: bool = False):
-    window = window_of(width)
-    reach, core = width - GRAM - 2 * window + 1, width - window + 1
+def _anchor_rows(widths: tuple[int, ...], window: int, sieve):
+    """The rows of anchors whose phrase passes the sieve of repeated ones, for each width."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        bits = sieve.value
         for batch in batches:
-            out, held = [], 0
-            for ch, text in zip(batch.column("ch").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if text is None or len(text) < width:
-                    continue
-                place, first = anchors(text, window)
-                m = len(place) - 1
-                if m < 1:
-                    continue
-                view, p = memoryview(text), place.tolist()
-                name = np.array([digest(view[a : b + GRAM]) for a, b in zip(p, p[1:], strict=False)], np.uint64).view(np.int64)
-                held += m
-                if names_only:
-                    out.append([np.full(m, ch), np.arange(m), name])
-                    if held > HELD:
-                        yield _batch(out, NAME_SCHEMA)
-                        out, held = [], 0
-                    continue
-                last = np.minimum(np.append(first[1:] - 1, len(text) - width), len(text) - width)
-                r = np.searchsorted(place, place + reach) - np.arange(m + 1)
-                r[(np.arange(m + 1) + r > m) | (first > last)] = 0
-                r = np.minimum(r, PHRASES)
-                r, f, n = r[:m], first[:m], np.maximum(last - first, -1)[:m] + 1
-                serves = (r > 0).tolist()
-                cores = [digest(view[a : a + core], 1) if s else 0 for a, s in zip(p, serves, strict=False)]
-                spans = [
-                    digest(view[a : a + k - 1 + width], (b - a) * width + k) if s else 0
-                    for a, b, k, s in zip(f.tolist(), p, n.tolist(), serves, strict=False)
-                ]
-                out.append(
-                    [
-                        np.full(m, ch),
-                        np.arange(m),
-                        r,
-                        f,
-                        n,
-                        name,
-                        *(np.array(x, np.uint64).view(np.int64) for x in (cores, spans)),
-                    ]
-                )
-                if held > HELD:
-                    yield _batch(out, ANCHOR_SCHEMA)
-                    out, held = [], 0
-            if out:
-                yield _batch(out, NAME_SCHEMA if names_only else ANCHOR_SCHEMA)
+            for text, ends, ch, cx in _chunks(batch, min(widths)):
+                place, first, own, final, inner, name = _phrases(text, ends, window)
+                hit = name.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+                alive = np.flatnonzero(bits[(hit >> np.uint64(3)).astype(np.int64)] >> (hit & np.uint64(7)).astype(np.uint8) & 1)
+                name, alive = name[alive], inner[alive]
+                doc = own[alive]
+                idx, begin = alive - np.searchsorted(own, doc), (ends - np.diff(ends, prepend=0))[doc]
+                for width in widths:
+                    last = np.where(alive + 1 <= final[alive], first[np.minimum(alive + 1, len(first) - 1)] - 1, ends[doc])
+                    last = np.minimum(last, ends[doc] - width)
+                    n = last - first[alive] + 1
+                    runs = np.searchsorted(place, place[alive] + (width - GRAM - 2 * window + 1)) - alive
+                    r = np.left_shift(1, np.log2(np.maximum(runs, 1)).astype(np.int64))
+                    # without a start, or without the phrases inside this text, an anchor only lends its ranks to others
+                    r[(n < 1) | (alive + runs > final[alive])] = 0
+                    s = np.flatnonzero(r)
+                    a, f = place[alive[s]], first[alive[s]]
+                    tail, span = np.zeros(len(alive), np.int64), np.zeros(len(alive), np.int64)
+                    tail[s] = _digests(text, (place[alive[s] + r[s]] + GRAM).tolist(), (a + width - window + 1).tolist(), 1)
+                    span[s] = _digests(text, f.tolist(), (f + n[s] - 1 + width).tolist(), 2) ^ (a - f) * 31 ^ n[s] << 32
+                    wide = np.full(len(alive), width)
+                    yield _batch([[ch[doc], cx[doc], idx, wide, r, first[alive] - begin, n, name, tail, span]], ANCHORS)
 
     return rows
 
 
-def _batch(out: list, schema: str) -> pa.RecordBatch:
-    names = [x.split()[0] for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names)
+PLACE = ["ch", "cx", "width", "idx"]
 
 
 def repeated_keys(rows: DataFrame, *key: str) -> DataFrame:
     """Keys found at two places or more, counted by partial sums."""
-    place = F.xxhash64("ch", "idx")
+    place = F.xxhash64("ch", "cx", "idx")
     found = rows.groupBy(*key).agg(F.min(place).alias("_lo"), F.max(place).alias("_hi"))
     return found.where("_lo <> _hi").select(*key)
 
 
-def repeated(rows: DataFrame, scratch: Scratch, *key: str, names: DataFrame | None = None) -> DataFrame:
-    """Rows whose key is repeated; names: the same rows with less to carry, to count in.
+def repeated(rows: DataFrame, scratch: Scratch, *key: str) -> DataFrame:
+    """Rows whose key is repeated.
 
     The keys are written first. Counted in the same job, they would stay where their hash put them and hold the rows of
     a very common key to one task; written, both sides of the join are shuffled for it and Spark can split that key.
     """
-    keys = scratch.put(scratch.fresh("keys"), repeated_keys(rows if names is None else names, *key))
+    keys = scratch.put(scratch.fresh("keys"), repeated_keys(rows, *key))
     return rows.join(keys, list(key))
 
 
-def doubled(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """The anchor rows that repeat over the r phrases they need; r is at most PHRASES.
+def doubled(texts: DataFrame, widths: tuple[int, ...], window: int, scratch: Scratch) -> DataFrame:
+    """The anchor rows that repeat past the threshold, with their core (its rank and tail in one)."""
+    spark, texts = texts.sparkSession, texts.select(*TEXT, "text")
+    names = texts.mapInArrow(_name_rows(min(widths), window), NAMES)
+    twice = scratch.put("names", repeated_keys(names, "name"))
+    sieve = spark.sparkContext.broadcast(bitmap(twice, "name"))
+    rows = texts.mapInArrow(_anchor_rows(widths, window, sieve), ANCHORS)
+    # the rows of copies of a text fall together
+    alive = scratch.put("alive", rows.dropDuplicates([*PLACE, "name"]))
+    level, run = alive.select(*PLACE, "r", "name"), 1
+    done = level.where("r = 1").select(*PLACE, "name")
+    while True:
+        # two doublings in a round: one shuffle by text brings the ranks at i, i + run, i + 2 run and i + 3 run together
+        text = Window.partitionBy(*TEXT, "width")
+        at = [F.max("name").over(text.orderBy("idx").rangeBetween(k * run, k * run)) for k in (1, 2, 3)]
+        ahead = level.withColumn("deepest", F.max("r").over(text)).where(F.col("deepest") >= 2 * run)
+        ahead = ahead.select(*PLACE, "r", "name", "deepest", *[x.alias(f"next{k}") for k, x in enumerate(at, 1)]).where("next1 is not null")
+        pairs = scratch.put(f"pairs{run}", ahead)
+        if pairs.isEmpty():
+            break
+        one, two = F.xxhash64("name", "next1"), F.xxhash64("next2", "next3")
+        done = done.union(pairs.where(F.col("r") == 2 * run).select(*PLACE, one.alias("name")))
+        further = pairs.where((F.col("deepest") >= 4 * run) & F.expr("next2 is not null and next3 is not null"))
+        run *= 4
+        level = scratch.put(f"level{run}", repeated(further.select(*PLACE, "r", F.xxhash64(one, two).alias("name")), scratch, "width", "name"))
+        done = done.union(level.where(F.col("r") == run).select(*PLACE, "name"))
+    whole = alive.drop("name", "r").join(done, PLACE)
+    out = scratch.put("repeats", whole.withColumn("core", F.xxhash64("width", "name", "tail")).drop("name"))
+    scratch.drop("names", "alive", *(f"{k}{1 << i}" for i in range(run.bit_length()) for k in ("pairs", "level")))
+    sieve.unpersist()
+    return out
 
-    A run of r phrases, run < r <= 2 * run, is two runs of ``run``: the one that starts at the anchor and the one that
-    ends with its last phrase. One sort of each text's ranks by position brings both together.
-    """
-    texts = texts.select("ch", "text")
-    names = texts.mapInArrow(_anchor_rows(width, names_only=True), NAME_SCHEMA)
-    rows = repeated(texts.mapInArrow(_anchor_rows(width), ANCHOR_SCHEMA), scratch, "name", names=names)
-    alive = scratch.put("alive", rows.dropDuplicates(["ch", "idx"]))
-    level, done, run = alive.select("ch", "idx", "r", "name"), None, 1
-    while run < PHRASES:
-        by_place = Window.partitionBy("ch").orderBy("idx")
-
-        def ahead(k: int, by_place=by_place):
-            return F.col("name") if k == 0 else F.max("name").over(by_place.rangeBetween(k, k))
-
-        partner = F.coalesce(*[F.when(F.col("r") - run == k, ahead(k)) for k in range(run + 1)], ahead(0))
-        wanted = F.max("r").over(by_place.rangeBetween(-2 * run, 0)) > 2 * run
-        paired = scratch.put(f"paired{run}", level.select("ch", "idx", "r", "name", partner.alias("own"), ahead(run).alias("next"), wanted.alias("wanted")))
-        ended = paired.where((F.col("r") > (run if run > 1 else 0)) & (F.col("r") <= 2 * run) & F.col("own").isNotNull())
-        ended = ended.select("ch", "idx", F.xxhash64("r", "name", "own").alias("name"))
-        done = ended if done is None else done.union(ended)
-        pairs = paired.where(F.col("wanted") & F.col("next").isNotNull())
-        pairs = pairs.select("ch", "idx", "r", F.xxhash64("name", "next").alias("name"))
-        run *= 2
-        if run < PHRASES:
-            level = scratch.put(f"level{run}", repeated(pairs, scratch, "name"))
-    kept = repeated(done, scratch, "name").select("ch", "idx")
-    out = scratch.put("repeats", alive.select("ch", "idx", "first", "n", "core", "span").join(kept, ["ch", "idx"]))
-    scratch.drop("alive", *(f"{k}{2**i}" for i in range(PHRASES.bit_length()) for k in ("paired", "level")))
+
+def bits_for(keys: int) -> int:
+    bits = 1 << 18
+    while bits < min(MOST_BITS, BITS_PER_KEY * keys):
+        bits *= 2
+    return bits
+
+
+def _parts(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """The bitmap of the low bits of ``key`` in rows of 4 KB."""
+    at = F.col(key).bitwiseAND(F.lit(bits - 1))
+    return keys.groupBy(F.shiftright(at, 15).alias("_part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767).cast("long"))).alias("_bits"))
+
+
+def bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """The bitmap as bytes, MOST_BITS / 8 at most."""
+    bits = bits_for(keys.count())
+    out = np.zeros(bits // 8, np.uint8)
+    for row in _parts(keys, key, bits).toLocalIterator():
+        out[row["_part"] * 4096 : (row["_part"] + 1) * 4096] = np.frombuffer(row["_bits"], np.uint8)
     return out
 
 
 class Sieve:
-    """A bitmap of text hashes: texts outside it are surely not wanted. Its size is fixed, 512 rows of 4 KB at most,
-    whatever the number of texts, so every task gets it and texts are sifted where they are read."""
+    """A bitmap of text hashes: texts outside it are surely not wanted. Its size follows the number of texts wanted up to a
+    fixed bound (MOST_BITS), so every task gets it and texts are sifted where they are read."""
 
     def __init__(self, wanted: DataFrame) -> None:
-        bit = F.expr(f"pmod(ch, {SIEVE_BITS})")
-        self.parts = wanted.groupBy(F.expr(f"pmod(ch, {SIEVE_BITS}) div 32768").alias("_part")).agg(
-            F.bitmap_construct_agg(bit % 32768).alias("_bits")
-        )
+        self.bits = bits_for(wanted.count())
+        self.parts = _parts(wanted, "ch", self.bits)
 
     def marked(self, texts: DataFrame) -> DataFrame:
         """texts with the column ``maybe``."""
-        part = texts.withColumn("_part", F.expr(f"pmod(ch, {SIEVE_BITS}) div 32768"))
-        byte = F.expr("conv(hex(substring(_bits, cast(pmod(ch, 32768) div 8 as int) + 1, 1)), 16, 10)").cast("int")
-        held = byte.bitwiseAND(F.expr("shiftleft(1, cast(pmod(ch, 8) as int))")) != 0
+        at = F.col("ch").bitwiseAND(F.lit(self.bits - 1))
+        part = texts.withColumn("_part", F.shiftright(at, 15)).withColumn("_at", at.bitwiseAND(F.lit(32767).cast("long")))
+        byte = F.expr("conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10)").cast("int")
+        held = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
         joined = part.join(F.broadcast(self.parts), "_part", "left")
-        return joined.withColumn("maybe", F.coalesce(held, F.lit(False))).drop("_part", "_bits")
+        return joined.withColumn("maybe", F.coalesce(held, F.lit(False))).drop("_part", "_at", "_bits")
 
 
-def _string_rows(width: int):
+def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each wanted span the digests of the strings that start in it, in order."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            out: list[tuple] = []
-            for ch, text, wanted in zip(*(batch.column(k).to_pylist() for k in ("ch", "text", "wanted")), strict=True):
-                view = memoryview(text)
-                for w in wanted:
-                    starts = range(w["first"], w["first"] + w["n"])
-                    found = np.array([digest(view[s : s + width]) for s in starts], np.uint64).view(np.int64)
-                    out.append((w["core"], w["span"], w["whole"], ch, w["first"], found))
-                    if len(out) > 5_000:
-                        yield _strings(out)
-                        out = []
-            if out:
-                yield _strings(out)
-
-    return rows
+    for batch in batches:
+        out: list[tuple] = []
+        for ch, cx, text, wanted in zip(*(batch.column(k).to_pylist() for k in (*TEXT, "text", "wanted")), strict=True):
+            for w in wanted:
+                starts = range(w["first"], w["first"] + w["n"])
+                found = _digests(text, list(starts), [s + w["width"] for s in starts])
+                out.append((w["core"], w["span"], w["whole"], ch, cx, w["width"], w["first"], found))
+                if len(out) > 5_000:
+                    yield _strings(out)
+                    out = []
+        if out:
+            yield _strings(out)
 
 
-STRINGS = "core long, span long, whole boolean, ch long, first long, strings array<long>"
+STRINGS = "core long, span long, whole boolean, ch long, cx long, width long, first long, strings array<long>"
 
 
 def _strings(out: list[tuple]) -> pa.RecordBatch:
-    core, span, whole, ch, first, found = zip(*out, strict=True)
-    long = [pa.array(x, pa.int64()) for x in (core, span, ch, first)]
+    core, span, whole, *long, found = zip(*out, strict=True)
     return pa.RecordBatch.from_arrays(
-        [long[0], long[1], pa.array(whole), long[2], long[3], pa.array(found, pa.list_(pa.int64()))],
+        [*(pa.array(x, pa.int64()) for x in (core, span)), pa.array(whole), *(pa.array(x, pa.int64()) for x in long), pa.array(found, pa.list_(pa.int64()))],
         [x.split()[0] for x in STRINGS.split(", ")],
     )
 
 
-def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge each text's intervals and take them out."""
-    for batch in batches:
-        kept, removed, spans = [], [], []
-        for text, cover in zip(batch.column("text").to_pylist(), batch.column("cover").to_pylist(), strict=True):
-            pieces, at, gone, n = [], 0, 0, 0
-            merged: list[list[int]] = []
-            for c in sorted((c["a"], c["b"]) for c in cover or ()):
-                if merged and c[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], c[1])
-                else:
-                    merged.append(list(c))
-            for a, b in merged:
-                pieces.append(text[at:a])
-                gone, n, at = gone + b - a, n + 1, b
-            pieces.append(text[at:])
-            kept.append(b"".join(pieces))
-            removed.append(gone)
-            spans.append([{"a": a, "b": b} for a, b in merged])
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array([len(t) for t in batch.column("text").to_pylist()], pa.int64()),
-                pa.array(removed, pa.int64()),
-                pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
-                pa.array(kept, pa.binary()),
-            ],
-            ["doc_id", "n_bytes", "n_removed", "spans", "kept"],
-        )
-
-
-OUT_SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<a:long,b:long>>, kept binary"
-
-
-def covers(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """(ch, cover): intervals of bytes to remove from each class of equal texts that loses any."""
-    classes = texts.groupBy("ch", F.octet_length("text").cast("long").alias("size")).agg(
+def _merged(cover: list[dict] | None, width: int) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted((c["a"], c["b"]) for c in cover or () if c["width"] == width):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+BLANK = b" \t\n\x0b\x0c\r"
+
+
+def words_in(text: bytes, a: int, b: int) -> int:
+    """Whole words in text[a:b]."""
+    words = len(text[a:b].split())
+    cut_left = a > 0 and text[a - 1] not in BLANK and text[a] not in BLANK
+    cut_right = b < len(text) and text[b] not in BLANK and text[b - 1] not in BLANK
+    return max(0, words - cut_left - cut_right)
+
+
+def _cut_rows(width: int, report: int | None, words: int):
+    """Merge each text's intervals and take them out; count the passages of the smaller width."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, removed, spans, told, size = [], [], [], [], []
+            for text, cover in zip(batch.column("text").to_pylist(), batch.column("cover").to_pylist(), strict=True):
+                merged = _merged(cover, width)
+                edges = [0, *(x for m in merged for x in m), len(text)]
+                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                removed.append(sum(b - a for a, b in merged))
+                spans.append([{"a": a, "b": b} for a, b in merged])
+                told.append(sum(words_in(text, a, b) > words for a, b in _merged(cover, report)) if report else 0)
+                size.append(len(text))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    *(pa.array(x, pa.int64()) for x in (size, removed, told)),
+                    pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
+                    pa.array(kept, pa.binary()),
+                ],
+                ["doc_id", "n_bytes", "n_removed", "n_passages", "spans", "kept"],
+            )
+
+    return rows
+
+
+OUT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_passages long, spans array<struct<a:long,b:long>>, kept binary"
+
+
+def covers(texts: DataFrame, widths: tuple[int, ...], scratch: Scratch) -> DataFrame:
+    """(ch, cx, cover): for each width the intervals of bytes that repeat, of each class of equal texts that has any."""
+    classes = texts.groupBy(*TEXT, F.octet_length("text").cast("long").alias("size")).agg(
         F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one")
     )
     classes = scratch.put("classes", classes)
-    repeats = doubled(texts, width, scratch)
-    left = scratch.put("left", repeated(repeats, scratch, "core"))
+    repeats = doubled(texts, widths, window_of(min(widths)), scratch)
+    left = scratch.put("left", repeated(repeats, scratch, "width", "core"))
     scratch.drop("repeats")
-    place = F.xxhash64("ch", "idx")
+    place = F.xxhash64("ch", "cx", "idx")
+    key = ["width", "core", "span"]
     spans = scratch.put(
         "spans",
-        left.groupBy("core", "span")
-        .agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min(F.struct("ch", "first", "n")).alias("at"))
-        .select("core", "span", (F.col("lo") != F.col("hi")).alias("whole"), "at"),
+        left.groupBy(*key)
+        .agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min(F.struct("ch", "cx", "first", "n")).alias("at"))
+        .select(*key, (F.col("lo") != F.col("hi")).alias("whole"), "at"),
     )
     # spans to compare start by start: those of cores with a span found once, and more than one span
-    unsure = spans.groupBy("core").agg(F.min("whole").alias("sure"), F.count(F.lit(1)).alias("k")).where("k > 1 and not sure")
+    unsure = spans.groupBy("width", "core").agg(F.min("whole").alias("sure"), F.count(F.lit(1)).alias("k")).where("k > 1 and not sure")
     wanted = scratch.put(
         "wanted",
-        spans.join(unsure.select("core"), "core").select(
-            F.col("at.ch").alias("ch"), F.struct("at.first", "at.n", "core", "span", "whole").alias("w")
+        spans.join(unsure.select("width", "core"), ["width", "core"]).select(
+            "at.ch", "at.cx", F.struct("at.first", "at.n", "width", "core", "span", "whole").alias("w")
         ),
     )
     # one text of each class is enough, and so no repeated work for copies
-    one = wanted.groupBy("ch").agg(F.collect_list("w").alias("wanted")).join(classes.select("ch", "one"), "ch")
-    maybe = Sieve(wanted.select("ch")).marked(texts.select("ch", "doc_id", "text")).where("maybe")
-    chosen = maybe.join(one.hint("shuffle_hash"), "ch").where(F.col("doc_id").eqNullSafe(F.col("one"))).select("ch", "text", "wanted")
-    strings = scratch.put("strings", chosen.mapInArrow(_string_rows(width), STRINGS))
+    one = wanted.groupBy(*TEXT).agg(F.collect_list("w").alias("wanted")).join(classes.select(*TEXT, "one"), TEXT)
+    maybe = Sieve(wanted.select("ch")).marked(texts.select(*TEXT, "doc_id", "text")).where("maybe")
+    chosen = maybe.join(one.hint("shuffle_hash"), TEXT).where(F.col("doc_id").eqNullSafe(F.col("one"))).select(*TEXT, "text", "wanted")
+    strings = scratch.put("strings", chosen.mapInArrow(_string_rows, STRINGS))
     scratch.drop("wanted")
     # a string is found once in a span, so one of two spans is elsewhere
-    each = strings.select("core", "span", F.explode("strings").alias("string"))
-    twice = each.groupBy("core", "string").agg(F.min("span").alias("lo"), F.max("span").alias("hi")).where("lo <> hi")
-    alone = strings.where("not whole").select("core", "ch", "first", F.posexplode("strings").alias("k", "string"))
+    each = strings.select(*key, F.explode("strings").alias("string"))
+    twice = each.groupBy("width", "core", "string").agg(F.min("span").alias("lo"), F.max("span").alias("hi")).where("lo <> hi")
+    alone = strings.where("not whole").select("width", "core", *TEXT, "first", F.posexplode("strings").alias("k", "string"))
     start = (F.col("first") + F.col("k")).alias("a")
-    single = alone.join(twice.select("core", "string"), ["core", "string"]).select("ch", start, (start + width).alias("b"))
-    whole = left.join(spans.where("whole").select("core", "span"), ["core", "span"]).select(
-        "ch", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + width).alias("b")
+    shared = ["width", "core", "string"]
+    single = alone.join(twice.select(*shared), shared).select(*TEXT, "width", start, (start + F.col("width")).alias("b"))
+    whole = left.join(spans.where("whole").select(*key), key).select(
+        *TEXT, "width", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + F.col("width")).alias("b")
     )
-    copies = classes.where((F.col("copies") > 1) & (F.col("size") >= width)).select(
-        "ch", F.lit(0).cast("long").alias("a"), F.col("size").alias("b")
+    copies = (
+        classes.where("copies > 1")
+        .withColumn("width", F.explode(F.array(*[F.lit(w).cast("long") for w in widths])))
+        .where("size >= width")
+        .select(*TEXT, "width", F.lit(0).cast("long").alias("a"), F.col("size").alias("b"))
     )
     out = scratch.put(
-        "cover", whole.union(single).union(copies).groupBy("ch").agg(F.collect_set(F.struct("a", "b")).alias("cover"))
+        "cover", whole.union(single).union(copies).groupBy(*TEXT).agg(F.collect_set(F.struct("width", "a", "b")).alias("cover"))
     )
     scratch.drop("classes", "left", "spans", "strings", *scratch.made)
     return out
 
 
-def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (removed, as [a, b) of bytes) and kept (the other bytes) of every row of docs."""
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
-    ).withColumn("ch", F.xxhash64("text"))
+def remove_repeats(docs: DataFrame, width: int = 400, report: int | None = None, words: int = 50) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_passages, spans (removed, as [a, b) of bytes) and kept (the other bytes) of every row.
+
+    n_passages: maximal runs of repeated ``report``-byte strings that hold over ``words`` words; 0 without ``report``.
+    """
+    texts = keep_only(docs, doc_id="long", text="string").select(
+        "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")
+    )
+    texts = texts.withColumns({"ch": F.xxhash64("text"), "cx": F.xxhash64(F.lit(1), "text")})
+    widths = (width,) if report is None or report >= width else (width, report)
     scratch = Scratch(docs.sparkSession)
     with shuffles_released(docs.sparkSession):
-        cover = covers(texts, width, scratch)
+        cover = covers(texts, widths, scratch)
     sifted = Sieve(cover.select("ch")).marked(texts)
     maybe, plain = sifted.where("maybe"), sifted.where("not maybe")
     none = F.expr("cast(array() as array<struct<a:long,b:long>>)")
-    cutting = maybe.join(cover.hint("shuffle_hash"), "ch", "left").select("doc_id", "text", "cover")
+    cutting = maybe.join(cover.hint("shuffle_hash"), TEXT, "left").select("doc_id", "text", "cover")
+    zero = F.lit(0).cast("long")
     untouched = plain.select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), none.alias("spans"), F.col("text").alias("kept")
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_passages"), none.alias("spans"), F.col("text").alias("kept")
     )
-    return cutting.mapInArrow(_cut_rows, OUT_SCHEMA).union(untouched)
+    return cutting.mapInArrow(_cut_rows(width, widths[-1] if len(widths) > 1 else None, words), OUT_SCHEMA).union(untouched)
 
 
 def span_count(spans: Column | str) -> Column:
