@@ -73,10 +73,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # passages of over 50 words are shorter than 400 bytes as often as not: they are told (n_passages), not removed
-    out = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), width=400, report=256, words=50)
+    # many repeated passages of over 50 words are under 400 bytes: they are told (n_shared), not removed
+    out = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), width=400)
     return out.select(
-        "doc_id", "n_bytes", "n_removed", suffixdedup.span_count("spans").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passages"
+        "doc_id", "n_bytes", "n_removed", suffixdedup.span_count("spans").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared"
     )
 
 
@@ -158,34 +158,33 @@ FROM m GROUP BY doc_id
 """
 
 
-def _runs(k: str, width: int) -> str:
-    """Maximal runs [a, e) of bytes in repeated strings of one width."""
-    return f"""p{k} AS (SELECT doc_id, unnest(range(0, n - {width - 1})) AS s, b FROM d WHERE n >= {width}),
-h{k} AS (SELECT doc_id, s, md5(array_slice(b, s + 1, s + {width})) AS h FROM p{k}),
-r{k} AS (SELECT h FROM h{k} GROUP BY h HAVING count(*) > 1),
-m{k} AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM h{k} SEMI JOIN r{k} USING (h)),
-g{k} AS (SELECT doc_id, s, count(*) FILTER (gap IS NULL OR gap > {width}) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM m{k}),
-c{k} AS (SELECT doc_id, span, min(s) AS a, max(s) + {width} AS e FROM g{k} GROUP BY ALL)"""
-
-
-_BLANK = "('20', '09', '0A', '0B', '0C', '0D')"
+#: Anchors: the leftmost gram of 8 bytes of the least hash in each window of 147; pieces: 128 bytes from an anchor on.
 SQL_SUFFIX_DEDUP = rf"""
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-{_runs('', 400)}, {_runs('2', 256)},
+p AS (SELECT doc_id, unnest(range(0, n - 399)) AS s, b FROM d WHERE n >= 400),
+h AS (SELECT doc_id, s, md5(array_slice(b, s + 1, s + 400)) AS h FROM p),
+r AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+m AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM h SEMI JOIN r USING (h)),
+g AS (SELECT doc_id, s, count(*) FILTER (gap IS NULL OR gap > 400) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM m),
+c AS (SELECT doc_id, span, min(s) AS a, max(s) + 400 AS e FROM g GROUP BY ALL),
 k AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM c
       UNION ALL SELECT doc_id, max(e), max(n) FROM c JOIN d USING (doc_id) GROUP BY doc_id),
 kept AS (SELECT doc_id, coalesce(string_agg(hex(array_slice(b, f + 1, t)), '' ORDER BY f) FILTER (t > f), '') AS x
          FROM k JOIN d USING (doc_id) GROUP BY doc_id),
 tot AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM c GROUP BY doc_id),
-y AS (SELECT doc_id, i, hex(array_slice(b, i + 1, i + 1)) IN {_BLANK} AS blank FROM (SELECT doc_id, b, unnest(range(0, n)) AS i FROM d SEMI JOIN c2 USING (doc_id))),
-w AS (SELECT *, count(*) FILTER (begins) OVER (PARTITION BY doc_id ORDER BY i) AS words FROM
-      (SELECT *, NOT blank AND coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY i), true) AS begins FROM y)),
-q AS (SELECT c2.doc_id, count(*) FILTER (z.words - coalesce(x.words, 0) - CASE WHEN NOT z.blank AND NOT coalesce(u.blank, true) THEN 1 ELSE 0 END > 50) AS n_passages
-      FROM c2 JOIN w z ON z.doc_id = c2.doc_id AND z.i = e - 1 LEFT JOIN w x ON x.doc_id = c2.doc_id AND x.i = a - 1
-      LEFT JOIN w u ON u.doc_id = c2.doc_id AND u.i = e GROUP BY c2.doc_id)
-SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(coalesce(unhex(x), b)) AS kept_sha256, coalesce(n_passages, 0) AS n_passages
-FROM d LEFT JOIN tot USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN q USING (doc_id)
+same AS (SELECT b FROM d GROUP BY b HAVING count(*) > 1),
+q AS (SELECT min(doc_id) AS one, b, any_value(n) AS n FROM d WHERE n >= 154 GROUP BY b),
+y AS (SELECT one, n, b, i, hex(array_slice(b, i + 1, i + 8)) AS x FROM (SELECT one, n, b, unnest(range(0, n - 7)) AS i FROM q)),
+u AS (SELECT one, i, n, CAST((CAST(CAST('0x' || x[15:16] || x[13:14] || x[11:12] || x[9:10] || x[7:8] || x[5:6] || x[3:4] || x[1:2] AS UBIGINT) AS UHUGEINT)
+      * CAST('11400714819323198485' AS UHUGEINT)) % CAST('18446744073709551616' AS UHUGEINT) // CAST('4294967296' AS UHUGEINT) AS UBIGINT) | CAST(1 AS UBIGINT) AS v FROM y),
+o AS (SELECT one, i, n, min(CAST(v AS HUGEINT) * 4294967296 + i) OVER (PARTITION BY one ORDER BY i ROWS BETWEEN CURRENT ROW AND 146 FOLLOWING) AS best FROM u),
+a AS (SELECT DISTINCT one, CAST(best % 4294967296 AS BIGINT) AS a FROM o WHERE i + 154 <= n),
+z AS (SELECT one, a, md5(array_slice(b, a + 1, a + 128)) AS h FROM a JOIN q USING (one) WHERE a + 128 <= n),
+t AS (SELECT one, a FROM z SEMI JOIN (SELECT h FROM z GROUP BY h HAVING count(*) > 1) USING (h)),
+s AS (SELECT one, CAST(sum(least(128, coalesce(next - a, 128))) AS BIGINT) AS n_shared FROM (SELECT *, lead(a) OVER (PARTITION BY one ORDER BY a) AS next FROM t) GROUP BY one)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(x), d.b)) AS kept_sha256,
+       CASE WHEN same.b IS NOT NULL AND d.n >= 128 THEN CAST(d.n AS BIGINT) ELSE coalesce(n_shared, 0) END AS n_shared
+FROM d LEFT JOIN tot USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN same ON same.b = d.b LEFT JOIN s ON one = d.doc_id
 """
 
 SQL_EMBEDDING_DEDUP = r"""

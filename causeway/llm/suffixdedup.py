@@ -15,8 +15,8 @@ Exact test: an anchor whose core is unique serves no repeated string. The others
 they serve: anchors whose span repeats are covered as a whole, and for the few in between, and the distinct spans they
 could match, the strings are compared one start at a time.
 
-Several widths share one pass: the width is part of every key. ``report`` is a second, smaller width whose repeats are
-not removed but told: maximal runs of over ``words`` words that also stand elsewhere.
+Repeats too short to go are told: n_shared is the number of bytes in pieces of PIECE bytes, one from each anchor on,
+that also stand elsewhere. A repeated passage of ``window + PIECE`` bytes has such a piece, one under PIECE has none.
 
 Ranks are 64-bit hashes and only ever meet under a second 64-bit digest of other bytes; texts are told apart by 128 bits.
 Counts are partial sums (a passage of a third of all documents is one row for each map task), and the joins that follow
@@ -46,6 +46,8 @@ GRAM = 8
 STEP = 1 << 20
 #: Bits of a sieve for each key in it, and at most. A sieve lets a few others pass, so it only spares work.
 BITS_PER_KEY, MOST_BITS = 16, 1 << 28
+#: Bytes of a piece that is told but not removed.
+PIECE = 128
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 TEXT = ["ch", "cx"]
 
@@ -127,8 +129,9 @@ def _digests(text: bytes, a: list[int], b: list[int], seed: int = 0) -> np.ndarr
     return np.frombuffer(b"".join([digest(view[x:y], seed) for x, y in zip(a, b, strict=True)]), ">i8").astype(np.int64)
 
 
-NAMES = "ch long, cx long, idx long, name long"
-ANCHORS = "ch long, cx long, idx long, width long, r long, first long, n long, name long, tail long, span long"
+KEYS = "ch long, cx long, idx long, key long"
+#: A row of a piece has no r: it only says where the piece begins (first) and what it holds (name).
+ANCHORS = "ch long, cx long, idx long, r long, first long, n long, name long, tail long, span long"
 
 
 def _batch(out: list, schema: str) -> pa.RecordBatch:
@@ -155,57 +158,67 @@ def _chunks(batch: pa.RecordBatch, least: int) -> Iterator[tuple[bytes, np.ndarr
 
 
 def _phrases(text: bytes, ends: np.ndarray, window: int):
-    """place, first and text of each anchor but the last of its text, the index of that last one, and phrase names."""
+    """place, first and text of each anchor, the last anchor of its text, and two pairs (anchors, digests): of phrases, of pieces."""
     place, first = anchors(text, window, ends)
     own = np.searchsorted(ends, place, side="right")
     final = np.searchsorted(own, own, side="right") - 1
     inner = np.flatnonzero(np.arange(len(place)) < final)
-    return place, first, own, final, inner, _digests(text, place[inner].tolist(), (place[inner + 1] + GRAM).tolist())
+    whole = np.flatnonzero(place + PIECE <= ends[own])
+    phrases = _digests(text, place[inner].tolist(), (place[inner + 1] + GRAM).tolist())
+    pieces = _digests(text, place[whole].tolist(), (place[whole] + PIECE).tolist(), 3)
+    return place, first, own, final, (inner, phrases), (whole, pieces)
 
 
-def _name_rows(least: int, window: int):
+def _key_rows(least: int, window: int):
+    """The digests of all phrases and pieces."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, ends, ch, cx in _chunks(batch, least):
-                _, _, own, _, inner, name = _phrases(text, ends, window)
-                yield _batch([[ch[own[inner]], cx[own[inner]], inner - np.searchsorted(own, own[inner]), name]], NAMES)
+                _, _, own, _, *kinds = _phrases(text, ends, window)
+                for at, key in kinds:
+                    yield _batch([[ch[own[at]], cx[own[at]], at - np.searchsorted(own, own[at]), key]], KEYS)
 
     return rows
 
 
-def _anchor_rows(widths: tuple[int, ...], window: int, sieve):
-    """The rows of anchors whose phrase passes the sieve of repeated ones, for each width."""
+def _anchor_rows(width: int, window: int, sieve):
+    """The rows of anchors whose phrase passes the sieve of repeated ones, and of pieces that do."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passed(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits = sieve.value
+        hit = key.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+        ok = (bits[(hit >> np.uint64(3)).astype(np.int64)] >> (hit & np.uint64(7)).astype(np.uint8) & 1) > 0
+        return at[ok], key[ok]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, ends, ch, cx in _chunks(batch, min(widths)):
-                place, first, own, final, inner, name = _phrases(text, ends, window)
-                hit = name.view(np.uint64) & np.uint64(8 * len(bits) - 1)
-                alive = np.flatnonzero(bits[(hit >> np.uint64(3)).astype(np.int64)] >> (hit & np.uint64(7)).astype(np.uint8) & 1)
-                name, alive = name[alive], inner[alive]
+            for text, ends, ch, cx in _chunks(batch, min(width, PIECE)):
+                place, first, own, final, phrases, pieces = _phrases(text, ends, window)
+                begin = ends - np.diff(ends, prepend=0)
+                alive, name = passed(*phrases)
                 doc = own[alive]
-                idx, begin = alive - np.searchsorted(own, doc), (ends - np.diff(ends, prepend=0))[doc]
-                for width in widths:
-                    last = np.where(alive + 1 <= final[alive], first[np.minimum(alive + 1, len(first) - 1)] - 1, ends[doc])
-                    last = np.minimum(last, ends[doc] - width)
-                    n = last - first[alive] + 1
-                    runs = np.searchsorted(place, place[alive] + (width - GRAM - 2 * window + 1)) - alive
-                    r = np.left_shift(1, np.log2(np.maximum(runs, 1)).astype(np.int64))
-                    # without a start, or without the phrases inside this text, an anchor only lends its ranks to others
-                    r[(n < 1) | (alive + runs > final[alive])] = 0
-                    s = np.flatnonzero(r)
-                    a, f = place[alive[s]], first[alive[s]]
-                    tail, span = np.zeros(len(alive), np.int64), np.zeros(len(alive), np.int64)
-                    tail[s] = _digests(text, (place[alive[s] + r[s]] + GRAM).tolist(), (a + width - window + 1).tolist(), 1)
-                    span[s] = _digests(text, f.tolist(), (f + n[s] - 1 + width).tolist(), 2) ^ (a - f) * 31 ^ n[s] << 32
-                    wide = np.full(len(alive), width)
-                    yield _batch([[ch[doc], cx[doc], idx, wide, r, first[alive] - begin, n, name, tail, span]], ANCHORS)
+                last = np.minimum(first[alive + 1] - 1, ends[doc] - width)
+                n = last - first[alive] + 1
+                runs = np.searchsorted(place, place[alive] + (width - GRAM - 2 * window + 1)) - alive
+                r = np.left_shift(1, np.log2(np.maximum(runs, 1)).astype(np.int64))
+                # without a start, or without the phrases inside this text, an anchor only lends its ranks to others
+                r[(n < 1) | (alive + runs > final[alive])] = 0
+                s = np.flatnonzero(r)
+                a, f = place[alive[s]], first[alive[s]]
+                tail, span = np.zeros(len(alive), np.int64), np.zeros(len(alive), np.int64)
+                tail[s] = _digests(text, (place[alive[s] + r[s]] + GRAM).tolist(), (a + width - window + 1).tolist(), 1)
+                span[s] = _digests(text, f.tolist(), (f + n[s] - 1 + width).tolist(), 2) ^ (a - f) * 31 ^ n[s] << 32
+                idx = alive - np.searchsorted(own, doc)
+                yield _batch([[ch[doc], cx[doc], idx, r, first[alive] - begin[doc], n, name, tail, span]], ANCHORS)
+                at, name = passed(*pieces)
+                doc, none = own[at], np.zeros(len(at), np.int64)
+                yield _batch([[ch[doc], cx[doc], at - np.searchsorted(own, doc), none - 1, place[at] - begin[doc], none, name, none, none]], ANCHORS)
 
     return rows
 
 
-PLACE = ["ch", "cx", "width", "idx"]
+PLACE = ["ch", "cx", "idx"]
 
 
 def repeated_keys(rows: DataFrame, *key: str) -> DataFrame:
@@ -225,20 +238,23 @@ def repeated(rows: DataFrame, scratch: Scratch, *key: str) -> DataFrame:
     return rows.join(keys, list(key))
 
 
-def doubled(texts: DataFrame, widths: tuple[int, ...], window: int, scratch: Scratch) -> DataFrame:
-    """The anchor rows that repeat past the threshold, with their core (its rank and tail in one)."""
-    spark, texts = texts.sparkSession, texts.select(*TEXT, "text")
-    names = texts.mapInArrow(_name_rows(min(widths), window), NAMES)
-    twice = scratch.put("names", repeated_keys(names, "name"))
-    sieve = spark.sparkContext.broadcast(bitmap(twice, "name"))
-    rows = texts.mapInArrow(_anchor_rows(widths, window, sieve), ANCHORS)
+def doubled(texts: DataFrame, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The anchor rows that repeat past the threshold, with their core (rank and tail in one), and repeated pieces."""
+    spark, window, texts = texts.sparkSession, window_of(width), texts.select(*TEXT, "text")
+    keys = texts.mapInArrow(_key_rows(min(width, PIECE), window), KEYS)
+    twice = scratch.put("twice", repeated_keys(keys, "key"))
+    sieve = spark.sparkContext.broadcast(bitmap(twice, "key"))
+    rows = texts.mapInArrow(_anchor_rows(width, window, sieve), ANCHORS)
     # the rows of copies of a text fall together
-    alive = scratch.put("alive", rows.dropDuplicates([*PLACE, "name"]))
+    sifted = scratch.put("sifted", rows.dropDuplicates([*PLACE, "name"]))
+    pieces = sifted.where("r < 0").join(twice.withColumnRenamed("key", "name"), "name")
+    pieces = scratch.put("pieces", pieces.select(*TEXT, F.lit(True).alias("told"), F.col("first").alias("a"), (F.col("first") + PIECE).alias("b")))
+    alive = sifted.where("r >= 0")
     level, run = alive.select(*PLACE, "r", "name"), 1
     done = level.where("r = 1").select(*PLACE, "name")
     while True:
         # two doublings in a round: one shuffle by text brings the ranks at i, i + run, i + 2 run and i + 3 run together
-        text = Window.partitionBy(*TEXT, "width")
+        text = Window.partitionBy(*TEXT)
         at = [F.max("name").over(text.orderBy("idx").rangeBetween(k * run, k * run)) for k in (1, 2, 3)]
         ahead = level.withColumn("deepest", F.max("r").over(text)).where(F.col("deepest") >= 2 * run)
         ahead = ahead.select(*PLACE, "r", "name", "deepest", *[x.alias(f"next{k}") for k, x in enumerate(at, 1)]).where("next1 is not null")
@@ -249,13 +265,13 @@ def doubled(texts: DataFrame, widths: tuple[int, ...], window: int, scratch: Scr
         done = done.union(pairs.where(F.col("r") == 2 * run).select(*PLACE, one.alias("name")))
         further = pairs.where((F.col("deepest") >= 4 * run) & F.expr("next2 is not null and next3 is not null"))
         run *= 4
-        level = scratch.put(f"level{run}", repeated(further.select(*PLACE, "r", F.xxhash64(one, two).alias("name")), scratch, "width", "name"))
+        level = scratch.put(f"level{run}", repeated(further.select(*PLACE, "r", F.xxhash64(one, two).alias("name")), scratch, "name"))
         done = done.union(level.where(F.col("r") == run).select(*PLACE, "name"))
     whole = alive.drop("name", "r").join(done, PLACE)
-    out = scratch.put("repeats", whole.withColumn("core", F.xxhash64("width", "name", "tail")).drop("name"))
-    scratch.drop("names", "alive", *(f"{k}{1 << i}" for i in range(run.bit_length()) for k in ("pairs", "level")))
+    out = scratch.put("repeats", whole.withColumn("core", F.xxhash64("name", "tail")).drop("name"))
+    scratch.drop("twice", "sifted", *(f"{k}{1 << i}" for i in range(run.bit_length()) for k in ("pairs", "level")))
     sieve.unpersist()
-    return out
+    return out, pieces
 
 
 def bits_for(keys: int) -> int:
@@ -298,23 +314,27 @@ class Sieve:
         return joined.withColumn("maybe", F.coalesce(held, F.lit(False))).drop("_part", "_at", "_bits")
 
 
-def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _string_rows(width: int):
     """For each wanted span the digests of the strings that start in it, in order."""
-    for batch in batches:
-        out: list[tuple] = []
-        for ch, cx, text, wanted in zip(*(batch.column(k).to_pylist() for k in (*TEXT, "text", "wanted")), strict=True):
-            for w in wanted:
-                starts = range(w["first"], w["first"] + w["n"])
-                found = _digests(text, list(starts), [s + w["width"] for s in starts])
-                out.append((w["core"], w["span"], w["whole"], ch, cx, w["width"], w["first"], found))
-                if len(out) > 5_000:
-                    yield _strings(out)
-                    out = []
-        if out:
-            yield _strings(out)
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for ch, cx, text, wanted in zip(*(batch.column(k).to_pylist() for k in (*TEXT, "text", "wanted")), strict=True):
+                for w in wanted:
+                    starts = range(w["first"], w["first"] + w["n"])
+                    found = _digests(text, list(starts), [s + width for s in starts])
+                    out.append((w["core"], w["span"], w["whole"], ch, cx, w["first"], found))
+                    if len(out) > 5_000:
+                        yield _strings(out)
+                        out = []
+            if out:
+                yield _strings(out)
+
+    return rows
 
-STRINGS = "core long, span long, whole boolean, ch long, cx long, width long, first long, strings array<long>"
+
+STRINGS = "core long, span long, whole boolean, ch long, cx long, first long, strings array<long>"
 
 
 def _strings(out: list[tuple]) -> pa.RecordBatch:
@@ -325,9 +345,9 @@ def _strings(out: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _merged(cover: list[dict] | None, width: int) -> list[list[int]]:
+def _merged(cover: list[dict] | None, told: bool) -> list[list[int]]:
     out: list[list[int]] = []
-    for a, b in sorted((c["a"], c["b"]) for c in cover or () if c["width"] == width):
+    for a, b in sorted((c["a"], c["b"]) for c in cover or () if c["told"] == told):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -335,123 +355,96 @@ def _merged(cover: list[dict] | None, width: int) -> list[list[int]]:
     return out
 
 
-BLANK = b" \t\n\x0b\x0c\r"
-
-
-def words_in(text: bytes, a: int, b: int) -> int:
-    """Whole words in text[a:b]."""
-    words = len(text[a:b].split())
-    cut_left = a > 0 and text[a - 1] not in BLANK and text[a] not in BLANK
-    cut_right = b < len(text) and text[b] not in BLANK and text[b - 1] not in BLANK
-    return max(0, words - cut_left - cut_right)
-
-
-def _cut_rows(width: int, report: int | None, words: int):
-    """Merge each text's intervals and take them out; count the passages of the smaller width."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, removed, spans, told, size = [], [], [], [], []
-            for text, cover in zip(batch.column("text").to_pylist(), batch.column("cover").to_pylist(), strict=True):
-                merged = _merged(cover, width)
-                edges = [0, *(x for m in merged for x in m), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                removed.append(sum(b - a for a, b in merged))
-                spans.append([{"a": a, "b": b} for a, b in merged])
-                told.append(sum(words_in(text, a, b) > words for a, b in _merged(cover, report)) if report else 0)
-                size.append(len(text))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    *(pa.array(x, pa.int64()) for x in (size, removed, told)),
-                    pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
-                    pa.array(kept, pa.binary()),
-                ],
-                ["doc_id", "n_bytes", "n_removed", "n_passages", "spans", "kept"],
-            )
-
-    return rows
-
-
-OUT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_passages long, spans array<struct<a:long,b:long>>, kept binary"
-
-
-def covers(texts: DataFrame, widths: tuple[int, ...], scratch: Scratch) -> DataFrame:
-    """(ch, cx, cover): for each width the intervals of bytes that repeat, of each class of equal texts that has any."""
+def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merge each text's intervals and take them out; add up the pieces that are only told."""
+    for batch in batches:
+        kept, removed, spans, shared, size = [], [], [], [], []
+        for text, cover in zip(batch.column("text").to_pylist(), batch.column("cover").to_pylist(), strict=True):
+            merged = _merged(cover, False)
+            edges = [0, *(x for m in merged for x in m), len(text)]
+            kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            removed.append(sum(b - a for a, b in merged))
+            spans.append([{"a": a, "b": b} for a, b in merged])
+            shared.append(sum(b - a for a, b in _merged(cover, True)))
+            size.append(len(text))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                *(pa.array(x, pa.int64()) for x in (size, removed, shared)),
+                pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
+                pa.array(kept, pa.binary()),
+            ],
+            ["doc_id", "n_bytes", "n_removed", "n_shared", "spans", "kept"],
+        )
+
+
+OUT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_shared long, spans array<struct<a:long,b:long>>, kept binary"
+
+
+def covers(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(ch, cx, cover): intervals of bytes that go, and of pieces that are told, of each class of equal texts that has any."""
     classes = texts.groupBy(*TEXT, F.octet_length("text").cast("long").alias("size")).agg(
         F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one")
     )
     classes = scratch.put("classes", classes)
-    repeats = doubled(texts, widths, window_of(min(widths)), scratch)
-    left = scratch.put("left", repeated(repeats, scratch, "width", "core"))
+    repeats, pieces = doubled(texts, width, scratch)
+    left = scratch.put("left", repeated(repeats, scratch, "core"))
     scratch.drop("repeats")
     place = F.xxhash64("ch", "cx", "idx")
-    key = ["width", "core", "span"]
     spans = scratch.put(
         "spans",
-        left.groupBy(*key)
+        left.groupBy("core", "span")
         .agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min(F.struct("ch", "cx", "first", "n")).alias("at"))
-        .select(*key, (F.col("lo") != F.col("hi")).alias("whole"), "at"),
+        .select("core", "span", (F.col("lo") != F.col("hi")).alias("whole"), "at"),
     )
     # spans to compare start by start: those of cores with a span found once, and more than one span
-    unsure = spans.groupBy("width", "core").agg(F.min("whole").alias("sure"), F.count(F.lit(1)).alias("k")).where("k > 1 and not sure")
+    unsure = spans.groupBy("core").agg(F.min("whole").alias("sure"), F.count(F.lit(1)).alias("k")).where("k > 1 and not sure")
     wanted = scratch.put(
         "wanted",
-        spans.join(unsure.select("width", "core"), ["width", "core"]).select(
-            "at.ch", "at.cx", F.struct("at.first", "at.n", "width", "core", "span", "whole").alias("w")
-        ),
+        spans.join(unsure.select("core"), "core").select("at.ch", "at.cx", F.struct("at.first", "at.n", "core", "span", "whole").alias("w")),
     )
     # one text of each class is enough, and so no repeated work for copies
     one = wanted.groupBy(*TEXT).agg(F.collect_list("w").alias("wanted")).join(classes.select(*TEXT, "one"), TEXT)
     maybe = Sieve(wanted.select("ch")).marked(texts.select(*TEXT, "doc_id", "text")).where("maybe")
     chosen = maybe.join(one.hint("shuffle_hash"), TEXT).where(F.col("doc_id").eqNullSafe(F.col("one"))).select(*TEXT, "text", "wanted")
-    strings = scratch.put("strings", chosen.mapInArrow(_string_rows, STRINGS))
+    strings = scratch.put("strings", chosen.mapInArrow(_string_rows(width), STRINGS))
     scratch.drop("wanted")
     # a string is found once in a span, so one of two spans is elsewhere
-    each = strings.select(*key, F.explode("strings").alias("string"))
-    twice = each.groupBy("width", "core", "string").agg(F.min("span").alias("lo"), F.max("span").alias("hi")).where("lo <> hi")
-    alone = strings.where("not whole").select("width", "core", *TEXT, "first", F.posexplode("strings").alias("k", "string"))
-    start = (F.col("first") + F.col("k")).alias("a")
-    shared = ["width", "core", "string"]
-    single = alone.join(twice.select(*shared), shared).select(*TEXT, "width", start, (start + F.col("width")).alias("b"))
-    whole = left.join(spans.where("whole").select(*key), key).select(
-        *TEXT, "width", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + F.col("width")).alias("b")
-    )
-    copies = (
-        classes.where("copies > 1")
-        .withColumn("width", F.explode(F.array(*[F.lit(w).cast("long") for w in widths])))
-        .where("size >= width")
-        .select(*TEXT, "width", F.lit(0).cast("long").alias("a"), F.col("size").alias("b"))
+    each = strings.select("core", "span", F.explode("strings").alias("string"))
+    twice = each.groupBy("core", "string").agg(F.min("span").alias("lo"), F.max("span").alias("hi")).where("lo <> hi")
+    alone = strings.where("not whole").select("core", *TEXT, "first", F.posexplode("strings").alias("k", "string"))
+    start, gone = (F.col("first") + F.col("k")).alias("a"), F.lit(False).alias("told")
+    single = alone.join(twice.select("core", "string"), ["core", "string"]).select(*TEXT, gone, start, (start + width).alias("b"))
+    whole = left.join(spans.where("whole").select("core", "span"), ["core", "span"]).select(
+        *TEXT, gone, F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + width).alias("b")
     )
-    out = scratch.put(
-        "cover", whole.union(single).union(copies).groupBy(*TEXT).agg(F.collect_set(F.struct("width", "a", "b")).alias("cover"))
-    )
-    scratch.drop("classes", "left", "spans", "strings", *scratch.made)
+    copies = classes.where("copies > 1").select(*TEXT, "size", F.explode(F.array(F.lit(False), F.lit(True))).alias("told"))
+    copies = copies.where(F.col("size") >= F.when(F.col("told"), PIECE).otherwise(width))
+    copies = copies.select(*TEXT, "told", F.lit(0).cast("long").alias("a"), F.col("size").alias("b"))
+    found = whole.union(single).union(copies).union(pieces)
+    out = scratch.put("cover", found.groupBy(*TEXT).agg(F.collect_set(F.struct("told", "a", "b")).alias("cover")))
+    scratch.drop("classes", "left", "spans", "strings", "pieces", *scratch.made)
     return out
 
 
-def remove_repeats(docs: DataFrame, width: int = 400, report: int | None = None, words: int = 50) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_passages, spans (removed, as [a, b) of bytes) and kept (the other bytes) of every row.
-
-    n_passages: maximal runs of repeated ``report``-byte strings that hold over ``words`` words; 0 without ``report``.
-    """
+def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_shared, spans (removed, as [a, b) of bytes) and kept (the other bytes) of every row."""
     texts = keep_only(docs, doc_id="long", text="string").select(
         "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")
     )
     texts = texts.withColumns({"ch": F.xxhash64("text"), "cx": F.xxhash64(F.lit(1), "text")})
-    widths = (width,) if report is None or report >= width else (width, report)
     scratch = Scratch(docs.sparkSession)
     with shuffles_released(docs.sparkSession):
-        cover = covers(texts, widths, scratch)
+        cover = covers(texts, width, scratch)
     sifted = Sieve(cover.select("ch")).marked(texts)
     maybe, plain = sifted.where("maybe"), sifted.where("not maybe")
     none = F.expr("cast(array() as array<struct<a:long,b:long>>)")
     cutting = maybe.join(cover.hint("shuffle_hash"), TEXT, "left").select("doc_id", "text", "cover")
     zero = F.lit(0).cast("long")
     untouched = plain.select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_passages"), none.alias("spans"), F.col("text").alias("kept")
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_shared"), none.alias("spans"), F.col("text").alias("kept")
     )
-    return cutting.mapInArrow(_cut_rows(width, widths[-1] if len(widths) > 1 else None, words), OUT_SCHEMA).union(untouched)
+    return cutting.mapInArrow(_cut_rows, OUT_SCHEMA).union(untouched)
 
 
 def span_count(spans: Column | str) -> Column:
