@@ -185,30 +185,157 @@ def overall_level(found: DataFrame) -> DataFrame:
     return worst.select(level.alias("level"), F.element_at(advice, level).alias("escalation"), "n_breaches")
 
 
-def resume_eligibility(requests: DataFrame, receipts: DataFrame, grants: DataFrame, at: Column) -> DataFrame:
-    """Whether each decided request may resume at ``at``, with the ordered reasons that it may not."""
+def resume_eligibility(asked: DataFrame, requests: DataFrame, receipts: DataFrame, grants: DataFrame) -> DataFrame:
+    """Whether each ask may resume, with the ordered reasons that it may not.
+
+    asked: approval_id, decision_id and authority_ref (of the request, receipt and grant it relies on; each may be null or
+    unknown), action, target and the instant at. A grant's scope is an array of actions.
+    """
     rows = (
-        receipts.select("decision_id", "approval_id", "decision")
-        .join(requests.select("approval_id"), "approval_id")
-        .join(grants.select("decision_id", "authority_ref", "state", "uses", "max_uses", "expires_at"), "decision_id", "left")
+        asked.join(requests.select("approval_id", F.lit(True).alias("known")), "approval_id", "left")
+        .join(receipts.select("decision_id", "decision", F.col("approval_id").alias("r_approval")), "decision_id", "left")
+        .join(
+            grants.select("authority_ref", F.col("decision_id").alias("g_decision"), "state", "uses", "max_uses", "expires_at", "scope", F.col("target").alias("g_target")),
+            "authority_ref",
+            "left",
+        )
     )
-    missing = F.col("authority_ref").isNull()
-    spent = (F.col("state") == "consumed") | (F.col("uses") >= F.col("max_uses"))
-    has = ~missing
+    decided, has = F.col("decision").isNotNull(), F.col("max_uses").isNotNull()
+    state, uses = F.coalesce("state", F.lit("active")), F.coalesce("uses", F.lit(0))
+    spent = state.isin("consumed", "exhausted") | (uses >= F.col("max_uses"))
     codes = reasons(
-        (~F.col("decision").isin("approve", "modify"), "decision_not_authorizing"),
-        (missing, "authority_missing"),
-        (has & (F.col("state") == "revoked"), "authority_revoked"),
-        (has & (F.col("state") != "revoked") & spent, "authority_exhausted"),
-        (has & (at > F.col("expires_at")), "authority_expired"),
+        (~F.coalesce(F.col("decision").isin("approve", "modify"), F.lit(False)), "decision_not_authorizing"),
+        (~has, "authority_missing"),
+        (has & (state == "revoked"), "authority_revoked"),
+        (has & (state != "revoked") & spent, "authority_exhausted"),
+        (has & (F.col("at") > F.col("expires_at")), "authority_expired"),
+        (has & ~F.coalesce(F.array_contains("scope", F.col("action")), F.lit(False)), "scope_mismatch"),
+        (has & ~F.col("target").eqNullSafe(F.col("g_target")), "target_mismatch"),
+        (has & decided & ~F.col("g_decision").eqNullSafe(F.col("decision_id")), "decision_authority_mismatch"),
+        (has & decided & ~F.col("r_approval").eqNullSafe(F.when(F.col("known"), F.col("approval_id"))), "approval_decision_mismatch"),
     )
     return rows.select(
         "approval_id",
         "decision_id",
+        F.when(has, F.col("authority_ref")).alias("authority_ref"),
         (F.size(codes) == 0).alias("eligible"),
         F.array_join(codes, ",").alias("reasons"),
-        F.when(has, F.greatest(F.lit(0).cast("long"), (F.col("max_uses") - F.col("uses")).cast("long"))).alias("remaining_uses"),
+        F.when(has, F.greatest(F.lit(0).cast("long"), (F.col("max_uses") - uses).cast("long"))).otherwise(F.lit(0).cast("long")).alias("remaining_uses"),
+    )
+
+
+#: The status that an accepted decision leaves.
+STATUS = {"approve": "approved", "deny": "denied", "modify": "modified", "defer": "deferred", "cancel": "cancelled"}
+
+
+def fold_approvals(commands: DataFrame) -> DataFrame:
+    """The outcome of each command of a log on approvals; refused ones change nothing.
+
+    commands: seq (their order), approval_id, kind, and by kind: enqueue (run_id, expires_at); resolve (decision_id,
+    decision, run_id, at, and for a grant authority_ref and grant_decision_id); expire (at). Returns seq, approval_id,
+    kind, outcome (accepted, or why not) and status (of the approval afterwards). A pending approval leaves that state
+    once, at its first sound resolution or due expiry; one shuffle by approval, one by decision and one by grant find it.
+    """
+    of_approval = Window.partitionBy("approval_id")
+    kind = F.col("kind")
+    begun = F.min(F.when(kind == "enqueue", F.struct("seq", "run_id", "expires_at"))).over(of_approval)
+    rows = commands.withColumn("q", begun)
+    known = F.coalesce(F.col("q.seq") < F.col("seq"), F.lit(False))
+    has_grant = F.col("authority_ref").isNotNull()
+    flaw = first_code(
+        [
+            (~F.col("run_id").eqNullSafe(F.col("q.run_id")), "run_mismatch"),
+            (F.col("at") > F.col("q.expires_at"), "expired_before_decision"),
+            (~F.col("decision").isin(*STATUS), "unknown_decision"),
+            (has_grant & ~F.col("decision").isin("approve", "modify"), "grant_not_allowed"),
+            (has_grant & ~F.col("grant_decision_id").eqNullSafe(F.col("decision_id")), "grant_decision_mismatch"),
+        ]
+    )
+    rows = rows.withColumns({"known": known, "flaw": F.when(kind == "resolve", flaw)})
+    sound = (kind == "resolve") & known & F.col("flaw").isNull()
+    due = (kind == "expire") & known & (F.col("at") >= F.col("q.expires_at"))
+    rows = rows.withColumn("left_at", F.min(F.when(sound | due, F.col("seq"))).over(of_approval))
+    # an id of a decision or grant that an earlier resolution took is refused; the approval then stays pending, so ids are
+    # taken by resolutions that would be accepted, and a repeated one leaves its approval to its next sound command
+    would = sound & (F.col("seq") == F.col("left_at"))
+    for name in ("decision_id", "authority_ref"):
+        taken = F.min(F.when(would & F.col(name).isNotNull(), F.col("seq"))).over(Window.partitionBy(F.coalesce(name, F.concat(F.lit("none "), F.col("seq").cast("string")))))
+        rows = rows.withColumn(f"first_{name}", taken)
+    twice = first_code(
+        [
+            (sound & (F.col("first_decision_id") < F.col("seq")), "duplicate_decision_id"),
+            (sound & has_grant & (F.col("first_authority_ref") < F.col("seq")), "duplicate_authority_ref"),
+        ]
+    )
+    rows = rows.withColumn("twice", twice)
+    free = (sound & F.col("twice").isNull()) | due
+    rows = rows.withColumn("left_at", F.min(F.when(free, F.struct("seq", F.when(kind == "resolve", status_of(F.col("decision"))).otherwise("expired").alias("status")))).over(of_approval))
+    gone = F.coalesce(F.col("left_at.seq") < F.col("seq"), F.lit(False))
+    refused = (
+        F.when((kind == "enqueue") & (F.col("q.seq") < F.col("seq")), "duplicate_approval_id")
+        .when((kind != "enqueue") & ~F.col("known"), "unknown_approval")
+        .when((kind != "enqueue") & gone, "not_pending")
+        .when(kind == "resolve", F.coalesce("flaw", "twice"))
+        .when((kind == "expire") & (F.col("at") < F.col("q.expires_at")), "not_due")
     )
+    after = F.when(F.col("q.seq").isNull() | (F.col("q.seq") > F.col("seq")), None).when(F.col("left_at.seq") <= F.col("seq"), F.col("left_at.status")).otherwise("pending")
+    return rows.select("seq", "approval_id", "kind", F.coalesce(refused, F.lit("accepted")).alias("outcome"), after.alias("status"))
+
+
+def status_of(decision: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv]), decision)
+
+
+def fold_grants(grants: DataFrame, commands: DataFrame) -> DataFrame:
+    """The outcome of each command of a log on grants, in order of seq within a grant; refused ones change nothing.
+
+    grants: authority_ref, state, uses, max_uses, expires_at, scope (array), target, revocable. commands: seq,
+    authority_ref, kind (consume or revoke), action, target, at. Returns seq, authority_ref, kind, outcome, and state and
+    uses of the grant afterwards. A grant that is not active, whether spent, expired or revoked before, refuses every use;
+    a use after the expiry leaves it expired; a revocation needs a revocable grant. Running counts over a grant's commands.
+    """
+    known = grants.select(
+        "authority_ref", "max_uses", F.col("expires_at").alias("ends"), "scope", F.col("target").alias("g_target"), "revocable",
+        F.coalesce("state", F.lit("active")).alias("state0"), F.coalesce("uses", F.lit(0)).cast("long").alias("uses0"),
+    )
+    rows = commands.join(known, "authority_ref", "left")
+    use, exists = F.col("kind") == "consume", F.col("max_uses").isNotNull()
+    flaw = first_code(
+        [
+            (F.col("at") > F.col("ends"), "authority_expired"),
+            (~F.coalesce(F.array_contains("scope", F.col("action")), F.lit(False)), "scope_mismatch"),
+            (~F.col("target").eqNullSafe(F.col("g_target")), "target_mismatch"),
+        ]
+    )
+    rows = rows.withColumn("flaw", F.when(use, flaw))
+    before = Window.partitionBy("authority_ref").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("authority_ref").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    good, late = use & F.col("flaw").isNull(), use & F.col("flaw").eqNullSafe("authority_expired")
+    revokes = (F.col("kind") == "revoke") & F.coalesce("revocable", F.lit(False))
+
+    def so_far(cond: Column, over) -> Column:
+        return F.coalesce(F.count_if(cond).over(over), F.lit(0))
+
+    rows = rows.withColumns(
+        {"used": so_far(good, before), "stopped": so_far(late | revokes, before), "revoked": so_far(revokes, upto), "lates": so_far(late, upto)}
+    )
+    active = (F.col("state0") == "active") & (F.col("stopped") == 0) & (F.col("uses0") + F.col("used") < F.col("max_uses"))
+    outcome = first_code(
+        [
+            (~exists, "unknown_authority"),
+            ((F.col("kind") == "revoke") & ~F.coalesce("revocable", F.lit(False)), "not_revocable"),
+            (use & ~active, "authority_not_active"),
+            (use & F.col("flaw").isNotNull(), "refused"),
+        ]
+    )
+    outcome = F.when(outcome == "refused", F.col("flaw")).otherwise(F.coalesce(outcome, F.lit("accepted")))
+    rows = rows.withColumn("outcome", outcome)
+    uses = F.col("uses0") + so_far(use & (F.col("outcome") == "accepted"), upto)
+    expired = so_far(use & (F.col("outcome") == "authority_expired"), upto) > 0
+    state = (
+        F.when(F.col("revoked") > 0, "revoked").when(F.col("state0") != "active", F.col("state0")).when(expired, "expired").when(uses >= F.col("max_uses"), "consumed").otherwise("active")
+    )
+    return rows.select("seq", "authority_ref", "kind", "outcome", F.when(exists, state).alias("state"), F.when(exists, uses).alias("uses"))
 
 
 def expire_due(requests: DataFrame, receipts: DataFrame, at: Column) -> DataFrame:
@@ -227,30 +354,40 @@ def expire_due(requests: DataFrame, receipts: DataFrame, at: Column) -> DataFram
     return requests.join(in_time, "approval_id", "left").select("approval_id", status.alias("status"))
 
 
-def consume(grants: DataFrame, uses: DataFrame) -> DataFrame:
-    """Accept or refuse each use (authority_ref, use_id, used_at) of a grant, in time order.
+def journal(approvals: DataFrame, folded_approvals: DataFrame, folded_grants: DataFrame) -> DataFrame:
+    """Append-only mutations of the eight kinds that accepted commands leave: seq, mutation and object_id.
 
-    A use after the expiry is refused and leaves the grant expired; uses beyond max_uses find it consumed.
+    approvals: the commands that were folded into folded_approvals. An expired use leaves a mutation though it is refused.
     """
-    order = Window.partitionBy("authority_ref").orderBy("used_at", "use_id")
-    rows = uses.join(grants.select("authority_ref", "max_uses", F.col("expires_at").alias("grant_expires_at")), "authority_ref")
-    late = F.col("used_at") > F.col("grant_expires_at")
-    rows = rows.withColumn("n", F.row_number().over(order))
-    outcome = first_code([(F.col("n") > F.col("max_uses"), "authority_consumed"), (late, "authority_expired")])
-    return rows.select("authority_ref", "use_id", outcome.isNull().alias("accepted"), F.coalesce(outcome, F.lit("accepted")).alias("outcome"))
-
-
-def journal(requests: DataFrame, receipts: DataFrame, grants: DataFrame) -> DataFrame:
-    """Append-only mutations of the queue: object, type and instant."""
-    enqueued = requests.select(F.col("approval_id").alias("object_id"), F.lit("approval.enqueued").alias("mutation"), F.col("requested_at").alias("at"))
-    decided = receipts.select(F.col("approval_id"), F.lit("approval.resolved"), F.col("decided_at"))
-    recorded = receipts.select(F.col("decision_id"), F.lit("decision.recorded"), F.col("decided_at"))
-    granted = grants.join(receipts.select("decision_id", "decided_at"), "decision_id").select("authority_ref", F.lit("authority.granted"), F.col("decided_at"))
-    return enqueued.union(decided).union(recorded).union(granted)
+    done = folded_approvals.where("outcome = 'accepted'").select("seq", "kind").join(approvals.select("seq", "approval_id", "decision_id", "authority_ref"), "seq")
+
+    def of(df: DataFrame, cond: Column, mutation: str, object_id: str) -> DataFrame:
+        return df.where(cond).select("seq", F.lit(mutation).alias("mutation"), F.col(object_id).alias("object_id"))
+
+    kind, used = F.col("kind"), F.col("outcome") == "accepted"
+    parts = [
+        of(done, kind == "enqueue", "approval.enqueued", "approval_id"),
+        of(done, kind == "resolve", "approval.resolved", "approval_id"),
+        of(done, kind == "resolve", "decision.recorded", "decision_id"),
+        of(done, (kind == "resolve") & F.col("authority_ref").isNotNull(), "authority.granted", "authority_ref"),
+        of(done, kind == "expire", "approval.expired", "approval_id"),
+        of(folded_grants, used & (kind == "consume"), "authority.consumed", "authority_ref"),
+        of(folded_grants, used & (kind == "revoke"), "authority.revoked", "authority_ref"),
+        of(folded_grants, F.col("outcome") == "authority_expired", "authority.expired", "authority_ref"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 def journal_state(entries: DataFrame) -> DataFrame:
-    """Latest mutation and state version of each object; later mutations win, and at one instant the later type."""
+    """Latest mutation and state version of each object; at one seq the later type counts as later."""
     return entries.groupBy("object_id").agg(
-        F.max_by("mutation", F.struct("at", "mutation")).alias("last_mutation"), F.count(F.lit(1)).alias("state_version"), F.max("at").alias("changed_at")
+        F.max_by("mutation", F.struct("seq", "mutation")).alias("last_mutation"), F.count(F.lit(1)).alias("state_version"), F.max("seq").alias("changed_at")
     )
+
+
+def journal_counts(entries: DataFrame) -> DataFrame:
+    """Mutations of each kind."""
+    return entries.groupBy("mutation").agg(F.count(F.lit(1)).alias("n"))

@@ -1,7 +1,8 @@
 """Hash chains over ordered records: sealing, anchors and verification.
 
 A record's digest is the SHA-256 of its exact bytes; a chain digest is the SHA-256 of a domain tag, the chain digest
-before (32 zero bytes at first) and the record's digest. The fold is a grouped task that streams a run in order.
+before (32 zero bytes at first) and the record's digest. A chain is sequential, so it is folded in blocks of BLOCK places
+of a run: only digests go to a block's task, and only the head of the chain goes from one block to the next.
 """
 
 from __future__ import annotations
@@ -9,25 +10,39 @@ from __future__ import annotations
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.expr import first_code
+from ..functions.lineage import cut
+
 #: Ends in NUL so that no tag is the beginning of another. Pass another for chains that were sealed under it.
 DOMAIN = b"causeway/chain/v1\0"
+#: Places of a run that one task folds.
+BLOCK = 200_000
+# Fixed values of the profile that sidecars and anchors name.
+HASH_ALGORITHM, RECORD_ENCODING = "sha256", "exact-bytes"
 SIDECAR = "run_id string, ledger_seq long, event_id string, record_digest string, previous_chain_digest string, chain_digest string"
-GENESIS = "sha256:" + "0" * 64
 
 
-def seal(records: DataFrame, domain: bytes = DOMAIN) -> DataFrame:
-    """The sidecar of records (run_id, ledger_seq, event_id, record): one row for each record."""
+def parse(records: DataFrame) -> DataFrame:
+    """records (ledger, position, record) with run_id, ledger_seq and event_id from their JSON, and whether that is sound."""
+    fields = F.from_json(F.col("record").cast("string"), "run_id string, ledger_seq long, event_id string")
+    out = records.withColumn("_f", fields).select(*records.columns, "_f.run_id", "_f.ledger_seq", "_f.event_id")
+    return out.withColumn("is_sound", F.col("run_id").isNotNull() & F.col("ledger_seq").isNotNull() & F.col("event_id").isNotNull())
+
+
+def seal(records: DataFrame, domain: bytes = DOMAIN, block: int = BLOCK) -> DataFrame:
+    """The sidecar of records (run_id, ledger_seq, event_id, record): one row for each record; a run's first has no previous digest."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ledger_seq", kind="stable")
-        before, rows = bytes(32), []
+        head = pdf["head"].iloc[0]
+        before, rows = bytes.fromhex(head[7:]) if head else bytes(32), []
         for raw in pdf["digest"]:
             after = sha256(domain + before + bytes.fromhex(raw)).digest()
-            rows.append((before.hex(), after.hex()))
+            rows.append("sha256:" + after.hex())
             before = after
         return pd.DataFrame(
             {
@@ -35,14 +50,26 @@ def seal(records: DataFrame, domain: bytes = DOMAIN) -> DataFrame:
                 "ledger_seq": pdf["ledger_seq"],
                 "event_id": pdf["event_id"],
                 "record_digest": "sha256:" + pdf["digest"],
-                "previous_chain_digest": ["sha256:" + a for a, _ in rows],
-                "chain_digest": ["sha256:" + b for _, b in rows],
+                "previous_chain_digest": [head, *rows[:-1]],
+                "chain_digest": rows,
             }
         )
 
     # only digests go to the grouped tasks, never the records themselves
     slim = records.select("run_id", "ledger_seq", "event_id", F.sha2("record", 256).alias("digest"))
-    return slim.groupBy("run_id").applyInPandas(fold, SIDECAR)
+    number = F.floor((F.coalesce("ledger_seq", F.lit(1)) - 1) / block)
+    longest = records.agg(F.max(number)).first()[0] or 0
+    out, heads = None, None
+    for k in range(longest + 1):
+        part = slim if not longest else slim.where(number <= 0 if k == 0 else number == k)
+        part = part.withColumn("head", F.lit(None).cast("string")) if heads is None else part.join(heads, "run_id", "left")
+        done = part.groupBy("run_id").applyInPandas(fold, SIDECAR)
+        if longest:
+            done = cut(done)
+            latest = done.groupBy("run_id").agg(F.max_by("chain_digest", "ledger_seq").alias("head"))
+            heads = latest if heads is None else cut(latest.union(heads.join(latest, "run_id", "left_anti")))
+        out = done if out is None else out.union(done)
+    return out
 
 
 def anchors(sidecar: DataFrame) -> DataFrame:
@@ -56,53 +83,108 @@ def anchors(sidecar: DataFrame) -> DataFrame:
     )
 
 
-def verify(records: DataFrame, sidecar: DataFrame, anchor: DataFrame, domain: bytes = DOMAIN) -> DataFrame:
-    """run_id, valid, code and position of each run's first failure; the anchor is looked at last."""
-    n_side = sidecar.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_side"))
-    n_rec = records.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_records"))
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy("ledger_seq"))
-    fresh = seal(records, domain).withColumn("place", place).select(*_prefixed("f"))
-    kept = sidecar.withColumn("place", place).select(*_prefixed("s"))
-    both = fresh.join(kept, ["run_id", "place"])
+def _differs(a: str, b: str) -> Column:
+    return ~F.col(a).eqNullSafe(F.col(b))
+
+
+def _profile(side: str, df: DataFrame, prefix: str) -> Column:
+    """Whether the profile columns, where df has them, name another profile."""
+    wrong = F.lit(False)
+    for name, value in (("hash_algorithm", HASH_ALGORITHM), ("record_encoding", RECORD_ENCODING)):
+        if name in df.columns:
+            wrong = wrong | ~F.col(f"{prefix}_{name}").eqNullSafe(F.lit(value))
+    return wrong
+
+
+def _placed(df: DataFrame, ledger: str, prefix: str) -> DataFrame:
+    """df by ledger and place (its column ``position``, or its order by ledger_seq), other columns prefixed."""
+    order = F.col("position") if "position" in df.columns else F.col("ledger_seq")
+    place = F.row_number().over(Window.partitionBy(ledger).orderBy(order))
+    rest = [F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != "position"]
+    return df.select(F.col(ledger).alias("_ledger"), place.alias("place"), *rest)
+
+
+def verify(
+    records: DataFrame, sidecar: DataFrame, anchor: DataFrame, domain: bytes = DOMAIN, ledger: str = "run_id", require_anchor: bool = False
+) -> DataFrame:
+    """The first failure of each ledger that any of the three tables knows; the anchor is looked at last.
+
+    Returns the ledger, valid, code, position, event_count, checked_records, anchor_checked and head_digest (of the last
+    sound record). All comparisons count null as a value of its own. A ledger without an anchor is valid if its chain
+    is, with anchor_checked false, or anchor_missing with ``require_anchor``. ``ledger`` names the column that keeps
+    ledgers apart (then a record of another run is a failure), a column ``position`` the place in the file, ``is_sound``
+    (see parse) whether a record could be read; hash_algorithm and record_encoding of sidecar and anchor are checked
+    where they are given. A sidecar row without any value in event_id and digests is no integrity record. An anchor
+    names its ledger in ``ledger``; of several of one ledger the least by head counts.
+    """
+    sound = F.col("is_sound") if "is_sound" in records.columns else F.lit(True)
+    rec = records.withColumn("_sound", F.coalesce(sound, F.lit(False)))
+    fresh_of = seal(rec.select(F.col(ledger).alias("run_id"), F.col("position" if "position" in rec.columns else "ledger_seq").alias("ledger_seq"), "event_id", "record"), domain)
+    chain = _placed(fresh_of.select("run_id", "ledger_seq", "record_digest", "previous_chain_digest", "chain_digest"), "run_id", "c")
+    both = (
+        _placed(rec.drop("record"), ledger, "f")
+        .join(chain, ["_ledger", "place"])
+        .join(_placed(sidecar, ledger, "s"), ["_ledger", "place"], "left")
+    )
+    first = F.min(F.when(F.col("place") == 1, F.col("f_run_id"))).over(Window.partitionBy("_ledger"))
+    both = both.withColumn("first_run", first)
     # in the order in which a position's failures are looked for
     checks = [
-        (F.col("f_ledger_seq") != F.col("place"), "ledger_seq_mismatch"),
-        ((F.col("s_ledger_seq") != F.col("f_ledger_seq")) | (F.col("s_event_id") != F.col("f_event_id")), "integrity_identity_mismatch"),
-        (F.col("s_record_digest") != F.col("f_record_digest"), "record_digest_mismatch"),
-        (F.col("s_previous_chain_digest") != F.col("f_previous_chain_digest"), "previous_chain_digest_mismatch"),
-        (F.col("s_chain_digest") != F.col("f_chain_digest"), "chain_digest_mismatch"),
+        (~F.col("f__sound"), "invalid_record"),
+        (_differs("f_ledger_seq", "place"), "ledger_seq_mismatch"),
+        (_differs("f_run_id", "first_run"), "run_id_mismatch"),
+        (F.coalesce("s_event_id", "s_record_digest", "s_chain_digest").isNull(), "invalid_integrity_record"),
+        (_differs("s_ledger_seq", "f_ledger_seq") | _differs("s_event_id", "f_event_id") | _differs("s_run_id", "first_run"), "integrity_identity_mismatch"),
+        (_profile("sidecar", sidecar, "s"), "integrity_profile_mismatch"),
+        (_differs("s_record_digest", "c_record_digest"), "record_digest_mismatch"),
+        (_differs("s_previous_chain_digest", "c_previous_chain_digest"), "previous_chain_digest_mismatch"),
+        (_differs("s_chain_digest", "c_chain_digest"), "chain_digest_mismatch"),
     ]
-    code = F.lit(None).cast("string")
-    for cond, name in reversed(checks):
-        code = F.when(cond, name).otherwise(code)
-    first = (
-        both.select("run_id", "place", code.alias("code")).where("code is not null")
-        .groupBy("run_id").agg(F.min_by("code", "place").alias("chain_code"), F.min("place").alias("position"))
+    # written once: the first failures and the heads both read it
+    coded = cut(both.select("_ledger", "place", "f_event_id", "first_run", F.col("c_chain_digest").alias("chain"), first_code(checks).alias("code")))
+    per = coded.groupBy("_ledger").agg(
+        F.count(F.lit(1)).alias("event_count"),
+        F.min_by("code", F.when(F.col("code").isNotNull(), F.col("place"))).alias("chain_code"),
+        F.min(F.when(F.col("code").isNotNull(), F.col("place"))).alias("position"),
+        F.max_by("chain", "place").alias("head"),
+        F.min_by("f_event_id", "place").alias("first_event_id"),
+        F.max_by("f_event_id", "place").alias("last_event_id"),
+        F.max("first_run").alias("run"),
     )
-    head = anchors(seal(records, domain)).select("run_id", F.col("final_chain_digest").alias("head"), "first_event_id", "last_event_id")
-    told = anchor.select(
-        "run_id",
-        F.col("event_count").alias("a_count"),
-        F.col("first_event_id").alias("a_first"),
-        F.col("last_event_id").alias("a_last"),
-        F.col("final_chain_digest").alias("a_head"),
+    before = coded.join(per.select("_ledger", "position"), "_ledger").where(F.col("place") == F.col("position") - 1)
+    n_side = sidecar.groupBy(F.col(ledger).alias("_ledger")).agg(F.count(F.lit(1)).alias("n_side"))
+    names = ["run_id", "event_count", "first_event_id", "last_event_id", "hash_algorithm", "record_encoding", "final_chain_digest"]
+    told = anchor.groupBy(F.col(ledger).alias("_ledger")).agg(F.min(F.struct("final_chain_digest", *[c for c in names[:-1] if c in anchor.columns])).alias("a"))
+    told = told.select("_ledger", F.lit(True).alias("told"), *[F.col(f"a.{c}").alias(f"a_{c}") for c in names if c in anchor.columns])
+    ledgers = per.select("_ledger").union(n_side.select("_ledger")).union(told.select("_ledger")).distinct()
+    out = (
+        ledgers.join(per, "_ledger", "left").join(n_side, "_ledger", "left").join(told, "_ledger", "left")
+        .join(before.select("_ledger", F.col("chain").alias("head_before")), "_ledger", "left")
+        .withColumns({"n": F.coalesce("event_count", F.lit(0)), "n_side": F.coalesce("n_side", F.lit(0)), "told": F.coalesce("told", F.lit(False))})
     )
-    out = n_rec.join(n_side, "run_id", "left").join(first, "run_id", "left").join(head, "run_id").join(told, "run_id", "left")
-    final = (
-        F.when(F.coalesce("n_side", F.lit(0)) != F.col("n_records"), "sidecar_count_mismatch")
-        .when(F.col("chain_code").isNotNull(), F.col("chain_code"))
-        .when(F.col("a_count").isNotNull() & (F.col("a_count") != F.col("n_records")), "anchor_event_count_mismatch")
-        .when((F.col("a_first") != F.col("first_event_id")) | (F.col("a_last") != F.col("last_event_id")), "anchor_identity_mismatch")
-        .when(F.col("a_head") != F.col("head"), "anchor_head_mismatch")
+    anchored = F.col("told")
+    final = first_code(
+        [
+            (F.col("n") != F.col("n_side"), "sidecar_count_mismatch"),
+            (F.col("n") == 0, "empty_ledger"),
+            *[(F.col("chain_code") == name, name) for _, name in checks],
+            (anchored & _differs("a_event_count", "n"), "anchor_event_count_mismatch"),
+            (anchored & (_differs("a_run_id", "run") | _differs("a_first_event_id", "first_event_id") | _differs("a_last_event_id", "last_event_id")), "anchor_identity_mismatch"),
+            (anchored & _profile("anchor", anchor, "a"), "anchor_profile_mismatch"),
+            (anchored & _differs("a_final_chain_digest", "head"), "anchor_head_mismatch"),
+            (~anchored & F.lit(require_anchor), "anchor_missing"),
+        ]
     )
+    out = out.withColumn("code", final)
+    unread = F.col("code").isin("sidecar_count_mismatch", "empty_ledger") & F.col("code").isNotNull()
+    in_chain = F.coalesce(F.col("code") == F.col("chain_code"), F.lit(False))
     return out.select(
-        "run_id",
-        final.isNull().alias("valid"),
-        final.alias("code"),
-        F.when(final == F.col("chain_code"), F.col("position")).cast("long").alias("position"),
+        F.col("_ledger").alias(ledger),
+        F.col("code").isNull().alias("valid"),
+        "code",
+        F.when(in_chain, F.col("position")).cast("long").alias("position"),
+        F.col("n").cast("long").alias("event_count"),
+        F.when(unread, 0).when(in_chain, F.col("position") - 1).otherwise(F.col("n")).cast("long").alias("checked_records"),
+        anchored.alias("anchor_checked"),
+        F.when(unread, None).when(in_chain, F.col("head_before")).otherwise(F.col("head")).alias("head_digest"),
     )
-
-
-def _prefixed(side: str) -> list:
-    names = [x.split()[0] for x in SIDECAR.split(", ")]
-    return [F.col("run_id"), F.col("place"), *[F.col(n).alias(f"{side}_{n}") for n in names if n != "run_id"]]

@@ -14,7 +14,7 @@ FAMILIES = ("A", "N", "R")
 REFERENCE = {"A": 0.5, "N": 0.3, "R": 0.2}
 #: (observation, target reliability)
 TARGETS = ((0, 0.9), (1, 0.85), (2, 0.88))
-CONFIDENCE, INTERVAL, MIN_FRACTION, REPLICATES, SEED = 0.9, 0.9, 0.5, 16, "seed"
+CONFIDENCE, INTERVAL, MIN_FRACTION, REPLICATES, SEED = 0.9, 0.9, 0.5, 256, "seed"
 TAIL = (1 - INTERVAL) / 2
 KEYS = ("snapshot_id", "family_id", "subject")
 

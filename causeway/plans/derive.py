@@ -135,6 +135,11 @@ def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
             cap.alias("max_uses"),
             F.least(F.col("line_count"), cap).alias("uses"),
             F.when(F.col("line_count") >= cap, "consumed").when(F.col("o_orderkey") % 7 == 0, "revoked").otherwise("active").alias("state"),
+            F.when(F.col("o_orderkey") % 11 == 0, F.array(F.lit("A"))).otherwise(F.array(F.lit("A"), F.lit("N"))).alias("scope"),
+            F.when(F.col("o_orderkey") % 13 == 0, "O").otherwise("F").alias("target"),
+            (F.col("o_orderkey") % 5 != 0).alias("revocable"),
+            "decided_at",
+            "o_orderkey",
         )
     )
 
@@ -151,36 +156,43 @@ decisions_v AS (SELECT concat('decision:', CAST(o_orderkey AS VARCHAR)) AS decis
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate GROUP BY o_orderkey),
 grants_v AS (SELECT concat('auth:', CAST(o_orderkey AS VARCHAR)) AS authority_ref, decision_id, decided_at + INTERVAL '30' DAY AS expires_at,
   1 + o_orderkey % 3 AS max_uses, least(line_count, 1 + o_orderkey % 3) AS uses,
-  CASE WHEN line_count >= 1 + o_orderkey % 3 THEN 'consumed' WHEN o_orderkey % 7 = 0 THEN 'revoked' ELSE 'active' END AS state
+  CASE WHEN line_count >= 1 + o_orderkey % 3 THEN 'consumed' WHEN o_orderkey % 7 = 0 THEN 'revoked' ELSE 'active' END AS state,
+  CASE WHEN o_orderkey % 11 = 0 THEN ['A'] ELSE ['A', 'N'] END AS scope, CASE WHEN o_orderkey % 13 = 0 THEN 'O' ELSE 'F' END AS target, o_orderkey % 5 <> 0 AS revocable, decided_at, o_orderkey
   FROM decisions_v WHERE decision IN ('approve', 'modify'))"""
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monotone success curves of 2 snapshots, 3 families and 2 subjects."""
+    """Success curves of 2 snapshots, 3 families and 2 subjects, from all lines.
+
+    A trial is a supplier with its lines of one snapshot, family and depth (quantity in fives, at most 7 for R); it
+    succeeds if their mean load is within the limit. Loads and limits are whole hundredths, so sums are exact.
+    """
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linestatus", "l_returnflag", "l_quantity", "l_discount", "l_tax"
+        "l_suppkey", "l_linestatus", "l_returnflag", "l_quantity", "l_discount", "l_tax"
     )
-    li = li.where((F.col("l_orderkey") % 25 == 0) & ~((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 35)))
     li = li.withColumn("subject", F.explode(F.array(F.lit("autonomy"), F.lit("governance"))))
-    load = F.col("l_quantity") / 50 + F.when(F.col("subject") == "autonomy", F.col("l_discount") * 5).otherwise(F.col("l_tax") * 7)
+    extra = F.when(F.col("subject") == "autonomy", F.round(F.col("l_discount") * 100) * 5).otherwise(F.round(F.col("l_tax") * 100) * 7)
     flag, first = F.col("l_returnflag"), F.col("l_linestatus") == "F"
-    limit = F.when(flag == "A", F.lit(1.0)).when(flag == "N", F.lit(1.25)).otherwise(F.lit(0.9)) + F.when(first, F.lit(0.0)).when(
-        flag == "N", F.lit(0.02)
-    ).when(flag == "A", F.lit(0.08)).otherwise(F.lit(-0.06))
-    return li.groupBy(
+    limit = F.when(flag == "A", 100).when(flag == "N", 125).otherwise(90) + F.when(first, 0).when(flag == "N", 2).when(flag == "A", 8).otherwise(-6)
+    depth = F.ceil(F.col("l_quantity") / 5).cast("long")
+    per_supplier = li.groupBy(
         F.when(first, "base").otherwise("current").alias("snapshot_id"),
         flag.alias("family_id"),
         "subject",
-        F.ceil(F.col("l_quantity") / 5).cast("long").alias("depth"),
-    ).agg(F.count(F.lit(1)).alias("trials"), F.count(F.when(load <= limit, 1)).alias("successes"))
+        F.when(flag == "R", F.least(depth, F.lit(7).cast("long"))).otherwise(depth).alias("depth"),
+        "l_suppkey",
+    ).agg((F.sum((F.round(F.col("l_quantity") * 2) + extra - limit).cast("long")) <= 0).alias("within"))
+    return per_supplier.groupBy("snapshot_id", "family_id", "subject", "depth").agg(
+        F.count(F.lit(1)).alias("trials"), F.count_if("within").alias("successes")
+    )
 
 
 SQL_TRIALS = """
-trials_v AS (SELECT CASE WHEN l_linestatus = 'F' THEN 'base' ELSE 'current' END AS snapshot_id, l_returnflag AS family_id, s.subject,
-  CAST(ceil(l_quantity / 5) AS BIGINT) AS depth, count(*) AS trials,
-  count(CASE WHEN l_quantity / 50 + (CASE WHEN s.subject = 'autonomy' THEN l_discount * 5 ELSE l_tax * 7 END)
-       <= (CASE l_returnflag WHEN 'A' THEN CAST(1.0 AS DOUBLE) WHEN 'N' THEN CAST(1.25 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END)
-        + (CASE WHEN l_linestatus = 'F' THEN CAST(0.0 AS DOUBLE) WHEN l_returnflag = 'N' THEN CAST(0.02 AS DOUBLE)
-                WHEN l_returnflag = 'A' THEN CAST(0.08 AS DOUBLE) ELSE CAST(-0.06 AS DOUBLE) END) THEN 1 END) AS successes
-  FROM lineitem CROSS JOIN (SELECT 'autonomy' AS subject UNION ALL SELECT 'governance') s
-  WHERE l_orderkey % 25 = 0 AND NOT (l_returnflag = 'R' AND l_quantity > 35) GROUP BY 1, 2, 3, 4)"""
+lines_v AS (SELECT CASE WHEN l_linestatus = 'F' THEN 'base' ELSE 'current' END AS snapshot_id, l_returnflag AS family_id, s.subject,
+  CAST(CASE WHEN l_returnflag = 'R' THEN least(ceil(l_quantity / 5), 7) ELSE ceil(l_quantity / 5) END AS BIGINT) AS depth, l_suppkey,
+  CAST(round(l_quantity * 2) + (CASE WHEN s.subject = 'autonomy' THEN round(l_discount * 100) * 5 ELSE round(l_tax * 100) * 7 END)
+    - (CASE l_returnflag WHEN 'A' THEN 100 WHEN 'N' THEN 125 ELSE 90 END)
+    - (CASE WHEN l_linestatus = 'F' THEN 0 WHEN l_returnflag = 'N' THEN 2 WHEN l_returnflag = 'A' THEN 8 ELSE -6 END) AS BIGINT) AS over
+  FROM lineitem CROSS JOIN (SELECT 'autonomy' AS subject UNION ALL SELECT 'governance') s),
+trials_v AS (SELECT snapshot_id, family_id, subject, depth, count(*) AS trials, count(*) FILTER (over <= 0) AS successes
+  FROM (SELECT snapshot_id, family_id, subject, depth, l_suppkey, sum(over) AS over FROM lines_v GROUP BY ALL) GROUP BY ALL)"""

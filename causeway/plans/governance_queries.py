@@ -38,16 +38,76 @@ def _signals(s, d):
     return g.signals(m)
 
 
-def _uses(s, d):
-    """Every shipped line after the decision is a use of its order's grant."""
-    li = s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_shipdate")
-    return li.groupBy("l_orderkey", "l_partkey", F.col("l_shipdate").cast("timestamp").alias("used_at")).count().select(
-        F.concat(F.lit("auth:"), F.col("l_orderkey").cast("string")).alias("authority_ref"),
-        F.concat(F.col("l_partkey").cast("string"), F.lit("@"), F.unix_date(F.col("used_at").cast("date")).cast("string")).alias("use_id"),
-        "used_at",
+def _asked(s, d):
+    """Every decision asks to resume with its grant; some with another's grant, another approval, action or target."""
+    n = F.col("o_orderkey")
+    return decisions(s, d).select(
+        F.when(n % 17 == 0, F.concat(F.lit("approval:"), (n + 1).cast("string"))).otherwise(F.col("approval_id")).alias("approval_id"),
+        F.when(n % 19 == 0, F.lit("decision:none")).otherwise(F.col("decision_id")).alias("decision_id"),
+        F.concat(F.lit("auth:"), F.when(n % 23 == 0, n + 1).otherwise(n).cast("string")).alias("authority_ref"),
+        F.when(n % 29 == 0, "N").otherwise("A").alias("action"),
+        F.when(n % 31 == 0, "O").otherwise("F").alias("target"),
+        F.when(n % 2 == 0, F.col("decided_at")).otherwise(_at()).alias("at"),
     )
 
 
+def _fresh_grants(s, d):
+    """Grants before any use; one in seven is revoked before."""
+    n = F.col("o_orderkey")
+    return grants(s, d).withColumns({"uses": F.when(n % 3 == 0, 1).otherwise(0), "state": F.when(n % 7 == 0, "revoked").otherwise("active")})
+
+
+def _grant_commands(s, d):
+    """Every line shipped is a use of its order's grant (action: return flag, target: line status) at its ship date; every
+    eighth order's grant is revoked ten days after the decision. In order of time; ends of ties by what the use is."""
+    li = s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus", "l_shipdate")
+    li = li.groupBy("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus", "l_shipdate").count()
+    ref = F.concat(F.lit("auth:"), F.col("l_orderkey").cast("string"))
+    uses = li.select(
+        (F.unix_date(F.col("l_shipdate").cast("date")).cast("long") * 10_000_000 + F.col("l_partkey") * 6 + 2 * F.expr("case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end") + F.expr("if(l_linestatus = 'F', 0, 1)")).alias("seq"),
+        ref.alias("authority_ref"), F.lit("consume").alias("kind"), F.col("l_returnflag").alias("action"), F.col("l_linestatus").alias("target"), F.col("l_shipdate").cast("timestamp").alias("at"),
+    )
+    day = F.unix_date((F.col("decided_at") + F.expr("interval 10 days")).cast("date")).cast("long")
+    none = F.lit(None).cast("string")
+    revoked = grants(s, d).where("o_orderkey % 8 = 0").select(
+        (day * 10_000_000 + 9_999_999).alias("seq"), "authority_ref", F.lit("revoke"), none, none, F.col("decided_at") + F.expr("interval 10 days")
+    )
+    return uses.union(revoked)
+
+
+def _approval_commands(s, d):
+    """All requests, then their decisions, then expiries, with commands that must be refused among them."""
+    a, x = approvals(s, d), decisions(s, d)
+    n, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    run = F.concat(F.lit("run:"), (n % 100).cast("string"))
+    instant = F.lit(None).cast("timestamp")
+    names = ["seq", "approval_id", "kind", "run_id", "expires_at", "decision_id", "decision", "at", "authority_ref", "grant_decision_id"]
+    enqueue = a.select((n * 10).alias("seq"), "approval_id", F.lit("enqueue"), run, "expires_at", none, none, instant, none, none)
+    again = a.where("o_orderkey % 37 = 0").select((n * 10 + 1).alias("seq"), "approval_id", F.lit("enqueue"), run, "expires_at", none, none, instant, none, none)
+    ref = F.when(F.col("decision").isin("approve", "modify") | (n % 41 == 0), F.concat(F.lit("auth:"), n.cast("string")))
+    said = F.when(n % 47 == 0, F.lit("decision:shared")).otherwise(F.col("decision_id"))
+    resolve = x.select(
+        (n * 10 + 2).alias("seq"), "approval_id", F.lit("resolve"), F.when(n % 43 == 0, "run:other").otherwise(run), instant, said, "decision", "decided_at", ref,
+        F.when(n % 53 == 0, "decision:other").otherwise(said),
+    )
+    stray = x.where("o_orderkey % 59 = 0").select((n * 10 + 3).alias("seq"), F.concat(F.lit("approval:none"), n.cast("string")), F.lit("resolve"), run, instant, F.concat(F.lit("stray:"), "decision_id"), "decision", "decided_at", none, none)
+    expire = a.select((n * 10 + 4).alias("seq"), "approval_id", F.lit("expire"), none, instant, none, none, F.when(n % 4 == 0, F.col("requested_at")).otherwise(_at()), none, none)
+    second = x.where("o_orderkey % 6 = 0").select((n * 10 + 5).alias("seq"), "approval_id", F.lit("resolve"), run, instant, F.concat(F.lit("second:"), "decision_id"), "decision", "decided_at", none, none)
+    out = enqueue.toDF(*names)
+    for part in (again, resolve, stray, expire, second):
+        out = out.union(part.toDF(*names))
+    return out
+
+
+def _folded_grants(s, d):
+    return g.fold_grants(_fresh_grants(s, d), _grant_commands(s, d))
+
+
+def _journal(s, d):
+    commands = _approval_commands(s, d)
+    return g.journal(commands, g.fold_approvals(commands), _folded_grants(s, d))
+
+
 QUERIES = {
     "gov_timing": _rows,
     "gov_risk_coverage": lambda s, d: g.risk_coverage(_rows(s, d)),
@@ -56,10 +116,12 @@ QUERIES = {
     "gov_metrics": _metrics,
     "gov_signals": _signals,
     "gov_overall_level": lambda s, d: g.overall_level(_signals(s, d)),
-    "resume_eligibility": lambda s, d: g.resume_eligibility(approvals(s, d), decisions(s, d), grants(s, d), _at()),
+    "resume_eligibility": lambda s, d: g.resume_eligibility(_asked(s, d), approvals(s, d), decisions(s, d), grants(s, d)),
     "queue_expire": lambda s, d: g.expire_due(approvals(s, d), decisions(s, d), _at()),
-    "authority_consumption": lambda s, d: g.consume(grants(s, d), _uses(s, d)),
-    "journal_state": lambda s, d: g.journal_state(g.journal(approvals(s, d), decisions(s, d), grants(s, d))),
+    "queue_state": lambda s, d: g.fold_approvals(_approval_commands(s, d)),
+    "authority_consumption": _folded_grants,
+    "journal_state": lambda s, d: g.journal_state(_journal(s, d)),
+    "journal_counts": lambda s, d: g.journal_counts(_journal(s, d)),
 }
 
 _ROWS = f"""{SQL_GOVERNANCE},
@@ -94,6 +156,40 @@ _SIG = f"""{_ROWS}, signals_v AS (SELECT *, CASE WHEN observed IS NULL THEN 'not
   UNION ALL SELECT 'explicit_intervention_deadline_breach', n_explicit_breaches, 0, '<=', 'critical', 'count' FROM metrics_v
   UNION ALL SELECT 'critical_oversight_coverage_low', critical_coverage, 0.75, '>=', 'critical', 'ratio' FROM metrics_v))"""
 
+#: Grants as a state machine, step by step: every command sees the state that the one before left.
+_GRANTS = f"""{SQL_GOVERNANCE},
+fresh_v AS (SELECT authority_ref, max_uses, expires_at, scope, target AS g_target, revocable, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS uses0, CASE WHEN o_orderkey % 7 = 0 THEN 'revoked' ELSE 'active' END AS state0 FROM grants_v),
+cmd_v AS (SELECT DISTINCT CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) * 10000000 + l_partkey * 6 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 4 END + CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS seq,
+  'auth:' || l_orderkey AS authority_ref, 'consume' AS kind, l_returnflag AS action, l_linestatus AS target, l_shipdate AS instant FROM lineitem
+  UNION ALL SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(decided_at + INTERVAL '10' DAY AS DATE)) AS BIGINT) * 10000000 + 9999999, authority_ref, 'revoke', NULL, NULL, decided_at + INTERVAL '10' DAY FROM grants_v WHERE o_orderkey % 8 = 0),
+step_v AS (SELECT c.*, row_number() OVER (PARTITION BY authority_ref ORDER BY seq) AS i, f.* EXCLUDE (authority_ref) FROM cmd_v c LEFT JOIN fresh_v f USING (authority_ref)),
+fold_v AS (SELECT 0 AS i, authority_ref, NULL::BIGINT AS seq, NULL::VARCHAR AS kind, NULL::VARCHAR AS outcome, any_value(state0) AS state, any_value(uses0) AS uses FROM step_v GROUP BY authority_ref
+  UNION ALL SELECT i, authority_ref, seq, kind, outcome, CASE WHEN outcome = 'accepted' AND kind = 'revoke' THEN 'revoked' WHEN outcome = 'authority_expired' THEN 'expired'
+      WHEN outcome = 'accepted' AND uses + 1 >= max_uses THEN 'consumed' ELSE state END, CASE WHEN outcome = 'accepted' AND kind = 'consume' THEN uses + 1 ELSE uses END
+  FROM (SELECT s.*, f.state, f.uses, CASE WHEN s.max_uses IS NULL THEN 'unknown_authority' WHEN s.kind = 'revoke' THEN CASE WHEN s.revocable THEN 'accepted' ELSE 'not_revocable' END
+      WHEN f.state <> 'active' OR f.uses >= s.max_uses THEN 'authority_not_active' WHEN s.instant > s.expires_at THEN 'authority_expired' WHEN NOT list_contains(s.scope, s.action) THEN 'scope_mismatch'
+      WHEN s.target <> s.g_target THEN 'target_mismatch' ELSE 'accepted' END AS outcome FROM fold_v f JOIN step_v s ON s.authority_ref = f.authority_ref AND s.i = f.i + 1))"""
+_QUEUE = f"""{SQL_GOVERNANCE},
+log_v AS (SELECT o_orderkey * 10 AS seq, approval_id, 'enqueue' AS kind, 'run:' || o_orderkey % 100 AS run, expires_at, NULL AS decision_id, NULL AS decision, NULL::TIMESTAMP AS instant, NULL AS ref, NULL AS gd FROM approvals_v
+  UNION ALL SELECT o_orderkey * 10 + 1, approval_id, 'enqueue', 'run:' || o_orderkey % 100, expires_at, NULL, NULL, NULL, NULL, NULL FROM approvals_v WHERE o_orderkey % 37 = 0
+  UNION ALL SELECT o_orderkey * 10 + 2, approval_id, 'resolve', CASE WHEN o_orderkey % 43 = 0 THEN 'run:other' ELSE 'run:' || o_orderkey % 100 END, NULL, CASE WHEN o_orderkey % 47 = 0 THEN 'decision:shared' ELSE decision_id END, decision, decided_at,
+    CASE WHEN decision IN ('approve', 'modify') OR o_orderkey % 41 = 0 THEN 'auth:' || o_orderkey END, CASE WHEN o_orderkey % 53 = 0 THEN 'decision:other' WHEN o_orderkey % 47 = 0 THEN 'decision:shared' ELSE decision_id END FROM decisions_v
+  UNION ALL SELECT o_orderkey * 10 + 3, 'approval:none' || o_orderkey, 'resolve', 'run:' || o_orderkey % 100, NULL, 'stray:' || decision_id, decision, decided_at, NULL, NULL FROM decisions_v WHERE o_orderkey % 59 = 0
+  UNION ALL SELECT o_orderkey * 10 + 4, approval_id, 'expire', NULL, NULL, NULL, NULL, CASE WHEN o_orderkey % 4 = 0 THEN requested_at ELSE TIMESTAMP '{AT}' END, NULL, NULL FROM approvals_v
+  UNION ALL SELECT o_orderkey * 10 + 5, approval_id, 'resolve', 'run:' || o_orderkey % 100, NULL, 'second:' || decision_id, decision, decided_at, NULL, NULL FROM decisions_v WHERE o_orderkey % 6 = 0),
+flaw_v AS (SELECT l.*, a.expires_at AS due, a.o_orderkey AS k, CASE WHEN kind = 'resolve' THEN CASE WHEN run <> 'run:' || a.o_orderkey % 100 THEN 'run_mismatch' WHEN instant > a.expires_at THEN 'expired_before_decision'
+    WHEN ref IS NOT NULL AND decision NOT IN ('approve', 'modify') THEN 'grant_not_allowed' WHEN ref IS NOT NULL AND gd <> decision_id THEN 'grant_decision_mismatch' END END AS flaw FROM log_v l LEFT JOIN approvals_v a USING (approval_id)),
+shared_v AS (SELECT min(seq) AS s FROM flaw_v WHERE decision_id = 'decision:shared' AND flaw IS NULL),
+turn_v AS (SELECT f.*, CASE WHEN flaw IS NULL AND decision_id = 'decision:shared' AND seq > s THEN 'duplicate_decision_id' END AS twice FROM flaw_v f, shared_v),
+exit_v AS (SELECT approval_id, min(seq) AS out_seq, arg_min(CASE WHEN kind = 'expire' THEN 'expired' ELSE CASE decision WHEN 'approve' THEN 'approved' WHEN 'deny' THEN 'denied' WHEN 'modify' THEN 'modified' WHEN 'defer' THEN 'deferred' ELSE 'cancelled' END END, seq) AS status
+  FROM turn_v WHERE k IS NOT NULL AND ((kind = 'resolve' AND flaw IS NULL AND twice IS NULL) OR (kind = 'expire' AND instant >= due)) GROUP BY approval_id),
+queue_v AS (SELECT seq, t.approval_id, kind, decision_id, ref, CASE WHEN kind = 'enqueue' THEN CASE WHEN seq % 10 = 1 THEN 'duplicate_approval_id' ELSE 'accepted' END WHEN k IS NULL THEN 'unknown_approval' WHEN out_seq < seq THEN 'not_pending'
+  WHEN kind = 'resolve' THEN coalesce(flaw, twice, 'accepted') WHEN instant < due THEN 'not_due' ELSE 'accepted' END AS outcome, CASE WHEN k IS NULL THEN NULL WHEN out_seq <= seq THEN e.status ELSE 'pending' END AS status FROM turn_v t LEFT JOIN exit_v e USING (approval_id))"""
+_JOURNAL = f"""{_QUEUE}, {_GRANTS.removeprefix(SQL_GOVERNANCE + ",")},
+journal_v AS (SELECT seq, CASE kind WHEN 'enqueue' THEN 'approval.enqueued' WHEN 'resolve' THEN 'approval.resolved' ELSE 'approval.expired' END AS mutation, approval_id AS object_id FROM queue_v WHERE outcome = 'accepted'
+  UNION ALL SELECT seq, 'decision.recorded', decision_id FROM queue_v WHERE outcome = 'accepted' AND kind = 'resolve' UNION ALL SELECT seq, 'authority.granted', ref FROM queue_v WHERE outcome = 'accepted' AND kind = 'resolve' AND ref IS NOT NULL
+  UNION ALL SELECT seq, CASE kind WHEN 'consume' THEN 'authority.consumed' ELSE 'authority.revoked' END, authority_ref FROM fold_v WHERE outcome = 'accepted' UNION ALL SELECT seq, 'authority.expired', authority_ref FROM fold_v WHERE outcome = 'authority_expired')"""
+
 ORACLE = {
     "gov_timing": f"WITH {_ROWS} SELECT * FROM rows_v",
     "gov_risk_coverage": f"""WITH {_ROWS}, k(risk_class, rw) AS (VALUES ('low', 1.0::DOUBLE), ('medium', 2.0), ('high', 4.0), ('critical', 8.0))
@@ -110,20 +206,20 @@ SELECT k.risk_class, count(approval_id) AS opportunities, count(*) FILTER (is_ef
   count(*) FILTER (status = 'breach') AS n_breaches FROM signals_v)
 SELECT coalesce(worst, 'clear') AS level, CASE coalesce(worst, 'clear') WHEN 'clear' THEN 'none' WHEN 'medium' THEN 'review' WHEN 'high' THEN 'priority_review' WHEN 'critical' THEN 'urgent_human_review'
   ELSE 'watch' END AS escalation, n_breaches FROM w""",
-    "resume_eligibility": f"""WITH {SQL_GOVERNANCE}, x AS (SELECT d.approval_id, d.decision_id, g.max_uses, g.uses, g.authority_ref, list_filter([
-  CASE WHEN decision NOT IN ('approve', 'modify') THEN 'decision_not_authorizing' END, CASE WHEN authority_ref IS NULL THEN 'authority_missing' END,
-  CASE WHEN state = 'revoked' THEN 'authority_revoked' END, CASE WHEN state <> 'revoked' AND (state = 'consumed' OR uses >= max_uses) THEN 'authority_exhausted' END,
-  CASE WHEN TIMESTAMP '{AT}' > g.expires_at THEN 'authority_expired' END], lambda c: c IS NOT NULL) AS r
-  FROM decisions_v d JOIN approvals_v USING (approval_id) LEFT JOIN grants_v g ON g.decision_id = d.decision_id)
-SELECT approval_id, decision_id, len(r) = 0 AS eligible, array_to_string(r, ',') AS reasons, CASE WHEN authority_ref IS NOT NULL THEN greatest(0, max_uses - uses) END AS remaining_uses FROM x""",
+    "resume_eligibility": f"""WITH {SQL_GOVERNANCE}, asked_v AS (SELECT CASE WHEN o_orderkey % 17 = 0 THEN 'approval:' || (o_orderkey + 1) ELSE approval_id END AS approval_id, CASE WHEN o_orderkey % 19 = 0 THEN 'decision:none' ELSE decision_id END AS decision_id,
+  'auth:' || CASE WHEN o_orderkey % 23 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS ref, CASE WHEN o_orderkey % 29 = 0 THEN 'N' ELSE 'A' END AS action, CASE WHEN o_orderkey % 31 = 0 THEN 'O' ELSE 'F' END AS want,
+  CASE WHEN o_orderkey % 2 = 0 THEN decided_at ELSE TIMESTAMP '{AT}' END AS instant FROM decisions_v),
+x AS (SELECT q.approval_id, q.decision_id, g.authority_ref, g.max_uses, g.uses, list_filter([CASE WHEN coalesce(d.decision, 'none') NOT IN ('approve', 'modify') THEN 'decision_not_authorizing' END,
+  CASE WHEN g.authority_ref IS NULL THEN 'authority_missing' END, CASE WHEN state = 'revoked' THEN 'authority_revoked' END, CASE WHEN state <> 'revoked' AND (state = 'consumed' OR uses >= max_uses) THEN 'authority_exhausted' END,
+  CASE WHEN q.instant > g.expires_at THEN 'authority_expired' END, CASE WHEN NOT list_contains(scope, q.action) THEN 'scope_mismatch' END, CASE WHEN want <> g.target THEN 'target_mismatch' END,
+  CASE WHEN g.decision_id <> d.decision_id THEN 'decision_authority_mismatch' END, CASE WHEN g.authority_ref IS NOT NULL AND d.approval_id IS NOT NULL AND d.approval_id IS DISTINCT FROM a.approval_id THEN 'approval_decision_mismatch' END], lambda c: c IS NOT NULL) AS r
+  FROM asked_v q LEFT JOIN approvals_v a USING (approval_id) LEFT JOIN decisions_v d ON d.decision_id = q.decision_id LEFT JOIN grants_v g ON g.authority_ref = q.ref)
+SELECT approval_id, decision_id, authority_ref, len(r) = 0 AS eligible, array_to_string(r, ',') AS reasons, CASE WHEN authority_ref IS NOT NULL THEN greatest(0, max_uses - uses) ELSE 0 END AS remaining_uses FROM x""",
     "queue_expire": f"""WITH {SQL_GOVERNANCE} SELECT a.approval_id, CASE WHEN decision IS NULL AND TIMESTAMP '{AT}' >= a.expires_at THEN 'expired' WHEN decision IS NULL THEN 'pending'
   WHEN decided_at > a.expires_at THEN 'expired' WHEN decision = 'approve' THEN 'approved' WHEN decision = 'modify' THEN 'modified' WHEN decision = 'deny' THEN 'denied'
   WHEN decision = 'defer' THEN 'deferred' ELSE 'cancelled' END AS status FROM approvals_v a LEFT JOIN decisions_v d USING (approval_id)""",
-    "authority_consumption": f"""WITH {SQL_GOVERNANCE}, u AS (SELECT DISTINCT 'auth:' || l_orderkey AS authority_ref, l_partkey || '@' || date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS use_id,
-  l_shipdate AS used_at FROM lineitem), n AS (SELECT u.*, row_number() OVER (PARTITION BY authority_ref ORDER BY used_at, use_id) AS n, max_uses, expires_at FROM u JOIN grants_v USING (authority_ref))
-SELECT authority_ref, use_id, n <= max_uses AND used_at <= expires_at AS accepted, CASE WHEN n > max_uses THEN 'authority_consumed' WHEN used_at > expires_at THEN 'authority_expired' ELSE 'accepted' END AS outcome FROM n""",
-    "journal_state": f"""WITH {SQL_GOVERNANCE}, j AS (SELECT approval_id AS object_id, 'approval.enqueued' AS mutation, requested_at AS instant FROM approvals_v
-  UNION ALL SELECT approval_id, 'approval.resolved', decided_at FROM decisions_v UNION ALL SELECT decision_id, 'decision.recorded', decided_at FROM decisions_v
-  UNION ALL SELECT authority_ref, 'authority.granted', decided_at FROM grants_v JOIN decisions_v USING (decision_id))
-SELECT object_id, arg_max(mutation, (instant, mutation)) AS last_mutation, count(*) AS state_version, max(instant) AS changed_at FROM j GROUP BY object_id""",
+    "queue_state": f"WITH {_QUEUE} SELECT seq, approval_id, kind, outcome, status FROM queue_v",
+    "authority_consumption": f"""WITH RECURSIVE {_GRANTS} SELECT seq, authority_ref, kind, outcome, state, CAST(uses AS BIGINT) AS uses FROM fold_v WHERE i > 0""",
+    "journal_state": f"""WITH RECURSIVE {_JOURNAL} SELECT object_id, arg_max(mutation, (seq, mutation)) AS last_mutation, count(*) AS state_version, max(seq) AS changed_at FROM journal_v GROUP BY object_id""",
+    "journal_counts": f"""WITH RECURSIVE {_JOURNAL} SELECT mutation, count(*) AS n FROM journal_v GROUP BY mutation""",
 }

@@ -26,17 +26,39 @@ def faulty_events(spark, sf_dir):
 
 
 def _tampered(spark, sf_dir):
-    """Records, sidecar and anchor, four of five runs changed at one place after sealing."""
-    records = chat_records(spark, sf_dir)
+    """Records, sidecar and anchor, most runs changed at one place after sealing."""
+    records = chat_records(spark, sf_dir).drop("role")
     side = integrity.seal(records)
     anchor = integrity.anchors(side)
-    n = F.regexp_extract("run_id", r"(\d+)", 1).cast("long")
-    first = F.col("ledger_seq") == 1
-    records = records.withColumn("record", F.when((n % 5 == 1) & first, F.lit("changed").cast("binary")).otherwise(F.col("record")))
-    side = side.withColumn(
-        "previous_chain_digest", F.when((n % 5 == 2) & first, F.lit("sha256:" + "f" * 64)).otherwise(F.col("previous_chain_digest"))
-    ).where(~((n % 5 == 3) & first))
-    anchor = anchor.withColumn("event_count", F.when(n % 5 == 4, F.col("event_count") + 1).otherwise(F.col("event_count")))
+    n = F.regexp_extract("run_id", r"(\d+)", 1).cast("long") % 16
+    first, seq, none = F.col("ledger_seq") == 1, F.col("ledger_seq"), F.lit(None).cast("string")
+    profile = {"hash_algorithm": F.lit("sha256"), "record_encoding": F.lit("exact-bytes")}
+    records = records.withColumns(
+        {
+            "position": seq,
+            "is_sound": ~((n == 14) & (seq == 2)),
+            "record": F.when((n == 1) & first, F.lit("changed").cast("binary")).otherwise(F.col("record")),
+            "ledger_seq": F.when((n == 13) & (seq == 2), seq + 1).otherwise(seq),
+        }
+    ).where(n != 12)
+    side = side.withColumns(
+        {
+            **profile,
+            "previous_chain_digest": F.when((n == 2) & first, F.lit("sha256:" + "f" * 64)).otherwise(F.col("previous_chain_digest")),
+            "chain_digest": F.when((n == 5) & first, none).otherwise(F.col("chain_digest")),
+            "record_digest": F.when((n == 6) & (seq == 2), none).otherwise(F.col("record_digest")),
+            "event_id": F.when((n == 7) & (seq == 2), none).otherwise(F.col("event_id")),
+        }
+    ).withColumn("hash_algorithm", F.when((n == 8) & first, F.lit("md5")).otherwise(F.col("hash_algorithm")))
+    side = side.where(~((n == 3) & first)).withColumn("position", seq)
+    anchor = anchor.withColumns(
+        {
+            **profile,
+            "event_count": F.when(n == 4, F.col("event_count") + 1).otherwise(F.col("event_count")),
+            "final_chain_digest": F.when(n == 9, none).otherwise(F.col("final_chain_digest")),
+            "first_event_id": F.when(n == 11, none).otherwise(F.col("first_event_id")),
+        }
+    ).where(n != 10)
     return records, side, anchor
 
 
@@ -163,13 +185,33 @@ SELECT e.run_id, e.ledger_seq, coalesce(x.n, 0) AS n_descendants, coalesce(y.n,
 LEFT JOIN x ON x.run_id = e.run_id AND x.s = e.ledger_seq LEFT JOIN y ON y.run_id = e.run_id AND y.s = e.ledger_seq""",
     "poset_width": f"WITH {SQL_EVENTS} SELECT run_id, CAST(CASE WHEN count(*) >= 3 THEN 2 ELSE 1 END AS BIGINT) AS width FROM events_v GROUP BY run_id",
     "integrity_chain": f"""WITH RECURSIVE {SQL_RECORDS}, {_CHAIN}
-SELECT run_id, ledger_seq, event_id, 'sha256:' || d AS record_digest, 'sha256:' || prev AS previous_chain_digest, 'sha256:' || cur AS chain_digest FROM chain""",
+SELECT run_id, ledger_seq, event_id, 'sha256:' || d AS record_digest, CASE WHEN ledger_seq > 1 THEN 'sha256:' || prev END AS previous_chain_digest, 'sha256:' || cur AS chain_digest FROM chain""",
     "integrity_anchor": f"""WITH RECURSIVE {SQL_RECORDS}, {_CHAIN}
 SELECT run_id, count(*) AS event_count, arg_min(event_id, ledger_seq) AS first_event_id, arg_max(event_id, ledger_seq) AS last_event_id,
   'sha256:' || arg_max(cur, ledger_seq) AS final_chain_digest FROM chain GROUP BY run_id""",
-    "integrity_verify": f"""WITH {SQL_RECORDS}, r AS (SELECT run_id, CAST(regexp_extract(run_id, '(\\d+)', 1) AS BIGINT) % 5 AS m FROM records_v GROUP BY run_id)
-SELECT run_id, m = 0 AS valid, CASE m WHEN 1 THEN 'record_digest_mismatch' WHEN 2 THEN 'previous_chain_digest_mismatch' WHEN 3 THEN 'sidecar_count_mismatch'
-  WHEN 4 THEN 'anchor_event_count_mismatch' END AS code, CAST(CASE WHEN m IN (1, 2) THEN 1 END AS BIGINT) AS position FROM r""",
+    "integrity_verify": f"""WITH RECURSIVE {SQL_RECORDS}, {_CHAIN}, k AS (SELECT *, CAST(regexp_extract(run_id, '(\\d+)', 1) AS BIGINT) % 16 AS m FROM chain),
+recs AS (SELECT r.run_id, r.ledger_seq AS place, m, r.event_id, CASE WHEN m = 13 AND r.ledger_seq = 2 THEN 3 ELSE r.ledger_seq END AS seq, NOT (m = 14 AND r.ledger_seq = 2) AS sound,
+  CASE WHEN m = 1 AND r.ledger_seq = 1 THEN encode('changed') ELSE record END AS record FROM records_v r JOIN k ON k.run_id = r.run_id AND k.ledger_seq = r.ledger_seq WHERE m <> 12),
+now AS (SELECT run_id, place, m, event_id, seq, sound, sha256(record) AS d, repeat('0', 64) AS prev, sha256(encode('causeway/chain/v1') || unhex('00') || unhex(repeat('0', 64)) || unhex(sha256(record))) AS cur FROM recs WHERE place = 1
+  UNION ALL SELECT n.run_id, n.place, n.m, n.event_id, n.seq, n.sound, sha256(n.record), c.cur, sha256(encode('causeway/chain/v1') || unhex('00') || unhex(c.cur) || unhex(sha256(n.record)))
+  FROM now c JOIN recs n ON n.run_id = c.run_id AND n.place = c.place + 1),
+side AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ledger_seq) AS place, ledger_seq AS seq, CASE WHEN m = 7 AND ledger_seq = 2 THEN NULL ELSE event_id END AS event_id,
+  CASE WHEN m = 6 AND ledger_seq = 2 THEN NULL ELSE d END AS d, CASE WHEN m = 2 AND ledger_seq = 1 THEN repeat('f', 64) WHEN ledger_seq > 1 THEN prev END AS prev,
+  CASE WHEN m = 5 AND ledger_seq = 1 THEN NULL ELSE cur END AS cur, m = 8 AND ledger_seq = 1 AS odd FROM k WHERE NOT (m = 3 AND ledger_seq = 1)),
+anc AS (SELECT run_id, count(*) + CASE WHEN any_value(m) = 4 THEN 1 ELSE 0 END AS a_n, CASE WHEN any_value(m) <> 11 THEN arg_min(event_id, ledger_seq) END AS a_first, arg_max(event_id, ledger_seq) AS a_last,
+  CASE WHEN any_value(m) <> 9 THEN arg_max(cur, ledger_seq) END AS a_head FROM k WHERE m <> 10 GROUP BY run_id),
+f AS (SELECT n.run_id, n.place, n.event_id, n.cur, CASE WHEN NOT n.sound THEN 'invalid_record' WHEN n.seq <> n.place THEN 'ledger_seq_mismatch' WHEN s.event_id IS NULL AND s.d IS NULL AND s.cur IS NULL THEN 'invalid_integrity_record'
+  WHEN s.seq IS DISTINCT FROM n.seq OR s.event_id IS DISTINCT FROM n.event_id THEN 'integrity_identity_mismatch' WHEN s.odd THEN 'integrity_profile_mismatch' WHEN s.d IS DISTINCT FROM n.d THEN 'record_digest_mismatch'
+  WHEN s.prev IS DISTINCT FROM CASE WHEN n.place > 1 THEN n.prev END THEN 'previous_chain_digest_mismatch' WHEN s.cur IS DISTINCT FROM n.cur THEN 'chain_digest_mismatch' END AS code
+  FROM now n LEFT JOIN side s ON s.run_id = n.run_id AND s.place = n.place),
+p AS (SELECT run_id, count(*) AS n, min(place) FILTER (code IS NOT NULL) AS pos, arg_min(code, place) FILTER (code IS NOT NULL) AS c, arg_max(cur, place) AS head, arg_min(event_id, place) AS fe, arg_max(event_id, place) AS le FROM f GROUP BY run_id),
+j AS (SELECT DISTINCT k.run_id, p.pos, coalesce(p.n, 0) AS n, p.head, a.run_id IS NOT NULL AS anchor_checked, h.cur AS head_before, CASE WHEN coalesce(p.n, 0) <> coalesce(q.n, 0) THEN 'sidecar_count_mismatch' WHEN p.n IS NULL THEN 'empty_ledger'
+  WHEN p.c IS NOT NULL THEN p.c WHEN a.run_id IS NULL THEN NULL WHEN a_n IS DISTINCT FROM p.n THEN 'anchor_event_count_mismatch' WHEN a_first IS DISTINCT FROM fe OR a_last IS DISTINCT FROM le THEN 'anchor_identity_mismatch'
+  WHEN a_head IS DISTINCT FROM p.head THEN 'anchor_head_mismatch' END AS code FROM k LEFT JOIN p USING (run_id) LEFT JOIN (SELECT run_id, count(*) AS n FROM side GROUP BY run_id) q USING (run_id)
+  LEFT JOIN anc a USING (run_id) LEFT JOIN f h ON h.run_id = p.run_id AND h.place = p.pos - 1)
+SELECT run_id, code IS NULL AS valid, code, CASE WHEN code NOT LIKE 'anchor%' AND code NOT IN ('sidecar_count_mismatch', 'empty_ledger') THEN pos END AS position, n AS event_count,
+  CASE WHEN code IN ('sidecar_count_mismatch', 'empty_ledger') THEN 0 WHEN code IS NULL OR code LIKE 'anchor%' THEN n ELSE pos - 1 END AS checked_records, anchor_checked,
+  CASE WHEN code IN ('sidecar_count_mismatch', 'empty_ledger') THEN NULL WHEN code IS NULL OR code LIKE 'anchor%' THEN 'sha256:' || head ELSE 'sha256:' || head_before END AS head_digest FROM j""",
     "cloudevents": f"""WITH {SQL_EVENTS} SELECT '1.0' AS specversion, event_id AS id, run_id AS source, '{PREFIX}.' || event_type AS type, actor_type AS subject,
   strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS time, 'application/json' AS datacontenttype, '{SCHEMA_URI}' AS dataschema,
   '{{"event_id":"' || event_id || '","event_type":"' || event_type || '","ledger_seq":' || ledger_seq || ',"run_id":"' || run_id || '"}}' AS data FROM events_v""",

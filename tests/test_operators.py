@@ -89,9 +89,44 @@ def test_integrity_tamper_matrix(spark):
     assert verdict(records(spark, ["a", "b"]), side, anchor) == (False, "sidecar_count_mismatch")
     short = records(spark, ["a", "b"])
     assert verdict(short, integrity.seal(short), anchor) == (False, "anchor_event_count_mismatch")
-    relinked = side.withColumn("chain_digest", F.lit(integrity.GENESIS))
+    relinked = side.withColumn("chain_digest", F.lit("sha256:" + "0" * 64))
     assert verdict(good, relinked, anchor) == (False, "chain_digest_mismatch")
-    assert verdict(good, side, anchor.withColumn("final_chain_digest", F.lit(integrity.GENESIS))) == (False, "anchor_head_mismatch")
+    assert verdict(good, side, anchor.withColumn("final_chain_digest", F.lit("sha256:" + "0" * 64))) == (False, "anchor_head_mismatch")
+    none = F.lit(None).cast("string")
+    at2 = F.col("ledger_seq") == 2
+
+    def nulled(df, name):
+        return df.withColumn(name, F.when(~at2, F.col(name)).otherwise(none))
+
+    for name, code in (("record_digest", "record_digest_mismatch"), ("previous_chain_digest", "previous_chain_digest_mismatch"), ("chain_digest", "chain_digest_mismatch"), ("event_id", "integrity_identity_mismatch")):
+        assert verdict(good, nulled(side, name), anchor) == (False, code)
+    blank = nulled(nulled(nulled(side, "event_id"), "record_digest"), "chain_digest")
+    assert verdict(good, blank, anchor) == (False, "invalid_integrity_record")
+    for name, code in (("final_chain_digest", "anchor_head_mismatch"), ("last_event_id", "anchor_identity_mismatch")):
+        assert verdict(good, side, anchor.withColumn(name, none)) == (False, code)
+    assert verdict(good, side, anchor.withColumn("event_count", F.lit(None).cast("long"))) == (False, "anchor_event_count_mismatch")
+    assert verdict(good, side.withColumn("hash_algorithm", F.lit("md5")), anchor) == (False, "integrity_profile_mismatch")
+    assert verdict(good, side, anchor.withColumn("record_encoding", F.lit("text"))) == (False, "anchor_profile_mismatch")
+    assert verdict(good, side, anchor.limit(0)) == (True, None)
+    assert integrity.verify(good, side, anchor.limit(0), require_anchor=True).first().code == "anchor_missing"
+    assert verdict(good.limit(0), side, anchor) == (False, "sidecar_count_mismatch")
+    assert verdict(good.limit(0), side.limit(0), anchor) == (False, "empty_ledger")
+
+
+def test_ledgers_of_json_records(spark):
+    rows = [("L", 1, b'{"run_id":"r","ledger_seq":1,"event_id":"a"}'), ("L", 2, b'{"run_id":"q","ledger_seq":2,"event_id":"b"}'), ("M", 1, b"not json"), ("N", 1, b'{"run_id":"r","ledger_seq":3,"event_id":"c"}')]
+    parsed = integrity.parse(spark.createDataFrame(rows, "ledger string, position long, record binary"))
+    side = integrity.seal(parsed.select(F.col("ledger").alias("run_id"), F.col("position").alias("ledger_seq"), "event_id", "record"))
+    side = side.select(F.col("run_id").alias("ledger"), F.lit("r").alias("run_id"), "ledger_seq", "event_id", "record_digest", "previous_chain_digest", "chain_digest")
+    anchor = spark.createDataFrame([], "ledger string, run_id string, event_count long, first_event_id string, last_event_id string, final_chain_digest string")
+    got = {r.ledger: (r.code, r.position, r.checked_records) for r in integrity.verify(parsed, side, anchor, ledger="ledger").collect()}
+    assert got == {"L": ("run_id_mismatch", 2, 1), "M": ("invalid_record", 1, 0), "N": ("ledger_seq_mismatch", 1, 0)}
+
+
+def test_chain_in_blocks_is_the_same(spark):
+    good = records(spark, [f"text {i}" for i in range(23)])
+    whole, parts = integrity.seal(good), integrity.seal(good, block=5)
+    assert sorted(whole.collect()) == sorted(parts.collect())
 
 
 def test_witness_matches_digests(spark):
