@@ -1,12 +1,13 @@
 """Quality: naive-Bayes support vectors.
 
-A document is the set of its n-grams: tokens, pairs of neighbouring tokens' shapes and triples of shapes. A shape is
-the token's letter case and the marks it ends with, or "=" where a token repeats the one before. Each n-gram's
+A document is the set of its n-grams: tokens, pairs of neighbouring tokens, and pairs and triples of shapes. A shape is
+the token's letter case and the marks it ends with, or a sign of its own where a token repeats the one before. Each n-gram's
 indicator is scaled by the logarithm of the ratio of its smoothed class counts; a linear model with hinge loss is
 then fitted by dual coordinate descent, and its margins are calibrated on documents it has not seen.
 
 Null and empty texts have no n-grams: their score is the calibrated bias. Rows repeat as they come. Without labels
-of both classes every score is the smoothed share of the positive class (0.5 with no labels at all).
+of both classes every score is the smoothed share of the positive class (0.5 with no labels at all). Columns other than
+doc_id and text, names that differ from these in case alone included, are carried along unread.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .calibrate import fit_platt, sigmoid
 from .common import labelled_sample
 
-HASH_BITS = 18
+HASH_BITS = 20
 CACHE = 300_000
 #: Tokens of a text that are turned into Python objects at a time.
 CHUNK = 200_000
@@ -51,41 +52,56 @@ class Model:
 
 def shape_of(token: str) -> str:
     core = token.rstrip(".,;:!?%&$#*|\"'()[]{}<>-_=+/\\@^~")
-    tail = token[len(core) :][:3]
+    tail = token[len(core) :]
     if not core:
         return "." + tail
     kind = "d" if core[0].isdigit() else "U" if len(core) > 1 and core.isupper() else "C" if core[0].isupper() else "l"
     return kind + tail
 
 
+def _mixed(seed: int, *parts: np.ndarray) -> np.ndarray:
+    """One hash of HASH_BITS bits from the 32-bit hashes of each part."""
+    h = np.full(len(parts[0]), seed, np.uint64)
+    for x in parts:
+        h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
+
+#: Shapes before the first token, and of a token that repeats the one before.
+START, SAME = np.uint64(1), np.uint64(2)
+
+
 class Grams:
-    """Hashed n-grams of texts; remembers a bounded number of tokens."""
+    """Hashed n-grams of texts; remembers the hashes of a bounded number of tokens."""
 
     def __init__(self) -> None:
-        self.seen: dict[str, tuple[int, str]] = {}
-        self.shapes: dict[tuple, int] = {}
+        self.seen: dict[str, int] = {}
 
-    def of(self, text: str | None) -> np.ndarray:
-        mask, out = (1 << HASH_BITS) - 1, set()
-        words = (text or "").split()
+    def _hashes(self, words: list[str]) -> np.ndarray:
+        """The 32-bit hashes of each word (low half) and of its shape (high half)."""
         if len(self.seen) > CACHE:
             self.seen.clear()
-        if len(self.shapes) > CACHE:
-            self.shapes.clear()
-        seen, last, before = self.seen, "", ("^", "^")
+        seen, out = self.seen, []
+        for w in words:
+            if (x := seen.get(w)) is None:
+                raw = w.encode("utf-8", "replace")
+                x = seen[w] = zlib.crc32(raw, 1) | zlib.crc32(shape_of(w).encode("utf-8", "replace"), 3) << 32
+            out.append(x)
+        return np.array(out, np.uint64)
+
+    def of(self, text: str | None) -> np.ndarray:
+        words, found = (text or "").split(), [np.zeros(0, np.int64)]
+        word_before, shapes_before = np.zeros(1, np.uint64), np.array([START, START])
         for start in range(0, len(words), CHUNK):
-            part = words[start : start + CHUNK]
-            for w in set(part):
-                if w not in seen:
-                    seen[w] = zlib.crc32(w[:64].encode("utf-8", "replace"), 1) & mask, shape_of(w)
-                out.add(seen[w][0])
-            row = [*before, *("=" if w == v else seen[w][1] for v, w in zip([last, *part], part, strict=False))]
-            for gram in {*zip(row, row[1:], strict=False), *zip(row, row[1:], row[2:], strict=False)}:
-                if (h := self.shapes.get(gram)) is None:
-                    h = self.shapes[gram] = zlib.crc32(" ".join(gram).encode("utf-8", "replace"), len(gram)) & mask
-                out.add(h)
-            last, before = part[-1], tuple(row[-2:])
-        return np.fromiter(out, np.int64, len(out))
+            both = self._hashes(words[start : start + CHUNK])
+            word = np.concatenate([word_before, both & np.uint64(0xFFFFFFFF)])
+            shape = np.where(word[1:] == word[:-1], SAME, both >> np.uint64(32))
+            shape = np.concatenate([shapes_before, shape])
+            grams = [_mixed(1, word[1:]), _mixed(2, word[:-1], word[1:]), _mixed(3, shape[1:-1], shape[2:]), _mixed(4, shape[:-2], shape[1:-1], shape[2:])]
+            found.append(np.unique(np.concatenate(grams)))
+            word_before, shapes_before = word[-1:], shape[-2:]
+        return np.unique(np.concatenate(found))
 
 
 def _sampled_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +160,7 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, p: Params) -> Model:
     at = np.flatnonzero(held) if held.any() else train
     margin = np.array([w[used[i]] @ value[i] + bias for i in at])
     a, b = fit_platt(margin, y[at])
-    return Model(np.stack([w * ratio, ratio**2]), bias, a, b)
+    return Model(np.stack([w * ratio, ratio**2]).astype(np.float32), bias, a, b)
 
 
 def _scorer(model) -> object:
@@ -158,7 +174,7 @@ def _scorer(model) -> object:
                     out.append(m.prior)
                     continue
                 at = grams.of(text)
-                total = m.weight[:, at].sum(1)
+                total = m.weight[:, at].sum(1, dtype=np.float64)
                 margin = total[0] / np.sqrt(max(1.0, total[1])) + m.bias
                 out.append(float(sigmoid(np.float64(m.a * margin + m.b))))
             yield pa.RecordBatch.from_arrays(

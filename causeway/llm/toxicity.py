@@ -1,19 +1,25 @@
 """Toxicity: a factorization machine over hashed terms.
 
 A document is the set of its space-separated tokens, A-Z lower-cased. Each token has hashed terms: itself without
-marks at its ends, and its prefixes of four to six characters, so that inflected forms share terms. The machine
-adds a weight for each term and, for each pair of terms, the product of their factors; pairs such as an insult and
-the mention of a group can so count for more, or less, than their sum.
+marks at its ends, and its prefixes of four to six characters, so that inflected forms share terms; a token of over
+LONG characters, as in texts without spaces, has the hashed grams of LONG_GRAM characters all over it. The machine adds a
+weight for each term and, for each pair of terms, the product of their factors; pairs such as an insult and the mention of
+a group can so count for more, or less, than their sum.
+
+Terms are learnt that tell the classes apart alone, and those that do so in a pair beyond what both do alone, whatever each
+does by itself: all pairs of terms in ``min_share`` of the sample's documents are tested. Other terms of that frequency get
+a faint weight, their log-count ratio times FAINT, that orders documents without any learnt term.
 
 Null and empty texts have no terms: their score is the calibrated bias. Rows repeat as they come. Without labels
-of both classes every score is the smoothed share of the positive class (0.5 with no labels at all).
+of both classes every score is the smoothed share of the positive class (0.5 with no labels at all). Columns other than
+doc_id and text, names that differ from these in case alone included, are carried along unread.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +34,18 @@ HASH_BITS = 20
 #: Marks that are cut from the ends of a token.
 MARKS = b".,;:!?%&$#*|\"'()[]{}<>-_"
 CACHE = 300_000
-#: Margins beyond this are as good as sure; the calibration takes them as this much, so that the scale is set near 0.
-CAP = 3.0
+LONG, LONG_GRAM = 64, 5
+FAINT = 0.02
+#: Terms in a step of the test of pairs.
+STEP = 256
 
 
 @dataclass
 class Params:
     sample: int = 12_288  #: labelled documents to fit on, at most
-    terms: int = 16_384  #: hashed terms that get weights: those that tell the classes apart best
-    min_z: float = 4.0  #: and whose document counts differ by so many standard errors
+    min_share: float = 0.02  #: of the sample's documents that a term must be in to be tested in pairs
+    min_z: float = 4.0  #: a term's counts must differ between the classes by so many standard errors,
+    min_pair_z: float = 8.0  #: or a pair's positives from what its terms let expect, to be learnt
     rank: int = 4
     epochs: int = 20
     weight: float = 3.0  #: of a positive document's loss
@@ -47,7 +56,7 @@ class Params:
 
 @dataclass
 class Machine:
-    """term: sorted hashed terms; table: a weight and ``rank`` factors for each. prior: the score where nothing was learnt."""
+    """term: sorted hashed terms; table: a weight and ``rank`` factors (0 if faint) for each. prior: the score where nothing was learnt."""
 
     term: np.ndarray
     table: np.ndarray
@@ -55,7 +64,6 @@ class Machine:
     a: float = 1.0
     b: float = 0.0
     prior: float | None = None
-    _row: dict = field(default_factory=dict, repr=False)
 
 
 def tokens(text: str | None) -> set[bytes]:
@@ -63,10 +71,13 @@ def tokens(text: str | None) -> set[bytes]:
 
 
 def terms_of(token: bytes) -> list[int]:
-    w = token.strip(MARKS) or token[:8]
+    w = token.strip(MARKS) or token
     mask = (1 << HASH_BITS) - 1
     s = w.decode("utf-8", "replace")
-    return [zlib.crc32(w[:64], 1) & mask] + [zlib.crc32(s[:n].encode(), n) & mask for n in (4, 5, 6) if len(s) > n]
+    if len(s) > LONG:
+        grams = {s[i : i + LONG_GRAM] for i in range(len(s) - LONG_GRAM + 1)}
+        return [zlib.crc32(g.encode("utf-8", "replace"), 9) & mask for g in grams]
+    return [zlib.crc32(w, 1) & mask] + [zlib.crc32(s[:n].encode("utf-8", "replace"), n) & mask for n in (4, 5, 6) if len(s) > n]
 
 
 def _sampled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, params: Params | None =
     p = params or Params()
     sample = labelled_sample(docs, labels, "toxic", F.lit(True) if usable is None else usable, p.sample)
     rows = sample.mapInArrow(_sampled_terms, "doc_id long, y int, terms array<int>")
-    # a first pass counts, so that only the terms worth a weight come to the driver
+    # a first pass counts, so that only the terms that get weights come to the driver
     per_doc = rows.select("doc_id", "y", F.array_distinct("terms").alias("terms"))
     n = {r["y"]: r["n"] for r in per_doc.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sum(v for k, v in n.items() if k == 1), sum(v for k, v in n.items() if k != 1)
@@ -123,16 +134,45 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, params: Params | None =
     z = F.abs(F.col("c1") / F.lit(n1) - F.col("c0") / F.lit(n0)) / F.sqrt(
         F.greatest(share * (1 - share), F.lit(1e-12)) * F.lit(1 / n1 + 1 / n0)
     )
-    best = counts.select("term", z.alias("z")).where(F.col("z") >= p.min_z).orderBy(F.desc("z"), "term").limit(p.terms)
-    term = np.array(sorted(r["term"] for r in best.collect()), np.int64)
+    # no more than the 2^HASH_BITS values that a term can have
+    known = counts.where((F.col("c1") + F.col("c0") >= p.min_share * (n1 + n0)) | (z >= p.min_z)).withColumn("z", z).toArrow().sort_by("term")
+    term = known.column("term").to_numpy().astype(np.int64)
+    c1, c0, alone = (known.column(k).to_numpy().astype(float) for k in ("c1", "c0", "z"))
     # only the terms that have weights leave the executors, as rows of the table
     got = rows.mapInArrow(_known_terms(sample.sparkSession.sparkContext.broadcast(term)), rows.schema).toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     y = (got.column("y").to_numpy()[order] == 1).astype(float)
     lists = got.column("terms").combine_chunks()
     flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    docs_terms = [flat[ends[i] : ends[i + 1]] for i in order]
-    return _fit_machine(term, docs_terms, y, p)
+    docs_terms = [np.unique(flat[ends[i] : ends[i + 1]]) for i in order]
+    common = np.flatnonzero(c1 + c0 >= p.min_share * (n1 + n0))
+    learnt = alone >= p.min_z
+    learnt[common[in_pairs(docs_terms, y, common, p.min_pair_z)]] = True
+    faint = np.where(learnt, 0.0, FAINT * np.log((c1 + 1) / (n1 + 2) * (n0 + 2) / (c0 + 1)))
+    return _fit_machine(term, docs_terms, y, p, learnt, faint)
+
+
+def in_pairs(docs_terms: list[np.ndarray], y: np.ndarray, common: np.ndarray, min_z: float) -> np.ndarray:
+    """Which of the common terms are in a pair whose positives differ from what the odds of both terms let expect."""
+    n, k = len(y), len(common)
+    at = np.full(int(max((x.max() for x in docs_terms if len(x)), default=0)) + 1 + (common.max() + 1 if k else 0), -1)
+    at[common] = np.arange(k)
+    held = np.zeros((n, k), np.float32)
+    for i, x in enumerate(docs_terms):
+        own = at[x]
+        held[i, own[own >= 0]] = 1.0
+    found = np.zeros(k, bool)
+    positive, base = held[y == 1], (y.sum() + 1) / (n + 2)
+    odds = np.log((positive.sum(0) + base) / (held.sum(0) - positive.sum(0) + 1 - base))
+    for start in range(0, k, STEP):
+        both = (held.T @ held[:, start : start + STEP]).astype(float)
+        hits = (positive.T @ positive[:, start : start + STEP]).astype(float)
+        expected = sigmoid(odds[:, None] + odds[None, start : start + STEP] - np.log(base / (1 - base)))
+        z = np.abs(hits - both * expected) / np.sqrt(both * expected * (1 - expected) + 1.0)
+        z[np.arange(start, min(k, start + STEP)), np.arange(min(STEP, k - start))] = 0.0
+        found |= (z >= min_z).any(1)
+        found[start : start + STEP] |= (z >= min_z).any(0)
+    return found
 
 
 def _flat(docs_terms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,19 +190,22 @@ def _margins(table: np.ndarray, bias: float, flat: np.ndarray, doc: np.ndarray,
     return bias + np.bincount(doc, w, n) + pairs, sums
 
 
-def _fit_machine(term: np.ndarray, docs_terms: list[np.ndarray], y: np.ndarray, p: Params) -> Machine:
+def _fit_machine(term: np.ndarray, docs_terms: list[np.ndarray], y: np.ndarray, p: Params, learnt: np.ndarray, faint: np.ndarray) -> Machine:
     """AdaGrad on the logistic loss over three quarters of the sample; the rest calibrates the margins."""
     rng = np.random.default_rng(p.seed)
     table = np.zeros((len(term), 1 + p.rank))
-    table[:, 1:] = rng.normal(0, 0.05, (len(term), p.rank))
+    table[:, 0] = faint
+    table[learnt, 1:] = rng.normal(0, 0.05, (int(learnt.sum()), p.rank))
     n, bias = len(y), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     held = rng.permutation(n) % 4 == 0 if n >= 40 else np.zeros(n, bool)
     train, seen, seen_bias = np.flatnonzero(~held), np.full(table.shape, 1e-6), 1e-6
-    for _ in range(p.epochs if len(term) else 0):
+    moved = [x[learnt[x]] for x in docs_terms]
+    offset = np.array([faint[x].sum() for x in docs_terms])
+    for _ in range(p.epochs if learnt.any() else 0):
         for batch in np.array_split(rng.permutation(train), max(1, len(train) // 128)):
-            flat, doc = _flat([docs_terms[i] for i in batch])
+            flat, doc = _flat([moved[i] for i in batch])
             margin, sums = _margins(table, bias, flat, doc, len(batch))
-            g = (sigmoid(margin) - y[batch]) * np.where(y[batch] == 1, p.weight, 1.0) / len(batch)
+            g = (sigmoid(margin + offset[batch]) - y[batch]) * np.where(y[batch] == 1, p.weight, 1.0) / len(batch)
             grad = np.concatenate([g[doc][:, None], g[doc][:, None] * (sums[doc] - table[flat, 1:])], 1)
             rows, at = np.unique(flat, return_inverse=True)
             total = np.stack([np.bincount(at, grad[:, k], len(rows)) for k in range(grad.shape[1])], 1) + p.l2 * table[rows]
@@ -173,39 +216,45 @@ def _fit_machine(term: np.ndarray, docs_terms: list[np.ndarray], y: np.ndarray,
     at = np.flatnonzero(held) if held.any() else train
     flat, doc = _flat([docs_terms[i] for i in at])
     margin, _ = _margins(table, bias, flat, doc, len(at))
-    a, b = fit_platt(np.clip(margin, -CAP, CAP), y[at])
+    a, b = fit_platt(np.arcsinh(margin), y[at])
     return Machine(term, table, bias, a, b)
 
 
+class _Tokens:
+    """What a document needs of each token: its weight, the sum of its factors and the sum of their squares. Bounded."""
+
+    def __init__(self, model: Machine) -> None:
+        self.known = {int(t): i for i, t in enumerate(model.term)}
+        self.table, self.width = model.table, model.table.shape[1] + 1
+        self.at: dict[bytes, int] = {}
+        self.rows = np.zeros((1024, self.width))
+
+    def total(self, tokens: set[bytes]) -> np.ndarray:
+        if len(self.at) > CACHE:
+            self.at.clear()
+        places = []
+        for t in tokens:
+            if (i := self.at.get(t)) is None:
+                i = self.at[t] = len(self.at)
+                if i >= len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                v = self.table[[self.known[x] for x in terms_of(t) if x in self.known]]
+                self.rows[i, :-1], self.rows[i, -1] = v.sum(0), (v[:, 1:] ** 2).sum()
+            places.append(i)
+        return self.rows[places].sum(0)
+
+
 def _scorer(model) -> object:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Machine = model.value
-        known = {int(t): i for i, t in enumerate(m.term)}
-        rank = m.table.shape[1] - 1
-        cache: dict[bytes, np.ndarray | None] = {}
+        seen = _Tokens(m)
         for batch in batches:
-            out = []
+            margin = []
             for text in batch.column("text").to_pylist():
-                if m.prior is not None:
-                    out.append(m.prior)
-                    continue
-                if len(cache) > CACHE:
-                    cache.clear()
-                total = None
-                for t in tokens(text):
-                    try:
-                        x = cache[t]
-                    except KeyError:
-                        rows = [known[i] for i in terms_of(t) if i in known]
-                        # weight, sum of factors, sum of their squares: all a document needs of a token
-                        v = m.table[rows]
-                        x = cache[t] = np.concatenate([v.sum(0), [(v[:, 1:] ** 2).sum()]]) if rows else None
-                    if x is not None:
-                        total = x if total is None else total + x
-                margin = m.bias
-                if total is not None:
-                    margin += total[0] + 0.5 * ((total[1 : 1 + rank] ** 2).sum() - total[-1])
-                out.append(float(sigmoid(np.float64(m.a * min(max(margin, -CAP), CAP) + m.b))))
+                total = seen.total(tokens(text)) if m.prior is None else np.zeros(seen.width)
+                margin.append(m.bias + total[0] + 0.5 * ((total[1:-1] ** 2).sum() - total[-1]))
+            # the logarithmic scale keeps the order of margins of any size
+            out = sigmoid(m.a * np.arcsinh(np.array(margin, float)) + m.b) if m.prior is None else np.full(len(margin), m.prior)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(batch.num_columns)), pa.array(out, pa.float64())],
                 [*batch.schema.names, "score"],
