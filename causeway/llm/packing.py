@@ -8,7 +8,8 @@ used a little more. The solution is rounded down to whole sequences, and what is
 decreasing, again by length. Pieces then look up their place by their number within their length, on the executors.
 
 Null and empty texts are the end id alone. A document longer than a sequence is cut into full pieces, its first piece
-takes what is over. Repeated ids and rows are packed as they come. An empty table gives an empty result.
+takes what is over. Repeated ids and rows are packed as they come. An empty table gives an empty result. Columns other than
+doc_id and text are not read, names that differ from these in case alone included.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered
+from .common import cut, keep_only, numbered
 
 #: Pieces in a batch that leaves a task.
 CHUNK = 5_000
@@ -30,8 +31,8 @@ CHUNK = 5_000
 ROUNDS = 1_200
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Buckets that pieces of a length are numbered in; full pieces are the commonest and get more.
-LENGTH_BUCKETS, FULL_BUCKETS = 32, 4096
+#: Pieces that one task numbers, at most about; a length gets as many buckets as that asks for.
+BUCKET_ROWS = 2_000
 
 
 def _byte_of() -> dict[str, int]:
@@ -45,8 +46,8 @@ class Encoder:
     """Ids of texts under a byte-level BPE file of the tokenizers library, as little-endian unsigned 32-bit bytes.
 
     The file's merges rank as its ids do, so the ranks are read from its vocabulary and texts are encoded by the faster
-    of the two libraries that implement this BPE; the tests hold the ids against the tokenizers library's own. Special
-    tokens' strings in a text are ordinary text.
+    of the two libraries that implement this BPE; the tests hold the ids against the tokenizers library's own. Strings of
+    added tokens in a text have their ids, as in that library's default.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,12 +58,12 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        byte_of, special = _byte_of(), {t["content"] for t in spec.get("added_tokens") or ()}
+        byte_of, special = _byte_of(), {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str) -> bytes:
-        return self.bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return self.bpe.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 def _piece_rows(path: str, capacity: int, end_id: int, with_ids: bool):
@@ -209,7 +210,7 @@ def _placer(shared):
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """One row for each piece; with_ids: also its ids, as little-endian unsigned 32-bit bytes."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = keep_only(docs, doc_id="long", text="string")
     return named.mapInArrow(
         _piece_rows(tokenizer, capacity, end_id, with_ids), PIECES + (", ids binary" if with_ids else "")
     )
@@ -220,8 +221,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     made = cut(pieces(docs, tokenizer, capacity, end_id, with_ids))
     counts = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}
     shared = made.sparkSession.sparkContext.broadcast(_places(solve(counts, capacity)))
-    buckets = F.when(F.col("length") == capacity, FULL_BUCKETS).otherwise(LENGTH_BUCKETS)
-    ranked = numbered(made, "length", "doc_id", "rank", buckets)
+    # pieces of one length are interchangeable, so any number will do: a row's own, whatever its id and whoever shares it
+    dealt = made.withColumn("_row", F.monotonically_increasing_id())
+    many = F.create_map(*[F.lit(int(x)) for k, n in sorted(counts.items()) for x in (k, -(-n // BUCKET_ROWS))]) if counts else F.lit(None)
+    ranked = numbered(dealt, "length", "_row", "rank", F.element_at(many, F.col("length").cast("int")) if counts else F.lit(1))
     schema = PIECES + (", ids binary" if with_ids else "") + ", sequence_id long, offset long"
     columns = [x.split()[0] for x in PIECES.split(", ")] + (["ids"] if with_ids else [])
     return ranked.select(*columns, "rank").mapInArrow(_placer(shared), schema)
