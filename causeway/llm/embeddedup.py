@@ -2,14 +2,17 @@
 
 Unit vectors of cosine ``least`` or more are within eps = sqrt(2 - 2 * least). Vectors are turned to their leading
 principal dimensions, put into cells of side eps there, and sorted by cell: the epsilon grid order. The sequence is cut
-into intervals of bounded size. Two intervals meet only if their boxes in the leading dimensions are within eps, and a
-meeting halves both again and again, leaving out halves that are provably too far apart; what remains is compared by
-cosine in double precision. The principal dimensions come from a bounded sample; they set the order, not the result.
+into intervals of bounded bytes, and runs of intervals make strips. Two strips meet in one task, to which each sends its
+vectors once, so every vector travels as often as there are strips near its own: about the square root of the number of
+tasks where all are near. In a task, intervals whose boxes in the leading dimensions are farther apart than eps are left
+out; the others halve again and again, leaving out halves that are provably too far apart, and what remains is compared
+by cosine in double precision. The principal dimensions come from a bounded sample; they set the order, not the result.
 
-Equal vectors are one class, compared once. A meeting of intervals returns for each class the number of vectors linked
+Equal vectors are one class, compared once. A meeting of strips returns for each class the number of vectors linked
 and the links that join its components, never all pairs. Vectors that are null, empty, zero or hold null or non-finite
 components link with nothing. Vectors of other lengths are other spaces. Repeated vec_ids are vectors of their own for
-n_links, and one node for components; rows of a null vec_id have a null component and are never kept.
+n_links, and one node for components; rows of a null vec_id have a null component and are never kept. Columns other than
+vec_id and embedding are not read, names that differ from these in case alone included. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, cut
+from .common import components, cut, keep_only
 
-#: Vectors of an interval, at most about; leading dimensions; size below which halves are compared outright.
+#: Vectors of an interval, at most; leading dimensions; size below which halves are compared outright.
 INTERVAL, LEADING, SMALL = 2048, 6, 256
+#: Bytes of vectors in a strip at most, as doubles: a task holds two strips.
+STRIP_BYTES = 32 << 20
 PCA_SAMPLE = 10_000
 
 
@@ -88,49 +93,63 @@ def meet(a: np.ndarray, b: np.ndarray, xa: np.ndarray, xb: np.ndarray, least: fl
             yield i, j
 
 
+def _ties(i: np.ndarray, j: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Which of the links (i, j) join two trees of ``root``, which is brought up to date: all at once, again and again."""
+    kept = []
+    todo = np.arange(len(i))
+    while True:
+        a, b = root[i[todo]], root[j[todo]]
+        todo = todo[a != b]
+        if not len(todo):
+            return np.concatenate(kept) if kept else todo
+        a, b = root[i[todo]], root[j[todo]]
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        # each root hangs under one smaller root, so there is no cycle; the links that did it are kept
+        best = np.full(len(root), len(root), root.dtype)
+        np.minimum.at(best, high, low)
+        first = np.unique(high[best[high] == low], return_index=True)[1]
+        kept.append(todo[np.flatnonzero(best[high] == low)[first]])
+        hung = np.flatnonzero(best < len(root))
+        parent = np.arange(len(root))
+        parent[hung] = best[hung]
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        root[:] = parent[root]
+
+
 def _joined(axes: np.ndarray, least: float):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                same = batch.column("a")[k].as_py() == batch.column("b")[k].as_py()
-                sides = {}
-                for s in "ab":
-                    # columns of the interval's members, without a Python object for each number
-                    ids, n, vectors = batch.column(f"{s}_members")[k].values.flatten()
-                    v = unit(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1))
-                    sides[s] = ids.to_numpy(), n.to_numpy(), v, v @ axes
-                (ia, na, va, xa), (ib, nb, vb, xb) = sides["a"], sides["b"]
-                links = {"a": np.zeros(len(ia), np.int64), "b": np.zeros(len(ib), np.int64)}
-                parent = {int(c): int(c) for c in (*ia, *ib)}
-
-                def root(c: int, parent=parent) -> int:
-                    while parent[c] != c:
-                        parent[c] = parent[parent[c]]
-                        c = parent[c]
-                    return c
-
-                tied = []
-                for i, j in meet(va, vb, xa, xb, least, same):
-                    links["a"] += np.bincount(i, nb[j], len(ia)).astype(np.int64)
-                    links["b"] += np.bincount(j, na[i], len(ib)).astype(np.int64)
-                    for c, d in zip(ia[i].tolist(), ib[j].tolist(), strict=True):
-                        rc, rd = root(c), root(d)
-                        if rc != rd:
-                            parent[max(rc, rd)] = min(rc, rd)
-                            tied.append((c, d))
-                counted = [(ids, n) for ids, n in ((ia, links["a"]), (ib, links["b"]))]
-                node = np.concatenate([ids[n > 0] for ids, n in counted])
-                count = np.concatenate([n[n > 0] for _, n in counted])
-                ca, cb = (np.array([t[s] for t in tied], np.int64) for s in (0, 1))
-                none = np.zeros(len(node), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([node, ca])),
-                        pa.array(np.concatenate([none, cb]), mask=np.r_[np.ones(len(node), bool), np.zeros(len(cb), bool)]),
-                        pa.array(np.concatenate([count, np.zeros(len(ca), np.int64)])),
-                    ],
-                    ["cls", "other", "links"],
-                )
+    """cls, other, links of the meeting of the two strips whose rows come together."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("strip", *(f"c{k}" for k in range(axes.shape[1])), "cls")])
+        strip = table.column("strip").to_numpy()
+        cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
+        v = unit(table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(cls), -1))
+        x = v @ axes
+        same = strip[0] == strip[-1]
+        edge = len(cls) if same else int(np.searchsorted(strip, strip[-1]))
+        left = [(s, min(s + INTERVAL, edge)) for s in range(0, edge, INTERVAL)]
+        right = left if same else [(s, min(s + INTERVAL, len(cls))) for s in range(edge, len(cls), INTERVAL)]
+        links, root, tied = np.zeros(len(cls), np.int64), np.arange(len(cls)), []
+        for a0, a1 in left:
+            for b0, b1 in right:
+                if same and b0 < a0:
+                    continue
+                for i, j in meet(v[a0:a1], v[b0:b1], x[a0:a1], x[b0:b1], least, a0 == b0):
+                    i, j = i + a0, j + b0
+                    links += np.bincount(i, n[j], len(cls)).astype(np.int64) + np.bincount(j, n[i], len(cls)).astype(np.int64)
+                    new = _ties(i, j, root)
+                    tied.append((cls[i[new]], cls[j[new]]))
+        hit = np.flatnonzero(links)
+        ca, cb = (np.concatenate([np.zeros(0, np.int64), *(t[s] for t in tied)]) for s in (0, 1))
+        return pa.Table.from_arrays(
+            [
+                pa.array(np.concatenate([cls[hit], ca])),
+                pa.array(np.concatenate([np.zeros(len(hit), np.int64), cb]), mask=np.r_[np.ones(len(hit), bool), np.zeros(len(cb), bool)]),
+                pa.array(np.concatenate([links[hit], np.zeros(len(ca), np.int64)])),
+            ],
+            ["cls", "other", "links"],
+        )
 
     return rows
 
@@ -149,51 +168,38 @@ def _space(classes: DataFrame, dims: int, least: float) -> DataFrame:
     axes = principal(unit(sample) if len(sample) else sample, min(LEADING, dims))
     eps = float(np.sqrt(2 - 2 * least) + 1e-9)
     cells = [f"c{k}" for k in range(axes.shape[1])]
-    schema = "cls long, n long, embedding array<double>, " + ", ".join(f"{c} int" for c in cells)
+    schema = f"cls long, n long, embedding {dict(classes.dtypes)['embedding']}, " + ", ".join(f"{c} int" for c in cells)
     placed = classes.mapInArrow(_placer(axes, eps), schema)
-    parts = max(1, -(-n // INTERVAL))
-    ranged = (
-        placed.repartitionByRange(parts, *cells, "cls").sortWithinPartitions(*cells, "cls").withColumn("_p", F.spark_partition_id())
-    )
-    seq = F.row_number().over(Window.partitionBy("_p").orderBy(*cells, "cls")) - 1
-    intervals = cut(
-        ranged.withColumn("_k", F.floor(seq / INTERVAL))
-        .groupBy("_p", "_k")
-        .agg(
-            F.sort_array(F.collect_list(F.struct(*cells, "cls", "n", "embedding"))).alias("members"),
-            *[F.min(c).alias(f"lo_{c}") for c in cells],
-            *[F.max(c).alias(f"hi_{c}") for c in cells],
-        )
-        .withColumn("id", F.col("_p").cast("long") * (1 << 32) + F.col("_k"))
-        .drop("_p", "_k")
-    )
-    # boxes meet by the cells of the first dimension, each interval in those it spans and the one after
-    box = intervals.drop("members")
-    spread = box.withColumn("cell", F.explode(F.sequence("lo_c0", F.col("hi_c0") + 1)))
-    left, right = (spread.select("cell", *[F.col(c).alias(f"{s}_{c}") for c in box.columns]) for s in "ab")
-    near = [
-        (F.col(f"a_lo_{c}") <= F.col(f"b_hi_{c}") + 1) & (F.col(f"b_lo_{c}") <= F.col(f"a_hi_{c}") + 1) for c in cells
-    ]
-    close = near[0]
-    for x in near[1:]:
-        close = close & x
-    pairs = left.join(right, "cell").where(close & (F.col("a_id") <= F.col("b_id"))).select("a_id", "b_id").distinct()
-    slim = F.transform("members", lambda m: F.struct(m["cls"].alias("cls"), m["n"].alias("n"), m["embedding"].alias("embedding")))
-    data = intervals.select("id", slim.alias("members"))
-    met = (
-        pairs.join(data.select(F.col("id").alias("a_id"), F.col("members").alias("a_members")), "a_id")
-        .join(data.select(F.col("id").alias("b_id"), F.col("members").alias("b_members")), "b_id")
-        .select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_members", "b_members")
-    )
-    return met.mapInArrow(_joined(axes, least), "cls long, other long, links long")
+    # as many strips as intervals in a strip, so tasks and what each vector sends grow with the square root of n
+    size = int(min(max(1, STRIP_BYTES // (8 * dims)), max(INTERVAL, np.sqrt(n * INTERVAL)))) or 1
+    ranged = placed.repartitionByRange(max(1, -(-n // INTERVAL)), *cells, "cls").withColumn("_p", F.spark_partition_id())
+    ranged = cut(ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*cells, "cls")) - 1))
+    # a place in the whole order: the rows of the ranges before, one number for each range, and the place in the range
+    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    ordered = ranged.join(before, "_p").withColumn("strip", F.expr(f"(_before + _i) div {size}")).drop("_p", "_i", "_before")
+    box = ordered.groupBy("strip").agg(*[F.min(c).alias(f"lo_{c}") for c in cells], *[F.max(c).alias(f"hi_{c}") for c in cells])
+    # strips meet by the cells of the first two dimensions, each in those it spans and the ones after; few rows of numbers
+    spread = box.withColumn("k0", F.explode(F.sequence("lo_c0", F.col("hi_c0") + 1)))
+    keys = ["k0"]
+    if len(cells) > 1:
+        spread, keys = spread.withColumn("k1", F.explode(F.sequence("lo_c1", F.col("hi_c1") + 1))), ["k0", "k1"]
+    left, right = (spread.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in box.columns]) for s in "ab")
+    close = F.col("a_strip") <= F.col("b_strip")
+    for c in cells:
+        close = close & (F.col(f"a_lo_{c}") <= F.col(f"b_hi_{c}") + 1) & (F.col(f"b_lo_{c}") <= F.col(f"a_hi_{c}") + 1)
+    pairs = cut(left.join(right, keys).where(close).select("a_strip", "b_strip").distinct())
+    sent = pairs.select("a_strip", "b_strip", F.explode(F.array_distinct(F.array("a_strip", "b_strip"))).alias("strip"))
+    met = ordered.join(sent, "strip").select("a_strip", "b_strip", "strip", *cells, "cls", "n", "embedding")
+    return met.groupBy("a_strip", "b_strip").applyInArrow(_joined(axes, least), "cls long, other long, links long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding)."""
-    named = vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
-    )
-    good = named.where(usable()).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
+    # numbers travel as they come, and are compared as doubles
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    named = keep_only(vectors, vec_id="long", embedding=kind)
+    good = named.where(usable()).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0).cast(kind[6:-1])))
     classes = cut(
         good.groupBy("embedding")
         .agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"))
@@ -210,7 +216,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         return alone.withColumn("kept", F.col("vec_id").isNotNull())
     found = cut(found)
     counts = found.groupBy("cls").agg(F.sum("links").alias("linked"))
-    known = components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
+    # the vectors of one id are one node: its classes hang together
+    several = good.join(classes.select("embedding", "cls"), "embedding").where("vec_id is not null").select("vec_id", "cls").distinct()
+    first = several.groupBy("vec_id").agg(F.min("cls").alias("a"), F.max("cls").alias("last")).where("a <> last")
+    one_id = several.join(first, "vec_id").where("cls <> a").select("a", F.col("cls").alias("b"))
+    known = components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")).union(one_id))
     named_classes = (
         classes.join(counts, "cls", "left")
         .join(known, classes.cls == known.node, "left")
