@@ -60,8 +60,12 @@ def keep_only(df: DataFrame, **types: str) -> DataFrame:
     Columns are renamed by position first: a name that stands twice but for its case is ambiguous to Spark. Of two
     columns of the very same name the first counts.
     """
-    placed = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
-    return placed.select(*[F.col(f"_{df.columns.index(c)}").cast(t).alias(c) for c, t in types.items()])
+    placed, folded = df.toDF(*[f"_{i}" for i in range(len(df.columns))]), [x.lower() for x in df.columns]
+
+    def at(name: str) -> int:
+        return df.columns.index(name) if name in df.columns else folded.index(name.lower())
+
+    return placed.select(*[F.col(f"_{at(c)}").cast(t).alias(c) for c, t in types.items()])
 
 
 def ascii_lower(c: Column) -> Column:
@@ -139,7 +143,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     The drawn labels are bounded, so they are broadcast and texts are not shuffled.
     """
     known = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+        keep_only(labels, doc_id="long", **{label: "int"}).withColumnRenamed(label, "y")
         .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & usable)
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
@@ -147,4 +151,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     n = known.count()
     if n > bound:
         known = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    return keep_only(docs, doc_id="long", text="string").join(F.broadcast(known), "doc_id")

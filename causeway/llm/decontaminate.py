@@ -6,35 +6,42 @@ terms they share. Each item has a threshold of its own, the weight that must rem
 no word outside the lost shingles can be missing, so no item that passes can score below it. Weights are divided by
 their item's threshold, and every item with a score of 1 or more is retrieved; none is cut off by rank.
 
-Posting lists are in item order and keep a maximum for each block of items. A passage whose list maxima do not reach 1
-has no candidates; else blocks whose maxima do not reach 1 are skipped, and items are scored in the others.
+Posting lists are in item order and keep a maximum for each block of items. A passage moves one cursor through the list of
+each of its terms: the pivot is the first item that the maxima of the lists up to its cursor could lift to 1; if the
+maxima of the pivot's block cannot, all cursors before its end skip there, else the item is scored.
 
 Retrieved items are verified: the five-word shingles of the item's question and of its answer must each lie in the
 passage to ``overlap`` or more, or those of the whole item must. In an item of 5 to 28 words a single changed word can
 void more of the shingles than that; there it is also enough that ``overlap`` of its words stand in their order in a
-run of the passage that is no longer than the item's words divided by ``overlap``. A question is the text up to its last "?", or else its first line if five words or
-more stand on both sides; or else the first half of the words. Fewer than five words make one shingle.
+run of the passage that is no longer than the item's words divided by ``overlap``. A question is the text up to its last
+"?", or else its first line if five words or more stand on both sides; or else the first half of the words. Fewer than
+five words make one shingle.
 
 The items are read in blocks of bounded size, one scan of the documents for each block, so the broadcast index is
 bounded too. Items without words match nothing; null texts have none. A repeated item_id counts by its best row, a
-repeated doc_id gives one row for each of its rows that leaks. Empty tables give empty results.
+repeated doc_id gives one row for each of its rows that leaks. Empty tables give empty results. Columns other than the
+ids and texts are not read, names that differ from these in case alone included.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep_only
+
 SHINGLE = 5
 BLOCK = 4  #: items in a block of the posting lists
 K1, B = 1.2, 0.75
+#: Where a cursor is that has left its list.
+END = 1 << 62
 #: Bytes of benchmark texts in one index.
 INDEX_BYTES = 16 << 20
 _words = re.compile(r"\w+").findall
@@ -65,12 +72,6 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return (words[:half], words[half:]) if len(words) >= 2 * SHINGLE else (words, [])
 
 
-def _ranges(starts: np.ndarray, lists: np.ndarray) -> np.ndarray:
-    """Places of all entries of the lists."""
-    first, size = starts[lists], starts[lists + 1] - starts[lists]
-    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-
-
 class Index:
     """items: (item_id, text). Weights are relative to their item's threshold."""
 
@@ -107,42 +108,53 @@ class Index:
             floor = max(total - lost, 1e-3 * total) * (1 - 1e-9)
             for t, w in weight.items():
                 postings.setdefault(t, []).append((item, w / floor))
-        # posting lists one after the other: items with weights, and blocks with their largest weight
-        self.term = {t: i for i, t in enumerate(postings)}
-        self.terms = frozenset(postings)
+        # of each term its items in order, their weights, and the largest weight of each block of items
         self.top = {t: max(w for _, w in p) for t, p in postings.items()}
-        self.item_at = np.cumsum([0, *map(len, postings.values())])
-        self.item = np.array([i for p in postings.values() for i, _ in p], np.int64)
-        self.weight = np.array([w for p in postings.values() for _, w in p])
-        blocks = []
-        for p in postings.values():
+        self.terms = frozenset(postings)
+        self.lists = {}
+        for t, p in postings.items():
             best: dict[int, float] = {}
             for i, w in p:
                 best[i // BLOCK] = max(w, best.get(i // BLOCK, 0.0))
-            blocks.append(best)
-        self.block_at = np.cumsum([0, *map(len, blocks)])
-        self.block = np.array([i for x in blocks for i in x], np.int64)
-        self.block_top = np.array([w for x in blocks for w in x.values()])
+            self.lists[t] = [i for i, _ in p], [w for _, w in p], best
         #: longest item, and so how far passages overlap
         self.stride = max(64, 2 * max(lengths, default=0))
 
     def search(self, terms: set[str]) -> list[tuple[int, float]]:
-        """(item, score) of every item that scores 1 or more.
-
-        As in block-max WAND an item is looked at only where upper bounds allow it: first those of whole lists, then
-        those of the blocks, for all blocks at once; items are scored in the blocks that may reach 1 alone.
-        """
+        """(item, score) of every item that scores 1 or more, by block-max WAND."""
         if sum(map(self.top.__getitem__, terms)) < 1.0:
             return []
-        lists = np.fromiter(map(self.term.__getitem__, terms), np.int64, len(terms))
-        at = _ranges(self.block_at, lists)
-        may = np.bincount(self.block[at], self.block_top[at]) >= 1.0
-        if not may.any():
-            return []
-        at = _ranges(self.item_at, lists)
-        at = at[may[self.item[at] // BLOCK]]
-        score = np.bincount(self.item[at], self.weight[at])
-        return [(int(i), float(score[i])) for i in np.flatnonzero(score >= 1.0)]
+        # a cursor: the item it stands at, the list's maximum, its place in the list, and the list
+        cursors = [[self.lists[t][0][0], self.top[t], 0, *self.lists[t]] for t in terms]
+        found = []
+        while True:
+            cursors.sort(key=lambda c: c[0])
+            bound, last = 0.0, -1
+            for last, c in enumerate(cursors):
+                bound += c[1]
+                if bound >= 1.0:
+                    break
+            else:
+                return found
+            pivot = cursors[last][0]
+            while last + 1 < len(cursors) and cursors[last + 1][0] == pivot:
+                last += 1
+            block = pivot // BLOCK
+            if sum(c[5].get(block, 0.0) for c in cursors[: last + 1]) < 1.0:
+                # nothing up to the end of the block, or to the next cursor, can reach 1
+                target = min((block + 1) * BLOCK, cursors[last + 1][0] if last + 1 < len(cursors) else (block + 1) * BLOCK)
+            elif cursors[0][0] == pivot:
+                score = sum(c[4][c[2]] for c in cursors[: last + 1])
+                if score >= 1.0:
+                    found.append((pivot, score))
+                target = pivot + 1
+            else:
+                target = pivot
+            for c in cursors[: last + 1]:
+                if c[0] < target:
+                    c[2] = bisect_left(c[3], target, c[2])
+                    c[0] = c[3][c[2]] if c[2] < len(c[3]) else END
+            cursors = [c for c in cursors if c[0] < END]
 
     def leaks(self, text: str | None) -> dict[int, tuple[float, float, float]]:
         """item: (score, overlap of question, of answer) of the items that a text holds; the best passage of each."""
@@ -236,12 +248,12 @@ def _leak_rows(shared):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every item that a document holds."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(
+    items = keep_only(benchmark, item_id="long", text="string").where(
         F.col("item_id").isNotNull() & F.col("text").isNotNull()
     )
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = -(-size // index_bytes)
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = keep_only(docs, doc_id="long", text="string")
     spark = docs.sparkSession
     out = spark.createDataFrame([], LEAKS)
     for k in range(blocks):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, embeddedup, linededup, packing, quality, sharding, simhash, suffixdedup, toxicity, urlfilter
-from .common import table
+from .common import keep_only, table
 
 SHARDS = 24
 #: (verdict, host, path)
@@ -52,7 +52,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
     model = toxicity.fit(docs, labels, ~held_out)
-    scored = toxicity.score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    scored = toxicity.score(keep_only(docs, doc_id="long", text="string"), model)
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
@@ -63,7 +63,8 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=20, min_docs=3)
+    docs = keep_only(table(spark, sf_dir, "documents"), doc_id="long", text="string")
+    out = linededup.dedup_lines(docs, min_chars=20, min_docs=3)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -88,7 +89,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
     model = quality.fit(docs, labels, ~held_out)
-    scored = quality.score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    scored = quality.score(keep_only(docs, doc_id="long", text="string"), model)
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

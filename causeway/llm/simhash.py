@@ -10,7 +10,9 @@ Only distinct fingerprints are compared: copies share one. A fingerprint is look
 others, which probe with every value that differs in at most t_i bits; the distance is checked inside the join.
 
 Null and empty texts, and texts of blanks, have the fingerprint zero and link like any other. Fewer than three words
-make one shingle of all. A repeated doc_id is one node. Null ids get a fingerprint and component of their own.
+make one shingle of all. A repeated doc_id is one node, whatever its texts. Null ids have a fingerprint and a null
+component, and link nothing. Columns other than doc_id and text are not read, names that differ from these in case alone
+included. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import components, cut
+from .common import components, cut, keep_only
 
 BITS = 64
 #: Shingles of a text that are hashed at a time.
@@ -169,11 +171,14 @@ def links(distinct: DataFrame, reach: int = 3) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, reach: int = 3) -> DataFrame:
     """doc_id, fp, component_id for every row of docs (doc_id, text)."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut(fingerprints(named))
+    prints = cut(fingerprints(keep_only(docs, doc_id="long", text="string")))
     # the smallest id of each fingerprint stands for its copies
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    known = components(links(distinct.where("first_id is not null").select("fp"), reach))
+    # the texts of one id are one node: their fingerprints hang together
+    several = prints.where("doc_id is not null").select("doc_id", "fp").distinct()
+    first = several.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).where("a <> last")
+    one_id = several.join(first, "doc_id").where("fp <> a").select("a", F.col("fp").alias("b"))
+    known = components(links(distinct.where("first_id is not null").select("fp"), reach).union(one_id))
     roots = distinct.join(known, distinct.fp == known.node, "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("root")
     )

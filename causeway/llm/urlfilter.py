@@ -6,7 +6,8 @@ SHA-256 digests, the full digests are then compared, and of the rules that fit t
 ones the one that blocks. URLs that no rule fits get the default verdict.
 
 A null URL, or one without "://", has an empty host and path; no rule fits it. Repeated rows and ids stay as they are.
-Rules whose host or path is null are left out. Main path: DataFrame functions only.
+Rules whose host or path is null are left out. Columns other than page_id and url are not read, names that differ from these
+in case alone included. An empty table gives an empty result. Main path: DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, keep_only
 
 #: Hexadecimal digits of a digest that are joined on.
 PREFIX_DIGITS = 8
@@ -50,9 +51,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     )
     # the shapes of the rules: bounded by the longest rule, whatever their number
     shapes = known.select("labels", "chars").distinct().collect()
-    labels, chars = sorted({r["labels"] for r in shapes}), sorted({r["chars"] for r in shapes})
+    chars = [r["chars"] for r in shapes]
     url = F.col("url")
-    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
+    named = keep_only(pages, page_id="long", url="string")
     parsed = named.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     if not shapes:
         return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
@@ -62,8 +63,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
             (n_labels >= n) & (F.length("path") >= c),
             F.concat_ws("\n", F.substring_index("host", ".", -n), F.substring("path", 1, c)),
         )
-        for n in labels
-        for c in chars
+        for n, c in sorted((r["labels"], r["chars"]) for r in shapes)
     ]
     # one row for each distinct host and path prefix: pages of a hot host meet the rules once
     longest = max(chars)
