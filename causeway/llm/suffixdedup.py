@@ -262,14 +262,15 @@ def doubled(texts: DataFrame, width: int, scratch: Scratch) -> tuple[DataFrame,
         if pairs.isEmpty():
             break
         one, two = F.xxhash64("name", "next1"), F.xxhash64("next2", "next3")
-        done = done.union(pairs.where(F.col("r") == 2 * run).select(*PLACE, one.alias("name")))
+        settled = scratch.put(f"settled{run}", pairs.where(F.col("r") == 2 * run).select(*PLACE, one.alias("name")))
         further = pairs.where((F.col("deepest") >= 4 * run) & F.expr("next2 is not null and next3 is not null"))
-        run *= 4
+        before, run = run, 4 * run
         level = scratch.put(f"level{run}", repeated(further.select(*PLACE, "r", F.xxhash64(one, two).alias("name")), scratch, "name"))
-        done = done.union(level.where(F.col("r") == run).select(*PLACE, "name"))
+        done = done.union(settled).union(level.where(F.col("r") == run).select(*PLACE, "name"))
+        scratch.drop(f"pairs{before}")
     whole = alive.drop("name", "r").join(done, PLACE)
     out = scratch.put("repeats", whole.withColumn("core", F.xxhash64("name", "tail")).drop("name"))
-    scratch.drop("twice", "sifted", *(f"{k}{1 << i}" for i in range(run.bit_length()) for k in ("pairs", "level")))
+    scratch.drop("twice", "sifted", *(f"{k}{1 << i}" for i in range(run.bit_length()) for k in ("pairs", "level", "settled")))
     sieve.unpersist()
     return out, pieces
 
