@@ -157,21 +157,30 @@ def in_pairs(docs_terms: list[np.ndarray], y: np.ndarray, common: np.ndarray, mi
     n, k = len(y), len(common)
     at = np.full(int(max((x.max() for x in docs_terms if len(x)), default=0)) + 1 + (common.max() + 1 if k else 0), -1)
     at[common] = np.arange(k)
-    held = np.zeros((n, k), np.float32)
+    held = np.zeros((n, k), np.uint8)
     for i, x in enumerate(docs_terms):
         own = at[x]
-        held[i, own[own >= 0]] = 1.0
+        held[i, own[own >= 0]] = 1
     found = np.zeros(k, bool)
-    positive, base = held[y == 1], (y.sum() + 1) / (n + 2)
-    odds = np.log((positive.sum(0) + base) / (held.sum(0) - positive.sum(0) + 1 - base))
+    base, positive = (y.sum() + 1) / (n + 2), held[y == 1].sum(0, dtype=float)
+    odds = np.log((positive + base) / (held.sum(0, dtype=float) - positive + 1 - base))
+
+    def together(docs: np.ndarray, step: slice) -> np.ndarray:
+        """How many of docs hold each term and each of a step's; a few documents are numbers at a time."""
+        out = np.zeros((k, step.stop - step.start))
+        for a in range(0, len(docs), 4 * STEP):
+            part = docs[a : a + 4 * STEP].astype(np.float32)
+            out += part.T @ part[:, step]
+        return out
+
     for start in range(0, k, STEP):
-        both = (held.T @ held[:, start : start + STEP]).astype(float)
-        hits = (positive.T @ positive[:, start : start + STEP]).astype(float)
-        expected = sigmoid(odds[:, None] + odds[None, start : start + STEP] - np.log(base / (1 - base)))
+        step = slice(start, min(k, start + STEP))
+        both, hits = together(held, step), together(held[y == 1], step)
+        expected = sigmoid(odds[:, None] + odds[None, step] - np.log(base / (1 - base)))
         z = np.abs(hits - both * expected) / np.sqrt(both * expected * (1 - expected) + 1.0)
-        z[np.arange(start, min(k, start + STEP)), np.arange(min(STEP, k - start))] = 0.0
+        z[np.arange(step.start, step.stop), np.arange(step.stop - step.start)] = 0.0
         found |= (z >= min_z).any(1)
-        found[start : start + STEP] |= (z >= min_z).any(0)
+        found[step] |= (z >= min_z).any(0)
     return found
 
 
