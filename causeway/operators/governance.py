@@ -291,7 +291,8 @@ def fold_grants(grants: DataFrame, commands: DataFrame) -> DataFrame:
 
     grants: authority_ref, state, uses, max_uses, expires_at, scope (array), target, revocable. commands: seq,
     authority_ref, kind (consume or revoke), action, target, at. Returns seq, authority_ref, kind, outcome, and state and
-    uses of the grant afterwards. A grant that is not active, whether spent, expired or revoked before, refuses every use;
+    uses of the grant afterwards. A grant that is not active, whether spent, expired or revoked before, refuses every use,
+    and so does one whose given uses have reached max_uses;
     a use after the expiry leaves it expired; a revocation needs a revocable grant. Running counts over a grant's commands.
     """
     known = grants.select(
@@ -333,7 +334,7 @@ def fold_grants(grants: DataFrame, commands: DataFrame) -> DataFrame:
     uses = F.col("uses0") + so_far(use & (F.col("outcome") == "accepted"), upto)
     expired = so_far(use & (F.col("outcome") == "authority_expired"), upto) > 0
     state = (
-        F.when(F.col("revoked") > 0, "revoked").when(F.col("state0") != "active", F.col("state0")).when(expired, "expired").when(uses >= F.col("max_uses"), "consumed").otherwise("active")
+        F.when(F.col("revoked") > 0, "revoked").when(F.col("state0") != "active", F.col("state0")).when(expired, "expired").when((uses > F.col("uses0")) & (uses >= F.col("max_uses")), "consumed").otherwise("active")
     )
     return rows.select("seq", "authority_ref", "kind", "outcome", F.when(exists, state).alias("state"), F.when(exists, uses).alias("uses"))
 
