@@ -7,7 +7,7 @@ no word outside the lost shingles can be missing, so no item that passes can sco
 their item's threshold, and every item with a score of 1 or more is retrieved; none is cut off by rank.
 
 Posting lists are in item order and keep a maximum for each block of items. A passage moves one cursor through the list of
-each of its terms: the pivot is the first item that the maxima of the lists up to its cursor could lift to 1; if the
+each of its terms, if any block's maxima over all its terms reach 1 at all: the pivot is the first item that the maxima of the lists up to its cursor could lift to 1; if the
 maxima of the pivot's block cannot, all cursors before its end skip there, else the item is scored.
 
 Retrieved items are verified: the five-word shingles of the item's question and of its answer must each lie in the
@@ -31,6 +31,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +73,12 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return (words[:half], words[half:]) if len(words) >= 2 * SHINGLE else (words, [])
 
 
+def _ranges(starts: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """Places of all entries of the lists."""
+    first, size = starts[lists], starts[lists + 1] - starts[lists]
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 class Index:
     """items: (item_id, text). Weights are relative to their item's threshold."""
 
@@ -117,6 +124,11 @@ class Index:
             for i, w in p:
                 best[i // BLOCK] = max(w, best.get(i // BLOCK, 0.0))
             self.lists[t] = [i for i, _ in p], [w for _, w in p], best
+        # the blocks of all lists, one list after the other
+        self.term = {t: i for i, t in enumerate(self.lists)}
+        self.block_at = np.cumsum([0, *(len(x[2]) for x in self.lists.values())])
+        self.block = np.array([b for x in self.lists.values() for b in x[2]], np.int64)
+        self.block_top = np.array([w for x in self.lists.values() for w in x[2].values()])
         #: longest item, and so how far passages overlap
         self.stride = max(64, 2 * max(lengths, default=0))
 
@@ -124,6 +136,11 @@ class Index:
         """(item, score) of every item that scores 1 or more, by block-max WAND."""
         if sum(map(self.top.__getitem__, terms)) < 1.0:
             return []
+        # most passages end here: no block can reach 1, which one look at all blocks tells
+        lists = np.fromiter(map(self.term.__getitem__, terms), np.int64, len(terms))
+        at = _ranges(self.block_at, lists)
+        if np.bincount(self.block[at], self.block_top[at]).max() < 1.0:
+            return []
         # a cursor: the item it stands at, the list's maximum, its place in the list, and the list
         cursors = [[self.lists[t][0][0], self.top[t], 0, *self.lists[t]] for t in terms]
         found = []
