@@ -47,7 +47,8 @@ class Params:
     min_z: float = 4.0  #: a term's counts must differ between the classes by so many standard errors,
     min_pair_z: float = 8.0  #: or a pair's positives from what its terms let expect, to be learnt
     rank: int = 4
-    epochs: int = 20
+    epochs: int = 10
+    folds: int = 3  #: that the margins are calibrated across
     weight: float = 3.0  #: of a positive document's loss
     rate: float = 0.1
     l2: float = 1e-5
@@ -199,20 +200,16 @@ def _margins(table: np.ndarray, bias: float, flat: np.ndarray, doc: np.ndarray,
     return bias + np.bincount(doc, w, n) + pairs, sums
 
 
-def _fit_machine(term: np.ndarray, docs_terms: list[np.ndarray], y: np.ndarray, p: Params, learnt: np.ndarray, faint: np.ndarray) -> Machine:
-    """AdaGrad on the logistic loss over three quarters of the sample; the rest calibrates the margins."""
-    rng = np.random.default_rng(p.seed)
-    table = np.zeros((len(term), 1 + p.rank))
-    table[:, 0] = faint
-    table[learnt, 1:] = rng.normal(0, 0.05, (int(learnt.sum()), p.rank))
-    n, bias = len(y), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    held = rng.permutation(n) % 4 == 0 if n >= 40 else np.zeros(n, bool)
-    train, seen, seen_bias = np.flatnonzero(~held), np.full(table.shape, 1e-6), 1e-6
-    moved = [x[learnt[x]] for x in docs_terms]
-    offset = np.array([faint[x].sum() for x in docs_terms])
+def _train(
+    table: np.ndarray, docs_terms: list[np.ndarray], y: np.ndarray, p: Params, learnt: np.ndarray, offset: np.ndarray, chosen: np.ndarray
+) -> tuple[np.ndarray, float]:
+    """(table, bias) by AdaGrad on the logistic loss of the chosen documents, from a copy of table."""
+    rng, table = np.random.default_rng(p.seed), table.copy()
+    n, bias = len(chosen), float(np.log((y[chosen].sum() + 1) / (len(chosen) - y[chosen].sum() + 1)))
+    seen, seen_bias = np.full(table.shape, 1e-6), 1e-6
     for _ in range(p.epochs if learnt.any() else 0):
-        for batch in np.array_split(rng.permutation(train), max(1, len(train) // 128)):
-            flat, doc = _flat([moved[i] for i in batch])
+        for batch in np.array_split(rng.permutation(chosen), max(1, n // 128)):
+            flat, doc = _flat([docs_terms[i] for i in batch])
             margin, sums = _margins(table, bias, flat, doc, len(batch))
             g = (sigmoid(margin + offset[batch]) - y[batch]) * np.where(y[batch] == 1, p.weight, 1.0) / len(batch)
             grad = np.concatenate([g[doc][:, None], g[doc][:, None] * (sums[doc] - table[flat, 1:])], 1)
@@ -222,10 +219,31 @@ def _fit_machine(term: np.ndarray, docs_terms: list[np.ndarray], y: np.ndarray,
             table[rows] -= p.rate * total / np.sqrt(seen[rows])
             seen_bias += g.sum() ** 2
             bias -= p.rate * g.sum() / np.sqrt(seen_bias)
-    at = np.flatnonzero(held) if held.any() else train
-    flat, doc = _flat([docs_terms[i] for i in at])
-    margin, _ = _margins(table, bias, flat, doc, len(at))
-    a, b = fit_platt(np.arcsinh(margin), y[at])
+    return table, bias
+
+
+def _fit_machine(term: np.ndarray, docs_terms: list[np.ndarray], y: np.ndarray, p: Params, learnt: np.ndarray, faint: np.ndarray) -> Machine:
+    """The machine of the whole sample, calibrated on margins that machines of the other folds give each fold."""
+    rng, n = np.random.default_rng(p.seed), len(y)
+    start = np.zeros((len(term), 1 + p.rank))
+    start[:, 0] = faint
+    start[learnt, 1:] = rng.normal(0, 0.05, (int(learnt.sum()), p.rank))
+    moved = [x[learnt[x]] for x in docs_terms]
+    offset = np.array([faint[x].sum() for x in docs_terms])
+
+    def margins(table: np.ndarray, bias: float, docs: np.ndarray) -> np.ndarray:
+        flat, doc = _flat([moved[i] for i in docs])
+        return _margins(table, bias, flat, doc, len(docs))[0] + offset[docs]
+
+    table, bias = _train(start, moved, y, p, learnt, offset, np.arange(n))
+    fold = rng.permutation(n) % p.folds
+    if n < 40:  # too few to leave any out
+        margin = margins(table, bias, np.arange(n))
+    else:
+        margin = np.zeros(n)
+        for k in range(p.folds):
+            margin[fold == k] = margins(*_train(start, moved, y, p, learnt, offset, np.flatnonzero(fold != k)), np.flatnonzero(fold == k))
+    a, b = fit_platt(np.arcsinh(margin), y)
     return Machine(term, table, bias, a, b)
 
 
