@@ -207,6 +207,64 @@ def deltas(mixed: DataFrame, *keys: str) -> DataFrame:
     return both.withColumn("delta", F.col("current_horizon") - F.col("base_horizon"))
 
 
+def family_deltas(found: DataFrame) -> DataFrame:
+    """Change of each family and subject; a family that a snapshot lacks has the status missing_family there."""
+    def of(snapshot: str, column: str) -> Column:
+        return F.max(F.when(F.col("snapshot_id") == snapshot, F.col(column)))
+
+    names = ("base", "current")
+    both = found.groupBy("family_id", "subject").agg(
+        *[of(x, "horizon").alias(f"{x}_horizon") for x in names],
+        *[F.coalesce(of(x, "status"), F.lit("missing_family")).alias(f"{x}_status") for x in names],
+    )
+    against = [F.when(F.col(f"{x}_status") != "supported", F.concat(F.lit(f"{x}:"), f"{x}_status")) for x in names]
+    delta = F.col("current_horizon") - F.col("base_horizon")
+    return both.withColumns({"reasons": F.concat_ws(";", *against), "delta": delta, "direction": sign_of(delta, TOLERANCE).cast("int")})
+
+
+def agreement(families: DataFrame, adjusted: DataFrame, elapsed: DataFrame) -> DataFrame:
+    """How the families of each subject go along with its adjusted change.
+
+    families: of family_deltas; adjusted: (subject, adjusted_delta); elapsed: one row with elapsed_days between the
+    snapshots. The share of agreeing families is null where the adjusted change or all theirs are; the change a day where no time went by.
+    """
+    def ends(x: str) -> list[Column]:
+        return [F.min(f"{x}_horizon").alias(f"{x}_least"), F.max(f"{x}_horizon").alias(f"{x}_greatest")]
+
+    agrees = F.col("direction") == sign_of(F.col("adjusted_delta"), TOLERANCE)
+    found = families.join(adjusted.select("subject", "adjusted_delta"), "subject", "left").groupBy("subject").agg(
+        F.max("adjusted_delta").alias("adjusted_delta"),
+        (F.count("delta") / F.count(F.lit(1))).alias("supported_fraction"),
+        F.avg(agrees.cast("double")).alias("direction_agreement"),
+        *ends("base"),
+        *ends("current"),
+        F.max(F.abs("delta")).alias("max_abs_delta"),
+    )
+    per_day = F.when(F.col("elapsed_days") > 0, F.col("adjusted_delta") / F.col("elapsed_days"))
+    return found.join(elapsed.select("elapsed_days")).withColumn("per_day", per_day)
+
+
+def context(snapshots: DataFrame) -> DataFrame:
+    """What differs between the snapshots base and current, the kind of comparison that this is, and the days between them.
+
+    snapshots: (snapshot_id, observed_at, backend_id, benchmark_version, agent_config_id, families), a row for each of the two.
+    violation: current_precedes_base, or missing_snapshot; else null. Null contexts are equal to each other.
+    """
+    def of(snapshot: str, column: str) -> Column:
+        return F.max(F.when(F.col("snapshot_id") == snapshot, F.col(column)))
+
+    axes = {"backend_id": "backend_changed", "benchmark_version": "benchmark_version_changed", "agent_config_id": "agent_config_changed", "families": "family_set_changed"}
+    ordered = snapshots.withColumn("families", F.array_sort(F.array_distinct("families")))
+    both = ordered.agg(
+        *[(~of("base", k).eqNullSafe(of("current", k))).alias(name) for k, name in axes.items()],
+        ((F.unix_micros(of("current", "observed_at")) - F.unix_micros(of("base", "observed_at"))) / 86_400_000_000).alias("elapsed_days"),
+    )
+    changed = sum((F.col(name).cast("int") for name in axes.values()), F.lit(0))
+    kind = F.when(F.col("backend_changed") & (changed == 1), "cross_backend").when(changed == 0, "longitudinal_same_configuration")
+    violation = F.when(F.col("elapsed_days").isNull(), "missing_snapshot").when(F.col("elapsed_days") < 0, "current_precedes_base")
+    return both.withColumns({"comparison_kind": kind.otherwise("mixed_configuration_change"), "violation": violation})
+
+
 def bands(values: DataFrame, value: str, keys: Sequence[str], replicates: int, interval: float, min_fraction: float) -> DataFrame:
     """Quantile band, mean, support and sign shares of the non-null values of each key."""
     tail = (1 - interval) / 2

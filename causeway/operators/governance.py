@@ -155,6 +155,25 @@ def metrics(rows: DataFrame, debts: DataFrame, events: DataFrame) -> DataFrame:
     return totals.join(owed).join(hid)
 
 
+def horizon_gap(assessments: DataFrame) -> DataFrame:
+    """assessment_id, autonomy_governance_gap, governance_margin and violations, in order, for each assessment.
+
+    assessments: (assessment_id, unit, reliability_p, scope_id, assessment_method, h_autonomy, h_governance). Gap and margin are
+    null where the contract is broken or a horizon is null: without support on either side there is nothing to compare.
+    """
+    broken = {
+        "unit_not_interaction_depth": ~F.col("unit").eqNullSafe("interaction_depth"),
+        "reliability_out_of_range": ~F.coalesce((F.col("reliability_p") > 0) & (F.col("reliability_p") <= 1), F.lit(False)),
+        "scope_missing": F.coalesce(F.col("scope_id"), F.lit("")) == "",
+        "method_missing": F.coalesce(F.col("assessment_method"), F.lit("")) == "",
+        "negative_depth": F.coalesce(F.least("h_autonomy", "h_governance") < 0, F.lit(False)),
+    }
+    found = F.array_compact(F.array(*[F.when(test, code) for code, test in broken.items()]))
+    gap = F.when(F.size("violations") == 0, F.col("h_autonomy") - F.col("h_governance"))
+    out = assessments.withColumn("violations", found).withColumn("autonomy_governance_gap", gap)
+    return out.select("assessment_id", "autonomy_governance_gap", (-F.col("autonomy_governance_gap")).alias("governance_margin"), "violations")
+
+
 def signals(measured: DataFrame) -> DataFrame:
     """Six rows: code, observed, threshold, status and severity. measured: one row with a column for each code."""
     rows = [

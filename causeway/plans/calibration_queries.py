@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import keyed_uniform, sign_of, z_value
 from ..operators import calibration as c
 from ..operators import geometry as geo
-from .derive import SQL_TRIALS, trials
+from .derive import SQL_SNAPSHOTS, SQL_TRIALS, snapshots, trials
 
 FAMILIES = ("A", "N", "R")
 REFERENCE = {"A": 0.5, "N": 0.3, "R": 0.2}
@@ -79,9 +79,26 @@ def _compare(s, d):
 
 
 def _family_deltas(s, d):
-    h = _horizons(s, d)
-    both = c.deltas(h, "family_id", "subject")
-    return rounded(both.withColumn("direction", sign_of(F.col("delta"), c.TOLERANCE).cast("int")))
+    return rounded(c.family_deltas(_horizons(s, d)))
+
+
+def _agreement(s, d):
+    adjusted = c.deltas(_reference_mixtures(s, d).where("obs = 0"), "subject").withColumnRenamed("delta", "adjusted_delta")
+    return rounded(c.agreement(c.family_deltas(_horizons(s, d)), adjusted, c.context(snapshots(s, d))).drop("elapsed_days"))
+
+
+def reference_assessment(s, d):
+    """One row: the horizons of the current snapshot under the reference weights, with the contract that they are measured by."""
+    current = _reference_mixtures(s, d).where("snapshot_id = 'current' and obs = 0")
+    return rounded(c.assessment(current, "snapshot_id")).select(
+        F.concat(F.lit("assessment:"), "snapshot_id").alias("assessment_id"),
+        F.lit("interaction_depth").alias("unit"),
+        F.lit(TARGETS[0][1]).alias("reliability_p"),
+        F.lit("reference_mixture").alias("scope_id"),
+        F.lit("isotonic_mixture").alias("assessment_method"),
+        "h_autonomy",
+        "h_governance",
+    )
 
 
 def _uniforms(s, d):
@@ -186,6 +203,8 @@ QUERIES = {
     "mixture_horizon": lambda s, d: rounded(_reference_mixtures(s, d).select("snapshot_id", "subject", "obs", "status", "horizon")),
     "snapshot_compare": _compare,
     "family_deltas": _family_deltas,
+    "family_agreement": _agreement,
+    "snapshot_context": lambda s, d: rounded(c.context(snapshots(s, d))),
     "bootstrap_uniform": _uniforms,
     "bootstrap_successes": _resampled,
     "bootstrap_bands": _bands,
@@ -256,6 +275,9 @@ delta_v AS (SELECT rep, obs, cell, subject, max(horizon) FILTER (snapshot_id = '
   coalesce(array_to_string(list_sort(list(DISTINCT snapshot_id || ':' || status) FILTER (status <> 'supported')), ';'), '') AS reasons,
   max(horizon) FILTER (snapshot_id = 'current') - max(horizon) FILTER (snapshot_id = 'base') AS delta FROM mix_v GROUP BY ALL)"""
 _REF = "weights_v AS (SELECT 'reference' AS cell, NULL AS snapshot_id, NULL AS subject, family_id, weight FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in REFERENCE.items()) + ") t(family_id, weight))"
+#: autonomy_gap of one row, as reference_assessment gives it.
+SQL_GAP = f"""gap_v AS (WITH {SQL_TRIALS}, {_POINT}, {_FIT}, {_REF}, {_MIX}
+  SELECT {_r("max(horizon) FILTER (subject = 'autonomy')")} - {_r("max(horizon) FILTER (subject = 'governance')")} AS autonomy_gap FROM mix_v WHERE snapshot_id = 'current' AND obs = 0)"""
 _GRID = """grid_v AS (SELECT lpad(CAST(a AS VARCHAR), 2, '0') || '-' || lpad(CAST(n AS VARCHAR), 2, '0') || '-' || lpad(CAST(10 - a - n AS VARCHAR), 2, '0') AS cell, a, n, 10 - a - n AS r
   FROM range(1, 9) x(a), range(1, 9) y(n) WHERE 10 - a - n >= 1)"""
 _GRIDW = f"""{_GRID}, weights_v AS (SELECT cell, NULL AS snapshot_id, NULL AS subject, 'A' AS family_id, a / 10.0::DOUBLE AS weight FROM grid_v
@@ -335,8 +357,20 @@ SELECT snapshot_id, family_id, {_r('ha')} AS h_autonomy, {_r('hg')} AS h_governa
 SELECT subject, o.obs, {_r('o.delta')} AS observed_delta, o.reasons AS observed_reasons, {_r('r.delta')} AS adjusted_delta, r.reasons AS adjusted_reasons, {_r('o.delta - r.delta')} AS residual, {_r('tv')} AS composition_tv
 FROM o JOIN r USING (subject, obs) JOIN t USING (subject)""",
     "family_deltas": f"""WITH {_HZ}, d AS (SELECT family_id, subject, max(horizon) FILTER (snapshot_id = 'base') AS b, max(horizon) FILTER (snapshot_id = 'current') AS c,
-  coalesce(array_to_string(list_sort(list(DISTINCT snapshot_id || ':' || status) FILTER (status <> 'supported')), ';'), '') AS reasons FROM horizon_v GROUP BY ALL)
-SELECT family_id, subject, {_r('b')} AS base_horizon, {_r('c')} AS current_horizon, reasons, {_r('c - b')} AS delta, CAST(CASE WHEN c - b > 1e-12 THEN 1 WHEN c - b < -1e-12 THEN -1 WHEN c - b IS NOT NULL THEN 0 END AS INT) AS direction FROM d""",
+  coalesce(max(status) FILTER (snapshot_id = 'base'), 'missing_family') AS base_status, coalesce(max(status) FILTER (snapshot_id = 'current'), 'missing_family') AS current_status,
+  FROM horizon_v GROUP BY ALL)
+SELECT family_id, subject, {_r('b')} AS base_horizon, {_r('c')} AS current_horizon, base_status, current_status,
+  concat_ws(';', CASE WHEN base_status <> 'supported' THEN 'base:' || base_status END, CASE WHEN current_status <> 'supported' THEN 'current:' || current_status END) AS reasons,
+  {_r('c - b')} AS delta, CAST(CASE WHEN c - b > 1e-12 THEN 1 WHEN c - b < -1e-12 THEN -1 WHEN c - b IS NOT NULL THEN 0 END AS INT) AS direction FROM d""",
+    "family_agreement": f"""WITH a AS (WITH {SQL_TRIALS}, {_POINT}, {_FIT}, {_REF}, {_MIX} SELECT subject, delta AS adjusted FROM delta_v WHERE obs = 0), {SQL_SNAPSHOTS}, {_HZ},
+d AS (SELECT family_id, subject, max(horizon) FILTER (snapshot_id = 'base') AS b, max(horizon) FILTER (snapshot_id = 'current') AS c FROM horizon_v GROUP BY ALL),
+x AS (SELECT *, CASE WHEN c - b > 1e-12 THEN 1 WHEN c - b < -1e-12 THEN -1 WHEN c - b IS NOT NULL THEN 0 END AS way, CASE WHEN adjusted > 1e-12 THEN 1 WHEN adjusted < -1e-12 THEN -1 WHEN adjusted IS NOT NULL THEN 0 END AS expected FROM d LEFT JOIN a USING (subject))
+SELECT subject, {_r('max(adjusted)')} AS adjusted_delta, {_r('count(c - b) / count(*)::DOUBLE')} AS supported_fraction, {_r('avg(CAST(way = expected AS DOUBLE))')} AS direction_agreement,
+  {_r('min(b)')} AS base_least, {_r('max(b)')} AS base_greatest, {_r('min(c)')} AS current_least, {_r('max(c)')} AS current_greatest, {_r('max(abs(c - b))')} AS max_abs_delta,
+  {_r('max(CASE WHEN days > 0 THEN adjusted / days END)')} AS per_day FROM x CROSS JOIN context_v GROUP BY subject""",
+    "snapshot_context": f"""WITH {SQL_SNAPSHOTS} SELECT false AS backend_changed, false AS benchmark_version_changed, config_changed AS agent_config_changed, families_changed AS family_set_changed,
+  {_r('days')} AS elapsed_days, CASE WHEN config_changed OR families_changed THEN 'mixed_configuration_change' ELSE 'longitudinal_same_configuration' END AS comparison_kind,
+  CASE WHEN days < 0 THEN 'current_precedes_base' END AS violation FROM context_v""",
     "bootstrap_uniform": f"""WITH {SQL_TRIALS} SELECT {_KEYS}, depth, CAST(CAST('0x' || sha256(concat_ws(chr(31), '{SEED}', snapshot_id, family_id, subject, depth))[1:13] AS BIGINT) AS DOUBLE) / pow(2, 52) AS u FROM trials_v""",
     "bootstrap_successes": f"WITH {SQL_TRIALS}, {_RESAMPLED} SELECT CAST(rep AS INT) AS rep, {_KEYS}, depth, trials, successes FROM boot_v",
     "bootstrap_bands": f"""WITH {SQL_TRIALS}, {_ALL}, {_REF}, {_MIX}, vals_v AS (SELECT obs, subject, coalesce(list_sort(list(delta) FILTER (delta IS NOT NULL)), []) AS v FROM delta_v WHERE rep >= 0 GROUP BY ALL),

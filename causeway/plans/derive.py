@@ -187,6 +187,24 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two snapshots of trials(), with their families: base is seen when its first line ships, current when its last does."""
+    li = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_returnflag", "l_shipdate")
+    return li.groupBy(F.when(F.col("l_linestatus") == "F", "base").otherwise("current").alias("snapshot_id")).agg(
+        F.when(F.min("l_linestatus") == "F", F.min("l_shipdate")).otherwise(F.max("l_shipdate")).cast("timestamp").alias("observed_at"),
+        F.lit("backend:1").alias("backend_id"),
+        F.lit("1").alias("benchmark_version"),
+        F.concat(F.lit("config:"), F.min("l_linestatus")).alias("agent_config_id"),
+        F.sort_array(F.collect_set("l_returnflag")).alias("families"),
+    )
+
+
+SQL_SNAPSHOTS = """
+snapshots_v AS (SELECT CASE WHEN l_linestatus = 'F' THEN 'base' ELSE 'current' END AS snapshot_id, CASE WHEN min(l_linestatus) = 'F' THEN min(l_shipdate) ELSE max(l_shipdate) END AS observed_at, 'config:' || min(l_linestatus) AS config,
+  list_sort(list(DISTINCT l_returnflag)) AS families FROM lineitem GROUP BY 1),
+context_v AS (SELECT b.config <> c.config AS config_changed, b.families <> c.families AS families_changed, (epoch_us(c.observed_at) - epoch_us(b.observed_at)) / 86400000000.0::DOUBLE AS days
+  FROM snapshots_v b JOIN snapshots_v c ON b.snapshot_id = 'base' AND c.snapshot_id = 'current')"""
+
 SQL_TRIALS = """
 lines_v AS (SELECT CASE WHEN l_linestatus = 'F' THEN 'base' ELSE 'current' END AS snapshot_id, l_returnflag AS family_id, s.subject,
   CAST(CASE WHEN l_returnflag = 'R' THEN least(ceil(l_quantity / 5), 7) ELSE ceil(l_quantity / 5) END AS BIGINT) AS depth, l_suppkey,

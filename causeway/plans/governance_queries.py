@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import governance as g
+from .calibration_queries import SQL_GAP, reference_assessment
 from .derive import SQL_EVENTS, SQL_GOVERNANCE, approvals, decisions, grants, ledger_events
 
 AT = "2001-12-31 00:00:00"
@@ -27,8 +28,10 @@ def _metrics(s, d):
 
 
 def _signals(s, d):
-    m = _metrics(s, d).select(
-        F.lit(None).cast("double").alias("autonomy_governance_gap"),
+    # one row each
+    gap = g.horizon_gap(reference_assessment(s, d)).agg(F.max("autonomy_governance_gap").alias("autonomy_governance_gap"))
+    m = _metrics(s, d).join(gap).select(
+        "autonomy_governance_gap",
         F.col("effective_oversight_density").alias("effective_oversight_density_low"),
         F.col("oversight_debt").alias("oversight_debt_high"),
         F.col("p95_ms").alias("escalation_latency_p95_high"),
@@ -147,9 +150,9 @@ metrics_v AS (SELECT count(*) AS n_requests, count(decision) AS n_decisions, cou
   count(*) FILTER (is_effective AND risk_class = 'critical') / CAST(nullif(count(*) FILTER (risk_class = 'critical'), 0) AS DOUBLE) AS critical_coverage,
   CAST(coalesce(sum(human_governance_ms), 0) AS BIGINT) AS human_governance_ms, quantile_disc(latency_ms, 0.95) AS p95_ms,
   (SELECT sum(debt) FROM debt_v) AS oversight_debt FROM rows_v)"""
-_SIG = f"""{_ROWS}, signals_v AS (SELECT *, CASE WHEN observed IS NULL THEN 'not_applicable' WHEN comparator = '<=' AND observed <= threshold THEN 'clear'
+_SIG = f"""{_ROWS}, {SQL_GAP}, signals_v AS (SELECT *, CASE WHEN observed IS NULL THEN 'not_applicable' WHEN comparator = '<=' AND observed <= threshold THEN 'clear'
   WHEN comparator = '>=' AND observed >= threshold THEN 'clear' ELSE 'breach' END AS status FROM (
-  SELECT 'autonomy_governance_gap' AS code, NULL::DOUBLE AS observed, 0.0::DOUBLE AS threshold, '<=' AS comparator, 'critical' AS severity, 'interaction_depth' AS unit
+  SELECT 'autonomy_governance_gap' AS code, autonomy_gap AS observed, 0.0::DOUBLE AS threshold, '<=' AS comparator, 'critical' AS severity, 'interaction_depth' AS unit FROM gap_v
   UNION ALL SELECT 'effective_oversight_density_low', effective_oversight_density, 0.5, '>=', 'high', 'ratio' FROM metrics_v
   UNION ALL SELECT 'oversight_debt_high', oversight_debt, 20, '<=', 'high', 'policy_weight' FROM metrics_v
   UNION ALL SELECT 'escalation_latency_p95_high', p95_ms, 1800000, '<=', 'medium', 'milliseconds' FROM metrics_v

@@ -227,3 +227,55 @@ def test_greedy_matching_takes_the_closest_first(spark):
     assert [(r.a_key, r.b_key, r.distance) for r in got] == [("c>d", "e>f", 0.1)]
     chains = {r.lineage: r.n_nodes for r in geo.boundary_lineages(geo.greedy_matches(crossed), crossed).collect()}
     assert chains == {"0000@a>b": 1, "0000@c>d": 2}
+
+
+def test_missing_families_and_agreement(spark):
+    schema = "snapshot_id string, family_id string, subject string, status string, horizon double"
+    rows = [("base", "a", "x", "supported", 2.0), ("current", "a", "x", "supported", 5.0), ("base", "b", "x", "supported", 4.0), ("current", "b", "x", "supported", 3.0)]
+    rows += [("base", "c", "x", "supported", 9.0), ("current", "d", "x", "target_not_bracketed_low", None)]
+    families = cal.family_deltas(spark.createDataFrame(rows, schema))
+    got = {r.family_id: (r.base_status, r.current_status, r.reasons, r.delta, r.direction) for r in families.collect()}
+    assert got["a"] == ("supported", "supported", "", 3.0, 1) and got["b"][3:] == (-1.0, -1)
+    assert got["c"] == ("supported", "missing_family", "current:missing_family", None, None)
+    assert got["d"] == ("missing_family", "target_not_bracketed_low", "base:missing_family;current:target_not_bracketed_low", None, None)
+
+    def agreed(adjusted, days):
+        change = spark.createDataFrame([("x", adjusted)], "subject string, adjusted_delta double")
+        return cal.agreement(families, change, spark.createDataFrame([(days,)], "elapsed_days double")).first()
+
+    r = agreed(2.0, 4.0)
+    assert (r.supported_fraction, r.direction_agreement, r.per_day, r.max_abs_delta) == (0.5, 0.5, 0.5, 3.0)
+    assert (r.base_least, r.base_greatest, r.current_least, r.current_greatest) == (2.0, 9.0, 3.0, 5.0)
+    assert agreed(2.0, 0.0).per_day is None and agreed(None, 4.0).direction_agreement is None
+    assert agreed(0.0, 4.0).direction_agreement == 0.0
+
+
+def test_context_of_a_comparison(spark):
+    def of(current, when="2024-01-03 12:00:00", base=("b1", "v1", "c1", ["a", "b"])):
+        rows = [("base", "2024-01-01 00:00:00", *base)] + ([("current", when, *current)] if current else [])
+        df = spark.createDataFrame(rows, "snapshot_id string, observed_at string, backend_id string, benchmark_version string, agent_config_id string, families array<string>")
+        r = cal.context(df.withColumn("observed_at", F.col("observed_at").cast("timestamp"))).first()
+        return r.comparison_kind, r.elapsed_days, r.violation
+
+    assert of(("b1", "v1", "c1", ["b", "a", "a"])) == ("longitudinal_same_configuration", 2.5, None)
+    assert of(("b2", "v1", "c1", ["a", "b"]))[0] == "cross_backend"
+    assert of(("b2", "v2", "c1", ["a", "b"]))[0] == "mixed_configuration_change"
+    assert of(("b1", "v1", "c1", ["a"]))[0] == "mixed_configuration_change"
+    assert of(("b1", "v1", None, ["a", "b"]), base=("b1", "v1", None, ["a", "b"]))[0] == "longitudinal_same_configuration"
+    assert of(("b1", "v1", "c1", ["a", "b"]), "2023-12-31 00:00:00")[2] == "current_precedes_base"
+    assert of(None)[1:] == (None, "missing_snapshot")
+
+
+def test_gap_needs_its_contract(spark):
+    rows = [("ok", "interaction_depth", 0.9, "s", "m", 5.0, 2.0), ("unit", "hours", 0.9, "s", "m", 5.0, 2.0), ("null", None, None, None, "", 5.0, 2.0)]
+    rows += [("neg", "interaction_depth", 1.0, "s", "m", -1.0, 2.0), ("open", "interaction_depth", 0.9, "s", "m", None, 2.0), ("p", "interaction_depth", 1.1, "s", "m", 5.0, 2.0)]
+    df = spark.createDataFrame(rows, "assessment_id string, unit string, reliability_p double, scope_id string, assessment_method string, h_autonomy double, h_governance double")
+    got = {r.assessment_id: (r.autonomy_governance_gap, r.governance_margin, r.violations) for r in gov.horizon_gap(df).collect()}
+    assert got == {
+        "ok": (3.0, -3.0, []),
+        "unit": (None, None, ["unit_not_interaction_depth"]),
+        "null": (None, None, ["unit_not_interaction_depth", "reliability_out_of_range", "scope_missing", "method_missing"]),
+        "neg": (None, None, ["negative_depth"]),
+        "open": (None, None, []),
+        "p": (None, None, ["reliability_out_of_range"]),
+    }
