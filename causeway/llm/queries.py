@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddedup, linededup, packing, quality, sharding, simhash, suffixdedup, toxicity, urlfilter
+from . import centroids, collocations, decontaminate, embeddedup, linededup, packing, quality, sharding, simhash, suffixdedup, tokencount, toxicity, urlfilter
 from .common import keep_only, table
 
 SHARDS = 24
@@ -24,10 +24,10 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, dims=64, rounds=10, scale=1024, salt="3:")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=10, top=2000)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -109,6 +121,9 @@ def queries() -> dict:
             op8_suffix_dedup,
             op9_embedding_dedup,
             op10_quality,
+            op11_centroids,
+            op12_collocations,
+            op13_token_counts,
         )
     }
 
@@ -202,8 +217,52 @@ FROM embeddings JOIN c ON n = vec_id LEFT JOIN k ON a = vec_id
 """
 
 
+def _sql_centroids() -> str:
+    """Ten rounds, each a step of its own: d is the distance of each vector to each centroid, floor division by hand."""
+    nearest = "SELECT n, x, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT n, x, k, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, {c}) GROUP BY n, x"
+    steps = [
+        "e AS (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)",
+        "v AS MATERIALIZED (SELECT vec_id, n, list_transform(e, lambda x: CAST(floor(1024 * x) AS BIGINT)) AS x FROM e WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, x AS c FROM v ORDER BY k LIMIT 8)",
+    ]
+    for i in range(10):
+        steps += [
+            f"a{i} AS MATERIALIZED ({nearest.format(c=f'c{i}')})",
+            f"s{i} AS (SELECT k, j, sum(x) AS s, count(*) AS m FROM (SELECT k, unnest(x) AS x, generate_subscripts(x, 1) AS j FROM a{i}) GROUP BY k, j)",
+            f"m{i} AS (SELECT k, list(CAST((s - ((s % m) + m) % m) // m AS BIGINT) ORDER BY j) AS c FROM s{i} GROUP BY k)",
+            f"c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))",
+        ]
+    return f"""WITH {", ".join(steps)}, a AS ({nearest.format(c='c10')})
+SELECT vec_id, CAST(k AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a JOIN v USING (n) JOIN c10 USING (k)"""
+
+
+SQL_COLLOCATIONS = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 4) r(k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+u AS (SELECT c.*, j, l.a AS l, r.a AS r, 1000000 * c.a * c.a // (l.a * r.a) AS score FROM c JOIN range(1, 3) x(j) ON j < k
+      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:j], ' ') AND l.k = j
+      JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1:], ' ') AND r.k = c.k - j),
+b AS (SELECT lang, k, phrase, a, arg_min(l, (score, j)) AS l, arg_min(r, (score, j)) AS r, min(score) AS score FROM u GROUP BY ALL),
+i AS (SELECT lang, phrase, max(a) AS m FROM (SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM c WHERE k = 3
+      UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM c WHERE k = 3) GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase AND b.k = 2 WHERE m IS NULL OR 100 * m < 50 * a)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_centroids": _sql_centroids(),
+        "op12_collocations": SQL_COLLOCATIONS,
         "op2_sharding": SQL_SHARDING,
         "op8_suffix_dedup": SQL_SUFFIX_DEDUP,
         "op9_embedding_dedup": SQL_EMBEDDING_DEDUP,
