@@ -35,14 +35,14 @@ from .common import Scratch, keep_only
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes(10 if b in ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Words of a chunk, about; occurrences of a sifting slice, about; bits of a bitmap at most (16 MB).
-CHUNK, SIFTED, MOST_BITS = 1 << 19, 1 << 21, 27
+CHUNK, SIFTED, MOST_BITS = 1 << 18, 1 << 21, 27
 #: Bytes of text that are taken apart at a time.
 STEP = 1 << 20
 #: Slots whose counts make one row on the way to the sum.
 ROW_SLOTS = 1 << 15
 SEEDS = 4
 KEY = ["h1", "h2", "h3"]
-WORDS = "lang string, hashes binary, words binary, word_hashes binary, counts binary, n long"
+WORDS = "lang string, code long, hashes binary, words binary, word_hashes binary, counts binary, n long"
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 U = np.uint64
@@ -126,6 +126,11 @@ def _hash(lang: bytes, word: bytes, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(lang + b"\n" + word, seed)
 
 
+def _code(lang: bytes) -> int:
+    """A lang as a signed 64-bit hash."""
+    return xxhash.xxh3_64_intdigest(lang) - (1 << 63)
+
+
 class _Chunk:
     def __init__(self, lang: str) -> None:
         self.lang, self.codes, self.parts, self.n = lang, _Codes({b"\n": 0, b"": 1}), [], 0
@@ -144,13 +149,13 @@ class _Chunk:
         codes, words, lang = np.concatenate(self.parts), list(self.codes)[2:], self.lang.encode()
         hashes = np.array([0, 0, *((_hash(lang, w, seed) >> (64 - bits)) or 1 for w in words)], U)
         counts = np.bincount(codes, minlength=len(hashes))[2:].astype("<i8")
-        return self.lang, hashes[codes].tobytes(), b"\n".join(words), hashes[2:].tobytes(), counts.tobytes(), int(counts.sum())
+        return self.lang, _code(lang), hashes[codes].tobytes(), b"\n".join(words), hashes[2:].tobytes(), counts.tobytes(), int(counts.sum())
 
 
 def _hashed(seed: int, bits: int):
     def rows(chunks) -> pa.RecordBatch:
         names = [x.split()[0] for x in WORDS.split(", ")]
-        kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(chunks.row(seed, bits), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,16 +180,59 @@ def _as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sliced(hashes: np.ndarray, log_slices: int) -> list[tuple[int, slice]]:
+    """Where each slice, the highest bits of a hash, lies in sorted hashes."""
+    ends = np.searchsorted(hashes >> U(64 - log_slices), np.arange(1 << log_slices, dtype=U), side="right").tolist()
+    return [(k, slice(a, b)) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
+
+
+def _packed(parts: list[tuple[int, slice]], **arrays: np.ndarray) -> pa.RecordBatch:
+    """A row for each slice with the bytes of its share of the arrays."""
+    columns = [pa.array([np.ascontiguousarray(x[at]).tobytes() for _, at in parts], pa.binary()) for x in arrays.values()]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), *columns], ["slice", *arrays])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], *kinds: str) -> Iterator[list[np.ndarray]]:
+    """The arrays of each slice, put together."""
+    held: dict[int, list[list[bytes]]] = {}
     for batch in batches:
-        for lang, words, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "words", "word_hashes", "counts")), strict=True):
-            told = np.array([_hash(lang.encode(), w, 1 << 32) for w in words.split(b"\n")] if hashes else [], U)
-            n = len(told)
+        for k, *parts in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+            for at, part in zip(held.setdefault(k, [[] for _ in kinds]), parts, strict=True):
+                at.append(part)
+    while held:
+        yield [np.frombuffer(b"".join(x), kind) for x, kind in zip(held.popitem()[1], kinds, strict=True)]
+
+
+def _word_counts(log_slices: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, code, words, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "code", "words", "word_hashes", "counts")), strict=True):
+                h = np.frombuffer(hashes, U)
+                told = np.array([_hash(lang.encode(), w, 1 << 32) for w in words.split(b"\n")] if len(h) else [], U)
+                order = np.argsort(h)
+                h = h[order]
+                yield _packed(_sliced(h, log_slices), h=h, told=told[order], counts=np.frombuffer(counts, "<i8")[order], code=np.full(len(h), code, np.int64))
+
+    return run
+
+
+def _frequent(least: int):
+    """Frequent words, and those that share a hash: meets says which."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, told, counts, code in _gathered(batches, "<u8", "<u8", "<i8", "<i8"):
+            order = np.lexsort((told, h))
+            h, told, code = h[order], told[order], code[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            total, last = np.add.reduceat(counts[order], first), np.concatenate([first[1:], [len(h)]]) - 1
+            meets = told[first] != told[last]
+            kept = (total >= least) | meets
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * n, pa.string()), _as_long(np.frombuffer(hashes, U)), _as_long(told), pa.array(np.frombuffer(counts, "<i8"))],
-                ["lang", "h", "told", "c"],
+                [pa.array(code[first][kept]), _as_long(h[first][kept]), pa.array(total[kept]), pa.array(meets[kept])], ["code", "h", "c", "meets"]
             )
 
+    return run
+
 
 # -- candidates
 
@@ -235,47 +283,62 @@ def _routed(shared, log_slices: int):
                 h = np.frombuffer(raw.as_buffer(), U)
                 at = _grams(h, filters)[-1]
                 m, n = np.unique(mix(h[at], h[at + 1], h[at + 2] if len(filters) > 1 else None), return_counts=True)
-                ends = np.searchsorted(m >> U(64 - log_slices), np.arange(1 << log_slices, dtype=U), side="right")
-                starts, counts = np.concatenate([[0], ends[:-1]]), n.astype("<u4")
-                full = [(k, a, b) for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)) if b > a]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _, _ in full], pa.int32()), pa.array([m[a:b].tobytes() for _, a, b in full], pa.binary()), pa.array([counts[a:b].tobytes() for _, a, b in full], pa.binary())],
-                    ["slice", "hashes", "counts"],
-                )
+                yield _packed(_sliced(m, log_slices), hashes=m, counts=n.astype("<u4"))
 
     return run
 
 
 def _sifted(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, bytes]]] = {}
-        for batch in batches:
-            for k, h, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held.setdefault(k, []).append((h, c))
-        for parts in held.values():
-            hashes, at = np.unique(np.frombuffer(b"".join(h for h, _ in parts), U), return_inverse=True)
-            total = np.bincount(at, np.frombuffer(b"".join(c for _, c in parts), "<u4"))
-            yield pa.RecordBatch.from_arrays([_as_long(hashes[total >= least])], ["m"])
+        for m, n in _gathered(batches, "<u8", "<u4"):
+            hashes, at = np.unique(m, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([_as_long(hashes[np.bincount(at, n) >= least])], ["m"])
 
     return run
 
 
-def _found(shared):
-    """Distinct keys of pairs and triples of a chunk that the filters let pass."""
+def _unique(keys: np.ndarray) -> np.ndarray:
+    keys = keys[np.lexsort(keys.T)]
+    return keys[np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])[: len(keys)]]
+
+
+def _found(shared, log_slices: int):
+    """Distinct keys of the pairs and triples of a task that the filters let pass, with the code of their lang, to slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def packed() -> pa.RecordBatch:
+            keys = _unique(np.concatenate(held))
+            hashes = mix(keys[:, 1], keys[:, 2], keys[:, 3])
+            order = np.argsort(hashes)
+            return _packed(_sliced(hashes[order], log_slices), keys=keys[order])
+
         for batch in batches:
-            for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("hashes"), strict=True):
+            for code, raw in zip(batch.column("code").to_numpy(), batch.column("hashes"), strict=True):
                 h = np.frombuffer(raw.as_buffer(), U)
                 _, pairs, triples = _grams(h, shared.value)
-                keys = np.concatenate([_keys(h, pairs, 2), _keys(h, triples, 3)])
-                keys = keys[np.lexsort(keys.T)]
-                keys = keys[np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])[: len(keys)]]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), *(_as_long(keys[:, i]) for i in range(3))], ["lang", *KEY])
+                keys = _unique(np.concatenate([_keys(h, pairs, 2), _keys(h, triples, 3)]))
+                held.append(np.concatenate([np.full((len(keys), 1), code).view(U), keys], 1))
+                n += len(keys)
+                if n >= 1 << 20:
+                    held = [_unique(np.concatenate(held))]
+                    n = len(held[0])
+                    if n >= 1 << 19:
+                        yield packed()
+                        held, n = [], 0
+        if n:
+            yield packed()
 
     return run
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (keys,) in _gathered(batches, "<u8"):
+        keys = _unique(keys.reshape(-1, 4))
+        yield pa.RecordBatch.from_arrays([_as_long(keys[:, i]) for i in range(4)], ["code", *KEY])
+
+
 def _keys(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros((len(at), 3), U)
     for i in range(k):
@@ -358,7 +421,7 @@ def _read(slots, counts):
                 at = table.slots(sought[name])
                 known[at >= 0] = count[at[at >= 0]]
                 got.append(pa.array(known))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), *(batch.column(c) for c in KEY), *got], ["lang", *KEY, *READ])
+            yield pa.RecordBatch.from_arrays([batch.column("code"), *(batch.column(c) for c in KEY), *got], ["code", *KEY, *READ])
 
     return run
 
@@ -376,7 +439,7 @@ def _scored(least: int, scale: int):
                     cuts.append((scale * a * a // (l2 * r2), 2, l2, r2))
                 best.append(min(cuts))
             columns = [pa.array([b[i] for b in best], pa.int64()) for i in (2, 3, 0)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), *(batch.column(c) for c in KEY), batch.column("a"), *columns], ["lang", *KEY, "a", "l", "r", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("code"), *(batch.column(c) for c in KEY), batch.column("a"), *columns], ["code", *KEY, "a", "l", "r", "score"])
 
     return run
 
@@ -393,15 +456,18 @@ def _named(wanted):
     return run
 
 
-def _hash_words(texts: DataFrame, scratch: Scratch, least: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(the table of chunks, the frequent words as lang, h, c), with a seed under which no two words of a lang share a hash."""
+def _hash_words(texts: DataFrame, scratch: Scratch, least: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(the table of chunks, the frequent words as code, h, c, the words of each lang, binary logarithm of the number of slices), with
+    a seed under which no two words share a hash."""
     for seed in range(SEEDS):
         words = scratch.put(scratch.fresh("words"), texts.mapInArrow(_hashed(seed, bits), WORDS))
-        each = words.select("lang", "words", "word_hashes", "counts").mapInArrow(_word_counts, "lang string, h long, told long, c long")
-        known = each.groupBy("h").agg(F.sum("c").alias("c"), F.min("told").alias("low"), F.max("told").alias("high"), F.min("lang").alias("lang"))
-        known = scratch.put(scratch.fresh("known"), known.where((F.col("c") >= least) | (F.col("low") != F.col("high"))))
-        if not known.where("low <> high").limit(1).count():
-            return words, known.select("lang", "h", "c")
+        totals = words.groupBy("code").agg(F.sum("n").alias("n"), F.max("lang").alias("lang"))
+        log_slices = max(4, math.ceil(math.log2(max(1, totals.agg(F.sum("n")).first()[0] or 0) / SIFTED)))
+        each = words.select("lang", "code", "words", "word_hashes", "counts").mapInArrow(_word_counts(log_slices), "slice int, h binary, told binary, counts binary, code binary")
+        known = each.repartition(1 << log_slices, "slice").mapInArrow(_frequent(least), "code long, h long, c long, meets boolean")
+        known = scratch.put(scratch.fresh("known"), known)
+        if not known.where("meets").limit(1).count():
+            return words, known.drop("meets"), totals, log_slices
         scratch.drop(*scratch.made[-2:])
     raise ValueError(f"two words share a hash of {bits} bits under each of {SEEDS} seeds")
 
@@ -418,21 +484,19 @@ def collocations(
     sc, scratch = spark.sparkContext, Scratch(spark)
     schema = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
     texts = keep_only(docs, lang="string", text="string").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    words, frequent = _hash_words(texts, scratch, least, bits)
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    all_words = totals.agg(F.sum("n").alias("n")).first().n or 0
-
-    filters, log_slices = [Bitmap(frequent, "h")], max(4, math.ceil(math.log2(max(1, all_words) / SIFTED)))
+    words, frequent, totals, log_slices = _hash_words(texts, scratch, least, bits)
+    filters = [Bitmap(frequent, "h")]
     for _ in range(2):
         routed = words.select("hashes").mapInArrow(_routed(sc.broadcast(filters), log_slices), "slice int, hashes binary, counts binary")
         passed = routed.repartition(1 << log_slices, "slice").mapInArrow(_sifted(least), "m long")
         filters.append(Bitmap(scratch.put(scratch.fresh("passed"), passed), "m"))
     shared = sc.broadcast(filters)
-    phrases = words.select("lang", "hashes").mapInArrow(_found(shared), "lang string, h1 long, h2 long, h3 long").distinct()
-    single = frequent.select("lang", F.col("h").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(0).cast("long").alias("h3"))
+    found = words.select("code", "hashes").mapInArrow(_found(shared, log_slices), "slice int, keys binary")
+    phrases = found.repartition(1 << log_slices, "slice").mapInArrow(_distinct, "code long, h1 long, h2 long, h3 long")
+    single = frequent.select("code", F.col("h").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(0).cast("long").alias("h3"))
     candidates = scratch.put("candidates", phrases.union(single))
     slices = max(1, -(-candidates.count() // slice_keys))
-    scored = candidates.where("h2 <> 0").select("lang", *KEY, *[F.lit(0).cast("long").alias(c) for c in READ])
+    scored = candidates.where("h2 <> 0").select("code", *KEY, *[F.lit(0).cast("long").alias(c) for c in READ])
     for k in range(slices):
         own = candidates.where(F.pmod(F.xxhash64(*KEY), F.lit(slices)) == k).select(*KEY).toArrow()
         keys = np.stack([own.column(c).to_numpy().view(U) for c in KEY], 1)
@@ -441,7 +505,7 @@ def collocations(
         scored = scored.mapInArrow(_read(slots, counts), scored.schema)
         if k < slices - 1:
             scored = scratch.put(scratch.fresh("read"), scored)
-    scored = scratch.put("scored", scored.mapInArrow(_scored(least, scale), "lang string, h1 long, h2 long, h3 long, a long, l long, r long, score long"))
+    scored = scratch.put("scored", scored.mapInArrow(_scored(least, scale), "code long, h1 long, h2 long, h3 long, a long, l long, r long, score long"))
 
     triples = scored.where("h3 <> 0")
     longer = triples.select("h1", "h2", "a").union(triples.select("h2", "h3", "a")).toDF("h1", "h2", "m").groupBy("h1", "h2").agg(F.max("m").alias("m"))
@@ -449,15 +513,15 @@ def collocations(
     kept = alone.select(*scored.columns).union(triples)
     # a lang's scores in some hundred steps say from which on its first ones are
     step = F.floor(F.log1p("score") * 64).cast("int")
-    above = Window.partitionBy("lang").orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    steps = kept.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.coalesce(F.sum("m").over(above), F.lit(0)))
-    floors = steps.where(F.col("before") < top).groupBy("lang").agg(F.min("step").alias("from"))
-    first = scratch.put("first", kept.join(floors, "lang").where(step >= F.col("from")).drop("from"))
+    above = Window.partitionBy("code").orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    steps = kept.groupBy("code", step.alias("step")).agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.coalesce(F.sum("m").over(above), F.lit(0)))
+    floors = steps.where(F.col("before") < top).groupBy("code").agg(F.min("step").alias("from"))
+    first = scratch.put("first", kept.join(floors, "code").where(step >= F.col("from")).drop("from"))
     each = first.select("*", F.posexplode(F.array(*KEY)).alias("i", "h")).where("h <> 0")
     wanted = sc.broadcast(Bitmap(each.select("h").distinct(), "h"))
     names = words.select("words", "word_hashes").mapInArrow(_named(wanted), "h long, word string").distinct()
-    joined = each.join(names, "h").groupBy("lang", *KEY, "a", "l", "r", "score").agg(F.array_sort(F.collect_list(F.struct("i", "word"))).alias("w"))
-    phrase = joined.withColumn("phrase", F.array_join(F.col("w.word"), " ")).join(totals, "lang")
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
+    joined = each.join(names, "h").groupBy("code", *KEY, "a", "l", "r", "score").agg(F.array_sort(F.collect_list(F.struct("i", "word"))).alias("w"))
+    phrase = joined.withColumn("phrase", F.array_join(F.col("w.word"), " ")).join(totals, "code")
+    order = Window.partitionBy("code").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = phrase.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in schema.split(", ")])

@@ -241,19 +241,24 @@ FROM a JOIN v USING (n) JOIN c10 USING (k)"""
 SQL_COLLOCATIONS = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
-w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
-g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 4) r(k)),
-f AS MATERIALIZED (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY ALL),
-n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
-u AS (SELECT c.*, j, l.a AS l, r.a AS r, 1000000 * c.a * c.a // (l.a * r.a) AS score FROM c JOIN range(1, 3) x(j) ON j < k
-      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:j], ' ') AND l.k = j
-      JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1:], ' ') AND r.k = c.k - j),
-b AS (SELECT lang, k, phrase, a, arg_min(l, (score, j)) AS l, arg_min(r, (score, j)) AS r, min(score) AS score FROM u GROUP BY ALL),
-i AS (SELECT lang, phrase, max(a) AS m FROM (SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM c WHERE k = 3
-      UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM c WHERE k = 3) GROUP BY ALL),
+w AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM w),
+g AS MATERIALIZED (SELECT lang, w1, lead(w1) OVER (PARTITION BY piece ORDER BY i) AS w2, lead(w1, 2) OVER (PARTITION BY piece ORDER BY i) AS w3 FROM t),
+x1 AS MATERIALIZED (SELECT lang, w1, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY ALL),
+x2 AS MATERIALIZED (SELECT lang, w1, w2, CAST(count(*) AS HUGEINT) AS a FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+x3 AS MATERIALIZED (SELECT lang, w1, w2, w3, CAST(count(*) AS HUGEINT) AS a FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(a) AS n FROM x1 GROUP BY lang),
+u AS (SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.a, 1 AS j, l.a AS l, r.a AS r FROM x2 c
+          JOIN x1 l ON l.lang = c.lang AND l.w1 = c.w1 JOIN x1 r ON r.lang = c.lang AND r.w1 = c.w2
+      UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.a, 1, l.a, r.a FROM x3 c
+          JOIN x1 l ON l.lang = c.lang AND l.w1 = c.w1 JOIN x2 r ON r.lang = c.lang AND r.w1 = c.w2 AND r.w2 = c.w3
+      UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.a, 2, l.a, r.a FROM x3 c
+          JOIN x2 l ON l.lang = c.lang AND l.w1 = c.w1 AND l.w2 = c.w2 JOIN x1 r ON r.lang = c.lang AND r.w1 = c.w3),
+s AS (SELECT *, 1000000 * a * a // (l * r) AS score FROM u),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+i AS (SELECT lang, phrase, max(a) AS m FROM (SELECT lang, w1 || ' ' || w2 AS phrase, a FROM x3 UNION ALL SELECT lang, w2 || ' ' || w3, a FROM x3) GROUP BY ALL),
 o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
-      FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase AND b.k = 2 WHERE m IS NULL OR 100 * m < 50 * a)
+      FROM b LEFT JOIN i USING (lang, phrase) WHERE m IS NULL OR 100 * m < 50 * a)
 SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM o JOIN n USING (lang) WHERE rank <= 2000
 """
