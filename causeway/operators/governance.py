@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import cut
 from ..functions.expr import first_code, ms_between, ratio, reasons
 
 # Fixed values of the default policy.
@@ -247,13 +248,49 @@ def resume_eligibility(asked: DataFrame, requests: DataFrame, receipts: DataFram
 STATUS = {"approve": "approved", "deny": "denied", "modify": "modified", "defer": "deferred", "cancel": "cancelled"}
 
 
+def _same(name: str):
+    """All rows of one value; a null is a value of its own for each row."""
+    return Window.partitionBy(name, F.when(F.col(name).isNull(), F.col("seq")))
+
+
+def settle_claims(claims: DataFrame, names: list[str]) -> DataFrame:
+    """The claims that win when they are taken in order of seq: each asks for its values under ``names``, and wins if no winner has one of them.
+
+    Values of the first name that share no value of another are settled at once: their first claim wins. What is tangled
+    beyond that is settled in rounds: a claim that is the first of all open ones for each of its values wins, open claims that share a
+    value with a winner lose. Each round is a window for each name over the open claims, cut to the checkpoint folder;
+    rounds grow with the longest chain of claims that wait for each other, rows shrink with each.
+    """
+    shared = F.lit(False)
+    for name in names[1:]:
+        shared = shared | (F.col(name).isNotNull() & (F.count(F.lit(1)).over(_same(name)) > 1))
+    head = Window.partitionBy(names[0])
+    known = claims.withColumn("_shared", shared)
+    known = cut(known.withColumns({"_tangled": F.max("_shared").over(head), "_first": F.min("seq").over(head)}))
+    out = known.where(~F.col("_tangled") & (F.col("seq") == F.col("_first"))).select(*claims.columns)
+    open_ = known.where("_tangled").select(*claims.columns)
+    while not open_.isEmpty():
+        first = F.lit(True)
+        for name in names:
+            first = first & (F.min("seq").over(_same(name)) == F.col("seq"))
+        marked = open_.withColumn("_won", first)
+        beaten = F.lit(False)
+        for name in names:
+            beaten = beaten | F.max("_won").over(_same(name))
+        marked = cut(marked.withColumn("_beaten", beaten))
+        out = out.union(marked.where("_won").select(*claims.columns))
+        open_ = marked.where("not _won and not _beaten").select(*claims.columns)
+    return out
+
+
 def fold_approvals(commands: DataFrame) -> DataFrame:
     """The outcome of each command of a log on approvals; refused ones change nothing.
 
     commands: seq (their order), approval_id, kind, and by kind: enqueue (run_id, expires_at); resolve (decision_id,
     decision, run_id, at, and for a grant authority_ref and grant_decision_id); expire (at). Returns seq, approval_id,
-    kind, outcome (accepted, or why not) and status (of the approval afterwards). A pending approval leaves that state
-    once, at its first sound resolution or due expiry; one shuffle by approval, one by decision and one by grant find it.
+    kind, outcome (accepted, or why not) and status (of the approval afterwards). seq is unique. A pending approval leaves
+    that state once, at its first sound resolution or due expiry that is not refused for an id of a decision or grant that
+    an accepted one took before: see settle_claims.
     """
     of_approval = Window.partitionBy("approval_id")
     kind = F.col("kind")
@@ -273,13 +310,12 @@ def fold_approvals(commands: DataFrame) -> DataFrame:
     rows = rows.withColumns({"known": known, "flaw": F.when(kind == "resolve", flaw)})
     sound = (kind == "resolve") & known & F.col("flaw").isNull()
     due = (kind == "expire") & known & (F.col("at") >= F.col("q.expires_at"))
-    rows = rows.withColumn("left_at", F.min(F.when(sound | due, F.col("seq"))).over(of_approval))
-    # an id of a decision or grant that an earlier resolution took is refused; the approval then stays pending, so ids are
-    # taken by resolutions that would be accepted, and a repeated one leaves its approval to its next sound command
-    would = sound & (F.col("seq") == F.col("left_at"))
+    claims = rows.where(sound | due).select("seq", "approval_id", "decision_id", F.when(has_grant, F.col("authority_ref")).alias("authority_ref"), "kind", "decision")
+    won = settle_claims(claims.withColumn("decision_id", F.when(kind == "resolve", F.col("decision_id"))), ["approval_id", "decision_id", "authority_ref"])
+    rows = rows.join(won.select("seq", F.lit(True).alias("won")), "seq", "left")
     for name in ("decision_id", "authority_ref"):
-        taken = F.min(F.when(would & F.col(name).isNotNull(), F.col("seq"))).over(Window.partitionBy(F.coalesce(name, F.concat(F.lit("none "), F.col("seq").cast("string")))))
-        rows = rows.withColumn(f"first_{name}", taken)
+        taken = F.min(F.when(F.col("won") & (kind == "resolve"), F.col("seq"))).over(_same(name))
+        rows = rows.withColumn(f"first_{name}", F.when(F.col(name).isNotNull(), taken))
     twice = first_code(
         [
             (sound & (F.col("first_decision_id") < F.col("seq")), "duplicate_decision_id"),
@@ -287,8 +323,8 @@ def fold_approvals(commands: DataFrame) -> DataFrame:
         ]
     )
     rows = rows.withColumn("twice", twice)
-    free = (sound & F.col("twice").isNull()) | due
-    rows = rows.withColumn("left_at", F.min(F.when(free, F.struct("seq", F.when(kind == "resolve", status_of(F.col("decision"))).otherwise("expired").alias("status")))).over(of_approval))
+    leaves = F.struct("seq", F.when(kind == "resolve", status_of(F.col("decision"))).otherwise("expired").alias("status"))
+    rows = rows.withColumn("left_at", F.min(F.when(F.col("won"), leaves)).over(of_approval))
     gone = F.coalesce(F.col("left_at.seq") < F.col("seq"), F.lit(False))
     refused = (
         F.when((kind == "enqueue") & (F.col("q.seq") < F.col("seq")), "duplicate_approval_id")

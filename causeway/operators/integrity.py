@@ -1,15 +1,17 @@
 """Hash chains over ordered records: sealing, anchors and verification.
 
 A record's digest is the SHA-256 of its exact bytes; a chain digest is the SHA-256 of a domain tag, the chain digest
-before (32 zero bytes at first) and the record's digest. A chain is sequential, so it is folded in blocks of BLOCK places
-of a run: only digests go to a block's task, and only the head of the chain goes from one block to the next.
+before (32 zero bytes at first) and the record's digest. Sealing is sequential by definition: the digests of a run, never
+the records, are sorted in one task and streamed through it, with only the head of the chain kept. Verification is not: up to a
+ledger's first failure all told chain digests are right, so each place is checked against the one told before it, row by row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import sha256
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,8 +21,9 @@ from ..functions.lineage import cut
 
 #: Ends in NUL so that no tag is the beginning of another. Pass another for chains that were sealed under it.
 DOMAIN = b"causeway/chain/v1\0"
-#: Places of a run that one task folds.
-BLOCK = 200_000
+#: Records that are folded at a time.
+BLOCK = 10_000
+PREFIX, GENESIS = "sha256:", bytes(32)
 # Fixed values of the profile that sidecars and anchors name.
 HASH_ALGORITHM, RECORD_ENCODING = "sha256", "exact-bytes"
 SIDECAR = "run_id string, ledger_seq long, event_id string, record_digest string, previous_chain_digest string, chain_digest string"
@@ -33,43 +36,35 @@ def parse(records: DataFrame) -> DataFrame:
     return out.withColumn("is_sound", F.col("run_id").isNotNull() & F.col("ledger_seq").isNotNull() & F.col("event_id").isNotNull())
 
 
+def _folded(domain: bytes, block: int):
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, run, head = [x.split()[0] for x in SIDECAR.split(", ")], (), None
+        for batch in batches:
+            for start in range(0, batch.num_rows, block):
+                part = batch.slice(start, block)
+                before, after = [], []
+                for run_id, digest in zip(part.column("run_id").to_pylist(), part.column("digest").to_pylist(), strict=True):
+                    if run != (run_id,):
+                        run, head = (run_id,), None
+                    before.append(head and PREFIX + head)
+                    head = sha256(domain + (bytes.fromhex(head) if head else GENESIS) + bytes.fromhex(digest)).hexdigest()
+                    after.append(PREFIX + head)
+                told = pa.array([PREFIX + x for x in part.column("digest").to_pylist()], pa.string())
+                keys = [part.column(c) for c in names[:3]]
+                yield pa.RecordBatch.from_arrays([*keys, told, pa.array(before, pa.string()), pa.array(after, pa.string())], names)
+
+    return fold
+
+
 def seal(records: DataFrame, domain: bytes = DOMAIN, block: int = BLOCK) -> DataFrame:
-    """The sidecar of records (run_id, ledger_seq, event_id, record): one row for each record; a run's first has no previous digest."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ledger_seq", kind="stable")
-        head = pdf["head"].iloc[0]
-        before, rows = bytes.fromhex(head[7:]) if head else bytes(32), []
-        for raw in pdf["digest"]:
-            after = sha256(domain + before + bytes.fromhex(raw)).digest()
-            rows.append("sha256:" + after.hex())
-            before = after
-        return pd.DataFrame(
-            {
-                "run_id": pdf["run_id"],
-                "ledger_seq": pdf["ledger_seq"],
-                "event_id": pdf["event_id"],
-                "record_digest": "sha256:" + pdf["digest"],
-                "previous_chain_digest": [head, *rows[:-1]],
-                "chain_digest": rows,
-            }
-        )
-
-    # only digests go to the grouped tasks, never the records themselves
-    slim = records.select("run_id", "ledger_seq", "event_id", F.sha2("record", 256).alias("digest"))
-    number = F.floor((F.coalesce("ledger_seq", F.lit(1)) - 1) / block)
-    longest = records.agg(F.max(number)).first()[0] or 0
-    out, heads = None, None
-    for k in range(longest + 1):
-        part = slim if not longest else slim.where(number <= 0 if k == 0 else number == k)
-        part = part.withColumn("head", F.lit(None).cast("string")) if heads is None else part.join(heads, "run_id", "left")
-        done = part.groupBy("run_id").applyInPandas(fold, SIDECAR)
-        if longest:
-            done = cut(done)
-            latest = done.groupBy("run_id").agg(F.max_by("chain_digest", "ledger_seq").alias("head"))
-            heads = latest if heads is None else cut(latest.union(heads.join(latest, "run_id", "left_anti")))
-        out = done if out is None else out.union(done)
-    return out
+    """The sidecar of records (run_id, ledger_seq, event_id, record): one row for each record; a run's first has no previous digest.
+
+    Records without ledger_seq come first; equal ones go by event_id and digest. A null record counts as an empty one.
+    """
+    digest = F.sha2(F.coalesce("record", F.lit(b"")), 256).alias("digest")
+    slim = records.select(F.col("run_id").cast("string"), F.col("ledger_seq").cast("long"), F.col("event_id").cast("string"), digest)
+    ordered = slim.repartition("run_id").sortWithinPartitions("run_id", "ledger_seq", "event_id", "digest")
+    return ordered.mapInArrow(_folded(domain, block), SIDECAR)
 
 
 def anchors(sidecar: DataFrame) -> DataFrame:
@@ -96,12 +91,12 @@ def _profile(side: str, df: DataFrame, prefix: str) -> Column:
     return wrong
 
 
-def _placed(df: DataFrame, ledger: str, prefix: str) -> DataFrame:
-    """df by ledger and place (its column ``position``, or its order by ledger_seq), other columns prefixed."""
+def _placed(df: DataFrame, ledger: str, prefix: str, **more: Column) -> DataFrame:
+    """df by ledger and place (its column ``position``, or its order by ledger_seq), other columns prefixed; more: over that order."""
     order = F.col("position") if "position" in df.columns else F.col("ledger_seq")
-    place = F.row_number().over(Window.partitionBy(ledger).orderBy(order))
+    by = Window.partitionBy(ledger).orderBy(order)
     rest = [F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != "position"]
-    return df.select(F.col(ledger).alias("_ledger"), place.alias("place"), *rest)
+    return df.select(F.col(ledger).alias("_ledger"), F.row_number().over(by).alias("place"), *[c.over(by).alias(k) for k, c in more.items()], *rest)
 
 
 def verify(
@@ -119,15 +114,18 @@ def verify(
     """
     sound = F.col("is_sound") if "is_sound" in records.columns else F.lit(True)
     rec = records.withColumn("_sound", F.coalesce(sound, F.lit(False)))
-    fresh_of = seal(rec.select(F.col(ledger).alias("run_id"), F.col("position" if "position" in rec.columns else "ledger_seq").alias("ledger_seq"), "event_id", "record"), domain)
-    chain = _placed(fresh_of.select("run_id", "ledger_seq", "record_digest", "previous_chain_digest", "chain_digest"), "run_id", "c")
-    both = (
-        _placed(rec.drop("record"), ledger, "f")
-        .join(chain, ["_ledger", "place"])
-        .join(_placed(sidecar, ledger, "s"), ["_ledger", "place"], "left")
+    # the digest is taken before anything moves: record bytes are never shuffled
+    slim = rec.withColumn("digest", F.sha2(F.coalesce("record", F.lit(b"")), 256)).drop("record")
+    both = _placed(slim, ledger, "f", first_run=F.first("run_id")).join(
+        _placed(sidecar, ledger, "s", told_before=F.lag("chain_digest")), ["_ledger", "place"], "left"
+    )
+    raw = F.when(F.col("place") == 1, F.lit(GENESIS)).otherwise(F.unhex(F.substring("told_before", len(PREFIX) + 1, 64)))
+    both = both.withColumns(
+        {
+            "c_record_digest": F.concat(F.lit(PREFIX), "f_digest"),
+            "c_chain_digest": F.concat(F.lit(PREFIX), F.sha2(F.concat(F.lit(domain), raw, F.unhex("f_digest")), 256)),
+        }
     )
-    first = F.min(F.when(F.col("place") == 1, F.col("f_run_id"))).over(Window.partitionBy("_ledger"))
-    both = both.withColumn("first_run", first)
     # in the order in which a position's failures are looked for
     checks = [
         (~F.col("f__sound"), "invalid_record"),
@@ -137,11 +135,11 @@ def verify(
         (_differs("s_ledger_seq", "f_ledger_seq") | _differs("s_event_id", "f_event_id") | _differs("s_run_id", "first_run"), "integrity_identity_mismatch"),
         (_profile("sidecar", sidecar, "s"), "integrity_profile_mismatch"),
         (_differs("s_record_digest", "c_record_digest"), "record_digest_mismatch"),
-        (_differs("s_previous_chain_digest", "c_previous_chain_digest"), "previous_chain_digest_mismatch"),
+        (_differs("s_previous_chain_digest", "told_before"), "previous_chain_digest_mismatch"),
         (_differs("s_chain_digest", "c_chain_digest"), "chain_digest_mismatch"),
     ]
     # written once: the first failures and the heads both read it
-    coded = cut(both.select("_ledger", "place", "f_event_id", "first_run", F.col("c_chain_digest").alias("chain"), first_code(checks).alias("code")))
+    coded = cut(both.select("_ledger", "place", "f_event_id", "first_run", F.col("s_chain_digest").alias("chain"), first_code(checks).alias("code")))
     per = coded.groupBy("_ledger").agg(
         F.count(F.lit(1)).alias("event_count"),
         F.min_by("code", F.when(F.col("code").isNotNull(), F.col("place"))).alias("chain_code"),

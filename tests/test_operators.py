@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import itertools
 import random
 
@@ -279,3 +280,85 @@ def test_gap_needs_its_contract(spark):
         "open": (None, None, []),
         "p": (None, None, ["reliability_out_of_range"]),
     }
+
+
+def machine(log):
+    """Outcomes of a log of approval commands, one after the other."""
+    q, ids, refs, out = {}, set(), set(), []
+    for c in sorted(log, key=lambda c: c["seq"]):
+        a = q.get(c["approval_id"])
+        if c["kind"] == "enqueue":
+            code = "duplicate_approval_id" if a else "accepted"
+            if not a:
+                q[c["approval_id"]] = {"run": c["run_id"], "ends": c["expires_at"], "status": "pending"}
+        elif a is None:
+            code = "unknown_approval"
+        elif a["status"] != "pending":
+            code = "not_pending"
+        elif c["kind"] == "expire":
+            code = "accepted" if c["at"] >= a["ends"] else "not_due"
+            a["status"] = "expired" if code == "accepted" else "pending"
+        else:
+            g = c["authority_ref"]
+            checks = [
+                (c["run_id"] != a["run"], "run_mismatch"), (c["at"] > a["ends"], "expired_before_decision"),
+                (g is not None and c["decision"] not in ("approve", "modify"), "grant_not_allowed"),
+                (g is not None and c["grant_decision_id"] != c["decision_id"], "grant_decision_mismatch"),
+                (c["decision_id"] in ids, "duplicate_decision_id"), (g in refs, "duplicate_authority_ref"),
+            ]
+            code = next((x for bad, x in checks if bad), "accepted")
+            if code == "accepted":
+                ids.add(c["decision_id"])
+                refs |= {g} - {None}
+                a["status"] = gov.STATUS[c["decision"]]
+        out.append((c["seq"], code, q[c["approval_id"]]["status"] if c["approval_id"] in q else None))
+    return out
+
+
+LOG = "seq long, approval_id string, kind string, run_id string, expires_at timestamp, decision_id string, decision string, at timestamp, authority_ref string, grant_decision_id string"
+
+
+def command(seq, approval, kind, decision=None, grant=None, said="approve", run="r", day=1, given=None):
+    at = datetime.datetime(2024, 1, day)
+    if kind == "enqueue":
+        return dict(seq=seq, approval_id=approval, kind=kind, run_id=run, expires_at=datetime.datetime(2024, 1, 10), decision_id=None, decision=None, at=None, authority_ref=None, grant_decision_id=None)
+    if kind == "expire":
+        return dict(seq=seq, approval_id=approval, kind=kind, run_id=None, expires_at=None, decision_id=None, decision=None, at=at, authority_ref=None, grant_decision_id=None)
+    return dict(seq=seq, approval_id=approval, kind=kind, run_id=run, expires_at=None, decision_id=decision, decision=said, at=at, authority_ref=grant, grant_decision_id=given or (grant and decision))
+
+
+def folded(spark, log):
+    rows = spark.createDataFrame([tuple(c[x.split()[0]] for x in LOG.split(", ")) for c in log], LOG)
+    return [(r.seq, r.outcome, r.status) for r in gov.fold_approvals(rows).orderBy("seq").collect()]
+
+
+def test_ids_that_pass_from_one_approval_to_the_next(spark):
+    begun = [command(i, x, "enqueue") for i, x in enumerate("ABC")]
+    log = [*begun, command(10, "A", "resolve", "d1"), command(11, "B", "resolve", "d1"), command(12, "B", "resolve", "d2"), command(13, "C", "resolve", "d2")]
+    assert [x[1] for x in folded(spark, log)[3:]] == ["accepted", "duplicate_decision_id", "accepted", "duplicate_decision_id"]
+    log = [*begun, command(10, "A", "resolve", "d1", "g"), command(11, "B", "resolve", "d2", "g"), command(12, "C", "resolve", "d2")]
+    assert [x[1] for x in folded(spark, log)[3:]] == ["accepted", "duplicate_authority_ref", "accepted"]
+    # a chain in which each approval's first id is the one that the approval before got at last
+    log, want = [command(i, f"a{i}", "enqueue") for i in range(12)], []
+    for i in range(12):
+        log += [command(100 + 2 * i, f"a{i}", "resolve", f"d{i}"), command(101 + 2 * i, f"a{i}", "resolve", f"d{i + 1}")]
+    assert folded(spark, log) == machine(log)
+
+
+def test_random_logs_equal_a_sequential_machine(spark):
+    for seed in range(6):
+        rng = random.Random(seed)
+        log = []
+        for seq in range(220):
+            x, kind = f"a{rng.randrange(25)}", rng.choices(["enqueue", "resolve", "expire"], [3, 8, 1])[0]
+            d, grant = f"d{rng.randrange(14)}", rng.choice([None, None, f"g{rng.randrange(9)}"])
+            said = rng.choice(["approve", "modify", "deny", "defer", "cancel"] if grant is None or rng.random() < 0.1 else ["approve", "modify"])
+            log.append(command(seq, x, kind, d, grant, said, rng.choice(["r"] * 9 + ["s"]), rng.choice([1, 2, 10, 11]), rng.choice([None] * 9 + ["d0"])))
+        assert folded(spark, log) == machine(log), seed
+
+
+def test_a_ledger_seq_of_any_size_costs_nothing(spark):
+    rows = [("r", 1, "a", b"x"), ("r", 10**12, "b", b"y")]
+    bad = spark.createDataFrame(rows, "run_id string, ledger_seq long, event_id string, record binary")
+    side = integrity.seal(bad)
+    assert side.count() == 2 and integrity.verify(bad, side, integrity.anchors(side)).first().code == "ledger_seq_mismatch"
