@@ -41,6 +41,11 @@ STEP = 1 << 20
 #: Slots whose counts make one row on the way to the sum.
 ROW_SLOTS = 1 << 15
 SEEDS = 4
+#: Rows of megabytes: the writer looks at the size of its pages and groups at each row, not first after a hundred.
+WIDE_ROWS = {
+    "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size": str(8 << 20),
+    "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1",
+}
 KEY = ["h1", "h2", "h3"]
 WORDS = "lang string, code long, hashes binary, words binary, word_hashes binary, counts binary, n long"
 
@@ -148,7 +153,7 @@ class _Chunk:
     def row(self, seed: int, bits: int) -> tuple:
         codes, words, lang = np.concatenate(self.parts), list(self.codes)[2:], self.lang.encode()
         hashes = np.array([0, 0, *((_hash(lang, w, seed) >> (64 - bits)) or 1 for w in words)], U)
-        counts = np.bincount(codes, minlength=len(hashes))[2:].astype("<i8")
+        counts = np.bincount(codes, minlength=len(hashes))[2:].astype("<u4")
         return self.lang, _code(lang), hashes[codes].tobytes(), b"\n".join(words), hashes[2:].tobytes(), counts.tobytes(), int(counts.sum())
 
 
@@ -211,7 +216,7 @@ def _word_counts(log_slices: int):
                 told = np.array([_hash(lang.encode(), w, 1 << 32) for w in words.split(b"\n")] if len(h) else [], U)
                 order = np.argsort(h)
                 h = h[order]
-                yield _packed(_sliced(h, log_slices), h=h, told=told[order], counts=np.frombuffer(counts, "<i8")[order], code=np.full(len(h), code, np.int64))
+                yield _packed(_sliced(h, log_slices), h=h, told=told[order], counts=np.frombuffer(counts, "<u4")[order], code=np.full(len(h), code, np.int64))
 
     return run
 
@@ -220,11 +225,11 @@ def _frequent(least: int):
     """Frequent words, and those that share a hash: meets says which."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, told, counts, code in _gathered(batches, "<u8", "<u8", "<i8", "<i8"):
+        for h, told, counts, code in _gathered(batches, "<u8", "<u8", "<u4", "<i8"):
             order = np.lexsort((told, h))
             h, told, code = h[order], told[order], code[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            total, last = np.add.reduceat(counts[order], first), np.concatenate([first[1:], [len(h)]]) - 1
+            total, last = np.add.reduceat(counts[order].astype(np.int64), first), np.concatenate([first[1:], [len(h)]]) - 1
             meets = told[first] != told[last]
             kept = (total >= least) | meets
             yield pa.RecordBatch.from_arrays(
@@ -460,7 +465,7 @@ def _hash_words(texts: DataFrame, scratch: Scratch, least: int, bits: int) -> tu
     """(the table of chunks, the frequent words as code, h, c, the words of each lang, binary logarithm of the number of slices), with
     a seed under which no two words share a hash."""
     for seed in range(SEEDS):
-        words = scratch.put(scratch.fresh("words"), texts.mapInArrow(_hashed(seed, bits), WORDS))
+        words = scratch.put(scratch.fresh("words"), texts.mapInArrow(_hashed(seed, bits), WORDS), **WIDE_ROWS)
         totals = words.groupBy("code").agg(F.sum("n").alias("n"), F.max("lang").alias("lang"))
         log_slices = max(4, math.ceil(math.log2(max(1, totals.agg(F.sum("n")).first()[0] or 0) / SIFTED)))
         each = words.select("lang", "code", "words", "word_hashes", "counts").mapInArrow(_word_counts(log_slices), "slice int, h binary, told binary, counts binary, code binary")

@@ -28,8 +28,8 @@ class Scratch:
         self.made.append(f"{stem}{len(self.made)}")
         return self.made[-1]
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{self.top}/{name}")
+    def put(self, name: str, df: DataFrame, **options: str) -> DataFrame:
+        df.write.options(**options).parquet(f"{self.top}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.top}/{name}")
 
     def drop(self, *names: str) -> None:
