@@ -55,6 +55,11 @@ def lerp_quantile(sorted_values: Column, q: float) -> Column:
     return F.when(F.size(sorted_values) > 0, a + (at - low) * (b - a))
 
 
+def canonical_json(text: Column) -> Column:
+    """A JSON text without white space and with the keys of all objects sorted; numbers that are not whole lose trailing zeros. Null if it is no JSON."""
+    return F.to_json(F.try_parse_json(text))
+
+
 def reasons(*checks: tuple[Column, str]) -> Column:
     """Array of the codes whose condition holds, in order."""
     return F.array_compact(F.array(*[F.when(cond, F.lit(code)) for cond, code in checks]))

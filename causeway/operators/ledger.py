@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import ratio
+from ..functions.lineage import cut
 
 # Event types that change the state of a run's work.
 EFFECTIVE = ("action.completed", "validation.completed", "commit.confirmed", "human.checkpoint.resolved")
@@ -101,3 +102,44 @@ def quality_adjusted(runs: DataFrame) -> DataFrame:
     return runs.withColumn(
         "quality_adjusted_completion", F.when(F.col("gate"), F.col("q_c") * F.col("q_v") * F.col("q_r")).otherwise(0.0)
     )
+
+
+def artifact_lineage(events: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """artifact_id, upstream_id and is_direct of every artifact that another one was made from, through any number of events.
+
+    events: input_refs and output_refs (arrays of artifact ids, null for none); artifacts cross runs. Each round joins the pairs that
+    the last one found with all pairs known so far, so paths double: rounds grow with the logarithm of the longest path. The
+    result has one row for each pair, which is what grows. An artifact that comes back to itself is its own upstream.
+    """
+    made = events.select(F.explode("output_refs").alias("artifact_id"), "input_refs")
+    direct = made.select("artifact_id", F.explode("input_refs").alias("upstream_id")).where("artifact_id is not null and upstream_id is not null").distinct()
+    known = fresh = direct = cut(direct)
+    for _ in range(max_rounds):
+        left = fresh.join(known.toDF("upstream_id", "beyond"), "upstream_id").select("artifact_id", F.col("beyond").alias("upstream_id"))
+        right = known.join(fresh.toDF("upstream_id", "beyond"), "upstream_id").select("artifact_id", F.col("beyond").alias("upstream_id"))
+        fresh = cut(left.union(right).distinct().join(known, ["artifact_id", "upstream_id"], "left_anti"))
+        if fresh.isEmpty():
+            marked = direct.withColumn("is_direct", F.lit(True))
+            return known.join(marked, ["artifact_id", "upstream_id"], "left").select("artifact_id", "upstream_id", F.coalesce("is_direct", F.lit(False)).alias("is_direct"))
+        known = cut(known.union(fresh))
+    raise RuntimeError(f"lineage has not settled after {max_rounds} rounds")
+
+
+def attempts(events: DataFrame) -> DataFrame:
+    """Each attempt of a run: its first and last place, events, and the type of its last event. Events without attempt_id belong to none."""
+    return events.where("attempt_id is not null").groupBy("run_id", "attempt_id").agg(
+        F.min("ledger_seq").alias("first_seq"), F.max("ledger_seq").alias("last_seq"), F.count(F.lit(1)).alias("n_events"),
+        F.max_by("event_type", F.struct("ledger_seq", "event_type")).alias("last_type"),
+    )
+
+
+def human_checkpoints(events: DataFrame) -> DataFrame:
+    """The human checkpoints of each run, numbered from 1 in order."""
+    order = Window.partitionBy("run_id").orderBy("ledger_seq", "event_id")
+    asked = events.where(F.col("event_type").startswith("human.checkpoint."))
+    return asked.select("run_id", F.row_number().over(order).cast("long").alias("checkpoint"), "ledger_seq", "event_id", "event_type")
+
+
+def run_events(events: DataFrame, run_id: str) -> DataFrame:
+    """The events of one run in order."""
+    return events.where(F.col("run_id") == run_id).orderBy("ledger_seq", "event_id")

@@ -1,18 +1,22 @@
 """Causal topology of event ledgers: edges, integrity of the graph, depth, critical path, reachability, width.
 
 Events carry run_id, event_id, ledger_seq, parent_seqs and a weight. Relational parts are joins and aggregations over all
-runs at once. The parts that need a run's order (depth, path, closure, matching) go to one grouped task for each run,
-linear in the run's events and edges but for closure and matching; a run's ledger has to fit one task there.
+runs at once. Depth and path need a run's order and go to one grouped task for each run, linear in its events and edges. The
+closure goes to blocks of bounded bits; matching, which needs all of it, has a bound that raises.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bits of a task's closure: 64 MB.
+TASK_BITS = 1 << 29
+
 
 def edges(events: DataFrame) -> DataFrame:
     """One row for each (parent, child) of a run; a parent that is listed twice gives two rows."""
@@ -151,28 +155,44 @@ def _closure(order: list[int], parents: dict[int, list[int]]) -> dict[int, int]:
     return below
 
 
-def reachability(events: DataFrame) -> DataFrame:
-    """Number of descendants and ancestors of each event."""
+def reachability(events: DataFrame, task_bits: int = TASK_BITS) -> DataFrame:
+    """Number of descendants and ancestors of each event.
+
+    A run is dealt into blocks of ancestors: each task has the run's edges, and a bit for each event of its block at each
+    event. A block is as large as ``task_bits`` allow, so a run of up to about 23,000 events is one block, and one of a million
+    goes in bounded tasks of its own kind.
+    """
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         order, parents = _graph(pdf)
-        below = _closure(order, parents)
-        children: dict[int, list[int]] = {n: [] for n in order}
-        for n, ps in parents.items():
-            for p in ps:
-                children[p].append(n)
-        above = _closure(order[::-1], children)
+        size = int(pdf["size"].iloc[0])
+        first = int(pdf["block"].iloc[0]) * size
+        at = {n: i for i, n in enumerate(order[first : first + size])}
+        above: dict[int, int] = {}
+        below = [0] * len(at)
+        for n in order:
+            bits = 0
+            for p in parents[n]:
+                bits |= above[p] | (1 << at[p] if p in at else 0)
+            above[n] = bits
+        ancestors = [above[n].bit_count() for n in order]
+        step = 64
+        for low in range(0, len(at), step):  # bits of a few ancestors at a time, over all events
+            mask = (1 << step) - 1
+            part = np.array([above[n] >> low & mask for n in order], np.uint64)
+            for i in range(min(step, len(at) - low)):
+                below[low + i] = int((part >> np.uint64(i) & np.uint64(1)).sum())
         return pd.DataFrame(
-            {
-                "run_id": pdf["run_id"].iloc[0],
-                "ledger_seq": order,
-                "n_descendants": [below[n].bit_count() for n in order],
-                "n_ancestors": [above[n].bit_count() for n in order],
-            }
+            {"run_id": pdf["run_id"].iloc[0], "ledger_seq": order, "below": [below[at[n]] if n in at else 0 for n in order], "above": ancestors}
         )
 
     slim = events.select("run_id", "ledger_seq", "parent_seqs")
-    return slim.groupBy("run_id").applyInPandas(count, "run_id string, ledger_seq long, n_descendants long, n_ancestors long")
+    n = F.count(F.lit(1))
+    size = F.greatest(F.lit(64), F.floor(F.lit(task_bits) / n)).cast("long")
+    blocks = slim.groupBy("run_id").agg(size.alias("size"), F.ceil(n / size).cast("int").alias("blocks"))
+    dealt = slim.join(blocks, "run_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = dealt.groupBy("run_id", "block").applyInPandas(count, "run_id string, ledger_seq long, below long, above long")
+    return parts.groupBy("run_id", "ledger_seq").agg(F.sum("below").alias("n_descendants"), F.sum("above").alias("n_ancestors"))
 
 
 def _matching(below: list[int]) -> int:
@@ -206,10 +226,15 @@ def _matching(below: list[int]) -> int:
     return len(owner)
 
 
-def width(events: DataFrame) -> DataFrame:
-    """The largest number of events of a run none of which precedes another (Dilworth: nodes less matched nodes)."""
+def width(events: DataFrame, task_bits: int = TASK_BITS) -> DataFrame:
+    """The largest number of events of a run none of which precedes another (Dilworth: nodes less matched nodes).
+
+    The matching needs the whole closure of a run at once: a run whose n x n bits pass ``task_bits`` is an error that says so.
+    """
 
     def widest(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) ** 2 > task_bits:
+            raise ValueError(f"run {pdf['run_id'].iloc[0]} has {len(pdf)} events: its closure passes {task_bits} bits; give more task_bits")
         order, parents = _graph(pdf)
         below = _closure(order, parents)
         return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "width": [len(order) - _matching([below[n] for n in order])]})

@@ -60,6 +60,19 @@ edges_v AS (SELECT e.run_id, e.ledger_seq AS child_seq,
   FROM events_v e JOIN (SELECT 1 AS k UNION ALL SELECT 2) k ON (k.k = 1 OR e.ledger_seq % 4 = 0) WHERE e.ledger_seq > 1)"""
 
 
+def artifact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with artifacts: tool calls and actions make one each, from those that their parents made."""
+    e = ledger_events(spark, sf_dir)
+    makes = F.col("event_type").isin("tool.called", "action.completed")
+    made = e.where(makes).select("run_id", F.col("ledger_seq").alias("parent"), F.concat(F.lit("art:"), "event_id").alias("ref"))
+    read = (
+        e.select("run_id", "ledger_seq", F.explode("parent_seqs").alias("parent")).join(made, ["run_id", "parent"])
+        .groupBy("run_id", "ledger_seq").agg(F.collect_set("ref").alias("input_refs"))
+    )
+    made_here = F.when(makes, F.array(F.concat(F.lit("art:"), "event_id")))
+    return e.join(read, ["run_id", "ledger_seq"], "left").withColumn("output_refs", made_here)
+
+
 def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second ledger: run = conversation, record = the text of a turn."""
     c = table(spark, sf_dir, "conversations")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import integrity, interop, ledger, topology, validation, witness
-from .derive import SQL_EVENTS, SQL_RECORDS, chat_records, ledger_events
+from .derive import SQL_EVENTS, SQL_RECORDS, artifact_events, chat_records, ledger_events
 
 PREFIX, SCHEMA_URI = "org.example.ledger", "https://example.org/schemas/event.json"
 
@@ -95,6 +95,12 @@ def _witnessed(spark, sf_dir):
     return witness.match(anchors, seen)
 
 
+def _attempts(s, d):
+    """Attempts are the diamonds of four events; every fifth event belongs to none."""
+    at = F.when(F.col("ledger_seq") % 5 != 0, F.concat(F.lit("attempt:"), F.floor((F.col("ledger_seq") - 1) / 4).cast("string")))
+    return ledger.attempts(ledger_events(s, d).withColumn("attempt_id", at))
+
+
 QUERIES = {
     "event_checks": _checks,
     "witness_match": _witnessed,
@@ -119,6 +125,10 @@ QUERIES = {
     "replay_state": lambda s, d: ledger.replay_state(ledger_events(s, d)),
     "causal_neighbours": lambda s, d: ledger.neighbours(ledger_events(s, d)),
     "false_completions": lambda s, d: ledger.false_completions(ledger_events(s, d)),
+    "artifact_lineage": lambda s, d: ledger.artifact_lineage(artifact_events(s, d)),
+    "ledger_attempts": _attempts,
+    "human_checkpoints": lambda s, d: ledger.human_checkpoints(ledger_events(s, d)),
+    "witness_requests": lambda s, d: witness.requests(integrity.anchors(integrity.seal(chat_records(s, d)))),
 }
 
 _DEPTH = """
@@ -159,6 +169,17 @@ i AS (SELECT run_id, child_seq AS s, count(*) AS n FROM edges_v GROUP BY ALL), o
 SELECT e.run_id, e.ledger_seq, e.event_id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) = 0 AS is_root,
   coalesce(o.n, 0) = 0 AS is_leaf, coalesce(o.n, 0) > 1 AS is_branch, coalesce(i.n, 0) > 1 AS is_join
 FROM events_v e LEFT JOIN i ON i.run_id = e.run_id AND i.s = e.ledger_seq LEFT JOIN o ON o.run_id = e.run_id AND o.s = e.ledger_seq""",
+    "artifact_lineage": f"""WITH RECURSIVE {SQL_EVENTS},
+m AS (SELECT run_id, ledger_seq, 'art:' || event_id AS ref FROM events_v WHERE event_type IN ('tool.called', 'action.completed')),
+d AS (SELECT DISTINCT o.ref AS artifact_id, i.ref AS upstream_id FROM edges_v g JOIN m o ON o.run_id = g.run_id AND o.ledger_seq = g.child_seq JOIN m i ON i.run_id = g.run_id AND i.ledger_seq = g.parent_seq),
+c AS (SELECT artifact_id, upstream_id FROM d UNION SELECT c.artifact_id, d.upstream_id FROM c JOIN d ON d.artifact_id = c.upstream_id)
+SELECT c.artifact_id, c.upstream_id, d.upstream_id IS NOT NULL AS is_direct FROM c LEFT JOIN d ON d.artifact_id = c.artifact_id AND d.upstream_id = c.upstream_id""",
+    "ledger_attempts": f"""WITH {SQL_EVENTS} SELECT run_id, 'attempt:' || (ledger_seq - 1) // 4 AS attempt_id, min(ledger_seq) AS first_seq, max(ledger_seq) AS last_seq, count(*) AS n_events,
+  arg_max(event_type, ledger_seq) AS last_type FROM events_v WHERE ledger_seq % 5 <> 0 GROUP BY 1, 2""",
+    "human_checkpoints": f"""WITH {SQL_EVENTS} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ledger_seq) AS checkpoint, ledger_seq, event_id, event_type
+FROM events_v WHERE event_type LIKE 'human.checkpoint.%'""",
+    "witness_requests": f"""WITH RECURSIVE {SQL_RECORDS}, {_CHAIN}, a AS (SELECT run_id, count(*) AS n, arg_min(event_id, ledger_seq) AS f, arg_max(event_id, ledger_seq) AS l, 'sha256:' || arg_max(cur, ledger_seq) AS h FROM chain GROUP BY run_id)
+SELECT run_id, h AS digest, '{{"label":"anchor:' || run_id || '","meta":{{"event_count":' || n || ',"final_chain_digest":"' || h || '","first_event_id":"' || f || '","last_event_id":"' || l || '","run_id":"' || run_id || '"}}}}' AS body FROM a""",
     "topology_summary": f"""WITH RECURSIVE {SQL_EVENTS}, {_DEPTH}
 r AS (SELECT run_id, ledger_seq, [w] AS dist FROM adj WHERE ledger_seq = 1
   UNION ALL SELECT a.run_id, a.ledger_seq, list_append(r.dist, a.w + coalesce(list_max(list_transform(a.ps, lambda p: r.dist[p])), 0))

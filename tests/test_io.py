@@ -47,3 +47,40 @@ def test_live_density(spark, tmp_path):
     q.stop()
     first = spark.table("density").orderBy("start").first()
     assert (first.n_human, first.n_effective) == (1, 3)
+
+
+def test_record_bytes_of_split_files(spark, tmp_path):
+    """Invalid UTF-8, CR inside a line and CRLF come through; a file in many splits has the lines of the whole."""
+    lines = [b"\xff\xfe\x00", b"a\rb\r", b" \t\x0b\r", b"\xed\xa0\x80 " + b"x" * 90, b"\xe2\x80\xa8"] * 200
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_bytes(b"\n".join(lines))
+    (tmp_path / "in" / "b.jsonl").write_bytes(b"one\n\n")
+    (tmp_path / "in" / "c.jsonl").write_bytes(b"")
+    key, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key), spark.conf.get(cost)
+    try:
+        spark.conf.set(key, "997")
+        spark.conf.set(cost, "1")
+        rows = jsonl.read_records(spark, str(tmp_path / "in"))
+        got = {(r.path[-7], r.line): (bytes(r.record), r.is_blank) for r in rows.collect()}
+        faults = {(r.path[-7], r.line, r.code) for r in jsonl.record_faults(spark, str(tmp_path / "in")).collect()}
+    finally:
+        spark.conf.set(key, before[0])
+        spark.conf.set(cost, before[1])
+    bare = [x[:-1] if x.endswith(b"\r") else x for x in lines]
+    want = {("a", i): (x, not x.strip()) for i, x in enumerate(bare, 1)} | {("b", 1): (b"one", False), ("b", 2): (b"", True)}
+    assert got == want
+    assert faults == {("a", i, "blank_record") for i, x in enumerate(bare, 1) if not x.strip()} | {("b", 2, "blank_record"), ("c", None, "empty_ledger")}
+
+
+def test_lines_that_are_no_events_have_their_number(spark, tmp_path):
+    (tmp_path / "e.jsonl").write_text('{"a":"x"}\n\n[1]\n{"a":"y"}\n{"a":', encoding="utf-8")
+    good, bad = jsonl.read_events(spark, str(tmp_path / "e.jsonl"), "a string")
+    assert sorted(r.a for r in good.collect()) == ["x", "y"]
+    assert sorted((r.line, r.value) for r in bad.collect()) == [(3, "[1]"), (5, '{"a":')]
+
+
+def test_json_keys_are_sorted_at_all_depths(spark, tmp_path):
+    df = spark.sql("select named_struct('z', 1, 'a', named_struct('d', cast(null as int), 'c', array(named_struct('y', 2, 'x', 'é')))) b, 3 a")
+    jsonl.write_jsonl(df, str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).first().value == '{"a":3,"b":{"a":{"c":[{"x":"é","y":2}],"d":null},"z":1}}'

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import itertools
 import random
 
@@ -11,6 +12,7 @@ from causeway.operators import calibration as cal
 from causeway.operators import geometry as geo
 from causeway.operators import governance as gov
 from causeway.operators import integrity, interop, topology, witness
+from causeway.operators import ledger as ledger_ops
 from pyspark.sql import functions as F
 
 
@@ -362,3 +364,38 @@ def test_a_ledger_seq_of_any_size_costs_nothing(spark):
     bad = spark.createDataFrame(rows, "run_id string, ledger_seq long, event_id string, record binary")
     side = integrity.seal(bad)
     assert side.count() == 2 and integrity.verify(bad, side, integrity.anchors(side)).first().code == "ledger_seq_mismatch"
+
+
+def test_closure_in_blocks_is_the_same(spark):
+    rng = random.Random(4)
+    parents = {i: sorted(rng.sample(range(1, i), min(i - 1, rng.randrange(3)))) for i in range(1, 300)}
+    events = ledger(spark, parents)
+    whole = {tuple(r) for r in topology.reachability(events).collect()}
+    assert whole == {tuple(r) for r in topology.reachability(events, task_bits=300 * 70).collect()}
+    above = {}
+    for n in parents:
+        above[n] = set(parents[n]).union(*(above[p] for p in parents[n]))
+    assert whole == {("r", n, sum(n in a for a in above.values()), len(above[n])) for n in parents}
+    with pytest.raises(Exception, match="closure passes"):
+        topology.width(events, task_bits=1000).collect()
+
+
+def test_artifacts_upstream(spark):
+    rows = [("r", None, ["a"]), ("r", ["a", None], ["b", "c"]), ("q", ["b"], ["d"]), ("q", ["d"], None), ("q", [], ["e"]), ("s", ["y"], ["x"]), ("s", ["x"], ["y"]), ("q", ["b"], ["d"])]
+    got = {tuple(r) for r in ledger_ops.artifact_lineage(spark.createDataFrame(rows, "run_id string, input_refs array<string>, output_refs array<string>")).collect()}
+    assert got == {("b", "a", True), ("c", "a", True), ("d", "b", True), ("d", "a", False), ("x", "y", True), ("y", "x", True), ("x", "x", False), ("y", "y", False)}
+    chain = [("r", [f"a{i}"], [f"a{i + 1}"]) for i in range(40)]
+    got = ledger_ops.artifact_lineage(spark.createDataFrame(chain, "run_id string, input_refs array<string>, output_refs array<string>"))
+    assert got.count() == 40 * 41 // 2 and got.where("is_direct").count() == 40
+
+
+def test_witness_nulls_and_schemes(spark):
+    anchor = spark.createDataFrame([(r, d) for r, d in (("n", None), ("a", "d"), ("b", "d"), ("c", "d"), ("e", "d"))], "run_id string, final_chain_digest string")
+    plain, bound = witness.SIGNED_FIELDS_PLAIN, witness.SIGNED_FIELDS_WITH_PAYLOAD
+    rows = [("n", "i", None, "s", plain, None, None), ("a", "i", "d", "s", plain, None, None), ("b", "i", "d", "s", bound, 'x"y', '{"z":1,"a":{"d":2,"c":[]}}'), ("c", "i", "d", "s", "else", None, None), ("e", "", "d", "s", plain, None, None)]
+    seen = spark.createDataFrame([(*r, "5", "tai") for r in rows], "run_id string, instant_id string, digest string, signature string, signed_fields string, label string, meta string, unix_ns string, reference_timescale string")
+    assert {r.run_id: r.code for r in witness.match(anchor, seen).collect()} == {"n": "digest_mismatch", "a": None, "b": None, "c": "unsupported_signed_fields", "e": "missing_instant_id"}
+    said = {r.run_id: (r.signed_string, r.meta_bound) for r in witness.signed_strings(seen).collect()}
+    body = hashlib.sha256(b'{"label":"x\\"y","meta":{"a":{"c":[],"d":2},"z":1}}').hexdigest()
+    assert said["a"] == ("i|5|tai", False) and said["b"] == (f"i|5|tai|{body}", True) and said["c"] == (None, False)
+    assert [r.run_id for r in witness.requests(anchor.where("final_chain_digest is null")).collect()] == []
