@@ -8,6 +8,7 @@ their rows, bounded by the number of distinct depths.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -102,15 +103,18 @@ def observed_weights(pts: DataFrame, *keys: str) -> DataFrame:
     return mass.withColumn("weight", F.col("mass").cast("double") / total.cast("double"))
 
 
-#: A family's fitted rate at depth d, on the line between the points around it.
-_AT_DEPTH = """
-transform(array(struct(element_at(filter(f.pts, x -> x.depth <= d), -1) as l, element_at(filter(f.pts, x -> x.depth >= d), 1) as h)),
-  e -> case when e.l.depth = e.h.depth then e.l.fit else e.l.fit + (d - e.l.depth) / (e.h.depth - e.l.depth) * (e.h.fit - e.l.fit) end)[0]
+#: For each depth that any family has: the families' rates there, on the line between the points around it (null outside of
+#: a family's points), and which of them have a point there.
+_RATES = """
+transform(array_sort(array_distinct(flatten(transform(fams, f -> transform(f.pts, x -> x.depth))))), d -> struct(d as depth,
+  transform(fams, f -> transform(array(struct(try_element_at(filter(f.pts, x -> x.depth <= d), -1) as l, try_element_at(filter(f.pts, x -> x.depth >= d), 1) as h)),
+    e -> case when e.l.depth = e.h.depth then e.l.fit else e.l.fit + (d - e.l.depth) / (e.h.depth - e.l.depth) * (e.h.fit - e.l.fit) end)[0]) as rates,
+  transform(fams, f -> exists(f.pts, x -> x.depth = d)) as own))
 """
-#: The weighted rate at every depth that all families reach.
-_MIXED = f"""
-transform(filter(array_sort(array_distinct(flatten(transform(fams, f -> transform(f.pts, x -> x.depth))))), d -> d between low and high),
-  d -> struct(d as depth, aggregate(fams, 0D, (acc, f) -> acc + weights[f.family_id] * ({_AT_DEPTH})) as p))
+#: The weighted rate at every depth of a family that takes part, where all that do reach.
+_MIXED = """
+transform(filter(rates, r -> r.depth between low and high and exists(zip_with(r.own, w, (o, y) -> o and y > 0), x -> x)),
+  r -> struct(r.depth as depth, aggregate(zip_with(r.rates, w, (x, y) -> case when y > 0 then y * x else 0D end), 0D, (acc, v) -> acc + v) as p))
 """
 
 
@@ -118,24 +122,30 @@ def mixtures(found: DataFrame, weights: DataFrame, targets: DataFrame, *keys: st
     """status and horizon of each mixture of family curves.
 
     found: one row for each (keys, subject, family_id) with pts. weights: (cell, weights map of family to weight), a
-    grid whose size its parameters bound. targets: (obs, target). Families of weight 0 take no part. Weighted sums run in
-    the order of the families. A column ``weights`` in found (observed shares) is used where weights is None.
+    grid whose size simplex_grid bounds. targets: (obs, target). Families of weight 0 take no part. Weighted sums run in
+    the order of the families. A column ``weights`` in found (observed shares) is used where weights is None. Rates are
+    interpolated once for each key, the curve is mixed once for each cell, and only crossings are looked for at each target.
     """
     own = ["weights"] if weights is None else []
     mixed = found.groupBy(*keys, "subject", *own).agg(F.array_sort(F.collect_list(F.struct("family_id", "pts"))).alias("fams"))
-    mixed = mixed.join(F.broadcast(targets))
+    mixed = mixed.withColumn("rates", F.expr(_RATES))
     if weights is not None:
         mixed = mixed.join(F.broadcast(weights))
+    mixed = mixed.withColumn("w", F.expr("transform(fams, f -> coalesce(weights[f.family_id], 0D))"))
     mixed = mixed.withColumn("fams", F.expr("filter(fams, f -> weights[f.family_id] > 0)"))
-    refused = F.expr("""filter(fams, f -> forall(f.pts, x -> x.fit >= target) or forall(f.pts, x -> x.fit < target))""")
     mixed = mixed.withColumns(
         {
-            "refused": F.array_join(F.transform(refused, lambda f: F.concat(F.lit("family_unsupported:"), f["family_id"])), ","),
             "low": F.expr("array_max(transform(fams, f -> f.pts[0].depth))"),
             "high": F.expr("array_min(transform(fams, f -> element_at(f.pts, -1).depth))"),
+            # all that a target has to know of a family to refuse it
+            "ends": F.expr("transform(fams, f -> struct(f.family_id, array_min(transform(f.pts, x -> x.fit)) as least, array_max(transform(f.pts, x -> x.fit)) as most))"),
         }
     )
-    mixed = mixed.withColumn("curve", F.when((F.col("refused") == "") & (F.col("low") < F.col("high")), F.expr(_MIXED)))
+    kept = [*keys, "subject", *([] if weights is None else ["cell"]), "low", "high", "ends"]
+    mixed = mixed.select(*kept, F.when(F.col("low") < F.col("high"), F.expr(_MIXED)).alias("mixed")).join(F.broadcast(targets))
+    refused = F.filter("ends", lambda f: (f["least"] >= F.col("target")) | (f["most"] < F.col("target")))
+    mixed = mixed.withColumn("refused", F.array_join(F.transform(refused, lambda f: F.concat(F.lit("family_unsupported:"), f["family_id"])), ","))
+    mixed = mixed.withColumn("curve", F.when(F.col("refused") == "", F.col("mixed")))
     status, horizon = _crossing("curve", "p")
     return mixed.select(
         *keys,
@@ -151,6 +161,18 @@ def mixtures(found: DataFrame, weights: DataFrame, targets: DataFrame, *keys: st
     )
 
 
+#: Draws of one row of a resample's plan.
+DRAWS = 1 << 14
+
+
+def by_replicate(df: DataFrame) -> DataFrame:
+    """df dealt by rep to as many tasks as the session runs. All that follows is keyed by rep, so nothing is shuffled again; the rows
+    are few, so Spark would bring them together in one task, but each stands for much work."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, "rep")
+
+
 def resample(pts: DataFrame, seed: str, replicates: int) -> DataFrame:
     """Binomial resamples of every point by keyed uniforms: rep, the point's keys, trials and new successes.
 
@@ -159,20 +181,32 @@ def resample(pts: DataFrame, seed: str, replicates: int) -> DataFrame:
     """
     keys = ["snapshot_id", "family_id", "subject", "depth"]
     rate = F.col("successes").cast("double") / F.col("trials").cast("double")
+    spark = pts.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     reps = pts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     fixed = reps.where("successes = 0 or successes = trials").select("rep", *keys, "trials", "successes")
     u = keyed_uniform(F.lit(seed), *[F.col(c).cast("string") for c in ("snapshot_id", "rep", "family_id", "subject", "depth", "attempt")])
+    # points do not grow with the data, draws do: replicates and runs of draws are dealt out before any is made
     drawn = (
         reps.where("successes > 0 and successes < trials")
-        .withColumn("attempt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trials") - 1)))
+        .withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trials") - 1, F.lit(DRAWS).cast("long"))))
+        .repartition(4 * tasks, "rep", *keys, "start")
+        .withColumn("attempt", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + DRAWS, F.col("trials")) - 1)))
         .groupBy("rep", *keys)
         .agg(F.max("trials").alias("trials"), F.count_if(u < rate).alias("successes"))
     )
     return fixed.union(drawn)
 
 
-def simplex_grid(spark, families: Sequence[str], units: int = 10, least: int = 1) -> DataFrame:
-    """cell, units (array) and weights (map) of all compositions of ``units`` into the families, in lexicographic order."""
+def simplex_grid(spark, families: Sequence[str], units: int = 10, least: int = 1, max_cells: int = 20_000) -> DataFrame:
+    """cell, units (array) and weights (map) of all compositions of ``units`` into the families, in lexicographic order.
+
+    A grid of more than ``max_cells`` is an error: grids are broadcast. Units too few for the families give no cell.
+    """
+    free = units - least * len(families)
+    cells = math.comb(free + len(families) - 1, len(families) - 1) if families and free >= 0 else 0
+    if cells > max_cells:
+        raise ValueError(f"a grid of {units} units over {len(families)} families has {cells} cells, more than {max_cells}")
     out = spark.range(1).select(F.array().cast("array<int>").alias("units"), F.lit(units).alias("left"))
     for i in range(len(families)):
         rest = least * (len(families) - i - 1)

@@ -20,18 +20,13 @@ SIDES = ("supported", "sign_class", "lower", "upper", "delta")
 
 def edges(surface: DataFrame, units_total: int = 10) -> DataFrame:
     """Neighbouring cells a < b (one unit from one family to another) with the values of both; each edge once."""
-    n = surface.select(F.size("units").alias("n")).limit(1).collect()
-    k = n[0]["n"] if n else 0
-    moves = [(i, j) for i in range(k) for j in range(k) if i != j]
     a = surface.select("obs", "subject", F.col("cell").alias("cell_a"), F.col("units").alias("units_a"), *[F.col(c).alias(f"{c}_a") for c in SIDES])
-    if not moves:
-        moved = a.withColumn("units_b", F.col("units_a")).where(F.lit(False))
-    else:
-        def move(i: int, j: int) -> Column:
-            return F.transform("units_a", lambda u, at: u + F.when(at == i, 1).when(at == j, -1).otherwise(0))
-
-        shifted = F.array(*[move(i, j) for i, j in moves])
-        moved = a.withColumn("units_b", F.explode(shifted))
+    places = F.sequence(F.lit(0), F.size("units_a") - 1)
+    moved = (
+        a.where(F.size("units_a") > 1).withColumn("_i", F.explode(places)).withColumn("_j", F.explode(places)).where("_i <> _j")
+        .withColumn("units_b", F.transform("units_a", lambda u, at: u + F.when(at == F.col("_i"), 1).when(at == F.col("_j"), -1).otherwise(0)))
+        .drop("_i", "_j")
+    )
     b = surface.select(
         F.col("obs").alias("_o"), F.col("subject").alias("_s"), F.col("cell").alias("cell_b"), F.col("units").alias("_u"),
         *[F.col(c).alias(f"{c}_b") for c in SIDES],

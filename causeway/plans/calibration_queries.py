@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import keyed_uniform, sign_of, z_value
+from ..functions.lineage import cut
 from ..operators import calibration as c
 from ..operators import geometry as geo
 from .derive import SQL_SNAPSHOTS, SQL_TRIALS, snapshots, trials
@@ -114,7 +115,7 @@ def _resampled(s, d, replicates=REPLICATES):
 def _deltas(s, d, replicates=REPLICATES):
     """Change of every replicate (-1: the point estimate), observation and grid cell: one plan over a widened key."""
     point = _points(s, d).withColumn("rep", F.lit(-1)).select("rep", *KEYS, "depth", "trials", "successes")
-    curves = c.curves(point.union(_resampled(s, d, replicates)), "rep", *KEYS)
+    curves = c.curves(c.by_replicate(point.union(_resampled(s, d, replicates))), "rep", *KEYS)
     grid = c.simplex_grid(s, FAMILIES).select("cell", "weights")
     return c.deltas(c.mixtures(curves, grid, _targets(s), "rep", "snapshot_id"), "rep", "obs", "cell", "subject")
 
@@ -146,7 +147,7 @@ def _sensitivity(s, d):
 def _bands(s, d):
     """Bands of the change under the reference weights."""
     point = _points(s, d).withColumn("rep", F.lit(-1)).select("rep", *KEYS, "depth", "trials", "successes")
-    curves = c.curves(point.union(_resampled(s, d)), "rep", *KEYS)
+    curves = c.curves(c.by_replicate(point.union(_resampled(s, d))), "rep", *KEYS)
     mixed = c.deltas(c.mixtures(curves, _reference(s), _targets(s), "rep", "snapshot_id"), "rep", "obs", "subject")
     return rounded(c.bands(mixed.where("rep >= 0"), "delta", ["obs", "subject"], REPLICATES, INTERVAL, MIN_FRACTION))
 
@@ -186,8 +187,8 @@ def _axes(s, d):
 
 def _geometry(f):
     def query(s, d):
-        # a surface has as many rows as its grid and is read several times
-        return f(surface(s, d).persist())
+        # a surface has as many rows as its grid and is read several times: it is written once
+        return f(cut(surface(s, d)))
 
     return query
 
