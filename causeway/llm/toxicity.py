@@ -48,6 +48,7 @@ class Params:
     min_pair_z: float = 8.0  #: or a pair's positives from what its terms let expect, to be learnt
     rank: int = 4
     epochs: int = 10
+    warm: float = 0.2  #: share of a learnt term's log-count ratio that its weight starts from
     folds: int = 3  #: that the margins are calibrated across
     weight: float = 3.0  #: of a positive document's loss
     rate: float = 0.1
@@ -149,8 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, params: Params | None =
     common = np.flatnonzero(c1 + c0 >= p.min_share * (n1 + n0))
     learnt = alone >= p.min_z
     learnt[common[in_pairs(docs_terms, y, common, p.min_pair_z)]] = True
-    faint = np.where(learnt, 0.0, FAINT * np.log((c1 + 1) / (n1 + 2) * (n0 + 2) / (c0 + 1)))
-    return _fit_machine(term, docs_terms, y, p, learnt, faint)
+    ratio = np.log((c1 + 1) / (n1 + 2) * (n0 + 2) / (c0 + 1))
+    return _fit_machine(term, docs_terms, y, p, learnt, ratio)
 
 
 def in_pairs(docs_terms: list[np.ndarray], y: np.ndarray, common: np.ndarray, min_z: float) -> np.ndarray:
@@ -222,11 +223,16 @@ def _train(
     return table, bias
 
 
-def _fit_machine(term: np.ndarray, docs_terms: list[np.ndarray], y: np.ndarray, p: Params, learnt: np.ndarray, faint: np.ndarray) -> Machine:
-    """The machine of the whole sample, calibrated on margins that machines of the other folds give each fold."""
+def _fit_machine(term: np.ndarray, docs_terms: list[np.ndarray], y: np.ndarray, p: Params, learnt: np.ndarray, ratio: np.ndarray) -> Machine:
+    """The machine of the whole sample, calibrated on margins that machines of the other folds give each fold.
+
+    ratio: the terms' log-count ratios. A document with one telling term only is rare in a sample: weights that start from
+    a share of the ratio find it without a longer training, which would learn the noise of others.
+    """
     rng, n = np.random.default_rng(p.seed), len(y)
+    faint = np.where(learnt, 0.0, FAINT * ratio)
     start = np.zeros((len(term), 1 + p.rank))
-    start[:, 0] = faint
+    start[:, 0] = np.where(learnt, p.warm * ratio, faint)
     start[learnt, 1:] = rng.normal(0, 0.05, (int(learnt.sum()), p.rank))
     moved = [x[learnt[x]] for x in docs_terms]
     offset = np.array([faint[x].sum() for x in docs_terms])
