@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, keep_only
+from .common import Scratch, keep_only, shuffles_released
 
 #: Marks that end a piece, as one byte each; all become line feeds, which no word can hold.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -70,49 +70,58 @@ class PerfectHash:
     """A slot from 0 on for each distinct key of three words, none left over; keys are stored by slot and verified.
 
     Level by level, keys that are alone at their place get it, the others go to the next level; ranks are running bit counts.
+    Keys are placed by a 64-bit hash under the first seed that gives no two of them the same.
     """
 
-    def __init__(self, keys: np.ndarray, load: float = 2.0, levels: int = 64) -> None:
+    def __init__(self, keys: np.ndarray, load: float = 2.0, seeds: int = 4) -> None:
         self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
         self.keys = np.zeros((len(keys), 3), U)
-        left, done = keys.astype(U), 0
+        keys = keys.astype(U)
+        for self.seed in range(1, seeds + 1):
+            hashes = mix(keys[:, 0], keys[:, 1], keys[:, 2], self.seed)
+            if len(np.unique(hashes)) == len(keys):
+                break
+        else:
+            raise ValueError("keys of a perfect hash must be distinct")
+        left, done = np.arange(len(keys)), 0
         while len(left):
-            if len(self.levels) == levels:
-                raise ValueError("keys of a perfect hash must be distinct")
             size = max(64, int(load * len(left)))
-            place = self._place(left, len(self.levels), size)
+            place = self._place(hashes[left], len(self.levels), size)
             alone = np.bincount(place, minlength=size)[place] == 1
             bits = np.zeros(-(-size // 64), U)
             np.bitwise_or.at(bits, place[alone] >> 6, U(1) << (place[alone] & 63).astype(U))
             rank = done + np.concatenate([[0], np.cumsum(np.bitwise_count(bits))[:-1]]).astype(np.int64)
             self.levels.append((size, bits, rank))
-            self.keys[self._slot(bits, rank, place[alone])] = left[alone]
+            self.keys[self._slot(bits, rank, place[alone])] = keys[left[alone]]
             done += int(alone.sum())
             left = left[~alone]
 
     @staticmethod
-    def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(keys[:, 0], keys[:, 1], keys[:, 2], level + 1) % U(size)).astype(np.int64)
+    def _place(hashes: np.ndarray, level: int, size: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = (hashes ^ (U(level + 1) * _M[1])) * _M[2]
+            return ((x ^ (x >> U(32))) % U(size)).astype(np.int64)
 
     @staticmethod
     def _slot(bits: np.ndarray, rank: np.ndarray, place: np.ndarray) -> np.ndarray:
         word = place >> 6
         return rank[word] + np.bitwise_count(bits[word] & ((U(1) << (place & 63).astype(U)) - U(1)))
 
-    def slots(self, keys: np.ndarray) -> np.ndarray:
+    def slots(self, h1: np.ndarray, h2: np.ndarray, h3: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 for keys that are not stored."""
-        out = np.full(len(keys), -1, np.int64)
-        todo = np.arange(len(keys))
+        out = np.full(len(h1), -1, np.int64)
+        todo, hashes = np.arange(len(h1)), mix(h1, h2, h3, self.seed)
         for level, (size, bits, rank) in enumerate(self.levels):
             if not len(todo):
                 break
-            place = self._place(keys[todo], level, size)
+            place = self._place(hashes[todo], level, size)
             there = (bits[place >> 6] >> (place & 63).astype(U)) & U(1) == 1
-            at, place = todo[there], place[there]
-            slot = self._slot(bits, rank, place)
-            same = (self.keys[slot] == keys[at]).all(1)
-            out[at[same]] = slot[same]
+            at = todo[there]
+            out[at] = self._slot(bits, rank, place[there])
             todo = todo[~there]
+        at = np.flatnonzero(out >= 0)
+        held = self.keys[out[at]]
+        out[at[(held[:, 0] != h1[at]) | (held[:, 1] != h2[at]) | (held[:, 2] != h3[at])]] = -1
         return out
 
 
@@ -233,7 +242,7 @@ def _frequent(least: int):
             meets = told[first] != told[last]
             kept = (total >= least) | meets
             yield pa.RecordBatch.from_arrays(
-                [pa.array(code[first][kept]), _as_long(h[first][kept]), pa.array(total[kept]), pa.array(meets[kept])], ["code", "h", "c", "meets"]
+                [pa.array(code[first][kept]), _as_long(h[first][kept]), pa.array(meets[kept]), _as_long(slice_of(h[first][kept], U(0), U(0)))], ["code", "h", "meets", "at"]
             )
 
     return run
@@ -307,6 +316,11 @@ def _unique(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])[: len(keys)]]
 
 
+def slice_of(h1: np.ndarray, h2: np.ndarray, h3: np.ndarray) -> np.ndarray:
+    """31 bits that say to which slice of the candidates a key goes, whatever their number."""
+    return mix(h1, h2, h3, 99) & U((1 << 31) - 1)
+
+
 def _found(shared, log_slices: int):
     """Distinct keys of the pairs and triples of a task that the filters let pass, with the code of their lang, to slices."""
 
@@ -317,7 +331,7 @@ def _found(shared, log_slices: int):
             keys = _unique(np.concatenate(held))
             hashes = mix(keys[:, 1], keys[:, 2], keys[:, 3])
             order = np.argsort(hashes)
-            return _packed(_sliced(hashes[order], log_slices), keys=keys[order])
+            return _packed(_sliced(hashes[order], log_slices), **{c: keys[order, i] for i, c in enumerate(["code", *KEY])})
 
         for batch in batches:
             for code, raw in zip(batch.column("code").to_numpy(), batch.column("hashes"), strict=True):
@@ -339,9 +353,10 @@ def _found(shared, log_slices: int):
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (keys,) in _gathered(batches, "<u8"):
-        keys = _unique(keys.reshape(-1, 4))
-        yield pa.RecordBatch.from_arrays([_as_long(keys[:, i]) for i in range(4)], ["code", *KEY])
+    for columns in _gathered(batches, *["<u8"] * 4):
+        keys = _unique(np.stack(columns, 1))
+        at = slice_of(keys[:, 1], keys[:, 2], keys[:, 3])
+        yield pa.RecordBatch.from_arrays([*(_as_long(keys[:, i]) for i in range(4)), _as_long(at)], ["code", *KEY, "at"])
 
 
 def _keys(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -354,16 +369,28 @@ def _keys(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 # -- counts by slot
 
 
-def _counted(filters, slots):
+def _counted(filters, slots, own: int, slices: int):
+    """Occurrences by slot of the keys of one slice: words by their counts in a chunk, pairs and triples one by one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: PerfectHash = slots.value
         counts = np.zeros(len(table.keys), np.int64)
+
+        def add(weights: np.ndarray | None, *key: np.ndarray) -> None:
+            mine = np.flatnonzero(slice_of(*key) & U(slices - 1) == U(own))
+            found = table.slots(*(k[mine] for k in key))
+            here = found >= 0
+            counts[:] += np.bincount(found[here], None if weights is None else weights[mine[here]], len(counts)).astype(np.int64)
+
         for batch in batches:
-            for raw in batch.column("hashes"):
-                h = np.frombuffer(raw.as_buffer(), U)
-                for k, at in enumerate(_grams(h, filters.value), 1):
-                    found = table.slots(_keys(h, at, k))
-                    counts += np.bincount(found[found >= 0], minlength=len(counts))
+            for raw, words, times in zip(*(batch.column(c) for c in ("hashes", "word_hashes", "counts")), strict=True):
+                h, w = np.frombuffer(raw.as_buffer(), U), np.frombuffer(words.as_py(), U)
+                often = filters.value[0].has(w)
+                none = np.zeros(int(often.sum()), U)
+                add(np.frombuffer(times.as_py(), "<u4")[often], w[often], none, none)
+                _, pairs, triples = _grams(h, filters.value)
+                add(None, h[pairs], h[pairs + 1], np.zeros(len(pairs), U))
+                add(None, h[triples], h[triples + 1], h[triples + 2])
         yield from _count_rows({a // ROW_SLOTS: counts[a : a + ROW_SLOTS] for a in range(0, len(counts), ROW_SLOTS)}, TaskContext.get().partitionId())
 
     return run
@@ -386,10 +413,10 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _count_rows(total, 0)
 
 
-def _slot_counts(words: DataFrame, filters, slots, n: int) -> np.ndarray:
+def _slot_counts(words: DataFrame, filters, slots, n: int, own: int, slices: int) -> np.ndarray:
     """Counts by slot: arrays of tasks are summed by groups of tasks, then all."""
     schema = "part int, task int, counts binary"
-    rows = words.select("hashes").mapInArrow(_counted(filters, slots), schema)
+    rows = words.select("hashes", "word_hashes", "counts").mapInArrow(_counted(filters, slots, own, slices), schema)
     tasks = max(1, rows.rdd.getNumPartitions())
     groups = math.isqrt(tasks - 1) + 1
     parts = -(-n // ROW_SLOTS)
@@ -411,19 +438,14 @@ def _read(slots, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, count = slots.value, counts.value
         for batch in batches:
-            h = np.stack([batch.column(c).to_numpy().view(U) for c in KEY], 1)
-            zero, three = np.zeros(len(h), U), h[:, 2] != 0
-            sought = {
-                "a": h,
-                "l1": np.stack([h[:, 0], zero, zero], 1),
-                "r1": np.stack([h[:, 1], h[:, 2], zero], 1),
-                "l2": np.where(three[:, None], np.stack([h[:, 0], h[:, 1], zero], 1), U(0)),
-                "r2": np.stack([h[:, 2], zero, zero], 1),
-            }
+            h1, h2, h3 = (batch.column(c).to_numpy().view(U) for c in KEY)
+            zero = np.zeros(len(h1), U)
+            # a pair has no second cut: its key there would be that of the pair, or none
+            sought = {"a": (h1, h2, h3), "l1": (h1, zero, zero), "r1": (h2, h3, zero), "l2": (h1, h2, zero), "r2": (h3, zero, zero)}
             got = []
             for name in READ:
                 known = batch.column(name).to_numpy(zero_copy_only=False).copy()
-                at = table.slots(sought[name])
+                at = table.slots(*sought[name])
                 known[at >= 0] = count[at[at >= 0]]
                 got.append(pa.array(known))
             yield pa.RecordBatch.from_arrays([batch.column("code"), *(batch.column(c) for c in KEY), *got], ["code", *KEY, *READ])
@@ -462,14 +484,14 @@ def _named(wanted):
 
 
 def _hash_words(texts: DataFrame, scratch: Scratch, least: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """(the table of chunks, the frequent words as code, h, c, the words of each lang, binary logarithm of the number of slices), with
+    """(the table of chunks, the frequent words as code, h and their slice, the words of each lang, binary logarithm of the number of slices), with
     a seed under which no two words share a hash."""
     for seed in range(SEEDS):
         words = scratch.put(scratch.fresh("words"), texts.mapInArrow(_hashed(seed, bits), WORDS), **WIDE_ROWS)
         totals = words.groupBy("code").agg(F.sum("n").alias("n"), F.max("lang").alias("lang"))
         log_slices = max(4, math.ceil(math.log2(max(1, totals.agg(F.sum("n")).first()[0] or 0) / SIFTED)))
         each = words.select("lang", "code", "words", "word_hashes", "counts").mapInArrow(_word_counts(log_slices), "slice int, h binary, told binary, counts binary, code binary")
-        known = each.repartition(1 << log_slices, "slice").mapInArrow(_frequent(least), "code long, h long, c long, meets boolean")
+        known = each.repartition(1 << log_slices, "slice").mapInArrow(_frequent(least), "code long, h long, meets boolean, at long")
         known = scratch.put(scratch.fresh("known"), known)
         if not known.where("meets").limit(1).count():
             return words, known.drop("meets"), totals, log_slices
@@ -489,29 +511,48 @@ def collocations(
     sc, scratch = spark.sparkContext, Scratch(spark)
     schema = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
     texts = keep_only(docs, lang="string", text="string").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    words, frequent, totals, log_slices = _hash_words(texts, scratch, least, bits)
-    filters = [Bitmap(frequent, "h")]
-    for _ in range(2):
-        routed = words.select("hashes").mapInArrow(_routed(sc.broadcast(filters), log_slices), "slice int, hashes binary, counts binary")
-        passed = routed.repartition(1 << log_slices, "slice").mapInArrow(_sifted(least), "m long")
-        filters.append(Bitmap(scratch.put(scratch.fresh("passed"), passed), "m"))
-    shared = sc.broadcast(filters)
-    found = words.select("code", "hashes").mapInArrow(_found(shared, log_slices), "slice int, keys binary")
-    phrases = found.repartition(1 << log_slices, "slice").mapInArrow(_distinct, "code long, h1 long, h2 long, h3 long")
-    single = frequent.select("code", F.col("h").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(0).cast("long").alias("h3"))
-    candidates = scratch.put("candidates", phrases.union(single))
-    slices = max(1, -(-candidates.count() // slice_keys))
-    scored = candidates.where("h2 <> 0").select("code", *KEY, *[F.lit(0).cast("long").alias(c) for c in READ])
-    for k in range(slices):
-        own = candidates.where(F.pmod(F.xxhash64(*KEY), F.lit(slices)) == k).select(*KEY).toArrow()
-        keys = np.stack([own.column(c).to_numpy().view(U) for c in KEY], 1)
-        slots = sc.broadcast(PerfectHash(keys[np.lexsort(keys.T)]))
-        counts = sc.broadcast(_slot_counts(words, shared, slots, len(keys)) if len(keys) else np.zeros(0, np.int64))
-        scored = scored.mapInArrow(_read(slots, counts), scored.schema)
-        if k < slices - 1:
-            scored = scratch.put(scratch.fresh("read"), scored)
-    scored = scratch.put("scored", scored.mapInArrow(_scored(least, scale), "code long, h1 long, h2 long, h3 long, a long, l long, r long, score long"))
+    with shuffles_released(spark):
+        words, frequent, totals, log_slices = _hash_words(texts, scratch, least, bits)
+        totals = scratch.put("totals", totals)
+        filters = [Bitmap(frequent, "h")]
+        for _ in range(2):
+            routed = words.select("hashes").mapInArrow(_routed(sc.broadcast(filters), log_slices), "slice int, hashes binary, counts binary")
+            passed = routed.repartition(1 << log_slices, "slice").mapInArrow(_sifted(least), "m long")
+            filters.append(Bitmap(scratch.put(scratch.fresh("passed"), passed), "m"))
+            scratch.drop(scratch.made[-1])
+        shared = sc.broadcast(filters)
+        found = words.select("code", "hashes").mapInArrow(_found(shared, log_slices), "slice int, code binary, h1 binary, h2 binary, h3 binary")
+        phrases = found.repartition(1 << log_slices, "slice").mapInArrow(_distinct, "code long, h1 long, h2 long, h3 long, at long")
+        none = F.lit(0).cast("long")
+        single = frequent.select("code", F.col("h").alias("h1"), none.alias("h2"), none.alias("h3"), "at")
+        candidates = scratch.put("candidates", phrases.union(single))
+        slices = 1 << max(0, math.ceil(math.log2(max(1, candidates.count()) / slice_keys)))
+        scored = candidates.where("h2 <> 0").select("code", *KEY, *[none.alias(c) for c in READ])
+        for k in range(slices):
+            own = candidates.where(F.col("at").bitwiseAND(slices - 1) == k).select(*KEY).toArrow()
+            keys = np.stack([own.column(c).to_numpy().view(U) for c in KEY], 1)
+            slots = sc.broadcast(PerfectHash(keys[np.lexsort(keys.T)]))
+            counts = sc.broadcast(_slot_counts(words, shared, slots, len(keys), k, slices) if len(keys) else np.zeros(0, np.int64))
+            scored = scored.mapInArrow(_read(slots, counts), scored.schema)
+            if k < slices - 1:
+                scored = scratch.put(scratch.fresh("read"), scored)
+        scored = scratch.put("scored", scored.mapInArrow(_scored(least, scale), "code long, h1 long, h2 long, h3 long, a long, l long, r long, score long"))
+        scratch.drop("candidates", *[x for x in scratch.made if x.startswith("read")])
+        first = scratch.put("first", _first(scored, top, inside))
+        wanted = first.select(F.explode(F.array(*KEY)).alias("h")).where("h <> 0").distinct()
+        named = _named(sc.broadcast(Bitmap(wanted, "h")))
+        names = scratch.put("names", words.select("words", "word_hashes").mapInArrow(named, "h long, word string").distinct())
+        scratch.drop("scored", *[x for x in scratch.made if x.startswith("words")])
+    each = first.select("*", F.posexplode(F.array(*KEY)).alias("i", "h")).where("h <> 0")
+    joined = each.join(names, "h").groupBy("code", *KEY, "a", "l", "r", "score").agg(F.array_sort(F.collect_list(F.struct("i", "word"))).alias("w"))
+    phrase = joined.withColumn("phrase", F.array_join(F.col("w.word"), " ")).join(totals, "code")
+    order = Window.partitionBy("code").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
+    ranked = phrase.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in schema.split(", ")])
 
+
+def _first(scored: DataFrame, top: int, inside: int) -> DataFrame:
+    """Phrases that no longer one holds often enough, of each lang those that may be among its first ``top``."""
     triples = scored.where("h3 <> 0")
     longer = triples.select("h1", "h2", "a").union(triples.select("h2", "h3", "a")).toDF("h1", "h2", "m").groupBy("h1", "h2").agg(F.max("m").alias("m"))
     alone = scored.where("h3 = 0").join(longer, ["h1", "h2"], "left").where(F.col("m").isNull() | (F.col("m") * 100 < F.col("a") * inside))
@@ -521,12 +562,4 @@ def collocations(
     above = Window.partitionBy("code").orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, -1)
     steps = kept.groupBy("code", step.alias("step")).agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.coalesce(F.sum("m").over(above), F.lit(0)))
     floors = steps.where(F.col("before") < top).groupBy("code").agg(F.min("step").alias("from"))
-    first = scratch.put("first", kept.join(floors, "code").where(step >= F.col("from")).drop("from"))
-    each = first.select("*", F.posexplode(F.array(*KEY)).alias("i", "h")).where("h <> 0")
-    wanted = sc.broadcast(Bitmap(each.select("h").distinct(), "h"))
-    names = words.select("words", "word_hashes").mapInArrow(_named(wanted), "h long, word string").distinct()
-    joined = each.join(names, "h").groupBy("code", *KEY, "a", "l", "r", "score").agg(F.array_sort(F.collect_list(F.struct("i", "word"))).alias("w"))
-    phrase = joined.withColumn("phrase", F.array_join(F.col("w.word"), " ")).join(totals, "code")
-    order = Window.partitionBy("code").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = phrase.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in schema.split(", ")])
+    return kept.join(floors, "code").where(step >= F.col("from")).drop("from")

@@ -138,9 +138,9 @@ def test_words_of_one_hash_change_the_seed(spark):
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 40, (20_000, 3)).astype(np.uint64), axis=0)
     table = collocations.PerfectHash(keys)
-    assert sorted(table.slots(keys).tolist()) == list(range(len(keys)))
-    assert (table.slots(keys + np.uint64(1 << 40)) == -1).all()
-    assert len(collocations.PerfectHash(np.zeros((0, 3), np.uint64)).slots(keys[:3])) == 3
+    assert sorted(table.slots(*keys.T).tolist()) == list(range(len(keys)))
+    assert (table.slots(*(keys + np.uint64(1 << 40)).T) == -1).all()
+    assert len(collocations.PerfectHash(np.zeros((0, 3), np.uint64)).slots(*keys[:3].T)) == 3
     with pytest.raises(ValueError, match="distinct"):
         collocations.PerfectHash(np.zeros((2, 3), np.uint64))
 
