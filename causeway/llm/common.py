@@ -60,12 +60,13 @@ def keep_only(df: DataFrame, **types: str) -> DataFrame:
     Columns are renamed by position first: a name that stands twice but for its case is ambiguous to Spark. Of two
     columns of the very same name the first counts.
     """
-    placed, folded = df.toDF(*[f"_{i}" for i in range(len(df.columns))]), [x.lower() for x in df.columns]
+    placed = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return placed.select(*[F.col(f"_{place_of(df, c)}").cast(t).alias(c) for c, t in types.items()])
 
-    def at(name: str) -> int:
-        return df.columns.index(name) if name in df.columns else folded.index(name.lower())
 
-    return placed.select(*[F.col(f"_{at(c)}").cast(t).alias(c) for c, t in types.items()])
+def place_of(df: DataFrame, name: str) -> int:
+    """Where the column of that very name stands, or else the first that differs in case alone."""
+    return df.columns.index(name) if name in df.columns else [x.lower() for x in df.columns].index(name.lower())
 
 
 def ascii_lower(c: Column) -> Column:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_only
+from .common import keep_only, place_of
 
 SHINGLE = 5
 BLOCK = 4  #: items in a block of the posting lists
@@ -244,7 +244,7 @@ def pieces_of(text: str | None) -> Iterator[list[str]]:
 LEAKS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def _leak_rows(shared):
+def _leak_rows(shared, kind: pa.DataType):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for batch in batches:
@@ -255,7 +255,7 @@ def _leak_rows(shared):
                     best[index.ids[item]] = max(how, best.get(index.ids[item], how))
                 out += [(doc_id, item_id, *how) for item_id, how in sorted(best.items())]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+            kinds = (kind, pa.int64(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in LEAKS.split(", ")]
             )
@@ -263,25 +263,36 @@ def _leak_rows(shared):
     return rows
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap of every item that a document holds."""
+def _found(named: DataFrame, benchmark: DataFrame, overlap: float, index_bytes: int) -> DataFrame:
+    """Leaks of (doc_id, text); doc_id is a long or a string."""
     items = keep_only(benchmark, item_id="long", text="string").where(
         F.col("item_id").isNotNull() & F.col("text").isNotNull()
     )
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = -(-size // index_bytes)
-    named = keep_only(docs, doc_id="long", text="string")
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], LEAKS)
+    text = dict(named.dtypes)["doc_id"] == "string"
+    schema, kind = LEAKS.replace("doc_id long", "doc_id string") if text else LEAKS, pa.string() if text else pa.int64()
+    spark = named.sparkSession
+    out = spark.createDataFrame([], schema)
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         index = Index(sorted((r["item_id"], r["text"]) for r in part.collect()), overlap)
-        found = named.mapInArrow(_leak_rows(spark.sparkContext.broadcast(index)), LEAKS)
+        found = named.mapInArrow(_leak_rows(spark.sparkContext.broadcast(index), kind), schema)
         out = found if k == 0 else out.union(found)
     return out
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap of every item that a document holds."""
+    return _found(keep_only(docs, doc_id="long", text="string"), benchmark, overlap, index_bytes)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8) -> DataFrame:
-    """docs without the rows whose doc_id leaks an item."""
-    leaking = leaks(docs.where("doc_id is not null"), benchmark, overlap).select("doc_id").distinct()
-    return docs.join(leaking, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows whose doc_id leaks an item; rows of a null doc_id are judged by their own text."""
+    names = docs.columns
+    placed = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    doc_id, text = (F.col(f"_{place_of(docs, c)}") for c in ("doc_id", "text"))
+    keyed = placed.withColumn("key", F.coalesce(doc_id.cast("long").cast("string"), F.sha2(text.cast("string"), 256)))
+    leaking = _found(keyed.select(F.col("key").alias("doc_id"), text.cast("string").alias("text")), benchmark, overlap, INDEX_BYTES)
+    kept = keyed.join(leaking.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti")
+    return kept.select(*placed.columns).toDF(*names)

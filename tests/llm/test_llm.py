@@ -60,6 +60,16 @@ def test_columns_that_clash_by_case(spark):
     assert embeddedup.near_duplicates(vectors).first().component_id == 1
 
 
+def test_leaking_rows_of_null_ids_go(spark):
+    """A null id, a repeated one, and columns whose names clash by case."""
+    item = "what is the capital of the land? it is the old town by the river"
+    rows = [(None, "x", 1, f"so {item} they say"), (None, "x", 2, "clean words"), (None, "x", 3, None), (4, "x", 4, item), (4, "x", 5, "clean words"), (5, "x", 6, "clean words")]
+    docs = spark.createDataFrame(rows, "doc_id long, DOC_ID string, n int, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.decontaminate(docs, items)
+    assert kept.columns == docs.columns and sorted(r[2] for r in kept.collect()) == [2, 3, 6]
+
+
 def test_texts_of_one_id_are_one_node(spark):
     docs = spark.createDataFrame([(5, "a b c"), (5, "x y z"), (3, "x y z"), (4, "a b c")], SCHEMA)
     assert {r.component_id for r in simhash.near_duplicates(docs).collect()} == {3}
