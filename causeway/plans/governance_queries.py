@@ -9,6 +9,8 @@ from .calibration_queries import SQL_GAP, reference_assessment
 from .derive import SQL_EVENTS, SQL_GOVERNANCE, approvals, decisions, grants, ledger_events
 
 AT = "2001-12-31 00:00:00"
+#: Order keys that share a pool of ids.
+BLOCK = 500
 
 
 def _at():
@@ -79,7 +81,11 @@ def _grant_commands(s, d):
 
 
 def _approval_commands(s, d):
-    """All requests, then their decisions, then expiries, with commands that must be refused among them."""
+    """All requests, their decisions and expiries, with commands that must be refused among them.
+
+    Before their own decision two thirds of the approvals try one from a pool of decision and grant ids that a block of
+    orders shares, so whether an id is taken hangs on whether those before it were refused.
+    """
     a, x = approvals(s, d), decisions(s, d)
     n, none = F.col("o_orderkey"), F.lit(None).cast("string")
     run = F.concat(F.lit("run:"), (n % 100).cast("string"))
@@ -88,7 +94,13 @@ def _approval_commands(s, d):
     enqueue = a.select((n * 10).alias("seq"), "approval_id", F.lit("enqueue"), run, "expires_at", none, none, instant, none, none)
     again = a.where("o_orderkey % 37 = 0").select((n * 10 + 1).alias("seq"), "approval_id", F.lit("enqueue"), run, "expires_at", none, none, instant, none, none)
     ref = F.when(F.col("decision").isin("approve", "modify") | (n % 41 == 0), F.concat(F.lit("auth:"), n.cast("string")))
-    said = F.when(n % 47 == 0, F.lit("decision:shared")).otherwise(F.col("decision_id"))
+    block = F.floor(n / BLOCK).cast("string")
+    said = F.when(n % 47 == 0, F.concat(F.lit("decision:shared"), block)).otherwise(F.col("decision_id"))
+    pooled = F.concat(F.lit("pool:"), block, F.lit(":"), (n * 7919 % 23).cast("string"))
+    grant = F.when(F.col("decision").isin("approve", "modify"), F.concat(F.lit("pool:"), block, F.lit(":"), (n * 104729 % 19).cast("string")))
+    attempt = x.where("o_orderkey % 3 <> 0 and o_orderkey % 37 <> 0").select(
+        (n * 10 + 1).alias("seq"), "approval_id", F.lit("resolve"), run, instant, pooled, "decision", "decided_at", grant, F.when(grant.isNotNull(), pooled)
+    )
     resolve = x.select(
         (n * 10 + 2).alias("seq"), "approval_id", F.lit("resolve"), F.when(n % 43 == 0, "run:other").otherwise(run), instant, said, "decision", "decided_at", ref,
         F.when(n % 53 == 0, "decision:other").otherwise(said),
@@ -97,7 +109,7 @@ def _approval_commands(s, d):
     expire = a.select((n * 10 + 4).alias("seq"), "approval_id", F.lit("expire"), none, instant, none, none, F.when(n % 4 == 0, F.col("requested_at")).otherwise(_at()), none, none)
     second = x.where("o_orderkey % 6 = 0").select((n * 10 + 5).alias("seq"), "approval_id", F.lit("resolve"), run, instant, F.concat(F.lit("second:"), "decision_id"), "decision", "decided_at", none, none)
     out = enqueue.toDF(*names)
-    for part in (again, resolve, stray, expire, second):
+    for part in (again, attempt, resolve, stray, expire, second):
         out = out.union(part.toDF(*names))
     return out
 
@@ -172,22 +184,32 @@ fold_v AS (SELECT 0 AS i, authority_ref, NULL::BIGINT AS seq, NULL::VARCHAR AS k
   FROM (SELECT s.*, f.state, f.uses, CASE WHEN s.max_uses IS NULL THEN 'unknown_authority' WHEN s.kind = 'revoke' THEN CASE WHEN s.revocable THEN 'accepted' ELSE 'not_revocable' END
       WHEN f.state <> 'active' OR f.uses >= s.max_uses THEN 'authority_not_active' WHEN s.instant > s.expires_at THEN 'authority_expired' WHEN NOT list_contains(s.scope, s.action) THEN 'scope_mismatch'
       WHEN s.target <> s.g_target THEN 'target_mismatch' ELSE 'accepted' END AS outcome FROM fold_v f JOIN step_v s ON s.authority_ref = f.authority_ref AND s.i = f.i + 1))"""
+#: Approvals as a state machine, step by step within a block of orders, whose ids no other block has.
 _QUEUE = f"""{SQL_GOVERNANCE},
 log_v AS (SELECT o_orderkey * 10 AS seq, approval_id, 'enqueue' AS kind, 'run:' || o_orderkey % 100 AS run, expires_at, NULL AS decision_id, NULL AS decision, NULL::TIMESTAMP AS instant, NULL AS ref, NULL AS gd FROM approvals_v
   UNION ALL SELECT o_orderkey * 10 + 1, approval_id, 'enqueue', 'run:' || o_orderkey % 100, expires_at, NULL, NULL, NULL, NULL, NULL FROM approvals_v WHERE o_orderkey % 37 = 0
-  UNION ALL SELECT o_orderkey * 10 + 2, approval_id, 'resolve', CASE WHEN o_orderkey % 43 = 0 THEN 'run:other' ELSE 'run:' || o_orderkey % 100 END, NULL, CASE WHEN o_orderkey % 47 = 0 THEN 'decision:shared' ELSE decision_id END, decision, decided_at,
-    CASE WHEN decision IN ('approve', 'modify') OR o_orderkey % 41 = 0 THEN 'auth:' || o_orderkey END, CASE WHEN o_orderkey % 53 = 0 THEN 'decision:other' WHEN o_orderkey % 47 = 0 THEN 'decision:shared' ELSE decision_id END FROM decisions_v
+  UNION ALL SELECT o_orderkey * 10 + 2, approval_id, 'resolve', CASE WHEN o_orderkey % 43 = 0 THEN 'run:other' ELSE 'run:' || o_orderkey % 100 END, NULL, CASE WHEN o_orderkey % 47 = 0 THEN 'decision:shared' || o_orderkey // {BLOCK} ELSE decision_id END, decision, decided_at,
+    CASE WHEN decision IN ('approve', 'modify') OR o_orderkey % 41 = 0 THEN 'auth:' || o_orderkey END, CASE WHEN o_orderkey % 53 = 0 THEN 'decision:other' WHEN o_orderkey % 47 = 0 THEN 'decision:shared' || o_orderkey // {BLOCK} ELSE decision_id END FROM decisions_v
+  UNION ALL SELECT o_orderkey * 10 + 1, approval_id, 'resolve', 'run:' || o_orderkey % 100, NULL, 'pool:' || o_orderkey // {BLOCK} || ':' || o_orderkey * 7919 % 23, decision, decided_at,
+    CASE WHEN decision IN ('approve', 'modify') THEN 'pool:' || o_orderkey // {BLOCK} || ':' || o_orderkey * 104729 % 19 END, CASE WHEN decision IN ('approve', 'modify') THEN 'pool:' || o_orderkey // {BLOCK} || ':' || o_orderkey * 7919 % 23 END
+    FROM decisions_v WHERE o_orderkey % 3 <> 0 AND o_orderkey % 37 <> 0
   UNION ALL SELECT o_orderkey * 10 + 3, 'approval:none' || o_orderkey, 'resolve', 'run:' || o_orderkey % 100, NULL, 'stray:' || decision_id, decision, decided_at, NULL, NULL FROM decisions_v WHERE o_orderkey % 59 = 0
   UNION ALL SELECT o_orderkey * 10 + 4, approval_id, 'expire', NULL, NULL, NULL, NULL, CASE WHEN o_orderkey % 4 = 0 THEN requested_at ELSE TIMESTAMP '{AT}' END, NULL, NULL FROM approvals_v
   UNION ALL SELECT o_orderkey * 10 + 5, approval_id, 'resolve', 'run:' || o_orderkey % 100, NULL, 'second:' || decision_id, decision, decided_at, NULL, NULL FROM decisions_v WHERE o_orderkey % 6 = 0),
 flaw_v AS (SELECT l.*, a.expires_at AS due, a.o_orderkey AS k, CASE WHEN kind = 'resolve' THEN CASE WHEN run <> 'run:' || a.o_orderkey % 100 THEN 'run_mismatch' WHEN instant > a.expires_at THEN 'expired_before_decision'
     WHEN ref IS NOT NULL AND decision NOT IN ('approve', 'modify') THEN 'grant_not_allowed' WHEN ref IS NOT NULL AND gd <> decision_id THEN 'grant_decision_mismatch' END END AS flaw FROM log_v l LEFT JOIN approvals_v a USING (approval_id)),
-shared_v AS (SELECT min(seq) AS s FROM flaw_v WHERE decision_id = 'decision:shared' AND flaw IS NULL),
-turn_v AS (SELECT f.*, CASE WHEN flaw IS NULL AND decision_id = 'decision:shared' AND seq > s THEN 'duplicate_decision_id' END AS twice FROM flaw_v f, shared_v),
-exit_v AS (SELECT approval_id, min(seq) AS out_seq, arg_min(CASE WHEN kind = 'expire' THEN 'expired' ELSE CASE decision WHEN 'approve' THEN 'approved' WHEN 'deny' THEN 'denied' WHEN 'modify' THEN 'modified' WHEN 'defer' THEN 'deferred' ELSE 'cancelled' END END, seq) AS status
-  FROM turn_v WHERE k IS NOT NULL AND ((kind = 'resolve' AND flaw IS NULL AND twice IS NULL) OR (kind = 'expire' AND instant >= due)) GROUP BY approval_id),
-queue_v AS (SELECT seq, t.approval_id, kind, decision_id, ref, CASE WHEN kind = 'enqueue' THEN CASE WHEN seq % 10 = 1 THEN 'duplicate_approval_id' ELSE 'accepted' END WHEN k IS NULL THEN 'unknown_approval' WHEN out_seq < seq THEN 'not_pending'
-  WHEN kind = 'resolve' THEN coalesce(flaw, twice, 'accepted') WHEN instant < due THEN 'not_due' ELSE 'accepted' END AS outcome, CASE WHEN k IS NULL THEN NULL WHEN out_seq <= seq THEN e.status ELSE 'pending' END AS status FROM turn_v t LEFT JOIN exit_v e USING (approval_id))"""
+cmds_v AS (SELECT *, seq // 10 // {BLOCK} AS blk, row_number() OVER (PARTITION BY seq // 10 // {BLOCK} ORDER BY seq) AS i FROM flaw_v),
+queue_f AS (SELECT 0::BIGINT AS i, blk, NULL::BIGINT AS seq, NULL::VARCHAR AS approval_id, NULL::VARCHAR AS kind, NULL::VARCHAR AS decision_id, NULL::VARCHAR AS ref, NULL::VARCHAR AS outcome, NULL::VARCHAR AS status,
+    NULL::VARCHAR AS cur, NULL::VARCHAR AS cur_status, []::VARCHAR[] AS ids, []::VARCHAR[] AS refs FROM cmds_v GROUP BY blk
+  UNION ALL SELECT i, blk, seq, approval_id, kind, decision_id, ref, outcome, after, CASE WHEN after IS NULL THEN cur ELSE approval_id END, CASE WHEN after IS NULL THEN cur_status ELSE after END,
+    CASE WHEN outcome = 'accepted' AND kind = 'resolve' THEN list_append(ids, decision_id) ELSE ids END, CASE WHEN outcome = 'accepted' AND kind = 'resolve' AND ref IS NOT NULL THEN list_append(refs, ref) ELSE refs END
+  FROM (SELECT *, CASE WHEN kind = 'enqueue' AND st IS NULL THEN 'pending' WHEN outcome <> 'accepted' OR kind = 'enqueue' THEN st WHEN kind = 'expire' THEN 'expired' ELSE
+      CASE decision WHEN 'approve' THEN 'approved' WHEN 'deny' THEN 'denied' WHEN 'modify' THEN 'modified' WHEN 'defer' THEN 'deferred' ELSE 'cancelled' END END AS after
+    FROM (SELECT *, CASE WHEN kind = 'enqueue' THEN CASE WHEN st IS NULL THEN 'accepted' ELSE 'duplicate_approval_id' END WHEN st IS NULL THEN 'unknown_approval' WHEN st <> 'pending' THEN 'not_pending'
+        WHEN kind = 'expire' THEN CASE WHEN instant >= due THEN 'accepted' ELSE 'not_due' END WHEN flaw IS NOT NULL THEN flaw WHEN list_contains(ids, decision_id) THEN 'duplicate_decision_id'
+        WHEN ref IS NOT NULL AND list_contains(refs, ref) THEN 'duplicate_authority_ref' ELSE 'accepted' END AS outcome
+      FROM (SELECT c.*, f.ids, f.refs, f.cur, f.cur_status, CASE WHEN f.cur = c.approval_id THEN f.cur_status END AS st FROM queue_f f JOIN cmds_v c ON c.blk = f.blk AND c.i = f.i + 1)))),
+queue_v AS (SELECT seq, approval_id, kind, decision_id, ref, outcome, status FROM queue_f WHERE i > 0)"""
 _JOURNAL = f"""{_QUEUE}, {_GRANTS.removeprefix(SQL_GOVERNANCE + ",")},
 journal_v AS (SELECT seq, CASE kind WHEN 'enqueue' THEN 'approval.enqueued' WHEN 'resolve' THEN 'approval.resolved' ELSE 'approval.expired' END AS mutation, approval_id AS object_id FROM queue_v WHERE outcome = 'accepted'
   UNION ALL SELECT seq, 'decision.recorded', decision_id FROM queue_v WHERE outcome = 'accepted' AND kind = 'resolve' UNION ALL SELECT seq, 'authority.granted', ref FROM queue_v WHERE outcome = 'accepted' AND kind = 'resolve' AND ref IS NOT NULL
@@ -221,7 +243,7 @@ SELECT approval_id, decision_id, authority_ref, len(r) = 0 AS eligible, array_to
     "queue_expire": f"""WITH {SQL_GOVERNANCE} SELECT a.approval_id, CASE WHEN decision IS NULL AND TIMESTAMP '{AT}' >= a.expires_at THEN 'expired' WHEN decision IS NULL THEN 'pending'
   WHEN decided_at > a.expires_at THEN 'expired' WHEN decision = 'approve' THEN 'approved' WHEN decision = 'modify' THEN 'modified' WHEN decision = 'deny' THEN 'denied'
   WHEN decision = 'defer' THEN 'deferred' ELSE 'cancelled' END AS status FROM approvals_v a LEFT JOIN decisions_v d USING (approval_id)""",
-    "queue_state": f"WITH {_QUEUE} SELECT seq, approval_id, kind, outcome, status FROM queue_v",
+    "queue_state": f"WITH RECURSIVE {_QUEUE} SELECT seq, approval_id, kind, outcome, status FROM queue_v",
     "authority_consumption": f"""WITH RECURSIVE {_GRANTS} SELECT seq, authority_ref, kind, outcome, state, CAST(uses AS BIGINT) AS uses FROM fold_v WHERE i > 0""",
     "journal_state": f"""WITH RECURSIVE {_JOURNAL} SELECT object_id, arg_max(mutation, (seq, mutation)) AS last_mutation, count(*) AS state_version, max(seq) AS changed_at FROM journal_v GROUP BY object_id""",
     "journal_counts": f"""WITH RECURSIVE {_JOURNAL} SELECT mutation, count(*) AS n FROM journal_v GROUP BY mutation""",
