@@ -41,6 +41,8 @@ STEP = 1 << 20
 #: Slots whose counts make one row on the way to the sum.
 ROW_SLOTS = 1 << 15
 SEEDS = 4
+#: Bits of a bitmap for each of its hashes: one in so many other hashes passes, and each that does is a candidate in vain.
+SPARSE = 64
 #: Rows of megabytes: the writer looks at the size of its pages and groups at each row, not first after a hundred.
 WIDE_ROWS = {
     "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size": str(8 << 20),
@@ -255,7 +257,7 @@ class Bitmap:
     """Which hashes are in a set, by their lowest bits; says yes to all of the set, and to some others."""
 
     def __init__(self, hashes: DataFrame, column: str) -> None:
-        self.log = min(MOST_BITS, max(12, math.ceil(math.log2(8 * hashes.count() + 1))))
+        self.log = min(MOST_BITS, max(12, math.ceil(math.log2(SPARSE * hashes.count() + 1))))
         place = F.col(column).bitwiseAND((1 << self.log) - 1)
         rows = hashes.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w"))
         got = rows.agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toArrow()  # at most 2^(log - 6) rows
