@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import calibration_queries, governance_queries, ledger_queries
+from .plans import calibration_queries, contract_queries, governance_queries, ledger_queries
 
-MODULES = (ledger_queries, governance_queries, calibration_queries)
+MODULES = (ledger_queries, governance_queries, calibration_queries, contract_queries)
 
 
 def queries() -> dict:

@@ -7,6 +7,9 @@ each (obs, subject): grids are bounded by their parameters.
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,25 +175,68 @@ def component_motion(surface: DataFrame) -> DataFrame:
     return links.select(F.col("obs").alias("step"), "subject", "component", "next_component", "shared", (out > 1).alias("splits"), (into > 1).alias("merges"))
 
 
-def greedy_matches(crossed: DataFrame) -> DataFrame:
-    """Crossings of one observation matched to the next: always the closest pair left, by L1 distance of their units."""
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["distance", "a_key", "b_key"], kind="stable")
-        used_a, used_b, keep = set(), set(), []
-        for i, a, b in zip(pdf.index, pdf["a_key"], pdf["b_key"], strict=True):
-            if a not in used_a and b not in used_b:
-                used_a.add(a)
-                used_b.add(b)
-                keep.append(i)
-        return pdf.loc[keep, ["step", "subject", "field", "a_key", "b_key", "distance"]]
+def closest_pairs(a: np.ndarray, b: np.ndarray, a_keys: list[str], b_keys: list[str], radius: float = 0.5) -> list[tuple[int, int, float]]:
+    """(row of a, row of b, distance): always the closest pair left by L1 distance to nine decimals, then by the keys of both.
+
+    Pairs within a radius are decided by such pairs alone, so only those are looked for, in the lattice cells around each
+    point; what is still open meets again at twice the radius. Never all pairs at once, but where all are near.
+    """
+    left_a, left_b, out = np.arange(len(a)), np.arange(len(b)), []
+    reach = float(np.abs(a).sum(1).max() + np.abs(b).sum(1).max()) if len(a) and len(b) else 0.0
+    rank_a, rank_b = (np.argsort(np.argsort(np.array(k, object), kind="stable"), kind="stable") for k in (a_keys, b_keys))
+    while len(left_a) and len(left_b) and radius <= 4 * reach + 4:
+        cells_a, cells_b = (np.floor(x[:, : max(1, x.shape[1] - 1)] / radius).astype(np.int64) for x in (a[left_a], b[left_b]))
+        low = np.minimum(cells_a.min(0), cells_b.min(0)) - 1
+        size = np.maximum(cells_a.max(0), cells_b.max(0)) - low + 2
+        step = np.concatenate([np.cumprod(size[::-1])[::-1][1:], [1]])
+        code_b = (cells_b - low) @ step
+        order = np.argsort(code_b, kind="stable")
+        code_b, found = code_b[order], []
+        for move in itertools.product((-1, 0, 1), repeat=cells_a.shape[1]):
+            code = (cells_a - low + np.array(move)) @ step
+            first, last = np.searchsorted(code_b, code), np.searchsorted(code_b, code, side="right")
+            n = last - first
+            i = np.repeat(np.arange(len(code)), n)
+            j = order[np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+            d = np.round(np.abs(b[left_b[j]] - a[left_a[i]]).sum(1), 9)
+            near = d <= radius - 1e-6
+            found.append((left_a[i[near]], left_b[j[near]], d[near]))
+        i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        used_a, used_b = set(), set()
+        for k in np.lexsort((rank_b[j], rank_a[i], d)).tolist():
+            x, y = int(i[k]), int(j[k])
+            if x not in used_a and y not in used_b:
+                used_a.add(x)
+                used_b.add(y)
+                out.append((x, y, float(d[k])))
+        left_a, left_b = (np.array([x for x in left.tolist() if x not in used], np.int64) for left, used in ((left_a, used_a), (left_b, used_b)))
+        radius *= 2
+    return out
 
-    key = F.concat("cell_a", F.lit(">"), "cell_b")
-    a = crossed.select("obs", "subject", "field", key.alias("a_key"), F.col("at").alias("a_at"))
-    b = crossed.select((F.col("obs") - 1).alias("obs"), "subject", "field", key.alias("b_key"), F.col("at").alias("b_at"))
-    distance = F.round(F.aggregate(F.zip_with("a_at", "b_at", lambda x, y: F.abs(y - x)), F.lit(0.0), lambda t, x: t + x), 9)
-    pairs = a.join(b, ["obs", "subject", "field"]).select(F.col("obs").alias("step"), "subject", "field", "a_key", "b_key", distance.alias("distance"))
-    return pairs.groupBy("step", "subject", "field").applyInPandas(
+
+def greedy_matches(crossed: DataFrame) -> DataFrame:
+    """Crossings of one observation matched to the next: always the closest pair left, by L1 distance of their units.
+
+    The points of two observations meet in one task for each (step, subject, field); a grid's size bounds them. Points of one place are
+    points of their own.
+    """
+
+    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = ["step", "subject", "field", "a_key", "b_key", "distance"]
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=names)
+        at = (np.array(x.tolist(), float).reshape(len(x), -1) for x in (a["at"], b["at_b"]))
+        ka, kb = a["key"].tolist(), b["key_b"].tolist()
+        rows = [(a["obs"].iloc[0], a["subject"].iloc[0], a["field"].iloc[0], ka[i], kb[j], d) for i, j, d in closest_pairs(*at, ka, kb)]
+        return pd.DataFrame(rows, columns=names)
+
+    def points(obs: Column, tag: str) -> DataFrame:
+        # the sides of a cogroup come from one table: each needs names of its own
+        key = F.concat("cell_a", F.lit(">"), "cell_b")
+        return crossed.select(*[c.alias(f"{n}{tag}") for n, c in (("obs", obs), ("subject", F.col("subject")), ("field", F.col("field")), ("key", key), ("at", F.col("at")))])
+
+    now, nxt = points(F.col("obs"), ""), points(F.col("obs") - 1, "_b")
+    return now.groupBy("obs", "subject", "field").cogroup(nxt.groupBy("obs_b", "subject_b", "field_b")).applyInPandas(
         match, "step int, subject string, field string, a_key string, b_key string, distance double"
     )
 

@@ -7,11 +7,12 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 from causeway.operators import calibration as cal
 from causeway.operators import geometry as geo
 from causeway.operators import governance as gov
-from causeway.operators import integrity, interop, topology, witness
+from causeway.operators import contracts, integrity, interop, topology, witness
 from causeway.operators import ledger as ledger_ops
 from pyspark.sql import functions as F
 
@@ -399,3 +400,36 @@ def test_witness_nulls_and_schemes(spark):
     body = hashlib.sha256(b'{"label":"x\\"y","meta":{"a":{"c":[],"d":2},"z":1}}').hexdigest()
     assert said["a"] == ("i|5|tai", False) and said["b"] == (f"i|5|tai|{body}", True) and said["c"] == (None, False)
     assert [r.run_id for r in witness.requests(anchor.where("final_chain_digest is null")).collect()] == []
+
+
+def test_closest_pairs_equal_all_pairs():
+    rng = np.random.default_rng(1)
+    for t in range(120):
+        n, m, k = int(rng.integers(0, 25)), int(rng.integers(0, 25)), int(rng.integers(1, 4))
+        a, b = (rng.integers(0, 6, (x, k)) / rng.choice([1, 2, 3]) for x in (n, m))
+        if t % 5 == 0 and n:
+            a = np.repeat(a[:1], n, 0)  # points of one place
+        ka, kb = [f"a{i:03}" for i in range(n)], [f"b{rng.integers(99)}_{i}" for i in range(m)]
+        used_a, used_b, want = set(), set(), []
+        for d, _, _, i, j in sorted((round(float(np.abs(a[i] - b[j]).sum()), 9), ka[i], kb[j], i, j) for i in range(n) for j in range(m)):
+            if i not in used_a and j not in used_b:
+                used_a.add(i)
+                used_b.add(j)
+                want.append((i, j, d))
+        assert sorted(geo.closest_pairs(a, b, ka, kb)) == sorted(want)
+    many = rng.random((10_000, 3)) * 100
+    keys = [str(i) for i in range(len(many))]
+    assert len(geo.closest_pairs(many, many + rng.normal(0, 0.5, many.shape), keys, keys)) == len(many)
+
+
+def test_grids_and_gates(spark):
+    with pytest.raises(ValueError, match="cells"):
+        cal.simplex_grid(spark, list("abcdefgh"), units=40)
+    assert cal.simplex_grid(spark, ["a", "b", "c"], units=2).count() == 0
+    cells = spark.sql("select 's' surface_id, 'autonomy' subject, map('x', 0.25D, 'y', 0.75D) weights union all select 's', 'governance', map('y', 0.75D, 'x', 0.25D)")
+    assert len({(r.n, r.sum1, r.sum2) for r in contracts.grid_signatures(cells).collect()}) == 1
+    rows = [(i, "geometry", b) for i, b in enumerate([None, "", "[1]", "{}", '{"schema_version":null}', '{"schema_version":0.2}', '{"schema_version":"0.2.12"}', '{"schema_version":"0.2.1"}', "nul"])]
+    ok, refused = contracts.gate(spark.createDataFrame([*rows, (9, None, '{"schema_version":"1"}')], "report_id int, kind string, body string"))
+    assert [r.report_id for r in ok.collect()] == [6]
+    want = {0: "malformed_json", 1: "malformed_json", 2: "not_an_object", 3: "schema_version_missing", 4: "schema_version_missing", 5: "schema_version_missing", 7: "schema_version_unsupported", 8: "malformed_json", 9: "unknown_kind"}
+    assert {r.report_id: r.rule for r in refused.collect()} == want
