@@ -54,26 +54,30 @@ def status(raw: Column) -> Column:
     return F.when(word.isin(*ERROR_WORDS), "ERROR").when(word.isin(*OK_WORDS), "OK").otherwise("UNSET")
 
 
+def _given(events: DataFrame, name: str) -> Column:
+    """A column that events may have."""
+    return F.col(name) if name in events.columns else F.lit(None).cast("string")
+
+
 def spans(events: DataFrame) -> DataFrame:
-    """One span for each event; parent_span_id only where there is one parent."""
+    """One span for each event; parent_span_id only where there is one parent.
+
+    Columns that events may have: actor_id (agents and tools are named by it), status (else the last word of the type says it),
+    and trace_id and span_id, which count if they have the right length.
+    """
     op = operation(F.col("event_type"), F.col("actor_type"))
-    last = F.element_at(F.split("event_type", r"\."), -1)
+    actor = _given(events, "actor_id")
+    name = F.when((op != "plan") & (F.coalesce(actor, F.lit("")) != ""), F.concat(op, F.lit(" "), actor)).otherwise(F.coalesce(op, F.col("event_type")))
+    word = _given(events, "status") if "status" in events.columns else F.element_at(F.split("event_type", r"\."), -1)
+    own = span_id(F.col("event_id"), _given(events, "span_id"))
     single = F.when(F.size("parent_seqs") == 1, F.element_at("parent_seqs", 1))
-    parent = events.select(F.col("run_id").alias("_run"), F.col("ledger_seq").alias("_seq"), span_id(F.col("event_id")).alias("parent_span_id"))
-    return (
-        events.withColumn("_parent", single)
-        .join(parent, (F.col("run_id") == F.col("_run")) & (F.col("_parent") == F.col("_seq")), "left")
-        .select(
-            "event_id",
-            F.coalesce(op, F.col("event_type")).alias("name"),
-            F.lit("INTERNAL").alias("span_kind"),
-            trace_id(F.col("run_id")).alias("trace_id"),
-            span_id(F.col("event_id")).alias("span_id"),
-            "parent_span_id",
-            op.alias("operation"),
-            status(last).alias("status"),
-            F.size("parent_seqs").cast("long").alias("parent_count"),
-        )
+    parent = events.select(F.col("run_id").alias("_run"), F.col("ledger_seq").alias("_seq"), own.alias("parent_span_id"))
+    made = events.select(
+        "event_id", name.alias("name"), F.lit("INTERNAL").alias("span_kind"), trace_id(F.col("run_id"), _given(events, "trace_id")).alias("trace_id"), own.alias("span_id"),
+        op.alias("operation"), status(word).alias("status"), F.size("parent_seqs").cast("long").alias("parent_count"), "run_id", single.alias("_parent"),
+    )
+    return made.join(parent, (F.col("run_id") == F.col("_run")) & (F.col("_parent") == F.col("_seq")), "left").select(
+        "event_id", "name", "span_kind", "trace_id", "span_id", "parent_span_id", "operation", "status", "parent_count"
     )
 
 
@@ -90,8 +94,21 @@ def links(events: DataFrame) -> DataFrame:
     )
 
 
+#: Columns that events may have, and the keys of their attributes.
+OPTIONAL = {
+    "actor_id": "actor.id",
+    "branch_id": "branch.id",
+    "parallel_group": "parallel.group",
+    "join_semantics": "join.semantics",
+    "join_quorum": "join.quorum",
+    "token_in": "gen_ai.usage.input_tokens",
+    "token_out": "gen_ai.usage.output_tokens",
+    "reasoning_tokens": "gen_ai.usage.reasoning.output_tokens",
+}
+
+
 def attributes(events: DataFrame) -> DataFrame:
-    """event_id, key, value: the span attributes that are set."""
+    """event_id, key, value: the span attributes that are set, those of OPTIONAL where events have the columns."""
     op = operation(F.col("event_type"), F.col("actor_type"))
     pairs = {
         "event.id": F.col("event_id"),
@@ -102,5 +119,10 @@ def attributes(events: DataFrame) -> DataFrame:
         "actor.type": F.col("actor_type"),
         "gen_ai.operation.name": op,
     }
+    pairs |= {key: F.col(name).cast("string") for name, key in OPTIONAL.items() if name in events.columns}
+    actor = _given(events, "actor_id")
+    if "actor_id" in events.columns:
+        named = F.when(actor != "", actor)
+        pairs |= {"gen_ai.agent.name": F.when(op == "invoke_agent", named), "gen_ai.tool.name": F.when(op == "execute_tool", named)}
     entries = F.map_from_arrays(F.array(*map(F.lit, pairs)), F.array(*pairs.values()))
     return events.select("event_id", F.explode(F.map_filter(entries, lambda _, v: v.isNotNull())).alias("key", "value"))

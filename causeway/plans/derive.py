@@ -73,6 +73,26 @@ def artifact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(read, ["run_id", "ledger_seq"], "left").withColumn("output_refs", made_here)
 
 
+def traced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with actors, tokens, branches, joins, statuses and given trace ids, each missing in some events."""
+    e, s = ledger_events(spark, sf_dir), F.col("ledger_seq")
+    n = F.regexp_extract("event_id", r"(\d+)", 1).cast("long")
+    words = F.array(*map(F.lit, ("OK", "Failed", "denied", "confirmed", "running")))
+    return e.withColumns(
+        {
+            "actor_id": F.when(n % 7 == 0, "").when(n % 5 != 0, F.concat("actor_type", F.lit(":"), (n % 3).cast("string"))),
+            "status": F.when(n % 6 != 0, F.element_at(words, (n % 5 + 1).cast("int"))),
+            "branch_id": F.when(s % 4 == 2, F.concat(F.lit("branch:"), s.cast("string"))),
+            "join_semantics": F.when(s % 4 == 0, "all"),
+            "join_quorum": F.when(s % 8 == 0, 2),
+            "token_in": F.when(F.col("actor_type") == "agent", n % 1000),
+            "token_out": F.when((F.col("actor_type") == "agent") & (n % 2 == 0), n % 100),
+            "trace_id": F.when(n % 9 == 0, F.upper(F.md5("run_id"))).when(n % 9 == 1, "short"),
+            "span_id": F.when(n % 10 == 0, F.substring(F.upper(F.md5("event_id")), 1, 16)),
+        }
+    )
+
+
 def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second ledger: run = conversation, record = the text of a turn."""
     c = table(spark, sf_dir, "conversations")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import integrity, interop, ledger, topology, validation, witness
-from .derive import SQL_EVENTS, SQL_RECORDS, artifact_events, chat_records, ledger_events
+from .derive import SQL_EVENTS, SQL_RECORDS, artifact_events, chat_records, ledger_events, traced_events
 
 PREFIX, SCHEMA_URI = "org.example.ledger", "https://example.org/schemas/event.json"
 
@@ -125,6 +125,8 @@ QUERIES = {
     "replay_state": lambda s, d: ledger.replay_state(ledger_events(s, d)),
     "causal_neighbours": lambda s, d: ledger.neighbours(ledger_events(s, d)),
     "false_completions": lambda s, d: ledger.false_completions(ledger_events(s, d)),
+    "otel_traced_spans": lambda s, d: interop.spans(traced_events(s, d)),
+    "otel_traced_attributes": lambda s, d: interop.attributes(traced_events(s, d)),
     "artifact_lineage": lambda s, d: ledger.artifact_lineage(artifact_events(s, d)),
     "ledger_attempts": _attempts,
     "human_checkpoints": lambda s, d: ledger.human_checkpoints(ledger_events(s, d)),
@@ -146,6 +148,15 @@ chain AS (SELECT run_id, ledger_seq, event_id, d, repeat('0', 64) AS prev,
 _OP = "CASE WHEN event_type LIKE 'plan.%' THEN 'plan' WHEN event_type LIKE 'tool.%' OR actor_type = 'tool' THEN 'execute_tool' WHEN actor_type IN ('agent', 'subagent') THEN 'invoke_agent' END"
 _EFF = "event_type IN ('action.completed', 'validation.completed', 'commit.confirmed', 'human.checkpoint.resolved')"
 
+_TRACED = """
+n_v AS (SELECT *, CAST(regexp_extract(event_id, '(\\d+)', 1) AS BIGINT) AS n FROM events_v),
+traced_v AS (SELECT *, CASE WHEN n % 7 = 0 THEN '' WHEN n % 5 <> 0 THEN actor_type || ':' || n % 3 END AS actor_id, CASE WHEN n % 6 <> 0 THEN ['OK', 'Failed', 'denied', 'confirmed', 'running'][n % 5 + 1] END AS word,
+  CASE WHEN ledger_seq % 4 = 2 THEN 'branch:' || ledger_seq END AS branch, CASE WHEN ledger_seq % 4 = 0 THEN 'all' END AS how, CASE WHEN ledger_seq % 8 = 0 THEN '2' END AS quorum,
+  CASE WHEN actor_type = 'agent' THEN CAST(n % 1000 AS VARCHAR) END AS tin, CASE WHEN actor_type = 'agent' AND n % 2 = 0 THEN CAST(n % 100 AS VARCHAR) END AS tout,
+  CASE WHEN n % 9 = 0 THEN md5(run_id) ELSE sha256(run_id)[1:32] END AS trace, CASE WHEN n % 10 = 0 THEN md5(event_id)[1:16] ELSE sha256(event_id)[1:16] END AS span,
+  """ + _OP + """ AS op FROM n_v),
+parents_v AS (SELECT run_id, child_seq, count(*) AS k, min(parent_seq) AS ps FROM edges_v GROUP BY ALL)"""
+
 ORACLE = {
     "event_checks": f"""WITH {SQL_EVENTS}, x AS (SELECT CAST(regexp_extract(event_id, '(\\d+)', 1) AS BIGINT) AS n, actor_type, machine_runtime_ms AS ms FROM events_v)
 SELECT n, 'event_id_malformed' AS rule FROM x WHERE n % 31 = 0 UNION ALL SELECT n, 'event_type_malformed' FROM x WHERE n % 37 = 0 UNION ALL SELECT n, 'actor_type_missing' FROM x WHERE n % 41 = 0
@@ -169,6 +180,16 @@ i AS (SELECT run_id, child_seq AS s, count(*) AS n FROM edges_v GROUP BY ALL), o
 SELECT e.run_id, e.ledger_seq, e.event_id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) = 0 AS is_root,
   coalesce(o.n, 0) = 0 AS is_leaf, coalesce(o.n, 0) > 1 AS is_branch, coalesce(i.n, 0) > 1 AS is_join
 FROM events_v e LEFT JOIN i ON i.run_id = e.run_id AND i.s = e.ledger_seq LEFT JOIN o ON o.run_id = e.run_id AND o.s = e.ledger_seq""",
+    "otel_traced_spans": f"""WITH {SQL_EVENTS}, {_TRACED}
+SELECT e.event_id, CASE WHEN e.op <> 'plan' AND e.actor_id <> '' THEN e.op || ' ' || e.actor_id ELSE coalesce(e.op, e.event_type) END AS name, 'INTERNAL' AS span_kind, e.trace AS trace_id, e.span AS span_id,
+  CASE WHEN p.k = 1 THEN q.span END AS parent_span_id, e.op AS operation, CASE lower(e.word) WHEN 'failed' THEN 'ERROR' WHEN 'denied' THEN 'ERROR' WHEN 'ok' THEN 'OK' WHEN 'confirmed' THEN 'OK' ELSE 'UNSET' END AS status, coalesce(p.k, 0) AS parent_count
+FROM traced_v e LEFT JOIN parents_v p ON p.run_id = e.run_id AND p.child_seq = e.ledger_seq LEFT JOIN traced_v q ON q.run_id = e.run_id AND q.ledger_seq = p.ps""",
+    "otel_traced_attributes": f"""WITH {SQL_EVENTS}, {_TRACED}, b AS (SELECT e.*, CAST(coalesce(p.k, 0) AS VARCHAR) AS k FROM traced_v e LEFT JOIN parents_v p ON p.run_id = e.run_id AND p.child_seq = e.ledger_seq),
+m AS (SELECT event_id, unnest([{{'key': 'event.id', 'value': event_id}}, {{'key': 'event.type', 'value': event_type}}, {{'key': 'run.id', 'value': run_id}}, {{'key': 'ledger.seq', 'value': CAST(ledger_seq AS VARCHAR)}},
+  {{'key': 'causal.parent.count', 'value': k}}, {{'key': 'actor.type', 'value': actor_type}}, {{'key': 'gen_ai.operation.name', 'value': op}}, {{'key': 'actor.id', 'value': actor_id}}, {{'key': 'branch.id', 'value': branch}},
+  {{'key': 'join.semantics', 'value': how}}, {{'key': 'join.quorum', 'value': quorum}}, {{'key': 'gen_ai.usage.input_tokens', 'value': tin}}, {{'key': 'gen_ai.usage.output_tokens', 'value': tout}},
+  {{'key': 'gen_ai.agent.name', 'value': CASE WHEN op = 'invoke_agent' AND actor_id <> '' THEN actor_id END}}, {{'key': 'gen_ai.tool.name', 'value': CASE WHEN op = 'execute_tool' AND actor_id <> '' THEN actor_id END}}], recursive := true) FROM b)
+SELECT event_id, key, value FROM m WHERE value IS NOT NULL""",
     "artifact_lineage": f"""WITH RECURSIVE {SQL_EVENTS},
 m AS (SELECT run_id, ledger_seq, 'art:' || event_id AS ref FROM events_v WHERE event_type IN ('tool.called', 'action.completed')),
 d AS (SELECT DISTINCT o.ref AS artifact_id, i.ref AS upstream_id FROM edges_v g JOIN m o ON o.run_id = g.run_id AND o.ledger_seq = g.child_seq JOIN m i ON i.run_id = g.run_id AND i.ledger_seq = g.parent_seq),
