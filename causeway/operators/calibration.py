@@ -325,6 +325,32 @@ def bands(values: DataFrame, value: str, keys: Sequence[str], replicates: int, i
     )
 
 
+def comparison_scalars(observed: DataFrame, reference: DataFrame, families: DataFrame, *keys: str) -> DataFrame:
+    """(keys, subject, scalar, value): all numbers that a comparison of two snapshots gives, for each value of the keys, such as replicates.
+
+    observed and reference: (keys, subject, snapshot_id, status, horizon) of the mixtures under each snapshot's own weights and the
+    reference weights; families: the same with family_id, for each family alone. A value that is not supported is null.
+    """
+
+    def sides(mixed: DataFrame, *more: str) -> DataFrame:
+        return deltas(mixed, *keys, "subject", *more).drop("reasons")
+
+    own, ref = sides(observed), sides(reference).toDF(*keys, "subject", "r_base", "r_current", "adjusted")
+    both = own.join(ref, [*keys, "subject"], "full_outer")
+    named = {
+        "observed_base_horizon": F.col("base_horizon"),
+        "observed_current_horizon": F.col("current_horizon"),
+        "observed_mix_delta": F.col("delta"),
+        "reference_base_horizon": F.col("r_base"),
+        "reference_current_horizon": F.col("r_current"),
+        "composition_adjusted_delta": F.col("adjusted"),
+        "composition_residual": F.col("delta") - F.col("adjusted"),
+    }
+    each = F.explode(F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*named.values()))).alias("scalar", "value")
+    family = sides(families, "family_id").select(*keys, "subject", F.concat(F.lit("family_delta:"), "family_id").alias("scalar"), F.col("delta").alias("value"))
+    return both.select(*keys, "subject", each).union(family)
+
+
 def sign_class(lower: Column, upper: Column, supported: Column) -> Column:
     return (
         F.when(~supported, "unsupported")

@@ -152,6 +152,21 @@ def _bands(s, d):
     return rounded(c.bands(mixed.where("rep >= 0"), "delta", ["obs", "subject"], REPLICATES, INTERVAL, MIN_FRACTION))
 
 
+def _scalars(s, d):
+    """Bands of all numbers of the comparison at the first target: horizons, changes, the residual, and each family's change."""
+    point = _points(s, d).withColumn("rep", F.lit(-1)).select("rep", *KEYS, "depth", "trials", "successes")
+    # two mixtures and the families read the curves: they are fitted once
+    curves = cut(c.curves(c.by_replicate(point.union(_resampled(s, d))), "rep", *KEYS))
+    target = s.createDataFrame([TARGETS[0]], "obs int, target double")
+    w = c.observed_weights(_points(s, d), "snapshot_id")
+    own = w.groupBy("snapshot_id", "subject").agg(F.map_from_entries(F.collect_list(F.struct("family_id", "weight"))).alias("weights"))
+    observed = c.mixtures(curves.join(F.broadcast(own), ["snapshot_id", "subject"]), None, target, "rep", "snapshot_id")
+    reference = c.mixtures(curves, _reference(s), target, "rep", "snapshot_id")
+    families = c.horizons(curves.withColumn("target", F.lit(TARGETS[0][1])))
+    values = c.comparison_scalars(observed, reference, families, "rep").where("rep >= 0")
+    return rounded(c.bands(values, "value", ["subject", "scalar"], REPLICATES, INTERVAL, MIN_FRACTION))
+
+
 def surface(s, d, replicates=REPLICATES):
     moved = _deltas(s, d, replicates)
     band = c.bands(moved.where("rep >= 0"), "delta", ["obs", "subject", "cell"], replicates, INTERVAL, MIN_FRACTION)
@@ -209,6 +224,7 @@ QUERIES = {
     "bootstrap_uniform": _uniforms,
     "bootstrap_successes": _resampled,
     "bootstrap_bands": _bands,
+    "bootstrap_scalars": _scalars,
     "simplex_grid": lambda s, d: c.simplex_grid(s, FAMILIES).select("cell", F.array_join(F.transform("units", lambda u: u.cast("string")), ",").alias("units")),
     "mixture_scan": lambda s, d: rounded(_scan(s, d)),
     "sensitivity_range": _sensitivity,
@@ -376,6 +392,16 @@ SELECT subject, {_r('max(adjusted)')} AS adjusted_delta, {_r('count(c - b) / cou
     "bootstrap_successes": f"WITH {SQL_TRIALS}, {_RESAMPLED} SELECT CAST(rep AS INT) AS rep, {_KEYS}, depth, trials, successes FROM boot_v",
     "bootstrap_bands": f"""WITH {SQL_TRIALS}, {_ALL}, {_REF}, {_MIX}, vals_v AS (SELECT obs, subject, coalesce(list_sort(list(delta) FILTER (delta IS NOT NULL)), []) AS v FROM delta_v WHERE rep >= 0 GROUP BY ALL),
 okv AS (SELECT *, len(v) > 0 AND len(v) / {REPLICATES}.0::DOUBLE >= {MIN_FRACTION} AS ok FROM vals_v) SELECT obs, subject, {_band_cols()} FROM okv""",
+    "bootstrap_scalars": f"""WITH o AS (WITH {SQL_TRIALS}, {_ALL}, {_OWN}, {_MIX} SELECT * FROM delta_v WHERE obs = 0), r AS (WITH {SQL_TRIALS}, {_ALL}, {_REF}, {_MIX} SELECT * FROM delta_v WHERE obs = 0),
+h AS (WITH {SQL_TRIALS}, {_ALL}, l AS (SELECT *, lead(fit) OVER w AS q, lead(depth) OVER w AS e FROM fit_v WINDOW w AS (PARTITION BY rep, {_KEYS} ORDER BY depth))
+  SELECT rep, {_KEYS}, CASE WHEN count(*) >= 3 AND sum(trials) >= 10 AND NOT bool_and(fit >= 0.9::DOUBLE) AND NOT bool_and(fit < 0.9::DOUBLE) THEN arg_min(CASE WHEN fit = 0.9::DOUBLE THEN CAST(depth AS DOUBLE)
+    ELSE depth + (fit - 0.9::DOUBLE) / (fit - q) * (e - depth) END, depth) FILTER (fit >= 0.9::DOUBLE AND q < 0.9::DOUBLE) END AS horizon FROM l GROUP BY ALL),
+f AS (SELECT rep, subject, 'family_delta:' || family_id AS scalar, max(horizon) FILTER (snapshot_id = 'current') - max(horizon) FILTER (snapshot_id = 'base') AS value FROM h GROUP BY ALL),
+j AS (SELECT rep, subject, o.base_horizon AS ob, o.current_horizon AS oc, o.delta AS od, r.base_horizon AS rb, r.current_horizon AS rc, r.delta AS rd FROM o FULL JOIN r USING (rep, subject)),
+x AS (SELECT rep, subject, unnest([{{'scalar': 'observed_base_horizon', 'value': ob}}, {{'scalar': 'observed_current_horizon', 'value': oc}}, {{'scalar': 'observed_mix_delta', 'value': od}}, {{'scalar': 'reference_base_horizon', 'value': rb}},
+  {{'scalar': 'reference_current_horizon', 'value': rc}}, {{'scalar': 'composition_adjusted_delta', 'value': rd}}, {{'scalar': 'composition_residual', 'value': od - rd}}], recursive := true) FROM j),
+vals_v AS (SELECT subject, scalar, coalesce(list_sort(list(value) FILTER (value IS NOT NULL)), []) AS v FROM (FROM x UNION ALL FROM f) WHERE rep >= 0 GROUP BY ALL),
+okv AS (SELECT *, len(v) > 0 AND len(v) / {REPLICATES}.0::DOUBLE >= {MIN_FRACTION} AS ok FROM vals_v) SELECT subject, scalar, {_band_cols()} FROM okv""",
     "simplex_grid": f"WITH {_GRID} SELECT cell, a || ',' || n || ',' || r AS units FROM grid_v",
     "mixture_scan": f"WITH {SQL_TRIALS}, {_POINT}, {_FIT}, {_GRIDW}, {_MIX} SELECT obs, cell, subject, {_r('base_horizon')} AS base_horizon, {_r('current_horizon')} AS current_horizon, reasons, {_r('delta')} AS delta FROM delta_v",
     "sensitivity_range": f"""WITH {SQL_TRIALS}, {_POINT}, {_FIT}, {_GRIDW}, {_MIX}, k AS (SELECT *, row_number() OVER (PARTITION BY obs, subject ORDER BY delta, cell) AS lo, row_number() OVER (PARTITION BY obs, subject ORDER BY delta DESC, cell) AS hi FROM delta_v WHERE delta IS NOT NULL)
