@@ -198,6 +198,30 @@ def resample(pts: DataFrame, seed: str, replicates: int) -> DataFrame:
     return fixed.union(drawn)
 
 
+def grid_units(step: float, least: float, n_families: int) -> tuple[int, int]:
+    """(units, least units of a family) of a grid of that step; raises where they do not divide one, or leave no grid."""
+    if not (0 < step < 1 and 0 < least < 1):
+        raise ValueError("the step and the least weight must lie strictly between 0 and 1")
+    units, low = round(1 / step), round(least * round(1 / step))
+    if units < 2 or abs(1 / step - units) > 1e-9:
+        raise ValueError("the step must divide one")
+    if low < 1 or abs(least * units - low) > 1e-9:
+        raise ValueError("the least weight must be a multiple of the step")
+    if low * n_families > units:
+        raise ValueError("the least weight leaves no grid")
+    return units, low
+
+
+def normalized_weights(weights: dict[str, float], families: Sequence[str]) -> dict[str, float]:
+    """Weights of exactly these families, divided by their sum; raises unless all are positive and finite."""
+    if set(weights) != set(families) or not families:
+        raise ValueError("weights must name exactly the families that are compared")
+    if not all(math.isfinite(w) and w > 0 for w in weights.values()):
+        raise ValueError("weights must be positive and finite")
+    total = sum(weights[f] for f in sorted(families))
+    return {f: weights[f] / total for f in sorted(families)}
+
+
 def simplex_grid(spark, families: Sequence[str], units: int = 10, least: int = 1, max_cells: int = 20_000) -> DataFrame:
     """cell, units (array) and weights (map) of all compositions of ``units`` into the families, in lexicographic order.
 

@@ -80,6 +80,13 @@ def components(surface: DataFrame, by_sign: bool = False) -> DataFrame:
     return both.groupBy("obs", "subject", "grp").applyInPandas(label, "obs int, subject string, grp string, cell string, component long")
 
 
+def isolated(surface: DataFrame) -> DataFrame:
+    """Supported cells without a supported neighbour."""
+    near = edges(surface).where("supported_a and supported_b")
+    linked = near.select("obs", "subject", F.col("cell_a").alias("cell")).union(near.select("obs", "subject", "cell_b"))
+    return surface.where("supported").select("obs", "subject", "cell").join(linked, ["obs", "subject", "cell"], "left_anti")
+
+
 def support_boundary(surface: DataFrame) -> DataFrame:
     """Edges with exactly one supported end."""
     return edges(surface).where(F.col("supported_a") != F.col("supported_b")).select("obs", "subject", "cell_a", "cell_b", "supported_a")

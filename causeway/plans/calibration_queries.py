@@ -233,6 +233,7 @@ QUERIES = {
     "surface_edges": _geometry(lambda x: geo.edges(x).select("obs", "subject", "cell_a", "cell_b")),
     "surface_components": _geometry(geo.components),
     "sign_regions": _geometry(lambda x: geo.components(x, by_sign=True)),
+    "surface_isolated": _geometry(geo.isolated),
     "support_boundary": _geometry(geo.support_boundary),
     "sign_boundary": _geometry(geo.sign_boundary),
     "surface_gradients": _geometry(lambda x: rounded(geo.gradients(x))),
@@ -409,6 +410,7 @@ SELECT obs, subject, count(*) AS n_supported, {_r('min(delta)')} AS least, max(c
     "joint_surface": f"WITH {_SURFACE} SELECT * EXCLUDE (a, n, r, supported_replicates) FROM surface_v",
     "surface_summary": f"""WITH {_SURFACE} SELECT obs, subject, count(*) AS n_cells, count(*) FILTER (supported) AS n_supported, count(*) FILTER (sign_class = 'positive_band') AS n_positive_band, count(*) FILTER (sign_class = 'negative_band') AS n_negative_band,
   count(*) FILTER (sign_class = 'zero_band') AS n_zero_band, count(*) FILTER (sign_class = 'crosses_zero') AS n_crosses_zero, {_r('min(upper - lower)')} AS min_width, {_r('max(upper - lower)')} AS max_width FROM surface_v GROUP BY ALL""",
+    "surface_isolated": f"""WITH {_SURFACE} SELECT obs, subject, cell FROM surface_v s WHERE supported AND NOT EXISTS (FROM edge_v e WHERE e.obs = s.obs AND e.subject = s.subject AND (e.cell_a = s.cell OR e.cell_b = s.cell) AND sa AND sb)""",
     "surface_edges": f"WITH {_SURFACE} SELECT obs, subject, cell_a, cell_b FROM edge_v",
     "surface_components": f"WITH RECURSIVE {_SURFACE}, {_comp(False)} SELECT * FROM comp_v",
     "sign_regions": f"WITH RECURSIVE {_SURFACE}, {_comp(True)} SELECT * FROM comp_v",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import authority
 from ..operators import governance as g
 from .calibration_queries import SQL_GAP, reference_assessment
 from .derive import SQL_EVENTS, SQL_GOVERNANCE, approvals, decisions, grants, ledger_events
@@ -123,7 +124,47 @@ def _journal(s, d):
     return g.journal(commands, g.fold_approvals(commands), _folded_grants(s, d))
 
 
+def _logged(f):
+    """f of the commands and their outcomes."""
+
+    def query(s, d):
+        commands = _approval_commands(s, d)
+        return f(commands, g.fold_approvals(commands))
+
+    return query
+
+
+def _receipts(s, d):
+    """Decisions, some given twice, some for an approval that no one asked for."""
+    x, n = decisions(s, d), F.col("o_orderkey")
+    stray = x.where("o_orderkey % 21 = 0").withColumn("approval_id", F.concat(F.lit("approval:none"), n.cast("string")))
+    return x.union(x.where("o_orderkey % 18 = 0")).union(stray)
+
+
+def _grant_rows(s, d):
+    """Grants as they would be asked for, with planted faults."""
+    n, stamp = F.col("o_orderkey"), lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return grants(s, d).select(
+        "authority_ref", F.when(n % 9 != 0, F.col("decision_id")).alias("decision_id"), F.lit("principal").alias("principal"),
+        F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.col("scope")).alias("scope"), "target",
+        F.when(n % 8 == 0, "yesterday").otherwise(stamp(F.col("decided_at"))).alias("issued_at"), stamp(F.col("expires_at")).alias("expires_at"),
+        F.when(n % 7 == 0, 0).otherwise(F.col("max_uses")).alias("max_uses"), F.when(n % 11 != 0, F.col("revocable")).alias("revocable"),
+    )
+
+
+def _stale(s, d):
+    return g.stale_grants(grants(s, d), decisions(s, d), approvals(s, d), _at())
+
+
 QUERIES = {
+    "queue_pending": _logged(authority.pending),
+    "queue_standing": _logged(lambda c, f: authority.standing(c, f).groupBy("status").agg(F.count(F.lit(1)).alias("n"))),
+    "queue_decisions": _logged(lambda c, f: authority.accepted_decisions(c, f).drop("at")),
+    "store_counts": lambda s, d: _logged(lambda c, f: authority.counts(c, f, g.journal(c, f, _folded_grants(s, d))))(s, d),
+    "receipt_faults": lambda s, d: authority.receipt_faults(approvals(s, d), _receipts(s, d)),
+    "grant_makers": lambda s, d: authority.make_grants(_grant_rows(s, d))[1],
+    "oversight_ids": lambda s, d: authority.id_lists(_rows(s, d), _stale(s, d)),
+    "human_time": lambda s, d: authority.human_time(decisions(s, d)),
     "gov_timing": _rows,
     "gov_risk_coverage": lambda s, d: g.risk_coverage(_rows(s, d)),
     "gov_latency": lambda s, d: g.latency(_rows(s, d)),
@@ -215,7 +256,22 @@ journal_v AS (SELECT seq, CASE kind WHEN 'enqueue' THEN 'approval.enqueued' WHEN
   UNION ALL SELECT seq, 'decision.recorded', decision_id FROM queue_v WHERE outcome = 'accepted' AND kind = 'resolve' UNION ALL SELECT seq, 'authority.granted', ref FROM queue_v WHERE outcome = 'accepted' AND kind = 'resolve' AND ref IS NOT NULL
   UNION ALL SELECT seq, CASE kind WHEN 'consume' THEN 'authority.consumed' ELSE 'authority.revoked' END, authority_ref FROM fold_v WHERE outcome = 'accepted' UNION ALL SELECT seq, 'authority.expired', authority_ref FROM fold_v WHERE outcome = 'authority_expired')"""
 
+_STANDING = f"""{_QUEUE}, standing_v AS (SELECT approval_id, arg_max(status, seq) FILTER (status IS NOT NULL) AS status FROM queue_v GROUP BY approval_id),
+taken_v AS (SELECT q.*, l.decision FROM queue_v q JOIN log_v l USING (seq) WHERE q.kind = 'resolve' AND outcome = 'accepted')"""
+
 ORACLE = {
+    "queue_pending": f"WITH RECURSIVE {_STANDING} SELECT approval_id, 'run:' || o_orderkey % 100 AS run_id, expires_at FROM standing_v JOIN approvals_v USING (approval_id) WHERE status = 'pending'",
+    "queue_standing": f"WITH RECURSIVE {_STANDING} SELECT status, count(*) AS n FROM standing_v WHERE status IS NOT NULL GROUP BY status",
+    "queue_decisions": f"WITH RECURSIVE {_STANDING} SELECT decision_id, approval_id, decision, ref AS authority_ref FROM taken_v",
+    "store_counts": f"""WITH RECURSIVE {_JOURNAL}, {_STANDING.removeprefix(_QUEUE + ",")} SELECT 'approvals' AS name, count(*) AS n FROM standing_v WHERE status IS NOT NULL UNION ALL SELECT 'decisions', count(*) FROM taken_v
+  UNION ALL SELECT 'grants', count(ref) FROM taken_v UNION ALL SELECT 'mutations', count(*) FROM journal_v""",
+    "receipt_faults": f"""WITH {SQL_GOVERNANCE} SELECT 'approval:none' || o_orderkey AS approval_id, 'orphan_receipt' AS rule FROM decisions_v WHERE o_orderkey % 21 = 0
+  UNION ALL SELECT approval_id, 'several_receipts' FROM decisions_v WHERE o_orderkey % 18 = 0""",
+    "grant_makers": f"""WITH {SQL_GOVERNANCE} SELECT authority_ref, unnest(list_filter([CASE WHEN o_orderkey % 9 = 0 THEN 'decision_id_missing' END, CASE WHEN o_orderkey % 11 = 0 THEN 'revocable_missing' END,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'scope_empty' END, CASE WHEN o_orderkey % 7 = 0 THEN 'max_uses_too_small' END, CASE WHEN o_orderkey % 8 = 0 THEN 'issued_at_malformed' END], lambda x: x IS NOT NULL)) AS rule FROM grants_v""",
+    "oversight_ids": f"""WITH {_ROWS} SELECT DISTINCT unnest(list_filter([CASE WHEN is_open THEN 'open' END, CASE WHEN is_overdue THEN 'overdue' END, CASE WHEN is_deferred THEN 'deferred' END, CASE WHEN explicit_breach THEN 'explicit_breach' END],
+  lambda x: x IS NOT NULL)) AS list, approval_id AS id FROM rows_v UNION ALL SELECT 'stale_authority', authority_ref FROM stale_v""",
+    "human_time": f"WITH {SQL_GOVERNANCE} SELECT count(*) AS n_receipts, CAST(sum(human_governance_ms) AS BIGINT) AS total_ms, avg(human_governance_ms) AS mean_ms FROM decisions_v",
     "gov_timing": f"WITH {_ROWS} SELECT * FROM rows_v",
     "gov_risk_coverage": f"""WITH {_ROWS}, k(risk_class, rw) AS (VALUES ('low', 1.0::DOUBLE), ('medium', 2.0), ('high', 4.0), ('critical', 8.0))
 SELECT k.risk_class, count(approval_id) AS opportunities, count(*) FILTER (is_effective) AS effective, count(*) FILTER (is_closed) AS closed, count(*) FILTER (is_open) AS open,

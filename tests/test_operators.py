@@ -12,7 +12,7 @@ import pytest
 from causeway.operators import calibration as cal
 from causeway.operators import geometry as geo
 from causeway.operators import governance as gov
-from causeway.operators import contracts, integrity, interop, topology, witness
+from causeway.operators import authority, contracts, integrity, interop, topology, witness
 from causeway.operators import ledger as ledger_ops
 from pyspark.sql import functions as F
 
@@ -433,3 +433,27 @@ def test_grids_and_gates(spark):
     assert [r.report_id for r in ok.collect()] == [6]
     want = {0: "malformed_json", 1: "malformed_json", 2: "not_an_object", 3: "schema_version_missing", 4: "schema_version_missing", 5: "schema_version_missing", 7: "schema_version_unsupported", 8: "malformed_json", 9: "unknown_kind"}
     assert {r.report_id: r.rule for r in refused.collect()} == want
+
+
+def test_records_are_made_or_refused(spark):
+    stamp = "2024-01-01T00:00:00Z"
+    row = dict.fromkeys(authority.REQUEST, "x") | {"risk_class": "high", "options": ["a"], "requested_at": stamp, "expires_at": stamp}
+    bad = [row | {"approval_id": "p"}, row | {"approval_id": "q", "risk_class": "none", "options": []}, row | {"approval_id": "r", "target": None, "expires_at": "soon"}]
+    df = spark.createDataFrame([tuple(x[c] for c in authority.REQUEST) for x in bad], ", ".join(f"{c} {'array<string>' if c == 'options' else 'string'}" for c in authority.REQUEST))
+    made, refused = authority.make_requests(df)
+    assert [(r.approval_id, r.status) for r in made.collect()] == [("p", "pending")]
+    assert {tuple(r) for r in refused.collect()} == {("q", "risk_class_unknown"), ("q", "options_empty"), ("r", "target_missing"), ("r", "expires_at_malformed")}
+    assert {r.rule for r in authority.make_requests(df.drop("options"))[1].where("approval_id = 'p'").collect()} == {"options_missing"}
+    receipt = spark.createDataFrame([("d", "a", "r", "p", "approve", "o", stamp, 1, -1), ("e", "a", "r", "p", "maybe", "o", stamp, 1, 1)], "decision_id string, approval_id string, run_id string, principal string, decision string, selected_option string, decided_at string, human_active_ms long, human_governance_ms long")
+    assert {tuple(r) for r in authority.make_receipts(receipt)[1].collect()} == {("d", "human_time_negative"), ("e", "decision_unknown")}
+
+
+def test_grid_units_and_weights():
+    assert cal.grid_units(0.1, 0.1, 3) == (10, 1) and cal.grid_units(0.05, 0.1, 4) == (20, 2)
+    for step, least, n in ((0.3, 0.3, 2), (0.1, 0.15, 2), (0.1, 0.4, 3), (1.0, 0.1, 2), (0.1, 0.0, 2)):
+        with pytest.raises(ValueError):
+            cal.grid_units(step, least, n)
+    assert cal.normalized_weights({"b": 1, "a": 3}, ["a", "b"]) == {"a": 0.75, "b": 0.25}
+    for weights in ({"a": 1}, {"a": 1, "b": 0}, {"a": 1, "b": float("nan")}, {}):
+        with pytest.raises(ValueError):
+            cal.normalized_weights(weights, ["a", "b"])
