@@ -41,6 +41,8 @@ STEP = 1 << 20
 #: Slots whose counts make one row on the way to the sum.
 ROW_SLOTS = 1 << 15
 SEEDS = 4
+#: Keys of candidates that a task holds before it sends them on.
+HELD = 1 << 18
 #: Bits of a bitmap for each of its hashes: one in so many other hashes passes, and each that does is a candidate in vain.
 SPARSE = 64
 #: Rows of megabytes: the writer looks at the size of its pages and groups at each row, not first after a hundred.
@@ -342,12 +344,9 @@ def _found(shared, log_slices: int):
                 keys = _unique(np.concatenate([_keys(h, pairs, 2), _keys(h, triples, 3)]))
                 held.append(np.concatenate([np.full((len(keys), 1), code).view(U), keys], 1))
                 n += len(keys)
-                if n >= 1 << 20:
-                    held = [_unique(np.concatenate(held))]
-                    n = len(held[0])
-                    if n >= 1 << 19:
-                        yield packed()
-                        held, n = [], 0
+                if n >= HELD:
+                    yield packed()
+                    held, n = [], 0
         if n:
             yield packed()
 
