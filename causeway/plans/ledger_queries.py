@@ -161,8 +161,9 @@ ORACLE = {
     "event_checks": f"""WITH {SQL_EVENTS}, x AS (SELECT CAST(regexp_extract(event_id, '(\\d+)', 1) AS BIGINT) AS n, actor_type, machine_runtime_ms AS ms FROM events_v)
 SELECT n, 'event_id_malformed' AS rule FROM x WHERE n % 31 = 0 UNION ALL SELECT n, 'event_type_malformed' FROM x WHERE n % 37 = 0 UNION ALL SELECT n, 'actor_type_missing' FROM x WHERE n % 41 = 0
 UNION ALL SELECT n, 'actor_type_unknown' FROM x WHERE n % 41 <> 0 AND actor_type = 'validator' UNION ALL SELECT n, 'machine_runtime_ms_too_small' FROM x WHERE n % 43 = 0 OR ms < 0""",
-    "witness_match": f"""WITH {SQL_RECORDS}, r AS (SELECT DISTINCT run_id, CAST(regexp_extract(run_id, '(\\d+)', 1) AS BIGINT) % 4 AS m FROM records_v)
-SELECT run_id, CASE m WHEN 3 THEN 'missing_instant_id' WHEN 1 THEN 'digest_mismatch' WHEN 2 THEN 'unsigned' END AS code FROM r""",
+    "witness_match": f"""WITH RECURSIVE {SQL_RECORDS}, {_CHAIN}, a AS (SELECT run_id, 'sha256:' || arg_max(cur, ledger_seq) AS h, CAST(regexp_extract(run_id, '(\\d+)', 1) AS BIGINT) % 4 AS m FROM chain GROUP BY run_id),
+w AS (SELECT run_id, CASE m WHEN 1 THEN 'other' ELSE h END AS digest, CASE WHEN m <> 2 THEN 'signature' END AS sig FROM a WHERE m <> 3)
+SELECT a.run_id, CASE WHEN w.run_id IS NULL THEN 'missing_instant_id' WHEN digest IS DISTINCT FROM h THEN 'digest_mismatch' WHEN sig IS NULL THEN 'unsigned' END AS code FROM a LEFT JOIN w USING (run_id)""",
     "ledger_validate": f"""WITH {SQL_EVENTS},
 f AS (SELECT *, CAST(regexp_extract(event_id, '(\\d+)', 1) AS BIGINT) AS n FROM events_v),
 x AS (SELECT run_id, ledger_seq, CASE WHEN n % 83 = 0 AND ledger_seq > 1 THEN 'evt_twice_' || run_id ELSE event_id END AS event_id, n FROM f),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from causeway.operators import validation as v
-from causeway.sources import jsonl
+from causeway.sources import journal, jsonl
 from causeway.streaming import live
 
 
@@ -84,3 +84,33 @@ def test_json_keys_are_sorted_at_all_depths(spark, tmp_path):
     df = spark.sql("select named_struct('z', 1, 'a', named_struct('d', cast(null as int), 'c', array(named_struct('y', 2, 'x', 'é')))) b, 3 a")
     jsonl.write_jsonl(df, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first().value == '{"a":3,"b":{"a":{"c":[{"x":"é","y":2}],"d":null},"z":1}}'
+
+
+def test_journal_has_each_batch_once(spark, tmp_path):
+    path = str(tmp_path / "journal")
+    one = spark.createDataFrame([(1, "approval.enqueued", "a"), (2, "approval.enqueued", "b")], journal.ENTRY)
+    two = spark.createDataFrame([(3, "approval.resolved", "a"), (3, "decision.recorded", "d")], journal.ENTRY)
+    assert journal.read(spark, path).count() == 0 and journal.manifest(spark, path).count() == 0
+    assert journal.append(one, path, 0) and journal.append(two, path, 1)
+    before = [tuple(r) for r in journal.listing(spark, path).collect()]
+    assert not journal.append(one, path, 0) and not journal.append(one, path, 1)  # a replay, and a batch id with other entries
+    assert [tuple(r) for r in journal.listing(spark, path).collect()] == before
+    # a writer that died before the manifest named its batch
+    one.write.parquet(f"{path}/entries/batch=2")
+    assert [tuple(r) for r in journal.listing(spark, path).collect()] == before
+    assert journal.append(spark.createDataFrame([(4, "approval.expired", "b")], journal.ENTRY), path, 2)
+    assert journal.append(one.limit(0), path, 3)
+    assert {(r.object_id, r.last_mutation, r.state_version) for r in journal.state(spark, path).collect()} == {("a", "approval.resolved", 2), ("b", "approval.expired", 2), ("d", "decision.recorded", 1)}
+    assert sorted((r.batch, r.n, r.last_seq) for r in journal.manifest(spark, path).collect()) == [(0, 2, 2), (1, 2, 3), (2, 1, 4), (3, 0, None)]
+
+
+def test_journal_of_a_replayed_stream(spark, tmp_path):
+    """Without a checkpoint a restarted stream replays its batches under their ids: the journal does not change."""
+    rows = [(i, "approval.enqueued", f"a{i}") for i in range(6)]
+    spark.createDataFrame(rows, journal.ENTRY).repartition(3).write.parquet(str(tmp_path / "in"))
+    path = str(tmp_path / "journal")
+    for run in range(2):
+        stream = spark.readStream.schema(journal.ENTRY).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = stream.writeStream.foreachBatch(journal.sink(path)).option("checkpointLocation", str(tmp_path / f"c{run}")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted((r.seq, r.mutation, r.object_id) for r in journal.read(spark, path).collect()) == rows
