@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import keyed_uniform, lerp_quantile, sign_of, wilson
+from .validation import check
 
 TOLERANCE = 1e-12
 
@@ -25,6 +26,16 @@ def points(evidence: DataFrame, *keys: str) -> DataFrame:
     return sound.groupBy(*keys, "depth").agg(F.sum("trials").alias("trials"), F.sum("successes").alias("successes"))
 
 
+def evidence_violations(evidence: DataFrame, *keys: str) -> DataFrame:
+    """(keys, depth, rule) of the rows that ``points`` leaves out: no depth, no trials, or successes that are not among the trials."""
+    rules = [
+        ("depth_missing", F.col("depth").isNull()),
+        ("trials_not_positive", ~F.coalesce(F.col("trials") > 0, F.lit(False))),
+        ("successes_out_of_range", ~F.coalesce(F.col("successes").between(F.lit(0), F.col("trials")), F.lit(False))),
+    ]
+    return check(evidence.withColumn("row", F.struct(*keys, "depth")), "row", rules).select("row.*", "rule")
+
+
 def intervals(pts: DataFrame, confidence: float) -> DataFrame:
     low, high = wilson(F.col("successes"), F.col("trials"), confidence)
     rate = F.col("successes").cast("double") / F.col("trials").cast("double")

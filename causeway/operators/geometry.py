@@ -172,6 +172,22 @@ def sign_migration(surface: DataFrame) -> DataFrame:
     return both.groupBy("step", "subject", "from_class", "to_class").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The classes that a supported cell can have.
+CLASSES = ("positive_band", "negative_band", "crosses_zero", "zero_band")
+
+
+def class_turnover(surface: DataFrame) -> DataFrame:
+    """Cells that each step gains or loses, and those that stay in their class or change it, for all four classes, zeros included."""
+    now = surface.select((F.col("obs") - 1).alias("obs"), "subject", "cell", F.col("supported").alias("now"), F.col("sign_class").alias("to_class"))
+    both = surface.select("obs", "subject", "cell", F.col("supported").alias("was"), F.col("sign_class").alias("from_class")).join(now, ["obs", "subject", "cell"])
+    each = both.withColumn("class", F.explode(F.array(*map(F.lit, CLASSES))))
+    before, after = F.col("was") & (F.col("from_class") == F.col("class")), F.col("now") & (F.col("to_class") == F.col("class"))
+    return each.groupBy(F.col("obs").alias("step"), "subject", "class").agg(
+        F.count_if(~F.col("was") & after).alias("gained"), F.count_if(before & ~F.col("now")).alias("lost"),
+        F.count_if(before & after).alias("kept"), F.count_if(before & F.col("now") & ~after).alias("left"),
+    )
+
+
 def component_motion(surface: DataFrame) -> DataFrame:
     """Cells shared by each component and each of the next observation, and whether it splits or merges."""
     c = components(surface).select("obs", "subject", "cell", "component")

@@ -373,7 +373,7 @@ def fold_grants(grants: DataFrame, commands: DataFrame) -> DataFrame:
         return F.coalesce(F.count_if(cond).over(over), F.lit(0))
 
     rows = rows.withColumns(
-        {"used": so_far(good, before), "stopped": so_far(late | revokes, before), "revoked": so_far(revokes, upto), "lates": so_far(late, upto)}
+        {"used": so_far(good, before), "stopped": so_far(late | revokes, before), "revoked": so_far(revokes, upto)}
     )
     active = (F.col("state0") == "active") & (F.col("stopped") == 0) & (F.col("uses0") + F.col("used") < F.col("max_uses"))
     outcome = first_code(

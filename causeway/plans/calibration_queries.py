@@ -152,6 +152,14 @@ def _bands(s, d):
     return rounded(c.bands(mixed.where("rep >= 0"), "delta", ["obs", "subject"], REPLICATES, INTERVAL, MIN_FRACTION))
 
 
+def _faulty_trials(s, d):
+    """The trials, with more successes than trials or no trials at some depths."""
+    depth = F.col("depth")
+    return trials(s, d).withColumns(
+        {"successes": F.when(depth % 4 == 0, F.col("trials") + 1).otherwise(F.col("successes")), "trials": F.when(depth % 5 == 0, 0).otherwise(F.col("trials"))}
+    )
+
+
 def _scalars(s, d):
     """Bands of all numbers of the comparison at the first target: horizons, changes, the residual, and each family's change."""
     point = _points(s, d).withColumn("rep", F.lit(-1)).select("rep", *KEYS, "depth", "trials", "successes")
@@ -233,6 +241,8 @@ QUERIES = {
     "surface_edges": _geometry(lambda x: geo.edges(x).select("obs", "subject", "cell_a", "cell_b")),
     "surface_components": _geometry(geo.components),
     "sign_regions": _geometry(lambda x: geo.components(x, by_sign=True)),
+    "evidence_checks": lambda s, d: c.evidence_violations(_faulty_trials(s, d), *KEYS),
+    "class_turnover": _geometry(geo.class_turnover),
     "surface_isolated": _geometry(geo.isolated),
     "support_boundary": _geometry(geo.support_boundary),
     "sign_boundary": _geometry(geo.sign_boundary),
@@ -410,6 +420,11 @@ SELECT obs, subject, count(*) AS n_supported, {_r('min(delta)')} AS least, max(c
     "joint_surface": f"WITH {_SURFACE} SELECT * EXCLUDE (a, n, r, supported_replicates) FROM surface_v",
     "surface_summary": f"""WITH {_SURFACE} SELECT obs, subject, count(*) AS n_cells, count(*) FILTER (supported) AS n_supported, count(*) FILTER (sign_class = 'positive_band') AS n_positive_band, count(*) FILTER (sign_class = 'negative_band') AS n_negative_band,
   count(*) FILTER (sign_class = 'zero_band') AS n_zero_band, count(*) FILTER (sign_class = 'crosses_zero') AS n_crosses_zero, {_r('min(upper - lower)')} AS min_width, {_r('max(upper - lower)')} AS max_width FROM surface_v GROUP BY ALL""",
+    "evidence_checks": f"""WITH {SQL_TRIALS} SELECT {_KEYS}, depth, 'trials_not_positive' AS rule FROM trials_v WHERE depth % 5 = 0
+  UNION ALL SELECT {_KEYS}, depth, 'successes_out_of_range' FROM trials_v WHERE depth % 4 = 0 OR (depth % 5 = 0 AND successes > 0)""",
+    "class_turnover": f"""WITH {_SURFACE} SELECT step, subject, class, count(*) FILTER (NOT was AND now AND to_class = class) AS gained, count(*) FILTER (was AND NOT now AND from_class = class) AS lost,
+  count(*) FILTER (was AND now AND from_class = class AND to_class = class) AS kept, count(*) FILTER (was AND now AND from_class = class AND to_class <> class) AS left
+  FROM step_v, (VALUES ('positive_band'), ('negative_band'), ('crosses_zero'), ('zero_band')) k(class) GROUP BY ALL""",
     "surface_isolated": f"""WITH {_SURFACE} SELECT obs, subject, cell FROM surface_v s WHERE supported AND NOT EXISTS (FROM edge_v e WHERE e.obs = s.obs AND e.subject = s.subject AND (e.cell_a = s.cell OR e.cell_b = s.cell) AND sa AND sb)""",
     "surface_edges": f"WITH {_SURFACE} SELECT obs, subject, cell_a, cell_b FROM edge_v",
     "surface_components": f"WITH RECURSIVE {_SURFACE}, {_comp(False)} SELECT * FROM comp_v",
