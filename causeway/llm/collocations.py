@@ -35,19 +35,19 @@ from .common import Scratch, keep_only, shuffles_released
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes(10 if b in ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Words of a chunk, about; occurrences of a sifting slice, about; bits of a bitmap at most (16 MB).
-CHUNK, SIFTED, MOST_BITS = 1 << 18, 1 << 21, 27
+CHUNK, SIFTED, MOST_BITS = 1 << 19, 1 << 21, 27
 #: Bytes of text that are taken apart at a time.
 STEP = 1 << 20
 #: Slots whose counts make one row on the way to the sum.
 ROW_SLOTS = 1 << 15
 SEEDS = 4
 #: Keys of candidates that a task holds before it sends them on.
-HELD = 1 << 18
+HELD = 1 << 19
 #: Bits of a bitmap for each of its hashes: one in so many other hashes passes, and each that does is a candidate in vain.
 SPARSE = 64
 #: Rows of megabytes: the writer looks at the size of its pages and groups at each row, not first after a hundred.
 WIDE_ROWS = {
-    "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size": str(8 << 20),
+    "compression": "zstd", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size": str(8 << 20),
     "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1",
 }
 KEY = ["h1", "h2", "h3"]
@@ -70,6 +70,25 @@ def mix(h1: np.ndarray, h2: np.ndarray, h3: np.ndarray | None, seed: int = 0) ->
         return x ^ (x >> U(32))
 
 
+#: Bytes of a hash that occurrences are sifted by: fewer bits let more pass, and lose nothing.
+SIFT_BYTES = 6
+
+
+def sift_hash(h1: np.ndarray, h2: np.ndarray, h3: np.ndarray | None) -> np.ndarray:
+    return mix(h1, h2, h3) >> U(64 - 8 * SIFT_BYTES)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The lowest SIFT_BYTES of each, as rows of bytes."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIFT_BYTES]
+
+
+def _widen(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x) // SIFT_BYTES, 8), np.uint8)
+    out[:, :SIFT_BYTES] = x.reshape(-1, SIFT_BYTES)
+    return out.view("<u8").ravel()
+
+
 class PerfectHash:
     """A slot from 0 on for each distinct key of three words, none left over; keys are stored by slot and verified.
 
@@ -198,9 +217,9 @@ def _as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _sliced(hashes: np.ndarray, log_slices: int) -> list[tuple[int, slice]]:
+def _sliced(hashes: np.ndarray, log_slices: int, bits: int = 64) -> list[tuple[int, slice]]:
     """Where each slice, the highest bits of a hash, lies in sorted hashes."""
-    ends = np.searchsorted(hashes >> U(64 - log_slices), np.arange(1 << log_slices, dtype=U), side="right").tolist()
+    ends = np.searchsorted(hashes >> U(bits - log_slices), np.arange(1 << log_slices, dtype=U), side="right").tolist()
     return [(k, slice(a, b)) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
 
 
@@ -226,7 +245,7 @@ def _word_counts(log_slices: int):
         for batch in batches:
             for lang, code, words, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "code", "words", "word_hashes", "counts")), strict=True):
                 h = np.frombuffer(hashes, U)
-                told = np.array([_hash(lang.encode(), w, 1 << 32) for w in words.split(b"\n")] if len(h) else [], U)
+                told = np.array([_hash(lang.encode(), w, 1 << 32) & 0xFFFFFFFF for w in words.split(b"\n")] if len(h) else [], "<u4")
                 order = np.argsort(h)
                 h = h[order]
                 yield _packed(_sliced(h, log_slices), h=h, told=told[order], counts=np.frombuffer(counts, "<u4")[order], code=np.full(len(h), code, np.int64))
@@ -238,7 +257,7 @@ def _frequent(least: int):
     """Frequent words, and those that share a hash: meets says which."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, told, counts, code in _gathered(batches, "<u8", "<u8", "<u4", "<i8"):
+        for h, told, counts, code in _gathered(batches, "<u8", "<u4", "<u4", "<i8"):
             order = np.lexsort((told, h))
             h, told, code = h[order], told[order], code[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -279,14 +298,14 @@ def _grams(h: np.ndarray, filters: list[Bitmap]) -> list[np.ndarray]:
     pair = good[:-2] & good[1:-1]
     at = np.flatnonzero(pair)
     if len(filters) > 1:
-        at = at[filters[1].has(mix(h[at], h[at + 1], None))]
+        at = at[filters[1].has(sift_hash(h[at], h[at + 1], None))]
     out.append(at)
     if len(filters) > 1:
         passed = np.zeros(len(h) + 1, bool)
         passed[at] = True
         at = np.flatnonzero(passed[:-1] & passed[1:])
         if len(filters) > 2:
-            at = at[filters[2].has(mix(h[at], h[at + 1], h[at + 2]))]
+            at = at[filters[2].has(sift_hash(h[at], h[at + 1], h[at + 2]))]
         out.append(at)
     return out
 
@@ -300,16 +319,16 @@ def _routed(shared, log_slices: int):
             for raw in batch.column("hashes"):
                 h = np.frombuffer(raw.as_buffer(), U)
                 at = _grams(h, filters)[-1]
-                m, n = np.unique(mix(h[at], h[at + 1], h[at + 2] if len(filters) > 1 else None), return_counts=True)
-                yield _packed(_sliced(m, log_slices), hashes=m, counts=n.astype("<u4"))
+                m, n = np.unique(sift_hash(h[at], h[at + 1], h[at + 2] if len(filters) > 1 else None), return_counts=True)
+                yield _packed(_sliced(m, log_slices, 8 * SIFT_BYTES), hashes=_narrow(m), counts=n.astype("<u4"))
 
     return run
 
 
 def _sifted(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for m, n in _gathered(batches, "<u8", "<u4"):
-            hashes, at = np.unique(m, return_inverse=True)
+        for m, n in _gathered(batches, "u1", "<u4"):
+            hashes, at = np.unique(_widen(m), return_inverse=True)
             yield pa.RecordBatch.from_arrays([_as_long(hashes[np.bincount(at, n) >= least])], ["m"])
 
     return run
