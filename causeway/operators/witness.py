@@ -49,8 +49,8 @@ def signed_strings(witnessed: DataFrame) -> DataFrame:
     witnessed: run_id, instant_id, unix_ns and reference_timescale as text, label, meta (JSON text) and signed_fields.
     """
     bound = F.col("signed_fields") == SIGNED_FIELDS_WITH_PAYLOAD
-    label = F.coalesce(F.to_json(F.struct(F.col("label").alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("label").alias("x")))) - 6), F.lit("null"))
-    label = F.when(F.col("label").isNull(), "null").otherwise(label)
+    listed = F.to_json(F.array("label"))  # ["..."], or [null]
+    label = listed.substr(F.lit(2), F.length(listed) - 2)
     payload = canonical_json(F.concat(F.lit('{"label":'), label, F.lit(',"meta":'), F.coalesce("meta", F.lit("null")), F.lit("}")))
     plain = F.concat(F.col("instant_id"), F.lit("|"), F.col("unix_ns"), F.lit("|"), F.col("reference_timescale"))
     text = F.when(F.col("signed_fields") == SIGNED_FIELDS_PLAIN, plain).when(bound, F.concat(plain, F.lit("|"), F.sha2(payload, 256)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import keyed_uniform, sign_of, z_value
+from ..functions.expr import keyed_uniform, z_value
 from ..functions.lineage import cut
 from ..operators import calibration as c
 from ..operators import geometry as geo
