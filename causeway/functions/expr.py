@@ -30,6 +30,14 @@ def keyed_uniform(*labels: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def uniform_bar(rate: Column) -> Column:
+    """Thirteen hex digits that the SHA-256 of the labels, as hex, lies below if their keyed_uniform is less than rate (0 <= rate < 1).
+
+    Digests need not become numbers: rate * 2^52 is exact, and whole numbers are below it if they are below its ceiling.
+    """
+    return F.lower(F.lpad(F.hex(F.ceil(rate * F.lit(float(1 << 52))).cast("long")), 13, "0"))
+
+
 def z_value(confidence: float) -> float:
     """The two-sided normal quantile; confidence strictly between 0 and 1."""
     if not 0 < confidence < 1:

@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import keyed_uniform, lerp_quantile, sign_of, wilson
+from ..functions.expr import lerp_quantile, sign_of, uniform_bar, wilson
+from ..functions.lineage import cut
 from .validation import check
 
 TOLERANCE = 1e-12
@@ -191,20 +192,28 @@ def resample(pts: DataFrame, seed: str, replicates: int) -> DataFrame:
     or always succeed need no draws.
     """
     keys = ["snapshot_id", "family_id", "subject", "depth"]
-    rate = F.col("successes").cast("double") / F.col("trials").cast("double")
     spark = pts.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    reps = pts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # points do not grow with the data and are read three times: written once, with a number that is cheaper to group draws by
+    numbered = cut(pts.select(F.monotonically_increasing_id().alias("point"), *keys, "trials", "successes"))
+    reps = numbered.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     fixed = reps.where("successes = 0 or successes = trials").select("rep", *keys, "trials", "successes")
-    u = keyed_uniform(F.lit(seed), *[F.col(c).cast("string") for c in ("snapshot_id", "rep", "family_id", "subject", "depth", "attempt")])
-    # points do not grow with the data, draws do: replicates and runs of draws are dealt out before any is made
-    drawn = (
+    labels = F.concat_ws("\x1f", F.lit(seed), *[F.col(c).cast("string") for c in ("snapshot_id", "rep", "family_id", "subject", "depth")])
+    rate = F.col("successes").cast("double") / F.col("trials").cast("double")
+    # draws do grow: replicates and runs of draws are dealt out before any is made
+    dealt = (
         reps.where("successes > 0 and successes < trials")
         .withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trials") - 1, F.lit(DRAWS).cast("long"))))
-        .repartition(4 * tasks, "rep", *keys, "start")
-        .withColumn("attempt", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + DRAWS, F.col("trials")) - 1)))
-        .groupBy("rep", *keys)
-        .agg(F.max("trials").alias("trials"), F.count_if(u < rate).alias("successes"))
+        .select("rep", "point", "start", F.least(F.col("start") + DRAWS, F.col("trials")).alias("end"), labels.alias("labels"), uniform_bar(rate).alias("bar"))
+        .repartition(4 * tasks, "rep", "point", "start")
+    )
+    below = F.sha2(F.concat("labels", F.lit("\x1f"), F.col("attempt").cast("string")), 256) < F.col("bar")
+    drawn = (
+        dealt.select("rep", "point", "labels", "bar", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("attempt"))
+        .groupBy("rep", "point")
+        .agg(F.count_if(below).alias("successes"))
+        .join(F.broadcast(numbered.drop("successes")), "point")
+        .select("rep", *keys, "trials", "successes")
     )
     return fixed.union(drawn)
 

@@ -112,10 +112,15 @@ def _resampled(s, d, replicates=REPLICATES):
     return c.resample(_points(s, d), SEED, replicates)
 
 
+def _replicate_curves(pts, replicates=REPLICATES):
+    """Curves of the point estimate (rep -1) and of every replicate."""
+    point = pts.select(F.lit(-1).alias("rep"), *KEYS, "depth", "trials", "successes")
+    return c.curves(c.by_replicate(point.union(c.resample(pts, SEED, replicates))), "rep", *KEYS)
+
+
 def _deltas(s, d, replicates=REPLICATES):
     """Change of every replicate (-1: the point estimate), observation and grid cell: one plan over a widened key."""
-    point = _points(s, d).withColumn("rep", F.lit(-1)).select("rep", *KEYS, "depth", "trials", "successes")
-    curves = c.curves(c.by_replicate(point.union(_resampled(s, d, replicates))), "rep", *KEYS)
+    curves = _replicate_curves(cut(_points(s, d)), replicates)
     grid = c.simplex_grid(s, FAMILIES).select("cell", "weights")
     return c.deltas(c.mixtures(curves, grid, _targets(s), "rep", "snapshot_id"), "rep", "obs", "cell", "subject")
 
@@ -146,8 +151,7 @@ def _sensitivity(s, d):
 
 def _bands(s, d):
     """Bands of the change under the reference weights."""
-    point = _points(s, d).withColumn("rep", F.lit(-1)).select("rep", *KEYS, "depth", "trials", "successes")
-    curves = c.curves(c.by_replicate(point.union(_resampled(s, d))), "rep", *KEYS)
+    curves = _replicate_curves(cut(_points(s, d)))
     mixed = c.deltas(c.mixtures(curves, _reference(s), _targets(s), "rep", "snapshot_id"), "rep", "obs", "subject")
     return rounded(c.bands(mixed.where("rep >= 0"), "delta", ["obs", "subject"], REPLICATES, INTERVAL, MIN_FRACTION))
 
@@ -162,11 +166,11 @@ def _faulty_trials(s, d):
 
 def _scalars(s, d):
     """Bands of all numbers of the comparison at the first target: horizons, changes, the residual, and each family's change."""
-    point = _points(s, d).withColumn("rep", F.lit(-1)).select("rep", *KEYS, "depth", "trials", "successes")
+    pts = cut(_points(s, d))
     # two mixtures and the families read the curves: they are fitted once
-    curves = cut(c.curves(c.by_replicate(point.union(_resampled(s, d))), "rep", *KEYS))
+    curves = cut(_replicate_curves(pts))
     target = s.createDataFrame([TARGETS[0]], "obs int, target double")
-    w = c.observed_weights(_points(s, d), "snapshot_id")
+    w = c.observed_weights(pts, "snapshot_id")
     own = w.groupBy("snapshot_id", "subject").agg(F.map_from_entries(F.collect_list(F.struct("family_id", "weight"))).alias("weights"))
     observed = c.mixtures(curves.join(F.broadcast(own), ["snapshot_id", "subject"]), None, target, "rep", "snapshot_id")
     reference = c.mixtures(curves, _reference(s), target, "rep", "snapshot_id")

@@ -203,21 +203,22 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_linestatus", "l_returnflag", "l_quantity", "l_discount", "l_tax"
     )
-    li = li.withColumn("subject", F.explode(F.array(F.lit("autonomy"), F.lit("governance"))))
-    extra = F.when(F.col("subject") == "autonomy", F.round(F.col("l_discount") * 100) * 5).otherwise(F.round(F.col("l_tax") * 100) * 7)
     flag, first = F.col("l_returnflag"), F.col("l_linestatus") == "F"
     limit = F.when(flag == "A", 100).when(flag == "N", 125).otherwise(90) + F.when(first, 0).when(flag == "N", 2).when(flag == "A", 8).otherwise(-6)
     depth = F.ceil(F.col("l_quantity") / 5).cast("long")
+    # both subjects have the same lines: they part only when lines are counted
+    extra = {"autonomy": F.round(F.col("l_discount") * 100) * 5, "governance": F.round(F.col("l_tax") * 100) * 7}
     per_supplier = li.groupBy(
         F.when(first, "base").otherwise("current").alias("snapshot_id"),
         flag.alias("family_id"),
-        "subject",
         F.when(flag == "R", F.least(depth, F.lit(7).cast("long"))).otherwise(depth).alias("depth"),
         "l_suppkey",
-    ).agg((F.sum((F.round(F.col("l_quantity") * 2) + extra - limit).cast("long")) <= 0).alias("within"))
-    return per_supplier.groupBy("snapshot_id", "family_id", "subject", "depth").agg(
-        F.count(F.lit(1)).alias("trials"), F.count_if("within").alias("successes")
+    ).agg(*[(F.sum((F.round(F.col("l_quantity") * 2) + x - limit).cast("long")) <= 0).alias(name) for name, x in extra.items()])
+    counted = per_supplier.groupBy("snapshot_id", "family_id", "depth").agg(
+        F.count(F.lit(1)).alias("trials"), *[F.count_if(name).alias(name) for name in extra]
     )
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("subject"), F.col(name).alias("successes")) for name in extra])).alias("s")
+    return counted.select("snapshot_id", "family_id", "depth", "trials", each).select("snapshot_id", "family_id", "s.subject", "depth", "trials", "s.successes")
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

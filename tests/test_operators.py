@@ -9,6 +9,7 @@ import random
 
 import numpy as np
 import pytest
+from causeway.functions.expr import keyed_uniform
 from causeway.operators import calibration as cal
 from causeway.operators import geometry as geo
 from causeway.operators import governance as gov
@@ -213,6 +214,20 @@ def test_resampling_does_not_depend_on_partitions(spark):
     assert cal.resample(pts, "t", 4).exceptAll(a).count() > 0
 
 
+def test_draws_are_judged_as_digests_and_points_are_read_once(spark, tmp_path):
+    """Counts are those of keyed uniforms below the rate, for rates from one in ten thousand to all but one; the source is not read again for them."""
+    rows = [("base", "A", None, k, n, x) for k, (n, x) in enumerate([(10_000, 1), (10_000, 9_999), (3, 1), (64, 32), (7, 0), (7, 7)], 1)]
+    pts = spark.createDataFrame(rows, "snapshot_id string, family_id string, subject string, depth long, trials long, successes long")
+    pts.write.parquet(f"{tmp_path}/points")
+    got = cal.resample(spark.read.parquet(f"{tmp_path}/points"), "s", 3)
+    u = keyed_uniform(F.lit("s"), *[F.col(c).cast("string") for c in ("snapshot_id", "rep", "family_id", "subject", "depth", "attempt")])
+    each = pts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("attempt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trials") - 1)))
+    want = each.groupBy("rep", "depth").agg(F.count_if(u < F.col("successes").cast("double") / F.col("trials").cast("double")).alias("n"))
+    assert {(r.rep, r.depth, r.successes) for r in got.collect()} == {(r.rep, r.depth, r.n) for r in want.collect()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" not in plan and "parquet" not in plan
+
+
 def test_grid_and_edges(spark):
     grid = cal.simplex_grid(spark, ("x", "y", "z"), units=10, least=1)
     assert grid.count() == 36
