@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .governance import RISK_WEIGHTS, STATUS
+from .governance import RISK_WEIGHTS, STATUS, with_commands
 
 REQUEST = (
     "approval_id", "run_id", "intent_id", "trigger_event_id", "requested_action", "target", "risk_class", "reason", "options", "evidence_refs",
@@ -70,10 +70,11 @@ def receipt_faults(requests: DataFrame, receipts: DataFrame) -> DataFrame:
 
 def standing(commands: DataFrame, folded: DataFrame) -> DataFrame:
     """approval_id, run_id, expires_at and status of each known approval after the whole log; folded: of fold_approvals."""
-    last = folded.where("status is not null").groupBy("approval_id").agg(F.max_by("status", "seq").alias("status"))
-    begun = folded.where("kind = 'enqueue' and outcome = 'accepted'").select("seq")
-    asked = commands.join(begun, "seq").select("approval_id", "run_id", "expires_at")
-    return asked.join(last, "approval_id")
+    begun = F.when((F.col("kind") == "enqueue") & (F.col("outcome") == "accepted"), F.struct("run_id", "expires_at"))
+    last = with_commands(commands, folded.where("status is not null"), "run_id", "expires_at").groupBy("approval_id").agg(
+        F.max(begun).alias("begun"), F.max_by("status", "seq").alias("status")
+    )
+    return last.where("begun is not null").select("approval_id", "begun.run_id", "begun.expires_at", "status")
 
 
 def pending(commands: DataFrame, folded: DataFrame) -> DataFrame:
@@ -83,25 +84,22 @@ def pending(commands: DataFrame, folded: DataFrame) -> DataFrame:
 
 def accepted_decisions(commands: DataFrame, folded: DataFrame) -> DataFrame:
     """Decisions that the log took, by instant and id."""
-    done = folded.where("kind = 'resolve' and outcome = 'accepted'").select("seq")
-    return commands.join(done, "seq").select("decision_id", "approval_id", "decision", "at", "authority_ref").orderBy("at", "decision_id")
+    done = folded.where("kind = 'resolve' and outcome = 'accepted'").drop("status")
+    return with_commands(commands, done, "decision_id", "decision", "at", "authority_ref").select("decision_id", "approval_id", "decision", "at", "authority_ref").orderBy("at", "decision_id")
 
 
 def counts(commands: DataFrame, folded: DataFrame, entries: DataFrame) -> DataFrame:
     """name and n of the four tables that a log leaves: approvals, decisions, grants and mutations."""
-    done = folded.where("kind = 'resolve' and outcome = 'accepted'").select("seq")
-    taken = commands.join(done, "seq")
+    done, kind = with_commands(commands, folded.where("outcome = 'accepted'"), "authority_ref"), F.col("kind")
     kept = {
-        "approvals": folded.where("kind = 'enqueue' and outcome = 'accepted'"),
-        "decisions": taken,
-        "grants": taken.where("authority_ref is not null"),
-        "mutations": entries,
+        "approvals": F.count_if(kind == "enqueue"),
+        "decisions": F.count_if(kind == "resolve"),
+        "grants": F.count_if((kind == "resolve") & F.col("authority_ref").isNotNull()),
     }
-    out = None
-    for name, df in kept.items():
-        row = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
-        out = row if out is None else out.union(row)
-    return out
+    # the log is read once for the three
+    row = done.agg(*[n.alias(name) for name, n in kept.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("n")) for name in kept])).alias("s")
+    return row.select(each).select("s.name", "s.n").union(entries.agg(F.lit("mutations").alias("name"), F.count(F.lit(1)).alias("n")))
 
 
 def id_lists(rows: DataFrame, stale: DataFrame) -> DataFrame:

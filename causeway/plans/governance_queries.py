@@ -92,27 +92,33 @@ def _approval_commands(s, d):
     run = F.concat(F.lit("run:"), (n % 100).cast("string"))
     instant = F.lit(None).cast("timestamp")
     names = ["seq", "approval_id", "kind", "run_id", "expires_at", "decision_id", "decision", "at", "authority_ref", "grant_decision_id"]
-    enqueue = a.select((n * 10).alias("seq"), "approval_id", F.lit("enqueue"), run, "expires_at", none, none, instant, none, none)
-    again = a.where("o_orderkey % 37 = 0").select((n * 10 + 1).alias("seq"), "approval_id", F.lit("enqueue"), run, "expires_at", none, none, instant, none, none)
     ref = F.when(F.col("decision").isin("approve", "modify") | (n % 41 == 0), F.concat(F.lit("auth:"), n.cast("string")))
     block = F.floor(n / BLOCK).cast("string")
     said = F.when(n % 47 == 0, F.concat(F.lit("decision:shared"), block)).otherwise(F.col("decision_id"))
     pooled = F.concat(F.lit("pool:"), block, F.lit(":"), (n * 7919 % 23).cast("string"))
     grant = F.when(F.col("decision").isin("approve", "modify"), F.concat(F.lit("pool:"), block, F.lit(":"), (n * 104729 % 19).cast("string")))
-    attempt = x.where("o_orderkey % 3 <> 0 and o_orderkey % 37 <> 0").select(
-        (n * 10 + 1).alias("seq"), "approval_id", F.lit("resolve"), run, instant, pooled, "decision", "decided_at", grant, F.when(grant.isNotNull(), pooled)
-    )
-    resolve = x.select(
-        (n * 10 + 2).alias("seq"), "approval_id", F.lit("resolve"), F.when(n % 43 == 0, "run:other").otherwise(run), instant, said, "decision", "decided_at", ref,
-        F.when(n % 53 == 0, "decision:other").otherwise(said),
+
+    def told(df, *commands):
+        # requests and decisions are made once, with all their commands
+        made = [F.when(cond, F.struct(*[v.alias(k) for k, v in zip(names, values, strict=True)])) for cond, *values in commands]
+        return df.select(F.explode(F.array_compact(F.array(*made))).alias("c")).select("c.*")
+
+    always, own, decision, decided = F.lit(True), F.col("approval_id"), F.col("decision"), F.col("decided_at")
+    asked = (F.lit("enqueue"), run, F.col("expires_at"), none, none, instant, none, none)
+    return told(
+        a,
+        (always, n * 10, own, *asked),
+        (n % 37 == 0, n * 10 + 1, own, *asked),
+        (always, n * 10 + 4, own, F.lit("expire"), none, instant, none, none, F.when(n % 4 == 0, F.col("requested_at")).otherwise(_at()), none, none),
+    ).union(
+        told(
+            x,
+            ((n % 3 != 0) & (n % 37 != 0), n * 10 + 1, own, F.lit("resolve"), run, instant, pooled, decision, decided, grant, F.when(grant.isNotNull(), pooled)),
+            (always, n * 10 + 2, own, F.lit("resolve"), F.when(n % 43 == 0, "run:other").otherwise(run), instant, said, decision, decided, ref, F.when(n % 53 == 0, "decision:other").otherwise(said)),
+            (n % 59 == 0, n * 10 + 3, F.concat(F.lit("approval:none"), n.cast("string")), F.lit("resolve"), run, instant, F.concat(F.lit("stray:"), "decision_id"), decision, decided, none, none),
+            (n % 6 == 0, n * 10 + 5, own, F.lit("resolve"), run, instant, F.concat(F.lit("second:"), "decision_id"), decision, decided, none, none),
+        )
     )
-    stray = x.where("o_orderkey % 59 = 0").select((n * 10 + 3).alias("seq"), F.concat(F.lit("approval:none"), n.cast("string")), F.lit("resolve"), run, instant, F.concat(F.lit("stray:"), "decision_id"), "decision", "decided_at", none, none)
-    expire = a.select((n * 10 + 4).alias("seq"), "approval_id", F.lit("expire"), none, instant, none, none, F.when(n % 4 == 0, F.col("requested_at")).otherwise(_at()), none, none)
-    second = x.where("o_orderkey % 6 = 0").select((n * 10 + 5).alias("seq"), "approval_id", F.lit("resolve"), run, instant, F.concat(F.lit("second:"), "decision_id"), "decision", "decided_at", none, none)
-    out = enqueue.toDF(*names)
-    for part in (again, attempt, resolve, stray, expire, second):
-        out = out.union(part.toDF(*names))
-    return out
 
 
 def _folded_grants(s, d):
@@ -121,15 +127,15 @@ def _folded_grants(s, d):
 
 def _journal(s, d):
     commands = _approval_commands(s, d)
-    return g.journal(commands, g.fold_approvals(commands), _folded_grants(s, d))
+    return g.journal(commands, g.fold_approvals(commands, "decision_id", "authority_ref"), _folded_grants(s, d))
 
 
-def _logged(f):
-    """f of the commands and their outcomes."""
+def _logged(f, *kept):
+    """f of the commands and their outcomes, with the commands' columns that f reads."""
 
     def query(s, d):
         commands = _approval_commands(s, d)
-        return f(commands, g.fold_approvals(commands))
+        return f(commands, g.fold_approvals(commands, *kept))
 
     return query
 
@@ -157,10 +163,10 @@ def _stale(s, d):
 
 
 QUERIES = {
-    "queue_pending": _logged(authority.pending),
-    "queue_standing": _logged(lambda c, f: authority.standing(c, f).groupBy("status").agg(F.count(F.lit(1)).alias("n"))),
-    "queue_decisions": _logged(lambda c, f: authority.accepted_decisions(c, f).drop("at")),
-    "store_counts": lambda s, d: _logged(lambda c, f: authority.counts(c, f, g.journal(c, f, _folded_grants(s, d))))(s, d),
+    "queue_pending": _logged(authority.pending, "run_id", "expires_at"),
+    "queue_standing": _logged(lambda c, f: authority.standing(c, f).groupBy("status").agg(F.count(F.lit(1)).alias("n")), "run_id", "expires_at"),
+    "queue_decisions": _logged(lambda c, f: authority.accepted_decisions(c, f).drop("at"), "decision_id", "decision", "at", "authority_ref"),
+    "store_counts": lambda s, d: _logged(lambda c, f: authority.counts(c, f, g.journal(c, f, _folded_grants(s, d))), "decision_id", "authority_ref")(s, d),
     "receipt_faults": lambda s, d: authority.receipt_faults(approvals(s, d), _receipts(s, d)),
     "grant_makers": lambda s, d: authority.make_grants(_grant_rows(s, d))[1],
     "oversight_ids": lambda s, d: authority.id_lists(_rows(s, d), _stale(s, d)),

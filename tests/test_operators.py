@@ -472,3 +472,31 @@ def test_grid_units_and_weights():
     for weights in ({"a": 1}, {"a": 1, "b": 0}, {"a": 1, "b": float("nan")}, {}):
         with pytest.raises(ValueError):
             cal.normalized_weights(weights, ["a", "b"])
+
+
+def test_an_expiry_with_a_grant_takes_no_grant_and_kept_columns_spare_a_join(spark):
+    """An expiry that names a grant leaves it to others; outcomes carry their commands' columns, so that a journal reads the log once."""
+    at, end = datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 2)
+    rows = [(2 * k, f"a{k}", "enqueue", "r", end, None, None, None, None, None) for k in (0, 1)]
+    rows += [(1, "a0", "expire", None, None, None, None, end, "g", None), (3, "a1", "resolve", "r", None, "d", "approve", at, "g", "d")]
+    names = "seq long, approval_id string, kind string, run_id string, expires_at timestamp, decision_id string, decision string, at timestamp, authority_ref string, grant_decision_id string"
+    log = spark.createDataFrame(rows, names)
+    folded = gov.fold_approvals(log, "decision_id", "authority_ref")
+    assert {(r.seq, r.outcome, r.status) for r in folded.collect()} == {(0, "accepted", "pending"), (1, "accepted", "expired"), (2, "accepted", "pending"), (3, "accepted", "approved")}
+    none = spark.createDataFrame([], "seq long, authority_ref string, kind string, outcome string")
+    lean, joined = gov.journal(log, folded, none), gov.journal(log, gov.fold_approvals(log), none)
+    assert sorted(map(tuple, lean.collect())) == sorted(map(tuple, joined.collect())) and lean.count() == 6
+    joins = [x._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") for x in (lean, joined)]
+    assert joins[0] < joins[1]
+
+
+def test_a_log_is_moved_by_approval_once_after_its_claims_are_settled(spark):
+    """What is left of the plan when claims are settled deals the commands once and joins nothing."""
+    log = spark.range(40).selectExpr(
+        "id seq", "concat('a', id div 4) approval_id", "if(id % 4 = 0, 'enqueue', 'resolve') kind", "'r' run_id", "timestamp'2024-01-02' expires_at", "concat('d', id % 7) decision_id",
+        "'approve' decision", "timestamp'2024-01-01' at", "concat('g', id % 5) authority_ref", "concat('d', id % 7) grant_decision_id",
+    )
+    folded = gov.fold_approvals(log)
+    assert folded.where("outcome = 'accepted'").count() > 10
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(approval_id") == 1 and "SortMergeJoin [seq" not in plan
