@@ -6,7 +6,7 @@ with a zero between pieces, and the distinct words with their counts. From there
 A phrase is a candidate only if its words and its shorter parts may be frequent. Occurrences of pairs go to slices by hash and
 are sifted there (equal hashes of different pairs only let more pass); pairs that pass, then triples whose two pairs pass, are
 kept as bitmaps of bounded size that never lose a frequent one. The candidates, with the frequent words, get a minimal
-perfect hash with their keys stored by slot. Mappers look up every word, pair and triple, verify the stored key, and
+perfect hash with their keys stored by slot; tasks build it in parts, the driver only passes these on. Mappers look up every word, pair and triple, verify the stored key, and
 bincount the slots into numpy arrays, which are summed as a tree. Frequencies and those of the parts at each cut are then read by slot. Candidates of more than
 ``slice_keys`` go in several slices, a pass each, so that what is broadcast stays bounded.
 
@@ -19,6 +19,7 @@ not read, names that differ from these in case alone included. Without candidate
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ STEP = 1 << 20
 #: Slots whose counts make one row on the way to the sum.
 ROW_SLOTS = 1 << 15
 SEEDS = 4
+#: Keys of a part of a perfect hash, about; binary logarithm of the bits of a piece of a bitmap. A task makes these, and the driver passes them on.
+PART_KEYS, PIECE_BITS = 1 << 16, 20
 #: Keys of candidates that a task holds before it sends them on.
 HELD = 1 << 19
 #: Bits of a bitmap for each of its hashes: one in so many other hashes passes, and each that does is a candidate in vain.
@@ -130,6 +133,9 @@ class PerfectHash:
         word = place >> 6
         return rank[word] + np.bitwise_count(bits[word] & ((U(1) << (place & 63).astype(U)) - U(1)))
 
+    def __len__(self) -> int:
+        return len(self.keys)
+
     def slots(self, h1: np.ndarray, h2: np.ndarray, h3: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 for keys that are not stored."""
         out = np.full(len(h1), -1, np.int64)
@@ -148,6 +154,53 @@ class PerfectHash:
         return out
 
 
+class PartedHash:
+    """Perfect hashes of the parts of the keys, told apart by the highest bits of ``slice_of``; slots go on from part to part."""
+
+    def __init__(self, parts: dict[int, PerfectHash], log_parts: int) -> None:
+        self.log, none = log_parts, PerfectHash(np.zeros((0, 3), U))
+        self.parts = [parts.get(k, none) for k in range(1 << log_parts)]
+        self.starts = np.cumsum([0, *map(len, self.parts)])
+
+    def __len__(self) -> int:
+        return int(self.starts[-1])
+
+    def slots(self, h1: np.ndarray, h2: np.ndarray, h3: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 for keys that are not stored."""
+        part = (slice_of(h1, h2, h3) >> U(SLICE_BITS - self.log)).astype(np.uint16)
+        order, out = np.argsort(part, kind="stable"), np.empty(len(h1), np.int64)
+        ends = np.cumsum(np.bincount(part, minlength=len(self.parts)))
+        for table, start, a, b in zip(self.parts, self.starts.tolist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+            if b > a:
+                at = order[a:b]
+                slot = table.slots(h1[at], h2[at], h3[at])
+                out[at] = np.where(slot >= 0, slot + start, -1)
+        return out
+
+
+def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The perfect hash of each part that came to this task."""
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        part, keys = batch.column("part").to_numpy(), np.stack([batch.column(c).to_numpy().view(U) for c in KEY], 1)
+        for k in np.unique(part).tolist():
+            held.setdefault(k, []).append(keys[part == k])
+    while held:
+        part, keys = held.popitem()
+        keys = np.concatenate(keys)
+        table = pickle.dumps(PerfectHash(keys[np.lexsort(keys.T)]), pickle.HIGHEST_PROTOCOL)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([table], pa.binary())], ["part", "hash"])
+
+
+def perfect_hash(candidates: DataFrame, own: int, slices: int, n: int) -> PartedHash:
+    """Of the keys of one slice, some n in number; each part is built by a task, and the driver never holds their keys apart from that."""
+    log_parts = max(0, math.ceil(math.log2(max(1, n) / PART_KEYS)))
+    mine = candidates.where(F.col("at").bitwiseAND(slices - 1) == own)
+    parts = mine.select(*KEY, F.shiftright("at", SLICE_BITS - log_parts).cast("int").alias("part")).repartition(1 << log_parts, "part")
+    got = parts.mapInArrow(_built, "part int, hash binary").toArrow()
+    return PartedHash({k.as_py(): pickle.loads(x.as_buffer()) for k, x in zip(got.column("part"), got.column("hash"), strict=True)}, log_parts)
+
+
 # -- texts to hashes
 
 
@@ -279,17 +332,37 @@ class Bitmap:
 
     def __init__(self, hashes: DataFrame, column: str) -> None:
         self.log = min(MOST_BITS, max(12, math.ceil(math.log2(SPARSE * hashes.count() + 1))))
-        place = F.col(column).bitwiseAND((1 << self.log) - 1)
-        rows = hashes.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w"))
-        got = rows.agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toArrow()  # at most 2^(log - 6) rows
-        self.bits = np.zeros(1 << (self.log - 6), U)
-        self.bits[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(U)
+        piece = min(self.log, PIECE_BITS)
+        places = hashes.select(F.col(column).bitwiseAND((1 << self.log) - 1).alias("p"))
+        got = places.repartition(F.shiftright("p", piece)).mapInArrow(_pieces(piece), "piece int, bits binary").toArrow()  # at most 2^(log - 3) bytes
+        self.bits = np.zeros((1 << (self.log - piece), 1 << (piece - 6)), U)
+        for k, x in zip(got.column("piece"), got.column("bits"), strict=True):
+            self.bits[k.as_py()] = np.frombuffer(x.as_buffer(), U)
+        self.bits = self.bits.ravel()
 
     def has(self, x: np.ndarray) -> np.ndarray:
         p = x & U((1 << self.log) - 1)
         return (self.bits[(p >> U(6)).astype(np.int64)] >> (p & U(63))) & U(1) == 1
 
 
+def _pieces(piece: int):
+    """The pieces of a bitmap whose places came to this task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            p = np.sort(batch.column(0).to_numpy())
+            for k in np.unique(p >> piece).tolist():
+                a, b = np.searchsorted(p, [k << piece, (k + 1) << piece])
+                at = p[a:b] - (k << piece)
+                bits = held.setdefault(k, np.zeros(1 << (piece - 6), U))
+                np.bitwise_or.at(bits, at >> 6, U(1) << (at & 63).astype(U))
+        for k, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["piece", "bits"])
+
+    return run
+
+
 def _grams(h: np.ndarray, filters: list[Bitmap]) -> list[np.ndarray]:
     """Places of words, pairs and triples that the filters let pass, for as many lengths as there are filters, and one more."""
     good = np.zeros(len(h) + 2, bool)
@@ -314,7 +387,7 @@ def _routed(shared, log_slices: int):
     """Occurrences of the next length to slices of their hashes, each chunk's equal ones as one with a count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = shared.value
+        filters = [x.value for x in shared]
         for batch in batches:
             for raw in batch.column("hashes"):
                 h = np.frombuffer(raw.as_buffer(), U)
@@ -339,16 +412,19 @@ def _unique(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])[: len(keys)]]
 
 
+SLICE_BITS = 31
+
+
 def slice_of(h1: np.ndarray, h2: np.ndarray, h3: np.ndarray) -> np.ndarray:
-    """31 bits that say to which slice of the candidates a key goes, whatever their number."""
-    return mix(h1, h2, h3, 99) & U((1 << 31) - 1)
+    """31 bits: the lowest say to which slice of the candidates a key goes, the highest to which part of it, whatever their number."""
+    return mix(h1, h2, h3, 99) & U((1 << SLICE_BITS) - 1)
 
 
 def _found(shared, log_slices: int):
     """Distinct keys of the pairs and triples of a task that the filters let pass, with the code of their lang, to slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, filters = [], 0, [x.value for x in shared]
 
         def packed() -> pa.RecordBatch:
             keys = _unique(np.concatenate(held))
@@ -359,7 +435,7 @@ def _found(shared, log_slices: int):
         for batch in batches:
             for code, raw in zip(batch.column("code").to_numpy(), batch.column("hashes"), strict=True):
                 h = np.frombuffer(raw.as_buffer(), U)
-                _, pairs, triples = _grams(h, shared.value)
+                _, pairs, triples = _grams(h, filters)
                 keys = _unique(np.concatenate([_keys(h, pairs, 2), _keys(h, triples, 3)]))
                 held.append(np.concatenate([np.full((len(keys), 1), code).view(U), keys], 1))
                 n += len(keys)
@@ -389,12 +465,12 @@ def _keys(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 # -- counts by slot
 
 
-def _counted(filters, slots, own: int, slices: int):
+def _counted(shared, slots, own: int, slices: int):
     """Occurrences by slot of the keys of one slice: words by their counts in a chunk, pairs and triples one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: PerfectHash = slots.value
-        counts = np.zeros(len(table.keys), np.int64)
+        table: PartedHash = slots.value
+        counts, filters = np.zeros(len(table), np.int64), [x.value for x in shared]
 
         def add(weights: np.ndarray | None, *key: np.ndarray) -> None:
             mine = np.flatnonzero(slice_of(*key) & U(slices - 1) == U(own))
@@ -405,10 +481,10 @@ def _counted(filters, slots, own: int, slices: int):
         for batch in batches:
             for raw, words, times in zip(*(batch.column(c) for c in ("hashes", "word_hashes", "counts")), strict=True):
                 h, w = np.frombuffer(raw.as_buffer(), U), np.frombuffer(words.as_py(), U)
-                often = filters.value[0].has(w)
+                often = filters[0].has(w)
                 none = np.zeros(int(often.sum()), U)
                 add(np.frombuffer(times.as_py(), "<u4")[often], w[often], none, none)
-                _, pairs, triples = _grams(h, filters.value)
+                _, pairs, triples = _grams(h, filters)
                 add(None, h[pairs], h[pairs + 1], np.zeros(len(pairs), U))
                 add(None, h[triples], h[triples + 1], h[triples + 2])
         yield from _count_rows({a // ROW_SLOTS: counts[a : a + ROW_SLOTS] for a in range(0, len(counts), ROW_SLOTS)}, TaskContext.get().partitionId())
@@ -534,34 +610,40 @@ def collocations(
     with shuffles_released(spark):
         words, frequent, totals, log_slices = _hash_words(texts, scratch, least, bits)
         totals = scratch.put("totals", totals)
-        filters = [Bitmap(frequent, "h")]
+        shared = [sc.broadcast(Bitmap(frequent, "h"))]
         for _ in range(2):
-            routed = words.select("hashes").mapInArrow(_routed(sc.broadcast(filters), log_slices), "slice int, hashes binary, counts binary")
+            routed = words.select("hashes").mapInArrow(_routed(shared, log_slices), "slice int, hashes binary, counts binary")
             passed = routed.repartition(1 << log_slices, "slice").mapInArrow(_sifted(least), "m long")
-            filters.append(Bitmap(scratch.put(scratch.fresh("passed"), passed), "m"))
+            shared = [*shared, sc.broadcast(Bitmap(scratch.put(scratch.fresh("passed"), passed), "m"))]
             scratch.drop(scratch.made[-1])
-        shared = sc.broadcast(filters)
         found = words.select("code", "hashes").mapInArrow(_found(shared, log_slices), "slice int, code binary, h1 binary, h2 binary, h3 binary")
         phrases = found.repartition(1 << log_slices, "slice").mapInArrow(_distinct, "code long, h1 long, h2 long, h3 long, at long")
         none = F.lit(0).cast("long")
         single = frequent.select("code", F.col("h").alias("h1"), none.alias("h2"), none.alias("h3"), "at")
         candidates = scratch.put("candidates", phrases.union(single))
-        slices = 1 << max(0, math.ceil(math.log2(max(1, candidates.count()) / slice_keys)))
+        n = candidates.count()
+        slices = 1 << max(0, math.ceil(math.log2(max(1, n) / slice_keys)))
         scored = candidates.where("h2 <> 0").select("code", *KEY, *[none.alias(c) for c in READ])
         for k in range(slices):
-            own = candidates.where(F.col("at").bitwiseAND(slices - 1) == k).select(*KEY).toArrow()
-            keys = np.stack([own.column(c).to_numpy().view(U) for c in KEY], 1)
-            slots = sc.broadcast(PerfectHash(keys[np.lexsort(keys.T)]))
-            counts = sc.broadcast(_slot_counts(words, shared, slots, len(keys), k, slices) if len(keys) else np.zeros(0, np.int64))
+            table = perfect_hash(candidates, k, slices, n // slices)
+            size, slots = len(table), sc.broadcast(table)
+            del table
+            counts = sc.broadcast(_slot_counts(words, shared, slots, size, k, slices) if size else np.zeros(0, np.int64))
             scored = scored.mapInArrow(_read(slots, counts), scored.schema)
             if k < slices - 1:
                 scored = scratch.put(scratch.fresh("read"), scored)
-        scored = scratch.put("scored", scored.mapInArrow(_scored(least, scale), "code long, h1 long, h2 long, h3 long, a long, l long, r long, score long"))
+            else:
+                scored = scratch.put("scored", scored.mapInArrow(_scored(least, scale), "code long, h1 long, h2 long, h3 long, a long, l long, r long, score long"))
+            slots.destroy()  # else the driver holds the tables of all slices until it collects garbage
+            counts.destroy()
+        for x in shared:
+            x.destroy()
         scratch.drop("candidates", *[x for x in scratch.made if x.startswith("read")])
         first = scratch.put("first", _first(scored, top, inside))
         wanted = first.select(F.explode(F.array(*KEY)).alias("h")).where("h <> 0").distinct()
-        named = _named(sc.broadcast(Bitmap(wanted, "h")))
-        names = scratch.put("names", words.select("words", "word_hashes").mapInArrow(named, "h long, word string").distinct())
+        sought = sc.broadcast(Bitmap(wanted, "h"))
+        names = scratch.put("names", words.select("words", "word_hashes").mapInArrow(_named(sought), "h long, word string").distinct())
+        sought.destroy()
         scratch.drop("scored", *[x for x in scratch.made if x.startswith("words")])
     each = first.select("*", F.posexplode(F.array(*KEY)).alias("i", "h")).where("h <> 0")
     joined = each.join(names, "h").groupBy("code", *KEY, "a", "l", "r", "score").agg(F.array_sort(F.collect_list(F.struct("i", "word"))).alias("w"))
