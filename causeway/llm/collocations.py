@@ -1,7 +1,7 @@
 """Phrase collocations by a minimal perfect hash over Apriori-safe candidates.
 
-Texts are tokenized once: a written table holds, for chunks of one lang, the 64-bit hashes of lang and word of all words in order,
-with a zero between pieces, and the distinct words with their counts. From there on all is numpy over hashes.
+Texts are tokenized once: a written table holds, for chunks of one lang, the distinct words with their counts and the 64-bit hashes of
+lang and word, and all words in order as numbers of these, with a zero between pieces. From there on all is numpy over hashes.
 
 A phrase is a candidate only if its words and its shorter parts may be frequent. Occurrences of pairs go to slices by hash and
 are sifted there (equal hashes of different pairs only let more pass); pairs that pass, then triples whose two pairs pass, are
@@ -54,7 +54,7 @@ WIDE_ROWS = {
     "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1",
 }
 KEY = ["h1", "h2", "h3"]
-WORDS = "lang string, code long, hashes binary, words binary, word_hashes binary, counts binary, n long"
+WORDS = "lang string, code long, places binary, words binary, word_hashes binary, counts binary, n long"
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 U = np.uint64
@@ -237,9 +237,20 @@ class _Chunk:
 
     def row(self, seed: int, bits: int) -> tuple:
         codes, words, lang = np.concatenate(self.parts), list(self.codes)[2:], self.lang.encode()
-        hashes = np.array([0, 0, *((_hash(lang, w, seed) >> (64 - bits)) or 1 for w in words)], U)
-        counts = np.bincount(codes, minlength=len(hashes))[2:].astype("<u4")
-        return self.lang, _code(lang), hashes[codes].tobytes(), b"\n".join(words), hashes[2:].tobytes(), counts.tobytes(), int(counts.sum())
+        hashes = np.array([(_hash(lang, w, seed) >> (64 - bits)) or 1 for w in words], U)
+        counts = np.bincount(codes, minlength=len(hashes) + 2)[2:].astype("<u4")
+        return self.lang, _code(lang), _placed(codes), b"\n".join(words), hashes.tobytes(), counts.tobytes(), int(counts.sum())
+
+
+def _placed(codes: np.ndarray) -> bytes:
+    """Ends of pieces as 0 and words as numbers from 1 on: the lowest bytes of all, then the second ones and so on, which packs well."""
+    return np.ascontiguousarray(np.maximum(codes - 1, 0).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _in_order(places: pa.Scalar, hashes: pa.Scalar) -> np.ndarray:
+    """The hashes of a chunk's words in order, zero at the end of a piece."""
+    at = np.ascontiguousarray(np.frombuffer(places.as_buffer(), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.concatenate([np.zeros(1, U), np.frombuffer(hashes.as_buffer(), U)])[at]
 
 
 def _hashed(seed: int, bits: int):
@@ -389,8 +400,8 @@ def _routed(shared, log_slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [x.value for x in shared]
         for batch in batches:
-            for raw in batch.column("hashes"):
-                h = np.frombuffer(raw.as_buffer(), U)
+            for places, hashes in zip(batch.column("places"), batch.column("word_hashes"), strict=True):
+                h = _in_order(places, hashes)
                 at = _grams(h, filters)[-1]
                 m, n = np.unique(sift_hash(h[at], h[at + 1], h[at + 2] if len(filters) > 1 else None), return_counts=True)
                 yield _packed(_sliced(m, log_slices, 8 * SIFT_BYTES), hashes=_narrow(m), counts=n.astype("<u4"))
@@ -433,8 +444,8 @@ def _found(shared, log_slices: int):
             return _packed(_sliced(hashes[order], log_slices), **{c: keys[order, i] for i, c in enumerate(["code", *KEY])})
 
         for batch in batches:
-            for code, raw in zip(batch.column("code").to_numpy(), batch.column("hashes"), strict=True):
-                h = np.frombuffer(raw.as_buffer(), U)
+            for code, places, hashes in zip(batch.column("code").to_numpy(), batch.column("places"), batch.column("word_hashes"), strict=True):
+                h = _in_order(places, hashes)
                 _, pairs, triples = _grams(h, filters)
                 keys = _unique(np.concatenate([_keys(h, pairs, 2), _keys(h, triples, 3)]))
                 held.append(np.concatenate([np.full((len(keys), 1), code).view(U), keys], 1))
@@ -479,8 +490,8 @@ def _counted(shared, slots, own: int, slices: int):
             counts[:] += np.bincount(found[here], None if weights is None else weights[mine[here]], len(counts)).astype(np.int64)
 
         for batch in batches:
-            for raw, words, times in zip(*(batch.column(c) for c in ("hashes", "word_hashes", "counts")), strict=True):
-                h, w = np.frombuffer(raw.as_buffer(), U), np.frombuffer(words.as_py(), U)
+            for places, words, times in zip(*(batch.column(c) for c in ("places", "word_hashes", "counts")), strict=True):
+                h, w = _in_order(places, words), np.frombuffer(words.as_buffer(), U)
                 often = filters[0].has(w)
                 none = np.zeros(int(often.sum()), U)
                 add(np.frombuffer(times.as_py(), "<u4")[often], w[often], none, none)
@@ -512,7 +523,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _slot_counts(words: DataFrame, filters, slots, n: int, own: int, slices: int) -> np.ndarray:
     """Counts by slot: arrays of tasks are summed by groups of tasks, then all."""
     schema = "part int, task int, counts binary"
-    rows = words.select("hashes", "word_hashes", "counts").mapInArrow(_counted(filters, slots, own, slices), schema)
+    rows = words.select("places", "word_hashes", "counts").mapInArrow(_counted(filters, slots, own, slices), schema)
     tasks = max(1, rows.rdd.getNumPartitions())
     groups = math.isqrt(tasks - 1) + 1
     parts = -(-n // ROW_SLOTS)
@@ -612,11 +623,11 @@ def collocations(
         totals = scratch.put("totals", totals)
         shared = [sc.broadcast(Bitmap(frequent, "h"))]
         for _ in range(2):
-            routed = words.select("hashes").mapInArrow(_routed(shared, log_slices), "slice int, hashes binary, counts binary")
+            routed = words.select("places", "word_hashes").mapInArrow(_routed(shared, log_slices), "slice int, hashes binary, counts binary")
             passed = routed.repartition(1 << log_slices, "slice").mapInArrow(_sifted(least), "m long")
             shared = [*shared, sc.broadcast(Bitmap(scratch.put(scratch.fresh("passed"), passed), "m"))]
             scratch.drop(scratch.made[-1])
-        found = words.select("code", "hashes").mapInArrow(_found(shared, log_slices), "slice int, code binary, h1 binary, h2 binary, h3 binary")
+        found = words.select("code", "places", "word_hashes").mapInArrow(_found(shared, log_slices), "slice int, code binary, h1 binary, h2 binary, h3 binary")
         phrases = found.repartition(1 << log_slices, "slice").mapInArrow(_distinct, "code long, h1 long, h2 long, h3 long, at long")
         none = F.lit(0).cast("long")
         single = frequent.select("code", F.col("h").alias("h1"), none.alias("h2"), none.alias("h3"), "at")

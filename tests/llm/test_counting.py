@@ -9,9 +9,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from causeway.llm import centroids, collocations, queries, tokencount
+from pyspark.core.broadcast import Broadcast
 
 # 11 -- centroids
 
@@ -145,6 +147,39 @@ def test_perfect_hash():
         collocations.PerfectHash(np.zeros((2, 3), np.uint64))
 
 
+def test_driver_builds_no_table_and_keeps_no_broadcast(spark, monkeypatch):
+    """Keys of candidates are hashed by tasks, in parts; what was sent is given back, of each slice before the next."""
+    built, out, most = [], [], []
+    init, send, destroy = collocations.PerfectHash.__init__, type(spark.sparkContext).broadcast, Broadcast.destroy
+
+    def sent(sc, value):
+        made = send(sc, value)
+        out.append(made)
+        most.append(len(out))
+        return made
+
+    monkeypatch.setattr(collocations, "PART_KEYS", 4)
+    monkeypatch.setattr(collocations.PerfectHash, "__init__", lambda self, keys, *a: (built.append(len(keys)), init(self, keys, *a))[1])
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", sent)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (out.remove(self), destroy(self, *a))[1])
+    rows = [("en", "a b c d. " * 12), ("fr", "a b a. " * 12)]
+    got = {tuple(r) for r in collocations.collocations(spark.createDataFrame(rows, "lang string, text string"), slice_keys=8).collect()}
+    assert got == phrases_by_hand(rows, 10, 2000) and got
+    assert not any(built) and not out and max(most) <= 5
+
+
+def test_words_of_a_chunk_are_numbers_of_its_hashes():
+    chunk = collocations._Chunk("en")
+    chunk.add(b"a b, a  c")
+    for i in range(300):
+        chunk.add(b"w%d" % i)
+    _, _, places, words, hashes, counts, n = chunk.row(0, 64)
+    h = collocations._in_order(pa.scalar(places), pa.scalar(hashes)).tolist()
+    known = {w: collocations._hash(b"en", w, 0) for w in words.split(b"\n")}
+    assert h == [*(known.get(x, 0) for x in (b"a", b"b", b"", b"a", b"c", b"")), *(x for i in range(300) for x in (known[b"w%d" % i], 0))]
+    assert n == 304 and len(places) == 4 * len(h) and set(known) == {b"a", b"b", b"c", *(b"w%d" % i for i in range(300))}
+
+
 # 13 -- token counts
 
 
