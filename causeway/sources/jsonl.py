@@ -47,10 +47,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def record_faults(spark: SparkSession, path: str) -> DataFrame:
     """path, line and code of what keeps a file from being a ledger: blank records by their line, and files without any."""
-    blank = read_records(spark, path).where("is_blank").select("path", "line", F.lit("blank_record").alias("code"))
+    # listings say file:///x where scans say file:/x
+    told = F.regexp_replace("path", r"^(\w[\w+.-]*):///", "$1:/").alias("path")
+    records = read_records(spark, path).select(told, "line", "is_blank")
+    blank = records.where("is_blank").select("path", "line", F.lit("blank_record").alias("code"))
     # scans skip files without bytes, so these are in the listing alone
-    files = spark.createDataFrame([(x,) for x in spark.read.text(path).inputFiles()], "path string")
-    empty = files.join(read_records(spark, path).select("path").distinct(), "path", "left_anti")
+    files = spark.createDataFrame([(x,) for x in spark.read.text(path).inputFiles()], "path string").select(told)
+    empty = files.join(records.select("path").distinct(), "path", "left_anti")
     return blank.union(empty.select("path", F.lit(None).cast("long"), F.lit("empty_ledger")))
 
 

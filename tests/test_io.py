@@ -23,6 +23,16 @@ def test_record_bytes(spark, tmp_path):
     assert [(r.line, bytes(r.record), r.is_blank) for r in rows] == [(1, b"one", False), (2, b"", True), (3, b"three", False)]
 
 
+def test_files_with_lines_are_no_empty_ledgers(spark, tmp_path):
+    """Whatever form a path has in listings and in scans, blanks and signs of the folder's name included."""
+    at = tmp_path / "i n%20é+"
+    at.mkdir()
+    (at / "a.jsonl").write_bytes(b"x\n\ny\n")
+    (at / "c.jsonl").write_bytes(b"")
+    got = sorted((r.path[-7:], r.line, r.code) for r in jsonl.record_faults(spark, str(at)).collect())
+    assert got == [("a.jsonl", 2, "blank_record"), ("c.jsonl", None, "empty_ledger")]
+
+
 def test_rules(spark):
     rows = [("evt_1", "a.b", 1.0), ("x", None, float("nan")), (None, "A", -1.0)]
     df = spark.createDataFrame(rows, "event_id string, event_type string, ms double").withColumnRenamed("ms", "weight")
