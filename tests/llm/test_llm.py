@@ -602,6 +602,38 @@ def test_near_dedup_stage_equals_brute_force_jaccard(spark, sf_dir):
     assert got == sorted(set(group))
 
 
+def test_parities_bound_how_many_hashes_differ():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (3, 900), (64, 65), (128, 128), (700, 640), (5000, 4100)):
+        both = rng.integers(-(1 << 63), 1 << 63, n + m, np.int64)
+        for shared in (0, min(n, m) // 2, min(n, m) - 1):
+            x, y = both[:n], np.concatenate([both[:shared], both[n : n + m - shared]])
+            least = nearcopies.least_apart(nearcopies.parities(x), nearcopies.parities(y))
+            assert least <= n + m - 2 * shared and least == nearcopies.least_apart(nearcopies.parities(y), nearcopies.parities(x))
+    far = rng.integers(-(1 << 63), 1 << 63, (2, 600), np.int64)
+    assert nearcopies.least_apart(*map(nearcopies.parities, far)) > 1200 / 9 and nearcopies.least_apart(*[nearcopies.parities(far[0])] * 2) == 0
+
+
+def test_near_copies_moves_no_texts_for_a_shared_passage(spark, monkeypatch):
+    """Texts that share rare shingles and little else are told apart before their texts move; written pairs are those that link."""
+    rng = np.random.default_rng(6)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    passage, copy = words(12), words(300)
+    docs = spark.createDataFrame([(i, f"{passage} {words(90)}") for i in range(40)] + [(50, copy), (51, f"{copy} end")], "doc_id long, text string")
+    put, pairs = common.Scratch.put, []
+
+    def counted(self, name, df, **options):
+        out = put(self, name, df, **options)
+        if name.startswith("pairs"):
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "put", counted)
+    monkeypatch.setattr(nearcopies, "COMMON_FROM", 1000)  # the passage is not known for common, as where few of its documents are drawn
+    assert {(r.doc_id, r.component_id) for r in nearcopies.near_copies(docs).collect()} == {(50, 50), (51, 50)}
+    assert sum(pairs) == 1
+
+
 def test_stages_take_odd_and_empty_tables(spark, sf_dir):
     import corpus_pipeline as p
 
