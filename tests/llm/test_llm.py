@@ -602,6 +602,19 @@ def test_near_dedup_stage_equals_brute_force_jaccard(spark, sf_dir):
     assert got == sorted(set(group))
 
 
+def test_near_dedup_judges_texts_without_an_id(spark, sf_dir):
+    """They go if a document with an id is in their group, wherever the ids lie, and one text of their own groups stays."""
+    import corpus_pipeline as p
+
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for ids in ([1, 2], [-(1 << 63), (1 << 63) - 1], [5, (1 << 63) - 1]):
+        texts = [(ids[0], a), (None, a), (None, a + " more"), (None, b), (None, b), (None, b.upper()), (ids[1], "alone"), (None, "none like it"), (None, None), (None, "")]
+        given = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], schema)
+        got = [(r.doc_id, (r.text or "").lower()) for r in p.drop_near_duplicates(spark, given, sf_dir).collect()]
+        assert sorted(got, key=str) == sorted([(ids[0], a), (ids[1], "alone"), (None, b), (None, "none like it"), (None, "")], key=str)
+
+
 def test_parities_bound_how_many_hashes_differ():
     rng = np.random.default_rng(5)
     for n, m in ((1, 1), (3, 900), (64, 65), (128, 128), (700, 640), (5000, 4100)):
