@@ -5,10 +5,10 @@ lang and word, and all words in order as numbers of these, with a zero between p
 
 A phrase is a candidate only if its words and its shorter parts may be frequent. Occurrences of pairs go to slices by hash and
 are sifted there (equal hashes of different pairs only let more pass); pairs that pass, then triples whose two pairs pass, are
-kept as bitmaps of bounded size that never lose a frequent one. The candidates, with the frequent words, get a minimal
-perfect hash with their keys stored by slot; tasks build it in parts, the driver only passes these on. Mappers look up every word, pair and triple, verify the stored key, and
-bincount the slots into numpy arrays, which are summed as a tree. Frequencies and those of the parts at each cut are then read by slot. Candidates of more than
-``slice_keys`` go in several slices, a pass each, so that what is broadcast stays bounded.
+kept as bitmaps of bounded size, four bits of one word for each, that never lose a frequent one. The candidates, with the frequent words, get a minimal
+perfect hash; tasks build it in parts, the driver only passes these on. Mappers look up every pair and triple that the bitmaps let pass; as candidates are all
+that these let pass, each has a slot and no key need be stored. The slots are counted in numpy arrays, which are summed as a tree with the words' counts. Frequencies and
+those of the parts at each cut are then read by slot. Candidates of more than ``slice_keys`` go in several slices, a pass each, so that what is broadcast stays bounded.
 
 Distinct words are told apart by a second hash; if two of one lang share the first, all is done anew with another seed.
 
@@ -46,7 +46,7 @@ SEEDS = 4
 PART_KEYS, PIECE_BITS = 1 << 16, 20
 #: Keys of candidates that a task holds before it sends them on.
 HELD = 1 << 19
-#: Bits of a bitmap for each of its hashes: one in so many other hashes passes, and each that does is a candidate in vain.
+#: Bits of a bitmap for each of its hashes, as long as there is room; other hashes that pass are candidates in vain.
 SPARSE = 64
 #: Rows of megabytes: the writer looks at the size of its pages and groups at each row, not first after a hundred.
 WIDE_ROWS = {
@@ -93,15 +93,15 @@ def _widen(x: np.ndarray) -> np.ndarray:
 
 
 class PerfectHash:
-    """A slot from 0 on for each distinct key of three words, none left over; keys are stored by slot and verified.
+    """A slot from 0 on for each distinct key of three words, none left over; keys are stored by slot and verified, if kept.
 
     Level by level, keys that are alone at their place get it, the others go to the next level; ranks are running bit counts.
     Keys are placed by a 64-bit hash under the first seed that gives no two of them the same.
     """
 
-    def __init__(self, keys: np.ndarray, load: float = 2.0, seeds: int = 4) -> None:
+    def __init__(self, keys: np.ndarray, load: float = 2.0, seeds: int = 4, kept: bool = True) -> None:
         self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
-        self.keys = np.zeros((len(keys), 3), U)
+        self.n, self.keys = len(keys), np.zeros((len(keys) if kept else 0, 3), U)
         keys = keys.astype(U)
         for self.seed in range(1, seeds + 1):
             hashes = mix(keys[:, 0], keys[:, 1], keys[:, 2], self.seed)
@@ -118,15 +118,16 @@ class PerfectHash:
             np.bitwise_or.at(bits, place[alone] >> 6, U(1) << (place[alone] & 63).astype(U))
             rank = done + np.concatenate([[0], np.cumsum(np.bitwise_count(bits))[:-1]]).astype(np.int64)
             self.levels.append((size, bits, rank))
-            self.keys[self._slot(bits, rank, place[alone])] = keys[left[alone]]
+            if kept:
+                self.keys[self._slot(bits, rank, place[alone])] = keys[left[alone]]
             done += int(alone.sum())
             left = left[~alone]
 
     @staticmethod
-    def _place(hashes: np.ndarray, level: int, size: int) -> np.ndarray:
+    def _place(hashes: np.ndarray, level: int, size: int | np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             x = (hashes ^ (U(level + 1) * _M[1])) * _M[2]
-            return ((x ^ (x >> U(32))) % U(size)).astype(np.int64)
+            return ((x ^ (x >> U(32))) % np.asarray(size, U)).astype(np.int64)
 
     @staticmethod
     def _slot(bits: np.ndarray, rank: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -134,7 +135,7 @@ class PerfectHash:
         return rank[word] + np.bitwise_count(bits[word] & ((U(1) << (place & 63).astype(U)) - U(1)))
 
     def __len__(self) -> int:
-        return len(self.keys)
+        return self.n
 
     def slots(self, h1: np.ndarray, h2: np.ndarray, h3: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 for keys that are not stored."""
@@ -155,26 +156,46 @@ class PerfectHash:
 
 
 class PartedHash:
-    """Perfect hashes of the parts of the keys, told apart by the highest bits of ``slice_of``; slots go on from part to part."""
+    """Perfect hashes without keys of the parts of all keys, told apart by the highest bits of ``slice_of``; slots go on from part to part.
+
+    The levels of all parts lie behind one another, so that a lookup costs the same for any number of parts.
+    """
 
     def __init__(self, parts: dict[int, PerfectHash], log_parts: int) -> None:
-        self.log, none = log_parts, PerfectHash(np.zeros((0, 3), U))
-        self.parts = [parts.get(k, none) for k in range(1 << log_parts)]
-        self.starts = np.cumsum([0, *map(len, self.parts)])
+        deep = max((len(x.levels) for x in parts.values()), default=0)
+        self.log, self.n, at = log_parts, 0, 1
+        self.seeds = np.ones(1 << log_parts, np.uint8)
+        # a level that a part lacks is the first word, which has no bit
+        self.sizes, self.starts = np.ones((deep, 1 << log_parts), U), np.zeros((deep, 1 << log_parts), np.int64)
+        bits, ranks = [np.zeros(1, U)], [np.zeros(1, np.int64)]
+        for k, x in sorted(parts.items()):
+            self.seeds[k] = x.seed
+            for level, (size, b, rank) in enumerate(x.levels):
+                self.sizes[level, k], self.starts[level, k], at = size, at, at + len(b)
+                bits.append(b)
+                ranks.append(rank + self.n)
+            self.n += len(x)
+        self.bits, self.ranks = np.concatenate(bits), np.concatenate(ranks)
 
     def __len__(self) -> int:
-        return int(self.starts[-1])
-
-    def slots(self, h1: np.ndarray, h2: np.ndarray, h3: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 for keys that are not stored."""
-        part = (slice_of(h1, h2, h3) >> U(SLICE_BITS - self.log)).astype(np.uint16)
-        order, out = np.argsort(part, kind="stable"), np.empty(len(h1), np.int64)
-        ends = np.cumsum(np.bincount(part, minlength=len(self.parts)))
-        for table, start, a, b in zip(self.parts, self.starts.tolist(), [0, *ends.tolist()], ends.tolist(), strict=False):
-            if b > a:
-                at = order[a:b]
-                slot = table.slots(h1[at], h2[at], h3[at])
-                out[at] = np.where(slot >= 0, slot + start, -1)
+        return self.n
+
+    def slots(self, h1: np.ndarray, h2: np.ndarray, h3: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The slot of each key, whose ``slice_of`` is told; other keys than those of the table get any slot or -1."""
+        part, hashes = (place >> U(SLICE_BITS - self.log)).astype(np.int64), mix(h1, h2, h3, 1)
+        for seed in set(self.seeds.tolist()) - {1}:
+            own = np.flatnonzero(self.seeds[part] == seed)
+            hashes[own] = mix(h1[own], h2[own], h3[own], seed)
+        out, todo = np.full(len(h1), -1, np.int64), np.arange(len(h1))
+        for level in range(len(self.sizes)):
+            if not len(todo):
+                break
+            p = part[todo]
+            at = PerfectHash._place(hashes[todo], level, self.sizes[level][p])
+            at += self.starts[level][p] << 6
+            there = (self.bits[at >> 6] >> (at & 63).astype(U)) & U(1) == 1
+            out[todo[there]] = PerfectHash._slot(self.bits, self.ranks, at[there])
+            todo = todo[~there]
         return out
 
 
@@ -188,14 +209,14 @@ def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     while held:
         part, keys = held.popitem()
         keys = np.concatenate(keys)
-        table = pickle.dumps(PerfectHash(keys[np.lexsort(keys.T)]), pickle.HIGHEST_PROTOCOL)
+        table = pickle.dumps(PerfectHash(keys[np.lexsort(keys.T)], 2.0, 4, False), pickle.HIGHEST_PROTOCOL)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([table], pa.binary())], ["part", "hash"])
 
 
 def perfect_hash(candidates: DataFrame, own: int, slices: int, n: int) -> PartedHash:
     """Of the keys of one slice, some n in number; each part is built by a task, and the driver never holds their keys apart from that."""
     log_parts = max(0, math.ceil(math.log2(max(1, n) / PART_KEYS)))
-    mine = candidates.where(F.col("at").bitwiseAND(slices - 1) == own)
+    mine = candidates.where(F.col("at") % slices == own)
     parts = mine.select(*KEY, F.shiftright("at", SLICE_BITS - log_parts).cast("int").alias("part")).repartition(1 << log_parts, "part")
     got = parts.mapInArrow(_built, "part int, hash binary").toArrow()
     return PartedHash({k.as_py(): pickle.loads(x.as_buffer()) for k, x in zip(got.column("part"), got.column("hash"), strict=True)}, log_parts)
@@ -329,7 +350,8 @@ def _frequent(least: int):
             meets = told[first] != told[last]
             kept = (total >= least) | meets
             yield pa.RecordBatch.from_arrays(
-                [pa.array(code[first][kept]), _as_long(h[first][kept]), pa.array(meets[kept]), _as_long(slice_of(h[first][kept], U(0), U(0)))], ["code", "h", "meets", "at"]
+                [pa.array(code[first][kept]), _as_long(h[first][kept]), pa.array(meets[kept]), _as_long(slice_of(h[first][kept], U(0), U(0))), pa.array(total[kept])],
+                ["code", "h", "meets", "at", "total"],
             )
 
     return run
@@ -339,35 +361,44 @@ def _frequent(least: int):
 
 
 class Bitmap:
-    """Which hashes are in a set, by their lowest bits; says yes to all of the set, and to some others."""
+    """Which hashes are in a set, by four bits of one word that their lowest bits choose; says yes to all of the set, and to some others."""
 
     def __init__(self, hashes: DataFrame, column: str) -> None:
         self.log = min(MOST_BITS, max(12, math.ceil(math.log2(SPARSE * hashes.count() + 1))))
         piece = min(self.log, PIECE_BITS)
-        places = hashes.select(F.col(column).bitwiseAND((1 << self.log) - 1).alias("p"))
-        got = places.repartition(F.shiftright("p", piece)).mapInArrow(_pieces(piece), "piece int, bits binary").toArrow()  # at most 2^(log - 3) bytes
+        places = hashes.select(F.col(column).bitwiseAND((1 << (self.log + 18)) - 1).alias("p"))
+        dealt = places.repartition(F.shiftright(F.col("p").bitwiseAND((1 << self.log) - 1), piece))
+        got = dealt.mapInArrow(_pieces(self.log, piece), "piece int, bits binary").toArrow()  # at most 2^(log - 3) bytes
         self.bits = np.zeros((1 << (self.log - piece), 1 << (piece - 6)), U)
         for k, x in zip(got.column("piece"), got.column("bits"), strict=True):
             self.bits[k.as_py()] = np.frombuffer(x.as_buffer(), U)
         self.bits = self.bits.ravel()
 
     def has(self, x: np.ndarray) -> np.ndarray:
-        p = x & U((1 << self.log) - 1)
-        return (self.bits[(p >> U(6)).astype(np.int64)] >> (p & U(63))) & U(1) == 1
+        chosen = _four_bits(x, self.log)
+        return self.bits[((x & U((1 << self.log) - 1)) >> U(6)).astype(np.int64)] & chosen == chosen
+
+
+def _four_bits(x: np.ndarray, log: int) -> np.ndarray:
+    """The bits of its word that a hash has in a bitmap: by its lowest six bits, and three times six from the log-th on."""
+    out = U(1) << (x & U(63))
+    for k in range(3):
+        out |= U(1) << ((x >> U(log + 6 * k)) & U(63))
+    return out
 
 
-def _pieces(piece: int):
+def _pieces(log: int, piece: int):
     """The pieces of a bitmap whose places came to this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            p = np.sort(batch.column(0).to_numpy())
+            x = batch.column(0).to_numpy().view(U)
+            p = (x & U((1 << log) - 1)).astype(np.int64)
             for k in np.unique(p >> piece).tolist():
-                a, b = np.searchsorted(p, [k << piece, (k + 1) << piece])
-                at = p[a:b] - (k << piece)
+                own = p >> piece == k
                 bits = held.setdefault(k, np.zeros(1 << (piece - 6), U))
-                np.bitwise_or.at(bits, at >> 6, U(1) << (at & 63).astype(U))
+                np.bitwise_or.at(bits, (p[own] - (k << piece)) >> 6, _four_bits(x[own], log))
         for k, bits in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["piece", "bits"])
 
@@ -427,7 +458,7 @@ SLICE_BITS = 31
 
 
 def slice_of(h1: np.ndarray, h2: np.ndarray, h3: np.ndarray) -> np.ndarray:
-    """31 bits: the lowest say to which slice of the candidates a key goes, the highest to which part of it, whatever their number."""
+    """31 bits: the remainder says to which slice of the candidates a key goes, the highest ones to which part of it, whatever their number."""
     return mix(h1, h2, h3, 99) & U((1 << SLICE_BITS) - 1)
 
 
@@ -476,71 +507,102 @@ def _keys(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 # -- counts by slot
 
 
+COUNTS = "part int, task int, places binary, counts binary"
+
+
 def _counted(shared, slots, own: int, slices: int):
-    """Occurrences by slot of the keys of one slice: words by their counts in a chunk, pairs and triples one by one."""
+    """Occurrences by slot of the pairs and triples of one slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: PartedHash = slots.value
-        counts, filters = np.zeros(len(table), np.int64), [x.value for x in shared]
+        counts, added, filters = np.zeros(len(table), np.uint32), 0, [x.value for x in shared]
 
-        def add(weights: np.ndarray | None, *key: np.ndarray) -> None:
-            mine = np.flatnonzero(slice_of(*key) & U(slices - 1) == U(own))
-            found = table.slots(*(k[mine] for k in key))
-            here = found >= 0
-            counts[:] += np.bincount(found[here], None if weights is None else weights[mine[here]], len(counts)).astype(np.int64)
+        def add(*key: np.ndarray) -> None:
+            place = slice_of(*key)
+            mine = np.flatnonzero(place % U(slices) == U(own))
+            at = table.slots(*(k[mine] for k in key), place[mine])
+            if (at < 0).any():
+                raise ValueError("a phrase that the bitmaps let pass is no candidate")
+            np.add.at(counts, at, np.uint32(1))
 
         for batch in batches:
-            for places, words, times in zip(*(batch.column(c) for c in ("places", "word_hashes", "counts")), strict=True):
-                h, w = _in_order(places, words), np.frombuffer(words.as_buffer(), U)
-                often = filters[0].has(w)
-                none = np.zeros(int(often.sum()), U)
-                add(np.frombuffer(times.as_py(), "<u4")[often], w[often], none, none)
+            for places, words in zip(batch.column("places"), batch.column("word_hashes"), strict=True):
+                h = _in_order(places, words)
                 _, pairs, triples = _grams(h, filters)
-                add(None, h[pairs], h[pairs + 1], np.zeros(len(pairs), U))
-                add(None, h[triples], h[triples + 1], h[triples + 2])
-        yield from _count_rows({a // ROW_SLOTS: counts[a : a + ROW_SLOTS] for a in range(0, len(counts), ROW_SLOTS)}, TaskContext.get().partitionId())
+                if added + len(pairs) + len(triples) >= 1 << 32:
+                    yield _count_rows(np.arange(len(counts)), counts)
+                    counts[:], added = 0, 0
+                add(h[pairs], h[pairs + 1], np.zeros(len(pairs), U))
+                add(h[triples], h[triples + 1], h[triples + 2])
+                added += len(pairs) + len(triples)
+        yield _count_rows(np.arange(len(counts)), counts)
 
     return run
 
 
-def _count_rows(parts: dict[int, np.ndarray], task: int) -> Iterator[pa.RecordBatch]:
-    part = [k for k, c in parts.items() if c.any()]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(part, pa.int32()), pa.array([task] * len(part), pa.int32()), pa.array([parts[k].astype("<i8").tobytes() for k in part], pa.binary())],
-        ["part", "task", "counts"],
-    )
+def _words_counted(slots):
+    """The counts of words, which are known, by slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, place = (batch.column(c).to_numpy().view(U) for c in ("h", "at"))
+            none = np.zeros(len(h), U)
+            at = slots.value.slots(h, none, none, place)
+            order = np.argsort(at)
+            yield _count_rows(at[order], batch.column("total").to_numpy()[order])
+
+    return run
+
+
+def _count_rows(at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A row for each ROW_SLOTS slots that have counts: which of them, in order, and how many, in as few bytes as hold them."""
+    at, counts = at[counts > 0], counts[counts > 0]
+    parts, first = np.unique(at // ROW_SLOTS, return_index=True)
+    places, each = [], []
+    for a, b in zip(first.tolist(), [*first.tolist()[1:], len(at)], strict=False):
+        places.append((at[a:b] % ROW_SLOTS).astype("<u2").tobytes())
+        each.append(counts[a:b].astype(np.min_scalar_type(int(counts[a:b].max()))).tobytes())
+    task = pa.array([TaskContext.get().partitionId()] * len(parts), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), task, pa.array(places, pa.binary()), pa.array(each, pa.binary())], ["part", "task", "places", "counts"])
+
+
+def _of_row(places: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    at = np.frombuffer(places, "<u2")
+    return at, np.frombuffer(counts, f"<u{len(counts) // max(1, len(at))}").astype(np.int64)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            x = np.frombuffer(counts, "<i8")
-            total[part] = total[part] + x if part in total else x
-    yield from _count_rows(total, 0)
+        for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "places", "counts")), strict=True):
+            at, n = _of_row(*row)
+            total.setdefault(part, np.zeros(ROW_SLOTS, np.int64))[at] += n
+    for part, counts in total.items():
+        yield _count_rows(part * ROW_SLOTS + np.arange(ROW_SLOTS), counts)
 
 
-def _slot_counts(words: DataFrame, filters, slots, n: int, own: int, slices: int) -> np.ndarray:
+def _slot_counts(words: DataFrame, frequent: DataFrame, filters, slots, n: int, own: int, slices: int) -> np.ndarray:
     """Counts by slot: arrays of tasks are summed by groups of tasks, then all."""
-    schema = "part int, task int, counts binary"
-    rows = words.select("places", "word_hashes", "counts").mapInArrow(_counted(filters, slots, own, slices), schema)
+    rows = words.select("places", "word_hashes").mapInArrow(_counted(filters, slots, own, slices), COUNTS)
     tasks = max(1, rows.rdd.getNumPartitions())
     groups = math.isqrt(tasks - 1) + 1
     parts = -(-n // ROW_SLOTS)
-    some = rows.withColumn("task", F.col("task") % groups).repartition(min(parts * groups, tasks), "part", "task").mapInArrow(_summed, schema)
-    got = some.repartition(parts, "part").mapInArrow(_summed, schema).select("part", "counts").collect()
+    rows = rows.union(frequent.where(F.col("at") % slices == own).select("h", "at", "total").mapInArrow(_words_counted(slots), COUNTS))
+    some = rows.withColumn("task", F.col("task") % groups).repartition(min(parts * groups, tasks), "part", "task").mapInArrow(_summed, COUNTS)
+    got = some.repartition(parts, "part").mapInArrow(_summed, COUNTS).select("part", "places", "counts").collect()
     out = np.zeros(n, np.int64)
     for r in got:
-        out[r.part * ROW_SLOTS : r.part * ROW_SLOTS + len(r.counts) // 8] = np.frombuffer(r.counts, "<i8")
-    return out
+        at, counts = _of_row(r.places, r.counts)
+        out[r.part * ROW_SLOTS + at.astype(np.int64)] = counts
+    return out.astype(np.min_scalar_type(int(out.max(initial=0))))
 
 
 #: What is read for a phrase: its own frequency, and those of both parts at each cut.
 READ = ["a", "l1", "r1", "l2", "r2"]
 
 
-def _read(slots, counts):
-    """Fill in what the slots of this slice know."""
+def _read(slots, counts, own: int, slices: int):
+    """Fill in what the slots of this slice know. Parts that are no candidates are words of phrases that are too rare to be scored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, count = slots.value, counts.value
@@ -552,8 +614,10 @@ def _read(slots, counts):
             got = []
             for name in READ:
                 known = batch.column(name).to_numpy(zero_copy_only=False).copy()
-                at = table.slots(*sought[name])
-                known[at >= 0] = count[at[at >= 0]]
+                place = slice_of(*sought[name])
+                mine = np.flatnonzero(place % U(slices) == U(own))
+                at = table.slots(*(x[mine] for x in sought[name]), place[mine])
+                known[mine[at >= 0]] = count[at[at >= 0]]
                 got.append(pa.array(known))
             yield pa.RecordBatch.from_arrays([batch.column("code"), *(batch.column(c) for c in KEY), *got], ["code", *KEY, *READ])
 
@@ -591,14 +655,14 @@ def _named(wanted):
 
 
 def _hash_words(texts: DataFrame, scratch: Scratch, least: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """(the table of chunks, the frequent words as code, h and their slice, the words of each lang, binary logarithm of the number of slices), with
+    """(the table of chunks, the frequent words as code, h, their slice and count, the words of each lang, binary logarithm of the number of slices), with
     a seed under which no two words share a hash."""
     for seed in range(SEEDS):
         words = scratch.put(scratch.fresh("words"), texts.mapInArrow(_hashed(seed, bits), WORDS), **WIDE_ROWS)
         totals = words.groupBy("code").agg(F.sum("n").alias("n"), F.max("lang").alias("lang"))
         log_slices = max(4, math.ceil(math.log2(max(1, totals.agg(F.sum("n")).first()[0] or 0) / SIFTED)))
         each = words.select("lang", "code", "words", "word_hashes", "counts").mapInArrow(_word_counts(log_slices), "slice int, h binary, told binary, counts binary, code binary")
-        known = each.repartition(1 << log_slices, "slice").mapInArrow(_frequent(least), "code long, h long, meets boolean, at long")
+        known = each.repartition(1 << log_slices, "slice").mapInArrow(_frequent(least), "code long, h long, meets boolean, at long, total long")
         known = scratch.put(scratch.fresh("known"), known)
         if not known.where("meets").limit(1).count():
             return words, known.drop("meets"), totals, log_slices
@@ -607,7 +671,7 @@ def _hash_words(texts: DataFrame, scratch: Scratch, least: int, bits: int) -> tu
 
 
 def collocations(
-    docs: DataFrame, least: int = 10, top: int = 2000, scale: int = 1_000_000, inside: int = 50, slice_keys: int = 1 << 21, bits: int = 64
+    docs: DataFrame, least: int = 10, top: int = 2000, scale: int = 1_000_000, inside: int = 50, slice_keys: int = 1 << 23, bits: int = 64
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each lang's first ``top`` phrases of two and three words.
 
@@ -633,14 +697,14 @@ def collocations(
         single = frequent.select("code", F.col("h").alias("h1"), none.alias("h2"), none.alias("h3"), "at")
         candidates = scratch.put("candidates", phrases.union(single))
         n = candidates.count()
-        slices = 1 << max(0, math.ceil(math.log2(max(1, n) / slice_keys)))
+        slices = max(1, -(-n // slice_keys))
         scored = candidates.where("h2 <> 0").select("code", *KEY, *[none.alias(c) for c in READ])
         for k in range(slices):
             table = perfect_hash(candidates, k, slices, n // slices)
             size, slots = len(table), sc.broadcast(table)
             del table
-            counts = sc.broadcast(_slot_counts(words, shared, slots, size, k, slices) if size else np.zeros(0, np.int64))
-            scored = scored.mapInArrow(_read(slots, counts), scored.schema)
+            counts = sc.broadcast(_slot_counts(words, frequent, shared, slots, size, k, slices) if size else np.zeros(0, np.int64))
+            scored = scored.mapInArrow(_read(slots, counts, k, slices), scored.schema)
             if k < slices - 1:
                 scored = scratch.put(scratch.fresh("read"), scored)
             else:

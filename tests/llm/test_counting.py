@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import random
 import re
 from collections import Counter
@@ -168,6 +169,28 @@ def test_driver_builds_no_table_and_keeps_no_broadcast(spark, monkeypatch):
     assert not any(built) and not out and max(most) <= 5
 
 
+def test_table_of_a_slice_holds_no_keys():
+    """Parts of several seeds and depths: a slot of its own for each key, in a few bits."""
+    keys = np.random.default_rng(2).integers(0, 1 << 63, (50_000, 3)).astype(np.uint64)
+    at = collocations.slice_of(*keys.T)
+    part = (at >> np.uint64(collocations.SLICE_BITS - 3)).astype(int)
+    parts = {k: collocations.PerfectHash(keys[part == k], 2.0, 4, False) for k in range(8) if k != 5}
+    parts[5] = collocations.PerfectHash(keys[part == 5][:1], 2.0, 4, False)
+    held = (part != 5) | (np.arange(len(keys)) == np.flatnonzero(part == 5)[0])
+    table = pickle.loads(pickle.dumps(collocations.PartedHash(parts, 3)))
+    assert sorted(table.slots(*keys[held].T, at[held]).tolist()) == list(range(len(table))) and len(table) == held.sum()
+    assert len(pickle.dumps(table)) < 1.5 * len(table)
+    assert len(collocations.PartedHash({}, 0)) == 0
+
+
+def test_crowded_bitmap_loses_none_and_lets_few_pass(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "MOST_BITS", 15)
+    monkeypatch.setattr(collocations, "PIECE_BITS", 13)
+    x = np.random.default_rng(3).integers(0, 1 << 48, 53_000).astype(np.uint64)
+    held = collocations.Bitmap(spark.createDataFrame([(int(v),) for v in x[:3000]], "m long"), "m")
+    assert held.log == 15 and held.has(x[:3000]).all() and held.has(x[3000:]).mean() < 0.05
+
+
 def test_words_of_a_chunk_are_numbers_of_its_hashes():
     chunk = collocations._Chunk("en")
     chunk.add(b"a b, a  c")
